@@ -119,3 +119,15 @@ bm25_raw AS (
          sum(t.idf * p.tf / (p.tf + {K1} * (1 - {B} + {B} * p.dl / (SELECT avgdl FROM stats_v)))) AS score
   FROM qterms q JOIN terms_v t ON q.term = t.term JOIN postings_v p ON p.term = q.term
   GROUP BY ALL)"""
+
+
+def embedding(table: str, id_col: str, text_col: str, name: str, dim: int = 64) -> str:
+    """CTE ``name(id, bucket, w)``: the hashed embedder over ``table.text_col``."""
+    return f"""
+{name}_c AS (
+  SELECT x.{id_col} AS id, {bucket('t.term', dim)} AS bucket, CAST(count(*) AS DOUBLE) AS c
+  FROM {table} x, unnest(regexp_split_to_array(lower(x.{text_col}), {_lit(T.TOKEN_SPLIT)})) AS t(term)
+  WHERE t.term <> ''
+  GROUP BY ALL),
+{name} AS (
+  SELECT id, bucket, c / sqrt(sum(c * c) OVER (PARTITION BY id)) AS w FROM {name}_c)"""

@@ -90,3 +90,48 @@ ranked AS (
          row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, corpus_id) AS rank
   FROM filtered)
 SELECT query_id, rank, corpus_id, round(score, 4) AS score FROM ranked WHERE rank <= 10"""
+
+_VEC = """
+v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, label, 2000 + vec_id % 24 AS y,
+             CASE WHEN vec_id % 2 = 0 THEN 2000 + (vec_id + 5) % 24 END AS qy FROM embeddings),
+v2 AS (SELECT *, sqrt(list_dot_product(e, e)) AS n, [y, y - 1, y - 2, y - 3] AS years FROM v)"""
+
+
+def _vec_topk(year: bool) -> str:
+    cond = " AND (q.qy IS NULL OR list_contains(p.years, q.qy))" if year else ""
+    return f"""WITH {_VEC},
+pairs AS (
+  SELECT q.id AS query_id, p.id, list_dot_product(q.e, p.e) / (q.n * p.n) AS score
+  FROM v2 q JOIN v2 p ON q.id <> p.id
+  WHERE q.n > 0 AND p.n > 0{cond}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank
+           FROM pairs)
+SELECT query_id, rank, id, round(score, 4) AS score FROM ranked WHERE rank <= 10"""
+
+
+SQL["vector_topk"] = _vec_topk(False)
+SQL["vector_topk_filtered"] = _vec_topk(True)
+
+SQL["filter_any_field"] = f"""WITH {_VEC}
+SELECT id, label, CAST(years AS INTEGER[]) AS years FROM v2 WHERE label = 1 AND list_contains(years, 2010)"""
+
+SQL["filter_year"] = f"""WITH {O.PAGE_ROWS}
+SELECT corpus_id, probable_referenced_years FROM pages_v WHERE list_contains(probable_referenced_years, 2013)"""
+
+SQL["embed_text"] = f"""WITH {O.PAGE_ROWS}, {O.embedding('pages_v', 'corpus_id', 'markdown_content', 'emb')}
+SELECT id, bucket, round(w, 6) AS w FROM emb"""
+
+SQL["build_points"] = f"""WITH {O.PAGE_ROWS}, {O.embedding('pages_v', 'corpus_id', 'markdown_content', 'emb')},
+n AS (SELECT id, CAST(count(*) AS BIGINT) AS n_entries FROM emb GROUP BY id)
+SELECT p.corpus_id AS id, p.doc_id, p.page, p.exact_filename, p.probable_referenced_years, n.n_entries
+FROM pages_v p JOIN n ON p.corpus_id = n.id"""
+
+SQL["vector_upsert"] = f"""WITH {O.PAGE_ROWS}, {O.embedding('pages_v', 'corpus_id', 'markdown_content', 'emb')},
+{O.embedding('pages_v', 'corpus_id', 'text_content', 'emb_t')},
+n AS (SELECT id, CAST(count(*) AS BIGINT) AS n_entries FROM emb GROUP BY id),
+nt AS (SELECT id, CAST(count(*) AS BIGINT) AS n_entries FROM emb_t WHERE id % 4 = 0 GROUP BY id)
+SELECT id, 'markdown' AS origin, n_entries FROM n WHERE id NOT IN (SELECT id FROM nt)
+UNION ALL SELECT id, 'text', n_entries FROM nt"""
+
+SQL["vector_table_init"] = """SELECT DISTINCT CAST(unnest([y, y - 1, y - 2, y - 3]) AS INTEGER) AS year, id
+FROM (SELECT vec_id AS id, 2000 + vec_id % 24 AS y FROM embeddings)"""

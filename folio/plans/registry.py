@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions.text import clean_text
-from folio.operators import bm25, ingest, testset
+from folio.functions.embed import DEFAULT_DIM, hashed_embedding, sparse_entries
+from folio.operators import bm25, ingest, testset, vectors
 from folio.plans import catalog
 from folio.session import new_path
 from folio.sources import fixtures
@@ -162,4 +163,90 @@ def bm25_topk_year(spark: SparkSession, base: str) -> DataFrame:
     return hits.select("query_id", "rank", "corpus_id", F.round("score", 4).alias("score"))
 
 
+# ---------------------------------------------------------------- vectors
+
+
+def _vector_queries(spark: SparkSession, base: str) -> DataFrame:
+    v = fixtures.vectors(spark, base)
+    return v.select(F.col("id").alias("query_id"), "vector", F.col("id").alias("self_id"), "query_year")
+
+
+@register("vector_topk")
+def vector_topk(spark: SparkSession, base: str) -> DataFrame:
+    """R2 + J5: cosine top-10 of every vector against all others (self excluded)."""
+    hits = vectors.vector_topk(_vector_queries(spark, base), fixtures.vectors(spark, base), ["query_id"], 10,
+                               exclude_self_col="self_id")
+    return hits.select("query_id", "rank", "id", F.round("score", 4).alias("score"))
+
+
+@register("vector_topk_filtered")
+def vector_topk_filtered(spark: SparkSession, base: str) -> DataFrame:
+    """R2 + P9: cosine top-10 with each query's year filter applied before the cut."""
+    hits = vectors.vector_topk(_vector_queries(spark, base), fixtures.vectors(spark, base), ["query_id"], 10,
+                               exclude_self_col="self_id", query_year_col="query_year", point_years_col="years")
+    return hits.select("query_id", "rank", "id", F.round("score", 4).alias("score"))
+
+
+# The payload filters exercised by the filter queries.
+PAYLOAD_FILTER = {"label": 1, "years": 2010}
+TEXT_FILTER = {"probable_referenced_years": "2013", "doc_id": "ignored by full-text search"}
+
+
+@register("filter_any_field")
+def filter_any_field(spark: SparkSession, base: str) -> DataFrame:
+    """Equality filters ANDed over payload fields (array fields: contains)."""
+    v = fixtures.vectors(spark, base)
+    return v.where(vectors.payload_filter(v, PAYLOAD_FILTER)).select("id", "label", "years")
+
+
+@register("filter_year")
+def filter_year(spark: SparkSession, base: str) -> DataFrame:
+    """P10: full-text filter honours only the year, coerced to INT."""
+    pages = catalog.stored_pages(spark, base)
+    return pages.where(vectors.year_only_filter(TEXT_FILTER)).select("corpus_id", "probable_referenced_years")
+
+
+@register("embed_text")
+def embed_text(spark: SparkSession, base: str) -> DataFrame:
+    """Hashed bag-of-words vectors of the stored pages, as sparse entries."""
+    pages = catalog.stored_pages(spark, base).select(F.col("corpus_id").alias("id"), "markdown_content")
+    ent = sparse_entries(hashed_embedding(pages, ["id"], "markdown_content", DEFAULT_DIM), ["id"])
+    return ent.select("id", "bucket", F.round("w", 6).alias("w"))
+
+
+@register("build_points")
+def build_points(spark: SparkSession, base: str) -> DataFrame:
+    """P6 + E3: one point per stored page (vector + payload), flattened."""
+    pages = catalog.stored_pages(spark, base)
+    vecs = catalog.page_vectors(spark, base).select("id", F.col("v_idx").alias("vector"))
+    pts = vectors.points_of_pages(pages, vecs)
+    return pts.select("id", "payload.doc_id", "payload.page", "payload.exact_filename",
+                      "payload.probable_referenced_years", F.size("vector").cast("bigint").alias("n_entries"))
+
+
+@register("vector_upsert")
+def vector_upsert(spark: SparkSession, base: str) -> DataFrame:
+    """Re-embedded points replace stored ones by id (latest version wins)."""
+    stored = catalog.stored_pages(spark, base)
+    basev = catalog.page_vectors(spark, base).select("id", "v_idx", F.lit("markdown").alias("origin"))
+    upd = hashed_embedding(stored.where(F.col("corpus_id") % 4 == 0).select(
+        F.col("corpus_id").alias("id"), "text_content"), ["id"], "text_content")
+    upd = upd.select("id", "v_idx", F.lit("text").alias("origin"), F.lit(2).alias("version")).unionByName(
+        upd.select("id", "v_idx", F.lit("stale").alias("origin"), F.lit(1).alias("version")))
+    out = vectors.upsert(basev.withColumn("version", F.lit(0)), upd, "id", "version")
+    return out.select("id", "origin", F.size("v_idx").cast("bigint").alias("n_entries"))
+
+
+@register("vector_table_init")
+def vector_table_init(spark: SparkSession, base: str) -> DataFrame:
+    """Vector table with a dimension check, and its year companion partitioned by year."""
+    path = new_path(spark, "vector-table")
+    v = vectors.check_dimension(fixtures.vectors(spark, base), 64)
+    v.select("id", "vector", "label", "years").write.parquet(f"{path}/points")
+    pts = spark.read.parquet(f"{path}/points")
+    bm25.year_index(pts, "years", "id").write.partitionBy("year").parquet(f"{path}/year_index")
+    return spark.read.parquet(f"{path}/year_index").select(F.col("year").cast("int").alias("year"),
+                                                           F.col("corpus_id").alias("id"))
+
+
 FLAGSHIP = "bm25_topk"
