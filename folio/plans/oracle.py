@@ -131,3 +131,89 @@ def embedding(table: str, id_col: str, text_col: str, name: str, dim: int = 64)
   GROUP BY ALL),
 {name} AS (
   SELECT id, bucket, c / sqrt(sum(c * c) OVER (PARTITION BY id)) AS w FROM {name}_c)"""
+
+
+def distinct_ordered(expr: str) -> str:
+    """Order-preserving list dedupe (first occurrence wins), like Spark's array_distinct."""
+    return f"list_filter({expr}, lambda x, i: list_position({expr}, x) = i)"
+
+
+def hybrid(top_k: int, year: bool, stage: str) -> str:
+    """SQL for the hybrid retrieval of every question; ``stage`` picks the output:
+    variants, hits, fused, rerank or final."""
+    ws = _lit(T.WHITESPACE)
+    limit = top_k * 5
+    k = top_k * 3
+    yq = "year" if year else "CAST(NULL AS INTEGER) AS year"
+    kw = f"array_to_string(list_filter({distinct_ordered(tokens('text'))}, lambda t: length(t) >= 4), ' ')"
+    return f"""WITH {PAGE_ROWS}, {INDEX}, {QUESTIONS},
+hq AS (SELECT query_id, original AS text, {yq} FROM questions_v WHERE original IS NOT NULL),
+resp AS (
+  SELECT query_id, text, year,
+         concat_ws(chr(10), {kw}, lower(regexp_replace(text, {ws}, ' ', 'g')),
+                   regexp_replace(text, {ws}, ' ', 'g')) AS r
+  FROM hq),
+lines AS (
+  SELECT query_id, year,
+         list_concat([text], list_filter(list_transform(string_split(r, chr(10)), lambda s: trim(s, ' ')),
+                                         lambda s: s <> '')) AS l
+  FROM resp),
+dl AS (SELECT query_id, year, {distinct_ordered('l')} AS l2 FROM lines),
+variants AS (
+  SELECT query_id, year, unnest(l2) AS variant_text, CAST(unnest(range(0, len(l2))) AS INTEGER) AS variant_no
+  FROM dl),
+vk AS (SELECT query_id * 1000 + variant_no AS vkey, * FROM variants),
+{embedding('vk', 'vkey', 'variant_text', 'qemb')},
+live AS (SELECT * FROM vk WHERE vkey IN (SELECT id FROM qemb)),
+{bm25_hits('live', 'query_id, variant_no', 'variant_text', 'year')},
+bfilt AS (
+  SELECT * FROM bm25_raw h
+  WHERE h.year IS NULL OR EXISTS (SELECT 1 FROM year_index_v y WHERE y.corpus_id = h.corpus_id AND y.year = h.year)),
+branked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id, variant_no ORDER BY round(score, 6) DESC, corpus_id) AS rank
+  FROM bfilt),
+{embedding('pages_v', 'corpus_id', 'markdown_content', 'pemb')},
+pvec AS (SELECT corpus_id, probable_referenced_years AS years FROM pages_v WHERE corpus_id IN (SELECT id FROM pemb)),
+vdot AS (SELECT q.id AS vkey, p.id AS corpus_id, sum(q.w * p.w) AS dot
+         FROM qemb q JOIN pemb p ON q.bucket = p.bucket GROUP BY ALL),
+vpairs AS (
+  SELECT l.query_id, l.variant_no, pg.corpus_id, coalesce(d.dot, 0.0) AS score
+  FROM live l CROSS JOIN pvec pg LEFT JOIN vdot d ON d.vkey = l.vkey AND d.corpus_id = pg.corpus_id
+  WHERE l.year IS NULL OR list_contains(pg.years, l.year)),
+vranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id, variant_no ORDER BY round(score, 6) DESC, corpus_id) AS rank
+  FROM vpairs),
+hits AS (
+  SELECT query_id, variant_no, 'bm25' AS source, CAST(rank - 1 AS INTEGER) AS rank0, corpus_id, score
+  FROM branked WHERE rank <= {limit}
+  UNION ALL
+  SELECT query_id, variant_no, 'vector', CAST(rank - 1 AS INTEGER), corpus_id, score
+  FROM vranked WHERE rank <= {limit}),
+fused0 AS (
+  SELECT query_id, corpus_id, sum(1.0::DOUBLE / ({k} + rank0 + 1)) AS rrf_score
+  FROM hits WHERE corpus_id IS NOT NULL GROUP BY ALL),
+fused AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 9) DESC, corpus_id) AS fused_rank
+  FROM fused0),
+rr0 AS (
+  SELECT f.*, p.markdown_content, p.exact_filename AS source, {distinct_ordered(tokens('q.text'))} AS qt,
+         {tokens('p.markdown_content')} AS pt
+  FROM fused f JOIN hq q ON f.query_id = q.query_id JOIN pages_v p ON p.corpus_id = f.corpus_id),
+rr1 AS (
+  SELECT *, CASE WHEN len(qt) > 0 THEN
+              CAST(len(list_filter(qt, lambda t: list_contains(pt, t))) AS DOUBLE) / len(qt) END AS rerank_score
+  FROM rr0),
+reranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rerank_score, 6) DESC NULLS LAST, fused_rank)
+            AS rank
+  FROM rr1)
+""" + {
+        "variants": "SELECT query_id, variant_no, variant_text FROM variants",
+        "hits": "SELECT query_id, variant_no, source, rank0, corpus_id, round(score, 4) AS score FROM hits",
+        "fused": "SELECT query_id, corpus_id, round(rrf_score, 6) AS rrf_score, fused_rank FROM fused",
+        "rerank": f"""SELECT query_id, rank, corpus_id, round(rerank_score, 4) AS rerank_score, fused_rank
+FROM reranked WHERE rank <= {top_k}""",
+        "final": f"""SELECT query_id, rank, corpus_id, source, markdown_content, round(rerank_score, 4) AS rerank_score,
+       round(rrf_score, 6) AS rrf_score, fused_rank
+FROM reranked WHERE rank <= {top_k}""",
+    }[stage]

@@ -135,3 +135,10 @@ UNION ALL SELECT id, 'text', n_entries FROM nt"""
 
 SQL["vector_table_init"] = """SELECT DISTINCT CAST(unnest([y, y - 1, y - 2, y - 3]) AS INTEGER) AS year, id
 FROM (SELECT vec_id AS id, 2000 + vec_id % 24 AS y FROM embeddings)"""
+
+SQL["query_variants"] = O.hybrid(5, False, "variants")
+SQL["hybrid_hits"] = O.hybrid(5, False, "hits")
+SQL["rrf_fuse"] = O.hybrid(5, False, "fused")
+SQL["rerank"] = O.hybrid(5, False, "rerank")
+SQL["hybrid_retrieve"] = O.hybrid(5, False, "final")
+SQL["hybrid_retrieve_year"] = O.hybrid(3, True, "final")

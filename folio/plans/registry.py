@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folio.functions.text import clean_text
 from folio.functions.embed import DEFAULT_DIM, hashed_embedding, sparse_entries
-from folio.operators import bm25, ingest, testset, vectors
+from folio.operators import bm25, fusion, ingest, testset, vectors
 from folio.plans import catalog
 from folio.session import new_path
 from folio.sources import fixtures
@@ -249,4 +249,80 @@ def vector_table_init(spark: SparkSession, base: str) -> DataFrame:
                                                            F.col("corpus_id").alias("id"))
 
 
-FLAGSHIP = "bm25_topk"
+# ---------------------------------------------------------------- hybrid retrieval
+
+# Result size of the retrieval entry point and of the conversation tool.
+TOP_K = 5
+TOOL_TOP_K = 3
+
+
+def _hybrid_inputs(spark: SparkSession, base: str):
+    return (catalog.page_index(spark, base), catalog.page_vectors(spark, base), catalog.stored_pages(spark, base))
+
+
+def _questions_for_retrieval(spark: SparkSession, base: str, with_year: bool) -> DataFrame:
+    q = fixtures.questions(spark, base).select("query_id", F.col("original").alias("text"), "year")
+    return q if with_year else q.drop("year")
+
+
+@register("query_variants")
+def query_variants(spark: SparkSession, base: str) -> DataFrame:
+    """The question plus generated phrasings, order-preserving dedupe."""
+    return fusion.query_variants(_questions_for_retrieval(spark, base, False))
+
+
+@register("hybrid_hits")
+def hybrid_hits(spark: SparkSession, base: str) -> DataFrame:
+    """R5 + U2: every variant's BM25 and cosine list of top_k * 5 pages."""
+    index, points, _ = _hybrid_inputs(spark, base)
+    variants = fusion.query_variants(_questions_for_retrieval(spark, base, False))
+    hits = fusion.candidate_lists(variants, index, points, TOP_K)
+    return hits.select("query_id", "variant_no", "source", F.col("rank0").cast("int").alias("rank0"),
+                       "corpus_id", F.round("score", 4).alias("score"))
+
+
+def _fused(spark: SparkSession, base: str) -> DataFrame:
+    index, points, _ = _hybrid_inputs(spark, base)
+    variants = fusion.query_variants(_questions_for_retrieval(spark, base, False))
+    return fusion.rrf_fuse(fusion.candidate_lists(variants, index, points, TOP_K), TOP_K * fusion.FUSION_FACTOR)
+
+
+@register("rrf_fuse")
+def rrf_fuse(spark: SparkSession, base: str) -> DataFrame:
+    """R6 + A3 + W7: reciprocal-rank fusion of all lists of a question."""
+    return _fused(spark, base).select("query_id", "corpus_id", F.round("rrf_score", 6).alias("rrf_score"),
+                                      F.col("fused_rank").cast("int").alias("fused_rank"))
+
+
+@register("rerank")
+def rerank(spark: SparkSession, base: str) -> DataFrame:
+    """R7 + T1b: pair scorer over the fused pages, top_k kept, ties in fusion order."""
+    _, _, pages = _hybrid_inputs(spark, base)
+    out = fusion.rerank(_fused(spark, base), _questions_for_retrieval(spark, base, False), pages, TOP_K)
+    return out.select("query_id", F.col("rank").cast("bigint").alias("rank"), "corpus_id",
+                      F.round("rerank_score", 4).alias("rerank_score"),
+                      F.col("fused_rank").cast("bigint").alias("fused_rank"))
+
+
+def _final(df: DataFrame) -> DataFrame:
+    return df.select("query_id", F.col("rank").cast("bigint").alias("rank"), "corpus_id", "source",
+                     "markdown_content", F.round("rerank_score", 4).alias("rerank_score"),
+                     F.round("rrf_score", 6).alias("rrf_score"), F.col("fused_rank").cast("bigint").alias("fused_rank"))
+
+
+@register("hybrid_retrieve")
+def hybrid_retrieve(spark: SparkSession, base: str) -> DataFrame:
+    """R8 + P12: end-to-end hybrid retrieval of every question (top 5)."""
+    index, points, pages = _hybrid_inputs(spark, base)
+    return _final(fusion.hybrid_retrieve(_questions_for_retrieval(spark, base, False), index, points, pages, TOP_K))
+
+
+@register("hybrid_retrieve_year")
+def hybrid_retrieve_year(spark: SparkSession, base: str) -> DataFrame:
+    """The conversation tool — per-question year filter, top 3 (15 per list, k = 9)."""
+    index, points, pages = _hybrid_inputs(spark, base)
+    return _final(fusion.hybrid_retrieve(_questions_for_retrieval(spark, base, True), index, points, pages,
+                                         TOOL_TOP_K, year_col="year"))
+
+
+FLAGSHIP = "hybrid_retrieve"
