@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 # digits (Unicode classes), after lower-casing; empty pieces are dropped; no stop words.
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
-# The year mention pattern (whole match, not the group) used on user messages.
-YEAR_MENTION = r"\b(19|20)\d{2}\b"
+# A year mention (1900-2099) standing alone between non-word characters, as a
+# Unicode-aware word boundary would see it; group 1 is the year.  Written with explicit
+# classes because Java's and RE2's ``\b`` disagree next to non-ASCII letters.
+NON_WORD = r"[^\p{L}\p{N}_]"
+YEAR_MENTION = r"(?:^|" + NON_WORD + r")((?:19|20)[0-9]{2})(?:" + NON_WORD + r"|$)"
 
 # Page number in a file name, first match of this pattern, group 1.
 PAGE_PATTERN = r"_page_([0-9]+)"
@@ -93,7 +96,12 @@ def page_number(file_name: Column) -> Column:
 
 def mentioned_year(text: Column) -> Column:
     """First year mention (1900–2099) in free text as INT; null when none."""
-    return F.regexp_extract(text, YEAR_MENTION, 0).try_cast("int")
+    return F.regexp_extract(text, YEAR_MENTION, 1).try_cast("int")
+
+
+def words(alternatives: str) -> str:
+    """Case-insensitive pattern matching any of ``alternatives`` as whole words."""
+    return r"(?i)(?:^|" + NON_WORD + r")(?:" + alternatives + r")(?:" + NON_WORD + r"|$)"
 
 
 def token_pieces(text: Column) -> Column:

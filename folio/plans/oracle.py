@@ -7,6 +7,8 @@ from the same constants so that both engines apply identical rules.
 from __future__ import annotations
 
 from folio.functions import text as T
+from folio.operators import answers as A
+from folio.operators import conversation as C
 from folio.operators.bm25 import B, K1
 
 
@@ -217,3 +219,59 @@ FROM reranked WHERE rank <= {top_k}""",
        round(rrf_score, 6) AS rrf_score, fused_rank
 FROM reranked WHERE rank <= {top_k}""",
     }[stage]
+
+
+TURNS = """
+t0 AS (
+  SELECT conv_id, turn, role, text,
+         CASE WHEN role <> 'user' THEN NULL
+              WHEN (conv_id * 7 + turn * 3) % 5 = 0 THEN 'SET'
+              WHEN (conv_id * 7 + turn * 3) % 5 = 1 THEN 'RELATIVE'
+              WHEN (conv_id * 7 + turn * 3) % 11 = 2 THEN 'CLEAR'
+              ELSE 'KEEP' END AS a
+  FROM conversations),
+turns_v AS (
+  SELECT conv_id AS thread_id, CAST(turn AS INTEGER) AS turn, role,
+         CASE a WHEN 'SET' THEN text || ' What was the revenue in ' || CAST(2000 + (conv_id + turn) % 24 AS VARCHAR) || '?'
+                WHEN 'RELATIVE' THEN text || ' And the year before?'
+                WHEN 'CLEAR' THEN text || ' Who is the CEO?'
+                ELSE text END AS content
+  FROM t0)"""
+
+
+def year_of(expr: str) -> str:
+    return f"TRY_CAST(regexp_extract({expr}, {_lit(T.YEAR_MENTION)}, 1) AS INTEGER)"
+
+
+def rlike(expr: str, pattern: str) -> str:
+    return f"regexp_matches({expr}, {_lit(pattern)})"
+
+
+def first_sentence(expr: str) -> str:
+    return f"trim(regexp_extract({expr}, {_lit(A.FIRST_SENTENCE)}, 1))"
+
+
+def route_cols(expr: str) -> str:
+    fin = f"coalesce({rlike(expr, C.FINANCIAL_TERMS)}, false)"
+    need = f"coalesce(NOT {rlike(expr, C.NO_RETRIEVAL)}, false)"
+    return (f"{fin} AS is_financial, {need} AS needs_retrieval, "
+            f"CASE WHEN {fin} AND {need} THEN 'retrieve' ELSE 'answer' END AS route")
+
+
+def action_sql(expr: str) -> str:
+    return f"""CASE WHEN {year_of(expr)} IS NOT NULL THEN 'SET'
+             WHEN {rlike(expr, C.RELATIVE_BACK)} THEN 'RELATIVE'
+             WHEN {rlike(expr, C.RELATIVE_FORWARD)} THEN 'RELATIVE'
+             WHEN {rlike(expr, C.TOPIC_CHANGE)} THEN 'CLEAR' ELSE 'KEEP' END"""
+
+
+def shift_sql(expr: str) -> str:
+    return f"""CASE WHEN {year_of(expr)} IS NOT NULL THEN 0
+             WHEN {rlike(expr, C.RELATIVE_BACK)} THEN -1
+             WHEN {rlike(expr, C.RELATIVE_FORWARD)} THEN 1 ELSE 0 END"""
+
+
+def last_messages(n: int) -> str:
+    return f"""
+lm0 AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY turn DESC) AS back FROM turns_v),
+lm AS (SELECT * FROM lm0 WHERE back <= {n})"""

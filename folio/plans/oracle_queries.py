@@ -142,3 +142,68 @@ SQL["rrf_fuse"] = O.hybrid(5, False, "fused")
 SQL["rerank"] = O.hybrid(5, False, "rerank")
 SQL["hybrid_retrieve"] = O.hybrid(5, False, "final")
 SQL["hybrid_retrieve_year"] = O.hybrid(3, True, "final")
+
+SQL["extract_year"] = f"""WITH {O.TURNS}
+SELECT thread_id, turn, {O.year_of('content')} AS year FROM turns_v WHERE role = 'user'"""
+
+SQL["sticky_year"] = f"""WITH {O.TURNS},
+a AS (
+  SELECT thread_id, turn, {O.action_sql('content')} AS action, {O.year_of('content')} AS y,
+         {O.shift_sql('content')} AS shift
+  FROM turns_v WHERE role = 'user'),
+s AS (SELECT *, sum(CASE WHEN action IN ('SET', 'CLEAR') THEN 1 ELSE 0 END)
+                   OVER (PARTITION BY thread_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS seg FROM a),
+b AS (SELECT *, max(CASE WHEN action = 'SET' THEN y END) OVER (PARTITION BY thread_id, seg) AS base,
+             sum(shift) OVER (PARTITION BY thread_id, seg ORDER BY turn ROWS UNBOUNDED PRECEDING) AS sh FROM s)
+SELECT thread_id, turn, action, CAST(base + sh AS INTEGER) AS year FROM b"""
+
+SQL["route_queries"] = f"""WITH {O.TURNS}
+SELECT thread_id, turn, {O.route_cols('content')} FROM turns_v WHERE role = 'user'"""
+
+SQL["last_user_message"] = f"""WITH {O.TURNS}
+SELECT thread_id, max(turn) AS turn, arg_max(content, turn) AS content FROM turns_v WHERE role = 'user'
+GROUP BY thread_id"""
+
+SQL["transcript"] = f"""WITH {O.TURNS}, {O.last_messages(5)}
+SELECT thread_id, string_agg(CASE role WHEN 'user' THEN 'Human' WHEN 'assistant' THEN 'AI'
+                                       WHEN 'system' THEN 'System' ELSE role END
+                             || ': ' || coalesce(content, ''), chr(10) ORDER BY turn) AS transcript
+FROM lm GROUP BY thread_id"""
+
+SQL["history_lines"] = f"""WITH {O.TURNS}, {O.last_messages(5)}
+SELECT thread_id, string_agg(coalesce(role, 'unknown') || ': ' || coalesce(content, ''), chr(10) ORDER BY turn)
+       AS history
+FROM lm GROUP BY thread_id"""
+
+_DIRECT = """
+lu AS (SELECT thread_id, arg_max(content, turn) AS content FROM turns_v WHERE role = 'user' GROUP BY thread_id),
+rec AS (SELECT thread_id, 'Answer: ' || {fs} || chr(10) || 'Reasoning: Answered from the dialogue.' || chr(10)
+               || 'Sources summary: dialogue' || chr(10) || 'Sources: dialogue' AS record FROM lu)"""
+
+SQL["history_record"] = f"""WITH {O.TURNS}, {_DIRECT.format(fs=O.first_sentence('content'))}
+SELECT thread_id, record FROM rec"""
+
+SQL["trim_history"] = f"""WITH {O.TURNS}, {O.last_messages(4)}, {_DIRECT.format(fs=O.first_sentence('content'))},
+mx AS (SELECT thread_id, max(turn) AS mt FROM turns_v GROUP BY thread_id)
+SELECT thread_id, turn, role, content FROM lm
+UNION ALL
+SELECT r.thread_id, CAST(m.mt + 1 AS INTEGER), 'assistant', r.record FROM rec r JOIN mx m ON r.thread_id = m.thread_id"""
+
+SQL["judge_parse"] = """WITH r AS (
+  SELECT doc_id AS row_id,
+         CASE WHEN doc_id % 13 = 0 THEN '{"reasoning": "cut off'
+              WHEN doc_id % 17 = 0 THEN '{"reasoning": "off scale", "answer_accuracy": 3}'
+              ELSE '{"reasoning": "label ' || CAST(quality AS VARCHAR) || '/' || CAST(toxic AS VARCHAR)
+                   || '", "answer_accuracy": ' || CAST(CASE WHEN toxic = 1 THEN 2 ELSE quality * 4 END AS VARCHAR) || '}'
+         END AS raw
+  FROM labels),
+p AS (SELECT row_id,
+             CASE WHEN json_valid(raw) THEN json_extract_string(raw, '$.reasoning') END AS reasoning,
+             CASE WHEN json_valid(raw) THEN TRY_CAST(json_extract(raw, '$.answer_accuracy') AS INTEGER) END AS acc
+      FROM r)
+SELECT row_id,
+       CASE WHEN acc IS NULL THEN 'judge output could not be parsed'
+            WHEN acc NOT IN (0, 2, 4) THEN 'rating out of scale: ' || CAST(acc AS VARCHAR)
+            ELSE coalesce(reasoning, '') END AS reasoning,
+       CAST(CASE WHEN acc IN (0, 2, 4) THEN acc ELSE 0 END AS INTEGER) AS answer_accuracy
+FROM p"""

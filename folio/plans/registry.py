@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from folio.functions.text import clean_text
 from folio.functions.embed import DEFAULT_DIM, hashed_embedding, sparse_entries
-from folio.operators import bm25, fusion, ingest, testset, vectors
+from folio.functions.enrich import enrich, ocr_stand_in
+from folio.functions.text import mentioned_year
+from folio.operators import answers, bm25, conversation, evaluation, fusion, ingest, testset, vectors
 from folio.plans import catalog
 from folio.session import new_path
 from folio.sources import fixtures
@@ -325,4 +327,147 @@ def hybrid_retrieve_year(spark: SparkSession, base: str) -> DataFrame:
                                          TOOL_TOP_K, year_col="year"))
 
 
+# ---------------------------------------------------------------- conversation state
+
+
+@register("extract_year")
+def extract_year(spark: SparkSession, base: str) -> DataFrame:
+    """First year mentioned in each user message."""
+    t = conversation.user_turns(fixtures.turns(spark, base))
+    return t.select("thread_id", "turn", mentioned_year(F.col("content")).alias("year"))
+
+
+@register("sticky_year")
+def sticky_year(spark: SparkSession, base: str) -> DataFrame:
+    """Active year after each user turn (SET / RELATIVE / CLEAR / KEEP fold)."""
+    return conversation.sticky_year(fixtures.turns(spark, base))
+
+
+@register("route_queries")
+def route_queries(spark: SparkSession, base: str) -> DataFrame:
+    """Retrieve only when the message is financial and needs retrieval."""
+    return conversation.route_queries(fixtures.turns(spark, base))
+
+
+@register("last_user_message")
+def last_user_message(spark: SparkSession, base: str) -> DataFrame:
+    """Latest user message per thread."""
+    return conversation.last_user_message(fixtures.turns(spark, base))
+
+
+@register("transcript")
+def transcript(spark: SparkSession, base: str) -> DataFrame:
+    """A1: retained history of each thread as an ordered transcript."""
+    return conversation.transcript(fixtures.turns(spark, base))
+
+
+@register("history_lines")
+def history_lines(spark: SparkSession, base: str) -> DataFrame:
+    """``role: content`` lines of the retained history."""
+    return conversation.history_lines(fixtures.turns(spark, base))
+
+
+def _direct_answers(spark: SparkSession, base: str) -> DataFrame:
+    last = conversation.last_user_message(fixtures.turns(spark, base))
+    ans = F.struct(
+        F.lit("Answered from the dialogue.").alias("logic_steps"),
+        answers.first_sentence(F.col("content")).alias("generated_response"),
+        F.lit("dialogue").alias("summary_sources"), F.array(F.lit("dialogue")).alias("sources"))
+    return last.select("thread_id", ans.alias("answer"))
+
+
+@register("history_record")
+def history_record(spark: SparkSession, base: str) -> DataFrame:
+    """The assistant message recorded for an answer."""
+    return _direct_answers(spark, base).select("thread_id", conversation.history_record(F.col("answer")).alias("record"))
+
+
+@register("trim_history")
+def trim_history(spark: SparkSession, base: str) -> DataFrame:
+    """Last four messages of each thread plus the new assistant message."""
+    new = _direct_answers(spark, base).select(
+        "thread_id", F.lit("assistant").alias("role"), conversation.history_record(F.col("answer")).alias("content"))
+    return conversation.trim_history(fixtures.turns(spark, base), new)
+
+
+@register("assemble_context")
+def assemble_context(spark: SparkSession, base: str) -> DataFrame:
+    """A2: retrieved pages of each question as one context block (fallback when none)."""
+    index, points, pages = _hybrid_inputs(spark, base)
+    qs = _questions_for_retrieval(spark, base, True)
+    got = fusion.hybrid_retrieve(qs, index, points, pages, TOOL_TOP_K, year_col="year")
+    return answers.assemble_context(qs, got)
+
+
+@register("prompt_rows")
+def prompt_rows(spark: SparkSession, base: str) -> DataFrame:
+    """P15 + P16 + W4: persona, context (retrieved or dialogue) and question per question."""
+    index, points, pages = _hybrid_inputs(spark, base)
+    qs = fixtures.questions(spark, base).select("query_id", F.col("original").alias("text"))
+    out = answers.answer_questions(qs, index, points, pages, "query_id", "text", TOOL_TOP_K)
+    return out.select("query_id", "is_financial", "route", "year", "prompt")
+
+
+# ---------------------------------------------------------------- answers and evaluation
+
+
+def _testset(spark: SparkSession, base: str) -> DataFrame:
+    joined = testset.testset_join(catalog.answers(spark, base), fixtures.questions(spark, base))
+    return testset.testset_unpivot(joined)
+
+
+def _answered(spark: SparkSession, base: str) -> DataFrame:
+    index, points, pages = _hybrid_inputs(spark, base)
+    return evaluation.generate_answers(_testset(spark, base), index, points, pages, TOOL_TOP_K)
+
+
+@register("generate_answers")
+def generate_answers(spark: SparkSession, base: str) -> DataFrame:
+    """An answer (or the error answer) for every row of the testset."""
+    return _answered(spark, base)
+
+
+@register("judge_parse")
+def judge_parse(spark: SparkSession, base: str) -> DataFrame:
+    """E5: judge JSON parsed; malformed or off-scale ratings become 0 with a reason."""
+    raw = fixtures.judge_raw(spark, base)
+    return raw.select("row_id", answers.parse_judgement(F.col("raw")).alias("j")).select("row_id", "j.*")
+
+
+@register("judge_answers")
+def judge_answers(spark: SparkSession, base: str) -> DataFrame:
+    """E5 + U3: judged answers (time excluded)."""
+    return evaluation.judge_answers(_answered(spark, base)).drop("time")
+
+
+@register("store_evaluation")
+def store_evaluation(spark: SparkSession, base: str) -> DataFrame:
+    """Judged answers validated to the record schema and appended; invalid ones quarantined."""
+    path = new_path(spark, "evaluations")
+    stored = evaluation.store_evaluation(evaluation.judge_answers(_answered(spark, base)), path)
+    return stored.drop("time")
+
+
+@register("evaluation_run")
+def evaluation_run(spark: SparkSession, base: str) -> DataFrame:
+    """Testset → answers → judge → store, end to end; returns the stored records."""
+    path = new_path(spark, "evaluations")
+    rows = ingest.first_n(_testset(spark, base), None, ["query_id", "difficulty"])
+    index, points, pages = _hybrid_inputs(spark, base)
+    judged = evaluation.judge_answers(evaluation.generate_answers(rows, index, points, pages, TOOL_TOP_K))
+    return evaluation.store_evaluation(judged, path).drop("time")
+
+
+@register("enrich_pages")
+def enrich_pages(spark: SparkSession, base: str) -> DataFrame:
+    """The OCR call as a batched, retried table enrichment over the page images."""
+    corpus = fixtures.corpus(spark, base).select("corpus_id", "image_filename", "image")
+    schema = "corpus_id long, image_filename string, markdown_content string"
+    from pyspark.sql import types as T
+
+    out = enrich(corpus, ocr_stand_in, T._parse_datatype_string(schema), batch_size=50, on_error="default",
+                 default={"markdown_content": None})
+    return out
+
+
 FLAGSHIP = "hybrid_retrieve"
