@@ -140,16 +140,18 @@ def distinct_ordered(expr: str) -> str:
     return f"list_filter({expr}, lambda x, i: list_position({expr}, x) = i)"
 
 
-def hybrid(top_k: int, year: bool, stage: str) -> str:
+def hybrid(top_k: int, year: bool, stage: str, hq: str | None = None, prefix: str = "") -> str:
     """SQL for the hybrid retrieval of every question; ``stage`` picks the output:
-    variants, hits, fused, rerank or final."""
+    variants, hits, fused, rerank, final, or none (CTEs only, ending with ``reranked``).
+    ``hq`` replaces the question CTE ``hq(query_id, text, year)``; ``prefix`` adds CTEs first."""
     ws = _lit(T.WHITESPACE)
     limit = top_k * 5
     k = top_k * 3
     yq = "year" if year else "CAST(NULL AS INTEGER) AS year"
     kw = f"array_to_string(list_filter({distinct_ordered(tokens('text'))}, lambda t: length(t) >= 4), ' ')"
-    return f"""WITH {PAGE_ROWS}, {INDEX}, {QUESTIONS},
-hq AS (SELECT query_id, original AS text, {yq} FROM questions_v WHERE original IS NOT NULL),
+    hq = hq or f"hq AS (SELECT query_id, original AS text, {yq} FROM questions_v WHERE original IS NOT NULL)"
+    return f"""WITH {PAGE_ROWS}, {INDEX}, {QUESTIONS}, {TURNS}, {prefix}
+{hq},
 resp AS (
   SELECT query_id, text, year,
          concat_ws(chr(10), {kw}, lower(regexp_replace(text, {ws}, ' ', 'g')),
@@ -164,7 +166,7 @@ dl AS (SELECT query_id, year, {distinct_ordered('l')} AS l2 FROM lines),
 variants AS (
   SELECT query_id, year, unnest(l2) AS variant_text, CAST(unnest(range(0, len(l2))) AS INTEGER) AS variant_no
   FROM dl),
-vk AS (SELECT query_id * 1000 + variant_no AS vkey, * FROM variants),
+vk AS (SELECT CAST(query_id AS VARCHAR) || '#' || CAST(variant_no AS VARCHAR) AS vkey, * FROM variants),
 {embedding('vk', 'vkey', 'variant_text', 'qemb')},
 live AS (SELECT * FROM vk WHERE vkey IN (SELECT id FROM qemb)),
 {bm25_hits('live', 'query_id, variant_no', 'variant_text', 'year')},
@@ -215,6 +217,7 @@ reranked AS (
         "fused": "SELECT query_id, corpus_id, round(rrf_score, 6) AS rrf_score, fused_rank FROM fused",
         "rerank": f"""SELECT query_id, rank, corpus_id, round(rerank_score, 4) AS rerank_score, fused_rank
 FROM reranked WHERE rank <= {top_k}""",
+        "none": "",
         "final": f"""SELECT query_id, rank, corpus_id, source, markdown_content, round(rerank_score, 4) AS rerank_score,
        round(rrf_score, 6) AS rrf_score, fused_rank
 FROM reranked WHERE rank <= {top_k}""",

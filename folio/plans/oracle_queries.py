@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from folio.operators import answers as A
 from folio.plans import oracle as O
 
 SQL: dict[str, str] = {}
@@ -207,3 +208,97 @@ SELECT row_id,
             ELSE coalesce(reasoning, '') END AS reasoning,
        CAST(CASE WHEN acc IN (0, 2, 4) THEN acc ELSE 0 END AS INTEGER) AS answer_accuracy
 FROM p"""
+
+
+def _ctx_sql(ret: str, keys: str) -> str:
+    """CTE ``ctx(query_id, context)`` from retrieved rows ``ret`` for the keys of ``keys``."""
+    return f"""
+ctx0 AS (SELECT query_id, string_agg('[' || CAST(rank AS VARCHAR) || '] ' || source || chr(10) || markdown_content,
+                                     chr(10) || chr(10) ORDER BY rank) AS context
+         FROM {ret} GROUP BY query_id),
+ctx AS (SELECT k.query_id, coalesce(c.context, {O._lit(A.NO_CONTEXT)}) AS context
+        FROM {keys} k LEFT JOIN ctx0 c ON k.query_id = c.query_id)"""
+
+
+SQL["assemble_context"] = O.hybrid(3, True, "none") + f""",
+ret AS (SELECT * FROM reranked WHERE rank <= 3), {_ctx_sql('ret', 'hq')}
+SELECT query_id, context FROM ctx"""
+
+
+def _answer_sql(src: str) -> str:
+    """CTEs ending in ``ans(query_id, is_financial, route, year, prompt, logic_steps,
+    generated_response, summary_sources, sources)`` for questions ``src(query_id, text)``."""
+    hq = f"""aq AS (SELECT query_id, text, {O.year_of('text')} AS year, {O.route_cols('text')} FROM {src}),
+hq AS (SELECT query_id, text, year FROM aq WHERE route = 'retrieve')"""
+    persona = (f"CASE WHEN coalesce(is_financial, false) THEN {O._lit(A.PERSONA_FINANCIAL)} "
+               f"ELSE {O._lit(A.PERSONA_GENERAL)} END")
+    return O.hybrid(3, True, "none", hq=hq) + f""",
+ret AS (SELECT * FROM reranked WHERE rank <= 3), {_ctx_sql('ret', 'hq')},
+pg AS (SELECT query_id, list(struct_pack(rank := rank, source := source, c := markdown_content) ORDER BY rank) AS pages
+       FROM ret GROUP BY query_id),
+j AS (SELECT a.*, c.context, p.pages FROM aq a LEFT JOIN ctx c ON a.query_id = c.query_id
+      LEFT JOIN pg p ON a.query_id = p.query_id),
+ans AS (
+  SELECT query_id, is_financial, route, year,
+         {persona} || chr(10) || chr(10) || 'Context:' || chr(10)
+           || CASE WHEN route = 'retrieve' THEN context ELSE 'Human: ' || coalesce(text, '') END
+           || chr(10) || chr(10) || 'Question: ' || coalesce(text, '') || chr(10) || 'Rephrased question: '
+           || coalesce(text, '') AS prompt,
+         CASE WHEN text IS NULL THEN 'Error'
+              WHEN route = 'retrieve' AND pages IS NOT NULL
+                THEN 'Answered from the best of ' || CAST(len(pages) AS VARCHAR) || ' retrieved pages: ' || pages[1].source
+              WHEN route = 'retrieve' THEN 'No page passed the search.'
+              ELSE 'Answered from the dialogue.' END AS logic_steps,
+         CASE WHEN text IS NULL THEN 'Error'
+              WHEN route = 'retrieve' AND pages IS NOT NULL THEN {O.first_sentence('pages[1].c')}
+              WHEN route = 'retrieve' THEN {O._lit(A.NO_CONTEXT)}
+              ELSE {O.first_sentence('text')} END AS generated_response,
+         CASE WHEN text IS NULL THEN 'Error'
+              WHEN route = 'retrieve' AND pages IS NOT NULL
+                THEN array_to_string(list_transform(pages, lambda p: p.source), '; ')
+              WHEN route = 'retrieve' THEN ''
+              ELSE 'dialogue' END AS summary_sources,
+         CASE WHEN text IS NULL THEN ['Error']
+              WHEN route = 'retrieve' AND pages IS NOT NULL THEN list_transform(pages, lambda p: p.source)
+              WHEN route = 'retrieve' THEN CAST([] AS VARCHAR[])
+              ELSE ['dialogue'] END AS sources
+  FROM j)"""
+
+
+SQL["prompt_rows"] = "WITH " + _answer_sql("pq").replace("WITH ", "WITH pq AS (SELECT item_id AS query_id, text FROM benchmark), ", 1)[5:] + """
+SELECT query_id, is_financial, route, year, prompt FROM ans"""
+
+_GEN = "WITH " + _answer_sql("tq")[5:].replace(
+    f"{O.TURNS}, ", f"{O.TURNS}, tq AS (SELECT DISTINCT query_text AS query_id, query_text AS text FROM testset_v "
+    "WHERE query_text IS NOT NULL), ", 1) + """,
+gen AS (
+  SELECT t.query_id, t.difficulty, t.query_text, t.answer,
+         coalesce(a.logic_steps, 'Error') AS logic_steps, coalesce(a.generated_response, 'Error') AS generated_response,
+         coalesce(a.summary_sources, 'Error') AS summary_sources, coalesce(a.sources, ['Error']) AS sources
+  FROM testset_v t LEFT JOIN ans a ON t.query_text = a.query_id)"""
+
+SQL["generate_answers"] = _GEN + "\nSELECT * FROM gen"
+
+_JUDGED = _GEN + f""",
+jg0 AS (SELECT *, list_distinct({O.tokens('answer')}) AS ref, {O.tokens('generated_response')} AS rt FROM gen),
+jg1 AS (SELECT *, CASE WHEN len(ref) > 0 THEN
+          CAST(len(list_filter(ref, lambda t: list_contains(rt, t))) AS DOUBLE) / len(ref) END AS share FROM jg0),
+judged AS (
+  SELECT query_id, difficulty, query_text, answer, logic_steps, generated_response, summary_sources, sources,
+         'reference tokens found: ' || coalesce(CAST(CAST(round(share * 100) AS INTEGER) AS VARCHAR), 'n/a') || '%'
+           AS reasoning,
+         CAST(CASE WHEN share >= 1.0 THEN 4 WHEN share >= 0.5 THEN 2 ELSE 0 END AS INTEGER) AS answer_accuracy,
+         {O._lit(A.JUDGE_MODEL)} AS model
+  FROM jg1)"""
+
+SQL["judge_answers"] = _JUDGED + "\nSELECT * FROM judged"
+
+_STORED = _JUDGED + """
+SELECT query_id, difficulty, query_text, answer, generated_response, reasoning, answer_accuracy, model,
+       logic_steps, summary_sources, sources
+FROM judged WHERE query_id IS NOT NULL AND difficulty IS NOT NULL AND query_text IS NOT NULL AND answer IS NOT NULL
+  AND generated_response IS NOT NULL AND reasoning IS NOT NULL AND answer_accuracy IN (0, 2, 4)
+  AND model IS NOT NULL AND logic_steps IS NOT NULL AND summary_sources IS NOT NULL AND sources IS NOT NULL"""
+
+SQL["store_evaluation"] = _STORED
+SQL["evaluation_run"] = _STORED
