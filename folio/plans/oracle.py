@@ -72,9 +72,9 @@ pages_v AS (
 
 QUESTIONS = """
 questions_v AS (
-  SELECT item_id AS query_id, text AS original, lower(text) AS rephrase_level_1,
+  SELECT item_id AS query_id, text AS original, lower(text) || ' in the annual report' AS rephrase_level_1,
          regexp_replace(text, '[.,;:!?]', '', 'g') AS rephrase_level_2,
-         CASE WHEN item_id % 5 <> 0 THEN text || ' Explain briefly.' END AS rephrase_level_3,
+         CASE WHEN item_id % 5 <> 0 THEN text || ' Which report says so?' END AS rephrase_level_3,
          CASE WHEN item_id % 2 = 0 THEN CAST(2000 + item_id % 24 AS INTEGER) END AS year
   FROM benchmark),
 answers_v AS (

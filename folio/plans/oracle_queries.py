@@ -265,8 +265,6 @@ ans AS (
   FROM j)"""
 
 
-SQL["prompt_rows"] = "WITH " + _answer_sql("pq").replace("WITH ", "WITH pq AS (SELECT item_id AS query_id, text FROM benchmark), ", 1)[5:] + """
-SELECT query_id, is_financial, route, year, prompt FROM ans"""
 
 _GEN = "WITH " + _answer_sql("tq")[5:].replace(
     f"{O.TURNS}, ", f"{O.TURNS}, tq AS (SELECT DISTINCT query_text AS query_id, query_text AS text FROM testset_v "
@@ -302,3 +300,16 @@ FROM judged WHERE query_id IS NOT NULL AND difficulty IS NOT NULL AND query_text
 
 SQL["store_evaluation"] = _STORED
 SQL["evaluation_run"] = _STORED
+
+SQL["prompt_rows"] = _GEN + """
+SELECT query_id, is_financial, route, year, prompt FROM ans"""
+
+SQL["stream_ingest"] = f"""WITH {O.PAGE_ROWS}
+SELECT * FROM pages_v"""
+
+SQL["stream_thread_state"] = SQL["sticky_year"]
+
+SQL["stream_embed"] = f"""WITH {O.PAGE_ROWS}, {O.embedding('pages_v', 'corpus_id', 'markdown_content', 'emb')},
+n AS (SELECT id, CAST(count(*) AS BIGINT) AS n_entries FROM emb GROUP BY id)
+SELECT p.corpus_id AS id, n.n_entries, p.probable_referenced_years AS years
+FROM pages_v p JOIN n ON p.corpus_id = n.id"""

@@ -403,7 +403,8 @@ def assemble_context(spark: SparkSession, base: str) -> DataFrame:
 def prompt_rows(spark: SparkSession, base: str) -> DataFrame:
     """P15 + P16 + W4: persona, context (retrieved or dialogue) and question per question."""
     index, points, pages = _hybrid_inputs(spark, base)
-    qs = fixtures.questions(spark, base).select("query_id", F.col("original").alias("text"))
+    qs = _testset(spark, base).where(F.col("query_text").isNotNull()).select(
+        F.col("query_text").alias("query_id"), F.col("query_text").alias("text")).distinct()
     out = answers.answer_questions(qs, index, points, pages, "query_id", "text", TOOL_TOP_K)
     return out.select("query_id", "is_financial", "route", "year", "prompt")
 
@@ -470,4 +471,51 @@ def enrich_pages(spark: SparkSession, base: str) -> DataFrame:
     return out
 
 
+# ---------------------------------------------------------------- streaming
+
+
+@register("stream_ingest")
+def stream_ingest(spark: SparkSession, base: str) -> DataFrame:
+    """Corpus files arriving one per trigger (plus a re-delivery of stored pages) →
+    skip-existing → OCR → validate → append; returns the page table."""
+    from folio import schemas
+    from folio.streaming import jobs
+
+    root = new_path(spark, "stream-ingest")
+    corpus = fixtures.corpus(spark, base).drop("markdown_content")
+    corpus.repartitionByRange(4, "corpus_id").write.parquet(f"{root}/in")
+    corpus.where(F.col("corpus_id") % 3 == 0).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    jobs.ingest_stream(spark, f"{root}/in", schemas.CORPUS, f"{root}/out", f"{root}/checkpoint")
+    return spark.read.parquet(f"{root}/out/pages").drop("batch")
+
+
+@register("stream_thread_state")
+def stream_thread_state(spark: SparkSession, base: str) -> DataFrame:
+    """T2 + W6: turns arriving in four files (turn pairs, rows shuffled) folded per thread
+    with bounded state; equals the batch sticky-year fold."""
+    from folio.streaming import jobs
+
+    root = new_path(spark, "stream-threads")
+    t = fixtures.turns(spark, base)
+    for g in range(4):
+        t.where(F.floor(F.col("turn") / 2) == g).orderBy(F.rand(7)).coalesce(1).write.mode("append").parquet(
+            f"{root}/in")
+    jobs.thread_state_stream(spark, f"{root}/in", t.schema, f"{root}/out", f"{root}/checkpoint")
+    return spark.read.parquet(f"{root}/out").select("thread_id", "turn", "action", "year")
+
+
+@register("stream_embed")
+def stream_embed(spark: SparkSession, base: str) -> DataFrame:
+    """Stored page files arriving one per trigger → embed pages not yet in the vector
+    table → append points."""
+    from folio.streaming import jobs
+
+    root = new_path(spark, "stream-embed")
+    pages = catalog.stored_pages(spark, base)
+    pages.repartition(4, "corpus_id").write.parquet(f"{root}/in")
+    jobs.embed_stream(spark, f"{root}/in", pages.schema, f"{root}/out", f"{root}/checkpoint")
+    pts = spark.read.parquet(f"{root}/out")
+    return pts.select("id", F.size("v_idx").cast("bigint").alias("n_entries"), "years")
+
+
 FLAGSHIP = "hybrid_retrieve"

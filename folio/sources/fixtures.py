@@ -68,14 +68,17 @@ def vectors(spark: SparkSession, base: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, base: str) -> DataFrame:
-    """Question set from ``benchmark``: original text and three rephrasings, plus a year."""
+    """Question set from ``benchmark``: original text and three rephrasings, plus a year.
+
+    Two rephrasings mention a report, so the router sends them to retrieval while the other
+    two are answered from the dialogue."""
     b = table(spark, base, "benchmark")
     return b.select(
         F.col("item_id").alias("query_id"),
         F.col("text").alias("original"),
-        F.lower("text").alias("rephrase_level_1"),
+        F.concat(F.lower("text"), F.lit(" in the annual report")).alias("rephrase_level_1"),
         F.regexp_replace("text", r"[.,;:!?]", "").alias("rephrase_level_2"),
-        F.when(F.col("item_id") % LEVEL3_NULL_EVERY != 0, F.concat(F.col("text"), F.lit(" Explain briefly."))).alias(
+        F.when(F.col("item_id") % LEVEL3_NULL_EVERY != 0, F.concat(F.col("text"), F.lit(" Which report says so?"))).alias(
             "rephrase_level_3"
         ),
         F.when(F.col("item_id") % 2 == 0, (YEAR_BASE + F.col("item_id") % YEAR_SPAN).cast("int")).alias("year"),
