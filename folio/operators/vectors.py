@@ -184,13 +184,19 @@ def _blocked_topk(queries, points, keys, qc, pc, k, self_col, year_col, years_co
     nv = max(1, math.ceil(points.count() / block_rows))
     qcols = list(dict.fromkeys(keys + qc.columns() + [c for c in (self_col, year_col) if c]))
     pcols = list(dict.fromkeys([id_col] + pc.columns() + ([years_col] if years_col else [])))
-    q2 = queries.select(*qcols).withColumn("_qb", F.pmod(F.xxhash64(*keys), F.lit(nq))).withColumn(
+    # Fresh aliases on both sides: when queries and points come from the same frame they share
+    # attribute ids, and the co-group would otherwise lose columns of one side to pruning.
+    q2 = queries.select(*[F.col(c).alias(c) for c in qcols]).withColumn("_qb", F.pmod(F.xxhash64(*keys), F.lit(nq))).withColumn(
         "_vb", F.explode(F.sequence(F.lit(0), F.lit(nv - 1)).cast("array<bigint>")))
-    p2 = points.select(*pcols).withColumn("_vb", F.pmod(F.xxhash64(id_col), F.lit(nv))).withColumn(
+    p2 = points.select(*[F.col(c).alias(c) for c in pcols]).withColumn("_vb", F.pmod(F.xxhash64(id_col), F.lit(nv))).withColumn(
         "_qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)).cast("array<bigint>")))
     schema = _out_schema(queries, keys)
 
+    empty = pd.DataFrame({f.name: pd.Series(dtype="object") for f in schema.fields})
+
     def run(qpdf: pd.DataFrame, ppdf: pd.DataFrame) -> pd.DataFrame:
+        if len(qpdf) == 0 or len(ppdf) == 0:  # one side of the block pair has no rows
+            return empty
         q, q_ok, q_self, q_year = _query_arrays(qpdf, qc, self_col, year_col)
         qi, pid, sc = _score_block(q, q_ok, q_self, q_year, ppdf, pc, id_col, years_col, k)
         qi, pid, sc = _prune(qi, pid, sc, k)
