@@ -295,3 +295,89 @@ def upsert(base: DataFrame, updates: DataFrame, key: str = "id", order_col: str
     else:
         updates = updates.dropDuplicates([key])
     return base.join(updates.select(key), key, "left_anti").unionByName(updates)
+
+
+# ---------------------------------------------------------------- approximate top-k
+
+MAX_CENTROIDS = 65_536
+
+
+def _unit(vec: Column) -> Column:
+    norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x * x))
+    return F.transform(vec, lambda x: x.cast("double") / norm)
+
+
+def ivf_topk(queries: DataFrame, points: DataFrame, keys: list[str], k: int = 10, *, vector_col: str = "vector",
+             id_col: str = "id", exclude_self_col: str | None = None, n_lists: int | None = None,
+             n_probe: int = 3, block_rows: int = BLOCK_ROWS, seed: int = 7, max_iter: int = 10) -> DataFrame:
+    """Approximate cosine top-``k`` with an inverted-file index: ``(keys..., rank, id, score)``.
+
+    Points are clustered by k-means on unit vectors (Spark ML, distributed); each query
+    searches only the ``n_probe`` lists with the nearest centroids.  Inside a list the exact
+    block kernel scores (query block × point block) pairs, and a list larger than
+    ``block_rows`` is split into several point blocks, so a hot list is still spread over
+    tasks.  Scores are exact cosines; only recall is approximate.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    spark = queries.sparkSession
+    pts = points.where(F.col(vector_col).isNotNull() & (F.size(vector_col) > 0)).select(
+        F.col(id_col).alias(id_col), _unit(F.col(vector_col)).alias("_u"))
+    n_points = pts.count()
+    n_lists = n_lists or max(1, int(math.sqrt(max(n_points, 1))))
+    if n_lists > MAX_CENTROIDS:
+        raise ValueError(f"{n_lists} lists exceed the centroid bound {MAX_CENTROIDS}")
+    model = KMeans(k=n_lists, seed=seed, maxIter=max_iter, featuresCol="_f", predictionCol="_list").fit(
+        pts.select(array_to_vector("_u").alias("_f")))
+    centroids = np.vstack(model.clusterCenters())
+    centroids /= np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
+    bc = spark.sparkContext.broadcast(centroids)
+    assigned = model.transform(pts.withColumn("_f", array_to_vector("_u"))).select(
+        id_col, F.col("_u").alias("vector"), F.col("_list").cast("long").alias("_list"))
+    sizes = assigned.groupBy("_list").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_list", F.greatest(F.lit(1), F.ceil(F.col("_n") / block_rows)).cast("long").alias("_nb"))
+
+    qcols = list(dict.fromkeys(keys + [vector_col] + ([exclude_self_col] if exclude_self_col else [])))
+    q = queries.where(F.col(vector_col).isNotNull()).select(*[F.col(c).alias(c) for c in qcols])
+    probe_schema = T.StructType(list(q.schema.fields) + [T.StructField("_list", T.LongType())])
+    n_probe = min(n_probe, n_lists)
+
+    def probe(batches):
+        cm = bc.value
+        for pdf in batches:
+            m, ok = _matrix(pdf, DENSE if vector_col == "vector" else VecCols(vector=vector_col))
+            s = m @ cm.T
+            near = np.argsort(-s, axis=1)[:, :n_probe]
+            rep = pdf.loc[pdf.index.repeat(n_probe)].reset_index(drop=True)
+            rep["_list"] = near.reshape(-1).astype(np.int64)
+            yield rep[ok.repeat(n_probe)]
+
+    probed = q.mapInPandas(probe, probe_schema).join(F.broadcast(sizes), "_list")
+    probed = probed.withColumn("_vb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1))).drop("_nb")
+    pblocks = assigned.join(F.broadcast(sizes), "_list").withColumn(
+        "_vb", F.pmod(F.xxhash64(id_col), F.col("_nb"))).drop("_nb")
+    qc = VecCols(vector=vector_col)
+    schema = _out_schema(queries, keys)
+    empty = pd.DataFrame({f.name: pd.Series(dtype="object") for f in schema.fields})
+
+    def run(qpdf: pd.DataFrame, ppdf: pd.DataFrame) -> pd.DataFrame:
+        if len(qpdf) == 0 or len(ppdf) == 0:
+            return empty
+        qm, q_ok, q_self, _ = _query_arrays(qpdf, qc, exclude_self_col, None)
+        qi, pid, sc = _score_block(qm, q_ok, q_self, None, ppdf, DENSE, id_col, None, k)
+        qi, pid, sc = _prune(qi, pid, sc, k)
+        out = qpdf[keys].iloc[qi].reset_index(drop=True)
+        out["id"] = pid
+        out["score"] = sc
+        return out
+
+    cands = probed.groupBy("_list", "_vb").cogroup(pblocks.groupBy("_list", "_vb")).applyInPandas(run, schema)
+    return rank_top(cands, keys, k, id_col="id").select(*keys, "rank", "id", "score")
+
+
+def recall_at_k(approx: DataFrame, exact: DataFrame, keys: list[str]) -> float:
+    """Mean share of the exact top-k ids that the approximate result also returns."""
+    hit = exact.select(*keys, "id").join(approx.select(*keys, "id").withColumn("_hit", F.lit(1)), keys + ["id"], "left")
+    per_q = hit.groupBy(*keys).agg(F.avg(F.coalesce(F.col("_hit"), F.lit(0))).alias("r"))
+    return float(per_q.agg(F.avg("r")).first()[0] or 0.0)

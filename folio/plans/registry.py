@@ -189,6 +189,14 @@ def vector_topk_filtered(spark: SparkSession, base: str) -> DataFrame:
     return hits.select("query_id", "rank", "id", F.round("score", 4).alias("score"))
 
 
+@register("vector_topk_lsh")
+def vector_topk_lsh(spark: SparkSession, base: str) -> DataFrame:
+    """Approximate cosine top-10 of every vector (inverted lists from k-means, 8 probed)."""
+    hits = vectors.ivf_topk(_vector_queries(spark, base), fixtures.vectors(spark, base), ["query_id"], 10,
+                            exclude_self_col="self_id", n_probe=8)
+    return hits.select("query_id", "rank", "id", F.round("score", 4).alias("score"))
+
+
 # The payload filters exercised by the filter queries.
 PAYLOAD_FILTER = {"label": 1, "years": 2010}
 TEXT_FILTER = {"probable_referenced_years": "2013", "doc_id": "ignored by full-text search"}
