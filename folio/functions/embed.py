@@ -24,7 +24,7 @@ def hashed_embedding(rows: DataFrame, keys: list[str], text_col: str, dim: int =
     """
     pieces = token_pieces(F.col(text_col))
     counts = (
-        rows.select(*keys, F.explode(pieces).alias("term"))
+        rows.select(*keys, F.explode_outer(pieces).alias("term"))
         .where(F.col("term") != "")
         .select(*keys, hash_bucket(F.col("term"), dim).alias("bucket"))
         .groupBy(*keys, "bucket")

@@ -42,15 +42,11 @@ HTML_ENTITIES = [
 ]
 
 # Cleaning steps: (pattern, replacement) applied in order by ``clean_text``.  Script and style
-# bodies go first because scripts may hold tag-like strings such as "</p>".
+# bodies and comments go first because scripts may hold tag-like strings such as "</p>".
 _CLEAN_STEPS = [
-    (r"(?is)<script\b.*?</script\s*>", " "),
-    (r"(?is)<style\b.*?</style\s*>", " "),
-    (r"(?s)<!--.*?-->", " "),
-    (r"!\[([^\]]*)\]\([^)]*\)", "$1"),
-    (r"\[([^\]]*)\]\([^)]*\)", "$1"),
-    (r"(?m)^[ \t]{0,3}#{1,6}[ \t]*", ""),
-    (r"\*\*|__|`", ""),
+    (r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", " "),
+    (r"!?\[([^\]]*)\]\([^)]*\)", "$1"),
+    (r"(?m)^[ \t]{0,3}#{1,6}[ \t]*|\*\*|__|`", ""),
     (r"<[A-Za-z/!][^>]*>", " "),
 ]
 WHITESPACE = r"[ \t\n\r\f]+"
@@ -71,8 +67,10 @@ def clean_text(text: Column, collapse_whitespace: bool = True) -> Column:
     out = text
     for pattern, repl in _CLEAN_STEPS:
         out = F.regexp_replace(out, pattern, repl)
+    decoded = out
     for entity, char in HTML_ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
+        decoded = F.replace(decoded, F.lit(entity), F.lit(char))
+    out = F.when(F.instr(out, "&") > 0, decoded).otherwise(out)
     if collapse_whitespace:
         out = F.trim(F.regexp_replace(out, WHITESPACE, " "))
     return out

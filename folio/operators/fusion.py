@@ -59,8 +59,18 @@ def candidate_lists(variants: DataFrame, index: TextIndex, points: DataFrame, to
     limit = top_k * CANDIDATE_FACTOR
     qv = hashed_embedding(variants, keys, "variant_text", dim)
     live = materialize(variants.join(qv, keys), "variants")
-    text_hits = bm25_topk(index, live, keys, "variant_text", limit, year_col).select(
-        *keys, F.lit("bm25").alias("source"), (F.col("rank") - 1).alias("rank0"), "corpus_id", "score")
+    # Variants with the same token set (and year) have the same BM25 list: search each once.
+    tkey = F.array_join(F.array_sort(F.array_distinct(tokens(F.col("variant_text")))), " ")
+    years = [year_col] if year_col else []
+    keyed = live.select(*keys, *years, tkey.alias("_tk"))
+    distinct_q = keyed.select("_tk", *years).distinct()
+    ranked = bm25_topk(index, distinct_q, ["_tk", *years], "_tk", limit, year_col)
+    cond = keyed["_tk"] == ranked["_tk"]
+    if year_col:
+        cond = cond & keyed[year_col].eqNullSafe(ranked[year_col])
+    text_hits = keyed.join(ranked, cond).select(
+        *[keyed[k] for k in keys], F.lit("bm25").alias("source"), (F.col("rank") - 1).alias("rank0"),
+        "corpus_id", "score")
     vec_hits = vector_topk(
         live, points, keys, limit, query_vec=sparse(dim), point_vec=sparse(dim),
         query_year_col=year_col, point_years_col="years" if year_col else None,

@@ -16,7 +16,7 @@ from folio.functions.embed import DEFAULT_DIM, hashed_embedding
 from folio.operators import ingest
 from folio.operators.bm25 import TextIndex, build_index
 from folio.operators.passages import containment_pairs
-from folio.session import materialize
+from folio.session import materialize, spread
 from folio.sources import fixtures
 from folio.sources.tables import table
 
@@ -48,7 +48,7 @@ def page_index(spark: SparkSession, base: str) -> TextIndex:
 
 def document_index(spark: SparkSession, base: str) -> TextIndex:
     """Full-text index over the raw ``documents.text`` (used to find passages)."""
-    docs = table(spark, base, "documents").select(F.col("doc_id").alias("corpus_id"), "text")
+    docs = spread(table(spark, base, "documents"), "doc_id").select(F.col("doc_id").alias("corpus_id"), "text")
     return _cached(spark, base, "doc-index",
                    lambda: build_index(docs, text_col="text", years_col=None))
 

@@ -15,7 +15,7 @@ from folio.functions.enrich import enrich, ocr_stand_in
 from folio.functions.text import mentioned_year
 from folio.operators import answers, bm25, conversation, evaluation, fusion, ingest, testset, vectors
 from folio.plans import catalog
-from folio.session import new_path
+from folio.session import new_path, spread
 from folio.sources import fixtures
 from folio.sources.tables import read_corpus, table
 
@@ -102,7 +102,8 @@ def first_n(spark: SparkSession, base: str) -> DataFrame:
 @register("clean_text")
 def clean_text_q(spark: SparkSession, base: str) -> DataFrame:
     """Raw web pages → plain text."""
-    return table(spark, base, "pages").select("page_id", clean_text(F.col("html")).alias("text_content"))
+    pages = spread(table(spark, base, "pages"), "page_id")
+    return pages.select("page_id", clean_text(F.col("html")).alias("text_content"))
 
 
 @register("validate_pages")

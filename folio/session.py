@@ -87,3 +87,16 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     from runtime sizes).
     """
     return F.broadcast(df) if at_most(df, max_rows) else df
+
+
+def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = None) -> DataFrame:
+    """Hash-repartition ``df`` only when it has fewer partitions than the default parallelism.
+
+    A scan of few large row groups (one per file) gives a single busy task however many
+    splits it has; CPU-heavy text work after it would run on one core.  On a cluster, scans
+    of large tables already have thousands of partitions and this is a no-op.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key) if key else df.repartition(target)

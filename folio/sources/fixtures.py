@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.session import spread
 from folio.sources.tables import table
 
 # The fixture rules (see FIXTURES.md).
@@ -28,7 +29,7 @@ def corpus(spark: SparkSession, base: str) -> DataFrame:
 
     The page "image" is the UTF-8 text of the document; the OCR stand-in decodes it.
     """
-    d = table(spark, base, "documents")
+    d = spread(table(spark, base, "documents"), "doc_id")
     year_part = F.when(F.col("doc_id") % BAD_YEAR_EVERY == 0, F.lit("draft")).otherwise(
         (YEAR_BASE + F.col("doc_id") % YEAR_SPAN).cast("string")
     )
