@@ -22,7 +22,7 @@ CANDIDATE_FACTOR = 5
 FUSION_FACTOR = 3
 MIN_KEYWORD_LENGTH = 4
 
-MAX_BROADCAST_CANDIDATES = 5_000_000
+MAX_BROADCAST_CANDIDATES = 1_000_000
 
 
 def default_variant_response(text: Column) -> Column:

@@ -16,7 +16,7 @@ from folio.functions.text import tokens
 from folio.operators.bm25 import TextIndex
 from folio.session import bounded_broadcast
 
-MAX_BROADCAST_CANDIDATES = 5_000_000
+MAX_BROADCAST_CANDIDATES = 1_000_000
 
 
 def containment_pairs(passages: DataFrame, docs: DataFrame, index: TextIndex,
