@@ -143,6 +143,11 @@ def _out_schema(queries: DataFrame, keys: list[str]) -> T.StructType:
     return T.StructType(fields + [T.StructField("id", T.LongType()), T.StructField("score", T.DoubleType())])
 
 
+def _empty_frame(schema: T.StructType) -> pd.DataFrame:
+    kinds = {T.LongType: "int64", T.IntegerType: "int32", T.DoubleType: "float64"}
+    return pd.DataFrame({f.name: pd.Series(dtype=kinds.get(type(f.dataType), "object")) for f in schema.fields})
+
+
 def _query_arrays(qpdf: pd.DataFrame, qc: VecCols, self_col: str | None, year_col: str | None):
     q, q_ok = _matrix(qpdf, qc)
     q_self = qpdf[self_col].to_numpy(dtype=np.int64) if self_col else None
@@ -192,7 +197,7 @@ def _blocked_topk(queries, points, keys, qc, pc, k, self_col, year_col, years_co
         "_qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)).cast("array<bigint>")))
     schema = _out_schema(queries, keys)
 
-    empty = pd.DataFrame({f.name: pd.Series(dtype="object") for f in schema.fields})
+    empty = _empty_frame(schema)
 
     def run(qpdf: pd.DataFrame, ppdf: pd.DataFrame) -> pd.DataFrame:
         if len(qpdf) == 0 or len(ppdf) == 0:  # one side of the block pair has no rows
@@ -359,7 +364,7 @@ def ivf_topk(queries: DataFrame, points: DataFrame, keys: list[str], k: int = 10
         "_vb", F.pmod(F.xxhash64(id_col), F.col("_nb"))).drop("_nb")
     qc = VecCols(vector=vector_col)
     schema = _out_schema(queries, keys)
-    empty = pd.DataFrame({f.name: pd.Series(dtype="object") for f in schema.fields})
+    empty = _empty_frame(schema)
 
     def run(qpdf: pd.DataFrame, ppdf: pd.DataFrame) -> pd.DataFrame:
         if len(qpdf) == 0 or len(ppdf) == 0:

@@ -155,7 +155,8 @@ def _question_queries(spark: SparkSession, base: str) -> DataFrame:
 def bm25_topk(spark: SparkSession, base: str) -> DataFrame:
     """BM25 top-10 of every question over the page store."""
     hits = bm25.bm25_topk(catalog.page_index(spark, base), _question_queries(spark, base), ["query_id"], limit=10)
-    return hits.select("query_id", "rank", "corpus_id", F.round("score", 4).alias("score"))
+    return hits.select("query_id", F.col("rank").cast("bigint").alias("rank"), "corpus_id",
+                       F.round("score", 4).alias("score"))
 
 
 @register("bm25_topk_year")
@@ -163,7 +164,8 @@ def bm25_topk_year(spark: SparkSession, base: str) -> DataFrame:
     """R1 + P10: BM25 top-10 with each question's year filter applied before ranking."""
     hits = bm25.bm25_topk(catalog.page_index(spark, base), _question_queries(spark, base), ["query_id"],
                           limit=10, year_col="year")
-    return hits.select("query_id", "rank", "corpus_id", F.round("score", 4).alias("score"))
+    return hits.select("query_id", F.col("rank").cast("bigint").alias("rank"), "corpus_id",
+                       F.round("score", 4).alias("score"))
 
 
 # ---------------------------------------------------------------- vectors
@@ -179,7 +181,7 @@ def vector_topk(spark: SparkSession, base: str) -> DataFrame:
     """R2 + J5: cosine top-10 of every vector against all others (self excluded)."""
     hits = vectors.vector_topk(_vector_queries(spark, base), fixtures.vectors(spark, base), ["query_id"], 10,
                                exclude_self_col="self_id")
-    return hits.select("query_id", "rank", "id", F.round("score", 4).alias("score"))
+    return hits.select("query_id", F.col("rank").cast("bigint").alias("rank"), "id", F.round("score", 4).alias("score"))
 
 
 @register("vector_topk_filtered")
@@ -187,7 +189,7 @@ def vector_topk_filtered(spark: SparkSession, base: str) -> DataFrame:
     """R2 + P9: cosine top-10 with each query's year filter applied before the cut."""
     hits = vectors.vector_topk(_vector_queries(spark, base), fixtures.vectors(spark, base), ["query_id"], 10,
                                exclude_self_col="self_id", query_year_col="query_year", point_years_col="years")
-    return hits.select("query_id", "rank", "id", F.round("score", 4).alias("score"))
+    return hits.select("query_id", F.col("rank").cast("bigint").alias("rank"), "id", F.round("score", 4).alias("score"))
 
 
 @register("vector_topk_lsh")
@@ -195,7 +197,7 @@ def vector_topk_lsh(spark: SparkSession, base: str) -> DataFrame:
     """Approximate cosine top-10 of every vector (inverted lists from k-means, 8 probed)."""
     hits = vectors.ivf_topk(_vector_queries(spark, base), fixtures.vectors(spark, base), ["query_id"], 10,
                             exclude_self_col="self_id", n_probe=8)
-    return hits.select("query_id", "rank", "id", F.round("score", 4).alias("score"))
+    return hits.select("query_id", F.col("rank").cast("bigint").alias("rank"), "id", F.round("score", 4).alias("score"))
 
 
 # The payload filters exercised by the filter queries.
@@ -302,7 +304,7 @@ def _fused(spark: SparkSession, base: str) -> DataFrame:
 def rrf_fuse(spark: SparkSession, base: str) -> DataFrame:
     """R6 + A3 + W7: reciprocal-rank fusion of all lists of a question."""
     return _fused(spark, base).select("query_id", "corpus_id", F.round("rrf_score", 6).alias("rrf_score"),
-                                      F.col("fused_rank").cast("int").alias("fused_rank"))
+                                      F.col("fused_rank").cast("bigint").alias("fused_rank"))
 
 
 @register("rerank")
