@@ -111,10 +111,22 @@ def rerank(fused: DataFrame, queries: DataFrame, pages: DataFrame, top_k: int, k
         key, "rank", "corpus_id", "source", content_col, "rerank_score", "rrf_score", "fused_rank")
 
 
+YEAR_KEY = "probable_referenced_years"
+
+
 def hybrid_retrieve(queries: DataFrame, index: TextIndex, points: DataFrame, pages: DataFrame,
                     top_k: int = 5, year_col: str | None = None, key: str = "query_id",
-                    text_col: str = "text", response: Column | None = None) -> DataFrame:
-    """End-to-end retrieval for a table of queries (optionally with a per-query year)."""
+                    text_col: str = "text", response: Column | None = None,
+                    filters: dict | None = None) -> DataFrame:
+    """End-to-end retrieval for a table of queries.
+
+    The year filter is either per query (``year_col``) or one for all queries
+    (``filters={"probable_referenced_years": y}``, coerced to INT; a missing, zero or empty
+    value is no filter).  Both searches apply it before their top-k.
+    """
+    if filters and filters.get(YEAR_KEY) and year_col is None:
+        queries = queries.withColumn("_year", F.lit(str(filters[YEAR_KEY])).try_cast("int"))
+        year_col = "_year"
     extra = [year_col] if year_col else []
     variants = query_variants(queries, key, text_col, response, extra)
     hits = candidate_lists(variants, index, points, top_k, year_col, key=key)

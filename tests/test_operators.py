@@ -272,3 +272,21 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(markdown_content), IsNotNull(corpus_id)]" in plan
     assert "ReadSchema: struct<corpus_id:bigint,markdown_content:string>" in plan
+
+
+def test_hybrid_retrieve_global_year_filter(spark):
+    pages = spark.createDataFrame(
+        [(i, f"d_{2000 + i % 3}", i, f"f{i}.png", [2000 + i % 3], f"alpha beta w{i}", f"alpha beta w{i}")
+         for i in range(12)],
+        "corpus_id long, doc_id string, page int, exact_filename string, probable_referenced_years array<int>, "
+        "markdown_content string, text_content string")
+    from folio.functions.embed import hashed_embedding
+
+    idx = bm25.build_index(pages, persist=False)
+    vecs = hashed_embedding(pages.select(F.col("corpus_id").alias("id"), "markdown_content"), ["id"],
+                            "markdown_content").join(
+        pages.select(F.col("corpus_id").alias("id"), F.col("probable_referenced_years").alias("years")), "id")
+    qs = spark.createDataFrame([(1, "alpha w4")], "query_id long, text string")
+    got = fusion.hybrid_retrieve(qs, idx, vecs, pages, 3, filters={"probable_referenced_years": "2001"})
+    ids = [r["corpus_id"] for r in got.orderBy("rank").collect()]
+    assert ids and ids[0] == 4 and all(i % 3 == 1 for i in ids)
