@@ -11,6 +11,7 @@ from folio import schemas
 from folio.operators import answers as A
 from folio.operators.bm25 import TextIndex
 from folio.operators.ingest import first_n
+from folio.operators.testset import PHRASINGS
 from folio.session import at_most, materialize
 
 log = logging.getLogger(__name__)
@@ -27,10 +28,15 @@ def generate_answers(testset: DataFrame, index: TextIndex, points: DataFrame, pa
     first rows by (query_id, difficulty) — None answers everything.
     """
     rows = first_n(testset, limit, ["query_id", "difficulty", "answer"])
-    texts = rows.where(F.col("query_text").isNotNull()).select(
-        F.col("query_text").alias("qkey"), F.col("query_text").alias("text")).distinct()
-    answered = A.answer_questions(texts, index, points, pages, "qkey", "text", top_k).select("qkey", "answer")
-    j = rows.join(answered, rows["query_text"] == answered["qkey"], "left")
+    # One numeric key per distinct question text: the smallest (question, phrasing) row key
+    # carrying it, so searches join on short keys, not on the text.
+    labels = F.array(*[F.lit(label) for _, label in PHRASINGS])
+    row_key = F.col("query_id") * (len(PHRASINGS) + 1) + F.array_position(labels, F.col("difficulty"))
+    texts = rows.where(F.col("query_text").isNotNull()).groupBy("query_text").agg(
+        F.min(row_key).alias("qkey")).select("qkey", F.col("query_text").alias("text"))
+    answered = A.answer_questions(texts, index, points, pages, "qkey", "text", top_k).join(
+        texts, "qkey").select("text", "answer")
+    j = rows.join(answered, rows["query_text"] == answered["text"], "left")
     ans = F.coalesce(answered["answer"], A._error_answer())
     return j.select("query_id", "difficulty", "query_text", rows["answer"],
                     *[ans[f].alias(f) for f in ANSWER_FIELDS])

@@ -59,18 +59,22 @@ def candidate_lists(variants: DataFrame, index: TextIndex, points: DataFrame, to
     limit = top_k * CANDIDATE_FACTOR
     qv = hashed_embedding(variants, keys, "variant_text", dim)
     live = materialize(variants.join(qv, keys), "variants")
-    # Variants with the same token set (and year) have the same BM25 list: search each once.
+    # Variants with the same token set (and year) have the same BM25 list: each set is searched
+    # once, under the keys of its first variant (short keys, not the text, travel through the
+    # postings join), and the list is joined back to every variant of the set.
     tkey = F.array_join(F.array_sort(F.array_distinct(tokens(F.col("variant_text")))), " ")
     years = [year_col] if year_col else []
     keyed = live.select(*keys, *years, tkey.alias("_tk"))
-    distinct_q = keyed.select("_tk", *years).distinct()
-    ranked = bm25_topk(index, distinct_q, ["_tk", *years], "_tk", limit, year_col)
-    cond = keyed["_tk"] == ranked["_tk"]
+    reps = keyed.groupBy("_tk", *years).agg(F.min(F.struct(*keys)).alias("_rep")).select(
+        "_tk", *years, *[F.col("_rep")[k].alias(f"_r{i}") for i, k in enumerate(keys)])
+    rep_keys = [f"_r{i}" for i in range(len(keys))]
+    ranked = bm25_topk(index, reps, rep_keys, "_tk", limit, year_col).select(*rep_keys, "rank", "corpus_id", "score")
+    cond = keyed["_tk"] == reps["_tk"]
     if year_col:
-        cond = cond & keyed[year_col].eqNullSafe(ranked[year_col])
-    text_hits = keyed.join(ranked, cond).select(
-        *[keyed[k] for k in keys], F.lit("bm25").alias("source"), (F.col("rank") - 1).alias("rank0"),
-        "corpus_id", "score")
+        cond = cond & keyed[year_col].eqNullSafe(reps[year_col])
+    mapping = keyed.join(reps, cond).select(*[keyed[k] for k in keys], *rep_keys)
+    text_hits = mapping.join(ranked, rep_keys).select(
+        *keys, F.lit("bm25").alias("source"), (F.col("rank") - 1).alias("rank0"), "corpus_id", "score")
     vec_hits = vector_topk(
         live, points, keys, limit, query_vec=sparse(dim), point_vec=sparse(dim),
         query_year_col=year_col, point_years_col="years" if year_col else None,
