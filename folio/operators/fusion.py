@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from folio.functions.embed import DEFAULT_DIM, hashed_embedding
 from folio.functions.text import WHITESPACE, tokens
 from folio.operators.bm25 import TextIndex, bm25_topk
-from folio.operators.vectors import sparse, vector_topk
+from folio.operators.vectors import DENSE, sparse, vector_topk
 from folio.session import bounded_broadcast, materialize
 
 # Over-fetch factor of each candidate list and fusion constant factor
@@ -48,16 +48,23 @@ def query_variants(queries: DataFrame, key: str = "query_id", text_col: str = "t
     ).select(key, F.col("variant_no").cast("int").alias("variant_no"), "variant_text", *extra)
 
 
+def _vec_cols(df: DataFrame, dim: int):
+    return DENSE if "vector" in df.columns else sparse(dim)
+
+
 def candidate_lists(variants: DataFrame, index: TextIndex, points: DataFrame, top_k: int,
-                    year_col: str | None = None, dim: int = DEFAULT_DIM, key: str = "query_id") -> DataFrame:
+                    year_col: str | None = None, dim: int = DEFAULT_DIM, key: str = "query_id",
+                    embed=hashed_embedding) -> DataFrame:
     """Every variant × {bm25, vector} ranked list of ``top_k * 5`` pages:
     ``(key, variant_no, source, rank0, corpus_id, score)``.
 
-    A variant whose embedding fails (no token) is dropped from both searches.
+    ``embed(rows, keys, text_col, dim)`` returns query vectors, dense (``vector``) or sparse
+    (``v_idx``/``v_val``); the points table must use the same model.  A variant without a
+    vector (failed embedding) is dropped from both searches.
     """
     keys = [key, "variant_no"]
     limit = top_k * CANDIDATE_FACTOR
-    qv = hashed_embedding(variants, keys, "variant_text", dim)
+    qv = embed(variants, keys, "variant_text", dim)
     live = materialize(variants.join(qv, keys), "variants")
     # Variants with the same token set (and year) have the same BM25 list: each set is searched
     # once, under the keys of its first variant (short keys, not the text, travel through the
@@ -76,7 +83,7 @@ def candidate_lists(variants: DataFrame, index: TextIndex, points: DataFrame, to
     text_hits = mapping.join(ranked, rep_keys).select(
         *keys, F.lit("bm25").alias("source"), (F.col("rank") - 1).alias("rank0"), "corpus_id", "score")
     vec_hits = vector_topk(
-        live, points, keys, limit, query_vec=sparse(dim), point_vec=sparse(dim),
+        live, points, keys, limit, query_vec=_vec_cols(qv, dim), point_vec=_vec_cols(points, dim),
         query_year_col=year_col, point_years_col="years" if year_col else None,
     ).select(*keys, F.lit("vector").alias("source"), (F.col("rank") - 1).alias("rank0"),
              F.col("id").alias("corpus_id"), "score")
@@ -103,13 +110,16 @@ def coverage_score(query_text: Column, page_text: Column) -> Column:
 
 
 def rerank(fused: DataFrame, queries: DataFrame, pages: DataFrame, top_k: int, key: str = "query_id",
-           text_col: str = "text", content_col: str = "markdown_content") -> DataFrame:
+           text_col: str = "text", content_col: str = "markdown_content", scorer=None) -> DataFrame:
     """Score (original question, page content) pairs, keep ``top_k`` per question; ties keep
-    the fusion order.  Adds the page content and its file name as ``source``."""
+    the fusion order.  Adds the page content and its file name as ``source``.
+
+    ``scorer(question, content) -> Column`` replaces the default token-coverage score."""
     cands = bounded_broadcast(fused.join(queries.select(key, text_col), key), MAX_BROADCAST_CANDIDATES)
     joined = pages.select("corpus_id", content_col, F.col("exact_filename").alias("source")).join(
         cands, "corpus_id")
-    scored = joined.withColumn("rerank_score", coverage_score(F.col(text_col), F.col(content_col)))
+    scorer = scorer or coverage_score
+    scored = joined.withColumn("rerank_score", scorer(F.col(text_col), F.col(content_col)))
     w = Window.partitionBy(key).orderBy(F.round("rerank_score", 6).desc_nulls_last(), F.col("fused_rank").asc())
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).select(
         key, "rank", "corpus_id", "source", content_col, "rerank_score", "rrf_score", "fused_rank")
@@ -121,7 +131,7 @@ YEAR_KEY = "probable_referenced_years"
 def hybrid_retrieve(queries: DataFrame, index: TextIndex, points: DataFrame, pages: DataFrame,
                     top_k: int = 5, year_col: str | None = None, key: str = "query_id",
                     text_col: str = "text", response: Column | None = None,
-                    filters: dict | None = None) -> DataFrame:
+                    filters: dict | None = None, embed=hashed_embedding, scorer=None) -> DataFrame:
     """End-to-end retrieval for a table of queries.
 
     The year filter is either per query (``year_col``) or one for all queries
@@ -133,6 +143,6 @@ def hybrid_retrieve(queries: DataFrame, index: TextIndex, points: DataFrame, pag
         year_col = "_year"
     extra = [year_col] if year_col else []
     variants = query_variants(queries, key, text_col, response, extra)
-    hits = candidate_lists(variants, index, points, top_k, year_col, key=key)
+    hits = candidate_lists(variants, index, points, top_k, year_col, key=key, embed=embed)
     fused = materialize(rrf_fuse(hits, top_k * FUSION_FACTOR, key), "fused")
-    return rerank(fused, queries, pages, top_k, key, text_col)
+    return rerank(fused, queries, pages, top_k, key, text_col, scorer=scorer)

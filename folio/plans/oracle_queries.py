@@ -313,3 +313,6 @@ SQL["stream_embed"] = f"""WITH {O.PAGE_ROWS}, {O.embedding('pages_v', 'corpus_id
 n AS (SELECT id, CAST(count(*) AS BIGINT) AS n_entries FROM emb GROUP BY id)
 SELECT p.corpus_id AS id, n.n_entries, p.probable_referenced_years AS years
 FROM pages_v p JOIN n ON p.corpus_id = n.id"""
+
+SQL["enrich_pages"] = f"""WITH {O.CORPUS}
+SELECT corpus_id, image_filename, markdown_content FROM corpus_v"""

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folio.functions.text import clean_text
 from folio.functions.embed import DEFAULT_DIM, hashed_embedding, sparse_entries
@@ -474,12 +475,10 @@ def evaluation_run(spark: SparkSession, base: str) -> DataFrame:
 def enrich_pages(spark: SparkSession, base: str) -> DataFrame:
     """The OCR call as a batched, retried table enrichment over the page images."""
     corpus = fixtures.corpus(spark, base).select("corpus_id", "image_filename", "image")
-    schema = "corpus_id long, image_filename string, markdown_content string"
-    from pyspark.sql import types as T
-
-    out = enrich(corpus, ocr_stand_in, T._parse_datatype_string(schema), batch_size=50, on_error="default",
-                 default={"markdown_content": None})
-    return out
+    schema = T.StructType([T.StructField("corpus_id", T.LongType()), T.StructField("image_filename", T.StringType()),
+                           T.StructField("markdown_content", T.StringType())])
+    return enrich(corpus, ocr_stand_in, schema, batch_size=50, on_error="default",
+                  default={"markdown_content": None})
 
 
 # ---------------------------------------------------------------- streaming

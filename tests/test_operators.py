@@ -290,3 +290,29 @@ def test_hybrid_retrieve_global_year_filter(spark):
     got = fusion.hybrid_retrieve(qs, idx, vecs, pages, 3, filters={"probable_referenced_years": "2001"})
     ids = [r["corpus_id"] for r in got.orderBy("rank").collect()]
     assert ids and ids[0] == 4 and all(i % 3 == 1 for i in ids)
+
+
+def test_hybrid_with_dense_embedder_plugin_matches_sparse(spark):
+    from folio.functions.embed import hashed_embedding
+
+    def dense(rows, keys, text_col, dim=64):
+        sp = hashed_embedding(rows, keys, text_col, dim)
+        m = F.map_from_arrays("v_idx", "v_val")
+        vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at(m, i), F.lit(0.0)))
+        return sp.select(*keys, vec.alias("vector"))
+
+    pages = spark.createDataFrame(
+        [(i, "d_2001", i, f"f{i}.png", [2001], f"alpha w{i % 5} beta w{i % 7} gamma{i}", f"alpha w{i % 5} beta")
+         for i in range(30)],
+        "corpus_id long, doc_id string, page int, exact_filename string, probable_referenced_years array<int>, "
+        "markdown_content string, text_content string")
+    idx = bm25.build_index(pages, persist=False)
+    prows = pages.select(F.col("corpus_id").alias("id"), "markdown_content")
+    years = pages.select(F.col("corpus_id").alias("id"), F.col("probable_referenced_years").alias("years"))
+    sparse_pts = hashed_embedding(prows, ["id"], "markdown_content").join(years, "id")
+    dense_pts = dense(prows, ["id"], "markdown_content").join(years, "id")
+    qs = spark.createDataFrame([(1, "alpha w3 gamma7"), (2, "beta w2")], "query_id long, text string")
+    a = fusion.hybrid_retrieve(qs, idx, sparse_pts, pages, 3)
+    b = fusion.hybrid_retrieve(qs, idx, dense_pts, pages, 3, embed=dense)
+    cols = ("query_id", "rank", "corpus_id")
+    assert sorted(rows(a, *cols)) == sorted(rows(b, *cols)) and a.count() == 6
