@@ -62,12 +62,14 @@ def call_with_retry(fn: Callable, arg, policy: RetryPolicy, sleep: Callable[[flo
 def enrich(df: DataFrame, make_client: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]],
            output_schema: T.StructType, *, batch_size: int = 50, on_error: str = "fail",
            default: dict | None = None, policy: RetryPolicy = RetryPolicy(),
-           sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+           sleep: Callable[[float], None] = time.sleep, partitions: int | None = None) -> DataFrame:
     """Apply ``make_client()`` (built once per task) to batches of rows.
 
     The client takes a pandas frame of up to ``batch_size`` input rows and returns a frame with
     the columns of ``output_schema`` in the same row order (one row out per row in).  Input
     columns named in ``output_schema`` are passed through when the client does not return them.
+    ``partitions`` sets the number of concurrent callers (a service's rate limit, not the
+    input layout, decides it).
     """
     if on_error not in ("fail", "drop", "default"):
         raise ValueError(f"on_error must be fail, drop or default, not {on_error!r}")
@@ -91,6 +93,8 @@ def enrich(df: DataFrame, make_client: Callable[[], Callable[[pd.DataFrame], pd.
                         out[col] = chunk[col].to_numpy()
                 yield out[names]
 
+    if partitions:
+        df = df.repartition(partitions)
     return df.mapInPandas(run, output_schema)
 
 
