@@ -43,7 +43,7 @@ HTML_ENTITIES = [
 
 # Cleaning steps: (pattern, replacement) applied in order by ``clean_text``.  Script and style
 # bodies and comments go first because scripts may hold tag-like strings such as "</p>".
-_CLEAN_STEPS = [
+CLEAN_STEPS = [
     (r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", " "),
     (r"!?\[([^\]]*)\]\([^)]*\)", "$1"),
     (r"(?m)^[ \t]{0,3}#{1,6}[ \t]*|\*\*|__|`", ""),
@@ -65,7 +65,7 @@ def clean_text(text: Column, collapse_whitespace: bool = True) -> Column:
     (by default) collapses whitespace runs to one space and trims.
     """
     out = text
-    for pattern, repl in _CLEAN_STEPS:
+    for pattern, repl in CLEAN_STEPS:
         out = F.regexp_replace(out, pattern, repl)
     decoded = out
     for entity, char in HTML_ENTITIES:

@@ -22,7 +22,7 @@ def tokens(expr: str) -> str:
 
 def clean(expr: str) -> str:
     out = expr
-    for pattern, repl in T._CLEAN_STEPS:
+    for pattern, repl in T.CLEAN_STEPS:
         out = f"regexp_replace({out}, {_lit(pattern)}, {_lit(repl.replace('$1', chr(92) + '1'))}, 'g')"
     for entity, char in T.HTML_ENTITIES:
         out = f"replace({out}, {_lit(entity)}, {_lit(char)})"
