@@ -312,11 +312,14 @@ def _unit(vec: Column) -> Column:
 
 def ivf_topk(queries: DataFrame, points: DataFrame, keys: list[str], k: int = 10, *, vector_col: str = "vector",
              id_col: str = "id", exclude_self_col: str | None = None, n_lists: int | None = None,
-             n_probe: int = 3, block_rows: int = BLOCK_ROWS, seed: int = 7, max_iter: int = 10) -> DataFrame:
+             n_probe: int = 3, n_assign: int = 2, block_rows: int = BLOCK_ROWS, seed: int = 7,
+             max_iter: int = 10) -> DataFrame:
     """Approximate cosine top-``k`` with an inverted-file index: ``(keys..., rank, id, score)``.
 
     Points are clustered by k-means on unit vectors (Spark ML, distributed); each query
-    searches only the ``n_probe`` lists with the nearest centroids.  Inside a list the exact
+    searches only the ``n_probe`` lists with the nearest centroids; each point is stored in its
+    ``n_assign`` nearest lists (spilling), so neighbours near a list boundary are still found.
+    Inside a list the exact
     block kernel scores (query block × point block) pairs, and a list larger than
     ``block_rows`` is split into several point blocks, so a hot list is still spread over
     tasks.  Scores are exact cosines; only recall is approximate.
@@ -336,8 +339,21 @@ def ivf_topk(queries: DataFrame, points: DataFrame, keys: list[str], k: int = 10
     centroids = np.vstack(model.clusterCenters())
     centroids /= np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
     bc = spark.sparkContext.broadcast(centroids)
-    assigned = model.transform(pts.withColumn("_f", array_to_vector("_u"))).select(
-        id_col, F.col("_u").alias("vector"), F.col("_list").cast("long").alias("_list"))
+    n_assign = max(1, min(n_assign, n_lists))
+    assign_schema = T.StructType([pts.schema[id_col], T.StructField("vector", T.ArrayType(T.DoubleType())),
+                                  T.StructField("_list", T.LongType())])
+
+    def assign(batches):
+        cm = bc.value
+        for pdf in batches:
+            m = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf["_u"].to_numpy()]) if len(pdf) else \
+                np.zeros((0, cm.shape[1]))
+            near = np.argsort(-(m @ cm.T), axis=1)[:, :n_assign]
+            rep = pdf.loc[pdf.index.repeat(n_assign)].reset_index(drop=True)
+            yield pd.DataFrame({id_col: rep[id_col], "vector": rep["_u"],
+                                "_list": near.reshape(-1).astype(np.int64)})
+
+    assigned = pts.mapInPandas(assign, assign_schema)
     sizes = assigned.groupBy("_list").agg(F.count(F.lit(1)).alias("_n")).select(
         "_list", F.greatest(F.lit(1), F.ceil(F.col("_n") / block_rows)).cast("long").alias("_nb"))
 
@@ -376,6 +392,8 @@ def ivf_topk(queries: DataFrame, points: DataFrame, keys: list[str], k: int = 10
         return out
 
     cands = probed.groupBy("_list", "_vb").cogroup(pblocks.groupBy("_list", "_vb")).applyInPandas(run, schema)
+    # A point stored in two probed lists is a candidate twice: keep one row per (query, point).
+    cands = cands.groupBy(*keys, "id").agg(F.max("score").alias("score"))
     return rank_top(cands, keys, k, id_col="id").select(*keys, "rank", "id", "score")
 
 

@@ -316,3 +316,17 @@ def test_hybrid_with_dense_embedder_plugin_matches_sparse(spark):
     b = fusion.hybrid_retrieve(qs, idx, dense_pts, pages, 3, embed=dense)
     cols = ("query_id", "rank", "corpus_id")
     assert sorted(rows(a, *cols)) == sorted(rows(b, *cols)) and a.count() == 6
+
+
+def test_ivf_all_lists_probed_equals_exact(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    pts = rng.normal(size=(80, 6))
+    df = spark.createDataFrame([(i, [float(x) for x in pts[i]]) for i in range(80)], "id long, vector array<double>")
+    q = df.select(F.col("id").alias("query_id"), "vector", F.col("id").alias("self_id"))
+    exact = vectors.vector_topk(q, df, ["query_id"], 5, exclude_self_col="self_id")
+    approx = vectors.ivf_topk(q, df, ["query_id"], 5, exclude_self_col="self_id", n_lists=6, n_probe=6,
+                              block_rows=16)
+    assert sorted(rows(approx, "query_id", "rank", "id")) == sorted(rows(exact, "query_id", "rank", "id"))
+    assert vectors.recall_at_k(approx, exact, ["query_id"]) == 1.0
