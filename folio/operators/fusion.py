@@ -115,7 +115,8 @@ def rerank(fused: DataFrame, queries: DataFrame, pages: DataFrame, top_k: int, k
     the fusion order.  Adds the page content and its file name as ``source``.
 
     ``scorer(question, content) -> Column`` replaces the default token-coverage score."""
-    cands = bounded_broadcast(fused.join(queries.select(key, text_col), key), MAX_BROADCAST_CANDIDATES)
+    cands = bounded_broadcast(fused.join(queries.select(key, text_col), key), MAX_BROADCAST_CANDIDATES,
+                              bound_by=fused)
     joined = pages.select("corpus_id", content_col, F.col("exact_filename").alias("source")).join(
         cands, "corpus_id")
     scorer = scorer or coverage_score

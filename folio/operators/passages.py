@@ -37,7 +37,7 @@ def containment_pairs(passages: DataFrame, docs: DataFrame, index: TextIndex,
         .agg(F.min_by("term", F.struct("df", "term")).alias("term"))
     )
     cands = index.postings.select("term", F.col("corpus_id").alias(doc_id)).join(
-        bounded_broadcast(keyed, MAX_BROADCAST_CANDIDATES), "term"
+        bounded_broadcast(keyed, MAX_BROADCAST_CANDIDATES, bound_by=passages), "term"
     ).select(passage_id, doc_id)
     cands = cands.join(passages.select(passage_id, F.col(passage_text).alias("_p")), passage_id)
     verified = cands.join(

@@ -79,14 +79,15 @@ def at_most(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+def bounded_broadcast(df: DataFrame, max_rows: int, bound_by: DataFrame | None = None) -> DataFrame:
     """``broadcast(df)`` when its row count is proven to be within ``max_rows``, else ``df``.
 
     Callers pass the bound that keeps the broadcast side within executor memory for the row
     width they know; above it the join stays a shuffle join (AQE may still pick a broadcast
-    from runtime sizes).
+    from runtime sizes).  ``bound_by`` is a cheaper frame with at least as many rows (e.g. the
+    input of an inner join on a unique key), counted instead of ``df``.
     """
-    return F.broadcast(df) if at_most(df, max_rows) else df
+    return F.broadcast(df) if at_most(bound_by if bound_by is not None else df, max_rows) else df
 
 
 def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = None) -> DataFrame:
