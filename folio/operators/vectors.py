@@ -31,6 +31,7 @@ from folio.operators.bm25 import rank_top
 from folio.session import at_most
 
 MAX_BROADCAST_QUERIES = 20_000
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 4096
 TIE_TOLERANCE = 1e-6
 
@@ -160,6 +161,8 @@ def _broadcast_topk(queries, points, keys, qc, pc, k, self_col, year_col, years_
     qcols = list(dict.fromkeys(keys + qc.columns() + [c for c in (self_col, year_col) if c]))
     qpdf = queries.select(*qcols).toPandas()
     q, q_ok, q_self, q_year = _query_arrays(qpdf, qc, self_col, year_col)
+    if q.nbytes > MAX_BROADCAST_BYTES:  # many rows of wide vectors: do not ship them to every task
+        return None
     bc = spark.sparkContext.broadcast((qpdf[keys].reset_index(drop=True), q, q_ok, q_self, q_year))
     pcols = list(dict.fromkeys([id_col] + pc.columns() + ([years_col] if years_col else [])))
     schema = _out_schema(queries, keys)
@@ -223,7 +226,8 @@ def vector_topk(queries: DataFrame, points: DataFrame, keys: list[str], k: int =
     ``exclude_self_col`` names a query column holding a point id never to return for that
     query; ``query_year_col`` / ``point_years_col`` give a per-query year that the point's
     year list must contain (null year = no filter).  Queries or points without a vector (or
-    with a zero vector) give no rows.
+    with a zero vector) give no rows.  ``broadcast`` falls back to ``blocked`` when the query
+    block exceeds ``MAX_BROADCAST_BYTES``.
     """
     queries = queries.where(query_vec.present())
     points = points.where(point_vec.present())
@@ -231,11 +235,14 @@ def vector_topk(queries: DataFrame, points: DataFrame, keys: list[str], k: int =
             point_years_col, id_col)
     if strategy == "auto":
         strategy = "broadcast" if at_most(queries, max_broadcast_queries) else "blocked"
+    cands = None
     if strategy == "broadcast":
         cands = _broadcast_topk(*args)
-    elif strategy == "blocked":
+        if cands is None:
+            strategy = "blocked"
+    if strategy == "blocked":
         cands = _blocked_topk(*args, block_rows)
-    else:
+    elif cands is None:
         raise ValueError(f"unknown strategy {strategy!r}")
     return rank_top(cands, keys, k, id_col="id").select(*keys, "rank", "id", "score")
 

@@ -105,10 +105,14 @@ def test_query_variants_order_preserving_dedupe(spark):
     assert got == [(1, 0, "Alpha beta"), (1, 1, "gamma"), (1, 2, "delta")]
 
 
-@pytest.mark.parametrize("strategy", ["broadcast", "blocked"])
-def test_vector_topk_strategies_agree_with_bruteforce(spark, strategy):
+@pytest.mark.parametrize("strategy", ["broadcast", "blocked", "broadcast-over-bytes"])
+def test_vector_topk_strategies_agree_with_bruteforce(spark, strategy, monkeypatch):
     import numpy as np
 
+    if strategy == "broadcast-over-bytes":  # the byte bound sends it to the blocked strategy
+        monkeypatch.setattr(vectors, "MAX_BROADCAST_BYTES", 1)
+        strategy = "broadcast"
+
     rng = np.random.default_rng(3)
     pts = rng.normal(size=(60, 5))
     years = [[2000 + i % 4] for i in range(60)]
