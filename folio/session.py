@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,7 @@ def get_spark(master: str = "local[8]", app: str = "folio", **conf: str) -> Spar
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     work_root(spark)
+    ship_package(spark)
     return spark
 
 
@@ -101,3 +104,25 @@ def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = N
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target, key) if key else df.repartition(target)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``folio`` importable on the executors (once per application).
+
+    Batch functions given to ``mapInPandas`` / ``applyInPandas`` are pickled by reference to
+    their module, so Python workers need the package: it is zipped on the driver and added
+    with ``addPyFile``, which distributes it to every executor.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="folio-pkg-")) / "folio.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(pkg.rglob("*.py")):
+            z.write(f, f.relative_to(pkg.parent).as_posix())
+    sc.addPyFile(str(archive))
+    _SHIPPED.add(sc.applicationId)
