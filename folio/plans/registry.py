@@ -510,7 +510,8 @@ def stream_thread_state(spark: SparkSession, base: str) -> DataFrame:
     for g in range(4):
         t.where(F.floor(F.col("turn") / 2) == g).orderBy(F.rand(7)).coalesce(1).write.mode("append").parquet(
             f"{root}/in")
-    jobs.thread_state_stream(spark, f"{root}/in", t.schema, f"{root}/out", f"{root}/checkpoint")
+    jobs.thread_state_stream(spark, f"{root}/in", t.schema, f"{root}/out", f"{root}/checkpoint",
+                             state_partitions=spark.sparkContext.defaultParallelism)
     return spark.read.parquet(f"{root}/out").select("thread_id", "turn", "action", "year")
 
 

@@ -134,13 +134,24 @@ def _fold_thread(key, batches: Iterator[pd.DataFrame], state):
 
 
 def thread_state_stream(spark: SparkSession, source_dir: str, schema: T.StructType, output: str, checkpoint: str,
-                        max_files: int = 1) -> None:
+                        max_files: int = 1, state_partitions: int | None = None) -> None:
     """Conversation turns arriving as files → per-thread sticky year and bounded history,
-    one output row per user turn (append mode, parquet file sink)."""
+    one output row per user turn (append mode, parquet file sink).
+
+    ``state_partitions`` fixes the number of state-store partitions when the checkpoint is
+    new (Spark records it in the checkpoint; streaming has no adaptive coalescing), and the
+    session setting is restored afterwards."""
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source_dir)
     acted = src.select("thread_id", "turn", "role", "content",
                        conversation.year_action(F.col("content")).alias("a")).select(
         "thread_id", "turn", "role", "content", F.col("a.action").alias("action"), F.col("a.value").alias("value"))
     out = acted.groupBy("thread_id").applyInPandasWithState(
         _fold_thread, THREAD_OUTPUT, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-    _run(out.writeStream.format("parquet").option("path", output).outputMode("append"), checkpoint)
+    key = "spark.sql.shuffle.partitions"
+    previous = spark.conf.get(key)
+    if state_partitions:
+        spark.conf.set(key, str(state_partitions))
+    try:
+        _run(out.writeStream.format("parquet").option("path", output).outputMode("append"), checkpoint)
+    finally:
+        spark.conf.set(key, previous)
