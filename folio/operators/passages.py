@@ -3,8 +3,9 @@
 A passage can only be contained in a document that has every *interior* token of the passage
 as a whole token (the first and last tokens may be cut mid-word).  So each passage is keyed by
 its rarest interior token (smallest document frequency, ties by the token), candidates come
-from an equi-join of that key with the documents' postings, and each candidate is verified with
-``instr``.  Work grows with the postings of the chosen keys, never with passages × documents.
+from an equi-join of that key with the documents' (term, document) pairs, and each candidate
+is verified with a substring test.  Work grows with the documents' tokens and the postings of
+the chosen keys, never with passages × documents.
 """
 
 from __future__ import annotations
@@ -12,33 +13,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.functions.text import tokens
-from folio.operators.bm25 import TextIndex
-from folio.session import bounded_broadcast
+from folio.functions.text import token_pieces, tokens
+from folio.session import bounded_broadcast, materialize
 
 MAX_BROADCAST_CANDIDATES = 1_000_000
 
 
-def containment_pairs(passages: DataFrame, docs: DataFrame, index: TextIndex,
-                      passage_id: str = "item_id", passage_text: str = "text",
-                      doc_id: str = "doc_id", doc_text: str = "text") -> DataFrame:
+def containment_pairs(passages: DataFrame, docs: DataFrame, passage_id: str = "item_id",
+                      passage_text: str = "text", doc_id: str = "doc_id", doc_text: str = "text") -> DataFrame:
     """``(passage_id, doc_id)`` for every document whose text contains the passage verbatim.
 
-    ``index`` must be built over ``docs`` (its ``corpus_id`` is ``doc_id``).  Passages with fewer
-    than three tokens are keyed on any of their tokens, which assumes they start and end on
-    token boundaries in the document.
+    Document tokens are kept only when they occur in some passage (a size-checked broadcast
+    semi-join right after the explode), so document frequencies and candidates come from one
+    scan of the documents without building a full index.  Passages with fewer than three
+    tokens are keyed on any of their tokens, which assumes they start and end on token
+    boundaries in the document.
     """
     toks = tokens(F.col(passage_text))
     inner = F.when(F.size(toks) >= 3, F.slice(toks, 2, F.size(toks) - 2)).otherwise(toks)
     keys = passages.select(passage_id, F.explode(F.array_distinct(inner)).alias("term"))
+    vocab = bounded_broadcast(keys.select("term").distinct(), MAX_BROADCAST_CANDIDATES, bound_by=keys)
+    split = docs.select(F.col(doc_id).alias(doc_id), token_pieces(F.col(doc_text)).alias("_p"))
+    doc_terms = materialize(
+        split.select(doc_id, F.explode_outer("_p").alias("term")).where(F.col("term") != "")
+        .join(vocab, "term", "left_semi").distinct(), "passage-doc-terms")
+    df = doc_terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     keyed = (
-        keys.join(index.terms.select("term", "df"), "term")
+        keys.join(df, "term")
         .groupBy(passage_id)
         .agg(F.min_by("term", F.struct("df", "term")).alias("term"))
     )
-    cands = index.postings.select("term", F.col("corpus_id").alias(doc_id)).join(
-        bounded_broadcast(keyed, MAX_BROADCAST_CANDIDATES, bound_by=passages), "term"
-    ).select(passage_id, doc_id)
+    cands = doc_terms.join(bounded_broadcast(keyed, MAX_BROADCAST_CANDIDATES, bound_by=passages), "term").select(
+        passage_id, doc_id)
     cands = cands.join(passages.select(passage_id, F.col(passage_text).alias("_p")), passage_id)
     verified = cands.join(
         docs.select(doc_id, F.col(doc_text).alias("_d")), doc_id

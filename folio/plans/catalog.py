@@ -46,20 +46,13 @@ def page_index(spark: SparkSession, base: str) -> TextIndex:
     return _cached(spark, base, "page-index", lambda: build_index(stored_pages(spark, base)))
 
 
-def document_index(spark: SparkSession, base: str) -> TextIndex:
-    """Full-text index over the raw ``documents.text`` (used to find passages)."""
-    docs = spread(table(spark, base, "documents"), "doc_id").select(F.col("doc_id").alias("corpus_id"), "text")
-    return _cached(spark, base, "doc-index",
-                   lambda: build_index(docs, text_col="text", years_col=None))
-
-
 def answers(spark: SparkSession, base: str) -> DataFrame:
     """Relevance judgements: ``(query_id, corpus_id, answer)`` for each document containing a
     benchmark passage; the answer is the whole passage."""
     def build():
         bench = table(spark, base, "benchmark")
-        docs = table(spark, base, "documents")
-        pairs = containment_pairs(bench, docs, document_index(spark, base))
+        docs = spread(table(spark, base, "documents"), "doc_id")
+        pairs = containment_pairs(bench, docs)
         out = pairs.join(bench, "item_id").select(
             F.col("item_id").alias("query_id"), F.col("doc_id").alias("corpus_id"), F.col("text").alias("answer")
         )
