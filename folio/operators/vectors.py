@@ -285,6 +285,21 @@ def check_dimension(points: DataFrame, dim: int, vector_col: str = "vector") ->
     )
 
 
+def vector_table(spark, path: str, dim: int, vector_type: T.DataType = T.FloatType()) -> DataFrame:
+    """The vector table at ``path``, created empty (``id``, ``vector``) when absent.
+
+    An existing table is returned as is; its vectors are checked against ``dim`` lazily, so a
+    write of a wrong dimension fails the job that reads it.
+    """
+    try:
+        existing = spark.read.parquet(path)
+    except Exception:  # noqa: BLE001 - absent: create it
+        schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("vector", T.ArrayType(vector_type))])
+        spark.createDataFrame([], schema).write.parquet(path)
+        existing = spark.read.parquet(path)
+    return check_dimension(existing, dim)
+
+
 def points_of_pages(pages: DataFrame, vectors: DataFrame, vector_col: str = "vector") -> DataFrame:
     """Points ``(id, vector, payload struct)`` from page rows and their vectors (joined on id)."""
     payload = F.struct(

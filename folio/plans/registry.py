@@ -255,9 +255,11 @@ def vector_upsert(spark: SparkSession, base: str) -> DataFrame:
 def vector_table_init(spark: SparkSession, base: str) -> DataFrame:
     """Vector table with a dimension check, and its year companion partitioned by year."""
     path = new_path(spark, "vector-table")
+    table_path = f"{path}/points"
+    vectors.vector_table(spark, table_path, 64)  # created, empty
     v = vectors.check_dimension(fixtures.vectors(spark, base), 64)
-    v.select("id", "vector", "label", "years").write.parquet(f"{path}/points")
-    pts = spark.read.parquet(f"{path}/points")
+    v.select("id", "vector").write.mode("append").parquet(table_path)
+    pts = vectors.vector_table(spark, table_path, 64).join(v.select("id", "years"), "id")  # exists: reused
     bm25.year_index(pts, "years", "id").write.partitionBy("year").parquet(f"{path}/year_index")
     return spark.read.parquet(f"{path}/year_index").select(F.col("year").cast("int").alias("year"),
                                                            F.col("corpus_id").alias("id"))
