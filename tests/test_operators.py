@@ -334,3 +334,23 @@ def test_ivf_all_lists_probed_equals_exact(spark):
                               block_rows=16)
     assert sorted(rows(approx, "query_id", "rank", "id")) == sorted(rows(exact, "query_id", "rank", "id"))
     assert vectors.recall_at_k(approx, exact, ["query_id"]) == 1.0
+
+
+def test_bounded_broadcast_respects_the_bound_and_spread_is_a_noop_when_parallel(spark):
+    from folio.session import bounded_broadcast, spread
+
+    big = spark.range(0, 1000).withColumnRenamed("id", "k")
+    small = spark.range(0, 10).withColumnRenamed("id", "k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hinted = big.join(bounded_broadcast(small, 100), "k")
+        refused = big.join(bounded_broadcast(small, 5), "k")
+        assert "BroadcastHashJoin" in _plan(hinted)
+        assert "BroadcastHashJoin" not in _plan(refused)
+        assert "BroadcastHashJoin" in _plan(big.join(bounded_broadcast(small, 100, bound_by=small), "k"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    wide = spark.range(0, 100, numPartitions=spark.sparkContext.defaultParallelism)
+    assert spread(wide) is wide
+    narrow = spark.range(0, 100, numPartitions=1)
+    assert spread(narrow, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
