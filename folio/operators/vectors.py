@@ -69,7 +69,12 @@ def _matrix(pdf: pd.DataFrame, vc: VecCols) -> tuple[np.ndarray, np.ndarray]:
     if vc.vector:
         if n == 0:
             return np.zeros((0, 0)), np.zeros(0, dtype=bool)
-        m = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[vc.vector].to_numpy()])
+        values = pdf[vc.vector].to_numpy()
+        flat = np.concatenate(values).astype(np.float64)
+        if len(flat) % n == 0 and len(values[0]) * n == len(flat):  # one dimension: reshape, no row loop
+            m = flat.reshape(n, -1)
+        else:
+            m = np.vstack([np.asarray(v, dtype=np.float64) for v in values])
     else:
         m = np.zeros((n, vc.dim), dtype=np.float64)
         if n:
@@ -86,11 +91,13 @@ def _matrix(pdf: pd.DataFrame, vc: VecCols) -> tuple[np.ndarray, np.ndarray]:
 
 def _year_mask(q_years: np.ndarray, p_years: pd.Series) -> np.ndarray:
     """``mask[q, p]`` is True when query ``q`` has no year or page ``p`` lists it."""
-    width = max((len(a) for a in p_years if a is not None), default=0)
-    ymat = np.full((len(p_years), max(width, 1)), -1, dtype=np.int64)
-    for i, a in enumerate(p_years):
-        if a is not None and len(a):
-            ymat[i, : len(a)] = a
+    arrays = [a if a is not None else np.zeros(0, dtype=np.int64) for a in p_years.to_numpy()]
+    lens = np.fromiter((len(a) for a in arrays), dtype=np.int64, count=len(arrays))
+    ymat = np.full((len(arrays), max(int(lens.max(initial=0)), 1)), -1, dtype=np.int64)
+    if lens.sum():
+        rows = np.repeat(np.arange(len(arrays)), lens)
+        cols = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
+        ymat[rows, cols] = np.concatenate(arrays).astype(np.int64)
     has = ~np.isnan(q_years)
     qy = np.where(has, q_years, -2).astype(np.int64)
     hit = (ymat[None, :, :] == qy[:, None, None]).any(axis=2)
