@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, jaccard
+from folio.llm import bpe, jaccard, langid, main_text, quality, rules, secret_scan
 from folio.sources.tables import table
 
 QUERIES: dict = {}
@@ -40,3 +40,75 @@ def op1_bpe_round_trip(spark: SparkSession, base: str) -> DataFrame:
 def op4_ngram_jaccard(spark: SparkSession, base: str) -> DataFrame:
     """Set size and component of every document under shingle similarity 0.75."""
     return jaccard.link(table(spark, base, "documents"))
+
+
+@register
+def op3_quality(spark: SparkSession, base: str) -> DataFrame:
+    """Quality score of every document, learned from the labels outside the held-out fold."""
+    docs = table(spark, base, "documents")
+    model = quality.train(docs, table(spark, base, "labels"))
+    return quality.score(docs, model).select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+@register
+def op9_language(spark: SparkSession, base: str) -> DataFrame:
+    """Predicted language of every document, learned outside the held-out fold."""
+    docs = table(spark, base, "documents")
+    held = F.coalesce(~langid.trainable(), F.lit(False)).alias("held_out")
+    return langid.predict(docs, langid.train(docs)).select("doc_id", held, "lang_pred", "score")
+
+
+@register
+def op7_secrets(spark: SparkSession, base: str) -> DataFrame:
+    """Spans of secrets in every document: base patterns and inferred formats."""
+    docs = table(spark, base, "documents").select("doc_id", "text")
+    found = secret_scan.scan(docs, secret_scan.train(docs))
+    return found.select("doc_id", *(f"secrets.{c}" for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")))
+
+
+@register
+def op8_quality_rules(spark: SparkSession, base: str) -> DataFrame:
+    """Ledger of every document and the verdict of the current policy."""
+    book = rules.ledger(table(spark, base, "documents"))
+    base_failed = ~rules.passes(rules.BASE)
+    return book.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        base_failed.alias("base_failed"), (~base_failed & rules.passes(rules.CURRENT)).alias("kept"), "n_lines", "n_exclaims", "failed",
+    )
+
+
+SQL["op8_quality_rules"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM d),
+tri AS (
+  SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS a
+  FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+again AS (SELECT r, a FROM tri GROUP BY r, a HAVING count(*) > 1),
+covered AS (SELECT r, count(DISTINCT i + o) AS n FROM tri JOIN again USING (r, a), (SELECT unnest([0, 1, 2]) AS o) GROUP BY r),
+m AS (
+  SELECT doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+    len(ls) AS n_lines, length(t) - length(replace(t, '!', '')) AS n_exclaims
+  FROM w LEFT JOIN covered USING (r)),
+b AS (
+  SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END)
+    + (CASE WHEN 100 * n_symbols > 40 * n_words THEN 4 ELSE 0 END) + (CASE WHEN 100 * n_dup_lines > 60 * n_lines THEN 8 ELSE 0 END)
+    + (CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 16 ELSE 0 END)
+    + (CASE WHEN 100 * n_exclaims > 60 * n_words THEN 32 ELSE 0 END) AS failed
+  FROM m)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, (failed & 3) <> 0 AS base_failed,
+  failed = 0 AS kept, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_exclaims AS BIGINT) AS n_exclaims, CAST(failed AS INTEGER) AS failed
+FROM b
+"""
+
+
+@register
+def op2_main_text(spark: SparkSession, base: str) -> DataFrame:
+    """Main text of every page."""
+    found = main_text.extract(table(spark, base, "pages")).select("page_id", "url", "text")
+    return found.withColumn("n_chars", F.char_length("text").cast("bigint"))
