@@ -22,11 +22,14 @@ from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.llm.words import clean, hash_spans, slices
+
 #: White space of the pre-token pattern, as a character class (fixed values).
 SPACE = r"\t-\r \x85\xa0  -     　"
 PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
@@ -35,6 +38,10 @@ CHUNK = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Entries of a worker's chunk table and of its pair table; each is bounded in size.
 CACHED_CHUNKS = 300_000
 CACHED_PAIRS = 1_000_000
+#: Slots (as a power of two), entries and ids of a worker's table of encoded pre-tokens.
+TABLE_BITS, ENTRIES, POOL = 22, 1_500_000, 6_000_000
+#: Bytes of a pre-token that is encoded in bulk.
+LONG = 64
 #: White space besides the plain space and the line feed.
 RARE_SPACES = [chr(c) for c in [9, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]]
 
@@ -223,12 +230,264 @@ class _Chunks(dict):
         return tuple(chain.from_iterable(encode(p.encode("utf-8", "surrogatepass").decode("latin-1")) for p in pieces))
 
 
+class BatchEncoder:
+    """Encodes batches of texts with array operations.
+
+    Pre-tokens are found from the character classes of the whole batch and hashed; a bounded
+    table maps hashes to encoded pre-tokens.  Those it does not hold are encoded together: at
+    each position all of them step through the automaton and test their candidates at once.
+    """
+
+    def __init__(self, codec: Codec) -> None:
+        self.codec = codec
+        self.kinds = _character_kinds()
+        self.step, self.found, self.shorter, self.token_at = _automaton(codec)
+        self.size = np.array([len(t) for t in codec.tokens], np.int64)
+        self.pair_keys = np.full(1 << 21, -1, np.int64)
+        self.pair_fits = np.zeros(1 << 21, bool)
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the table of encoded pre-tokens."""
+        self.keys = np.zeros(1 << TABLE_BITS, np.uint64)
+        self.entry = np.zeros(1 << TABLE_BITS, np.int32)
+        self.pool = np.zeros(POOL, np.int32)
+        self.offset, self.length = np.zeros(ENTRIES, np.int32), np.zeros(ENTRIES, np.int32)
+        self.used = self.entries = 0
+
+    def pre_tokens(self, texts: list[str]):
+        """``(buffer, starts, ends, owner)``: byte spans of all pre-tokens of the batch."""
+        joined = "".join(texts)
+        code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        first = np.cumsum([0] + [len(t) for t in texts])
+        kind = self.kinds[code]
+        new_text = np.zeros(len(code) + 1, bool)
+        new_text[first] = True
+        run = np.ones(len(code) + 1, bool)
+        run[1:-1] = kind[1:] != kind[:-1]
+        run |= new_text
+        token = run.copy()
+        after_space = np.flatnonzero(run[1:-1] & ~new_text[1:-1] & (kind[:-1] == 0)) + 1
+        token[after_space - 1] = True
+        token[after_space[code[after_space - 1] == 32]] = False
+        quote = np.flatnonzero((code == 39) & token[:-1] & run[1:] & ~new_text[1:])
+        if len(quote):
+            last = len(code) - 1
+            a, b = code[np.minimum(quote + 1, last)], code[np.minimum(quote + 2, last)]
+            whole = (quote + 2 <= last) & ~new_text[np.minimum(quote + 2, last)]
+            two = np.isin(a, [ord(c) for c in "stmd"])
+            three = whole & (((a == ord("r")) | (a == ord("v"))) & (b == ord("e")) | (a == ord("l")) & (b == ord("l")))
+            at, end = quote[two | three], quote[two | three] + np.where(two[two | three], 2, 3)
+            token[at + 1] = False
+            goes_on = (end <= last) & ~new_text[np.minimum(end, last + 1)] & (kind[np.minimum(end, last)] == 1)
+            token[end[goes_on]] = True
+        begin = np.flatnonzero(token[:-1])
+        width = np.ones(len(code), np.int8)
+        for limit in (0x80, 0x800, 0x10000):
+            width += code >= limit
+        place = np.concatenate([[0], np.cumsum(width, dtype=np.int64)])
+        starts = place[begin]
+        ends = np.append(starts[1:], place[-1])
+        buf = np.frombuffer(joined.encode("utf-8", "surrogatepass"), np.uint8)
+        return buf, starts, ends, np.searchsorted(first[1:], begin, side="right")
+
+    def fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``Codec.fits`` for arrays of tokens, each distinct pair being tested once."""
+        key = left.astype(np.int64) << 20 | right
+        slot = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(43)).astype(np.int64)
+        unknown = np.flatnonzero(self.pair_keys[slot] != key)
+        out = self.pair_fits[slot]
+        if len(unknown):
+            pairs = self.codec.pairs
+            distinct, inverse = np.unique(key[unknown], return_inverse=True)
+            if len(pairs) > CACHED_PAIRS:
+                pairs.clear()
+            fits = np.zeros(len(distinct), bool)
+            for n, k in enumerate(distinct.tolist()):
+                known = pairs.get(k)
+                if known is None:
+                    known = pairs[k] = self.codec.fits(k >> 20, k & 0xFFFFF)
+                fits[n] = known
+            out[unknown] = fits[inverse]
+            self.pair_keys[slot[unknown]] = key[unknown]
+            self.pair_fits[slot[unknown]] = fits[inverse]
+            # of several pairs of one slot the last stays: its own verdict is written again
+            kept = self.pair_keys[slot[unknown]] == key[unknown]
+            self.pair_fits[slot[unknown][kept]] = fits[inverse][kept]
+        return out
+
+    def encode_spans(self, buf: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids, counts)`` of pre-tokens of at most ``LONG`` bytes."""
+        order = np.argsort(-size, kind="stable")
+        starts, size = starts[order], size[order]
+        rows = len(starts)
+        last = np.zeros((rows, int(size[0])), np.int32)
+        state = np.zeros(rows, np.int32)
+        for p in range(int(size[0])):
+            active = int(np.searchsorted(-size, -p, side="left"))  # those longer than p
+            state[:active] = self.step[state[:active], buf[starts[:active] + p]]
+            who = np.arange(active)
+            node = self.found[state[:active]]
+            while len(who):
+                token = self.token_at[node]
+                before = p - self.size[token]
+                ok = before < 0
+                inner = np.flatnonzero(~ok)
+                if len(inner):
+                    ok[inner] = self.fit(last[who[inner], before[inner]], token[inner])
+                last[who[ok], p] = token[ok]
+                who, node = who[~ok], self.shorter[node[~ok]]
+        at, n = size - 1, 0
+        back = np.zeros_like(last)
+        count = np.zeros(rows, np.int64)
+        live = np.arange(rows)
+        while len(live):
+            token = last[live, at[live]]
+            back[live, n] = token
+            count[live] += 1
+            at[live] -= self.size[token]
+            live = live[at[live] >= 0]
+            n += 1
+        where = np.repeat(count, count) - 1 - (np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count))
+        ids = back[np.repeat(np.arange(rows), count), where]
+        counts = np.zeros(rows, np.int64)
+        counts[order] = count
+        first = np.zeros(rows, np.int64)
+        first[order] = np.cumsum(count) - count
+        take = np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(len(ids))
+        return ids[take], counts
+
+    def learn(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Encodes the given distinct pre-tokens: ``(ids, offsets, counts)``."""
+        size = ends - starts
+        counts = np.zeros(len(starts), np.int64)
+        parts = []
+        short = size <= LONG
+        if short.any():
+            ids, counts[short] = self.encode_spans(buf, starts[short], size[short])
+            parts.append(ids)
+        offsets = np.zeros(len(starts), np.int64)
+        offsets[short] = np.cumsum(counts[short]) - counts[short]
+        total = int(counts.sum())
+        for k in np.flatnonzero(~short):
+            ids = np.array(self.codec.encode_pre_token(buf[starts[k] : ends[k]].tobytes().decode("latin-1")), np.int32)
+            offsets[k], counts[k] = total, len(ids)
+            total += len(ids)
+            parts.append(ids)
+        return np.concatenate(parts), offsets, counts
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids, counts)``: ids of all texts after one another, and how many each has.
+
+        Texts with a special string are encoded one by one.
+        """
+        special = self.codec.special
+        plain = ["" if any(s in t for s in special) else t for t in texts]
+        buf, starts, ends, owner = self.pre_tokens(plain)
+        h = hash_spans(buf, starts, ends) | np.uint64(1)  # 0 marks a free slot
+        slot = (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        missing = np.flatnonzero(self.keys[slot] != h)
+        extra = np.zeros(0, np.int32)
+        if len(missing):
+            distinct, first, inverse = np.unique(h[missing], return_index=True, return_inverse=True)
+            at = missing[first]
+            extra, offsets, counts = self.learn(buf, starts[at], ends[at], distinct)
+        entry = self.entry[slot]
+        offset, length = self.offset[entry].astype(np.int64), self.length[entry]
+        source = self.pool[: self.used]
+        if len(missing):
+            offset[missing] = offsets[inverse] + self.used
+            length[missing] = counts[inverse]
+            source = np.concatenate([source, extra])
+        ids = source[np.repeat(offset - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))]
+        per_text = np.bincount(owner, weights=length, minlength=len(texts)).astype(np.int64)
+        if len(missing):
+            self.keep(distinct, extra, offsets, counts)
+        if any(p != t for p, t in zip(plain, texts)):
+            parts = np.split(ids, np.cumsum(per_text)[:-1])
+            for k, t in enumerate(texts):
+                if plain[k] != t:
+                    parts[k] = np.array(self.codec.encode(t), np.int32)
+                    per_text[k] = len(parts[k])
+            ids = np.concatenate(parts)
+        return ids, per_text
+
+    def keep(self, h: np.ndarray, ids: np.ndarray, offsets: np.ndarray, counts: np.ndarray) -> None:
+        """Adds encoded pre-tokens to the table, which starts anew when its pool is full."""
+        if self.used + len(ids) > POOL or self.entries + len(h) > ENTRIES:
+            self.forget()
+            if len(ids) > POOL or len(h) > ENTRIES:
+                return
+        self.pool[self.used : self.used + len(ids)] = ids
+        new = np.arange(self.entries, self.entries + len(h))
+        self.offset[new], self.length[new] = offsets + self.used, counts
+        slot = (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        self.keys[slot], self.entry[slot] = h, new
+        stays = self.keys[slot] == h
+        self.entry[slot[stays]] = new[stays]
+        self.used += len(ids)
+        self.entries += len(h)
+
+
+def _character_kinds() -> np.ndarray:
+    """Kind of every code point for the pre-token pattern: 0 white space, 1 letter, 2 number, 3 other."""
+    kinds = np.full(0x110000, 3, np.uint8)
+    everything = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+    for kind, members in ((1, r"\p{L}+"), (2, r"\p{N}+"), (0, f"[{SPACE}]+")):
+        for run in regex.findall(members, everything):
+            kinds[[ord(c) for c in run]] = kind
+    return kinds
+
+
+def _automaton(codec: Codec):
+    """``(step, found, shorter, token_at)``: next state by (state, byte); the state of the longest
+    token that ends there; the state of the next shorter one; the token of such a state."""
+    children: list[dict[int, int]] = [{}]
+    token_at = [-1]
+    for text, ids in codec.whole.items():
+        node = 0
+        for b in text.encode("latin-1"):
+            nxt = children[node].get(b)
+            if nxt is None:
+                nxt = children[node][b] = len(children)
+                children.append({})
+                token_at.append(-1)
+            node = nxt
+        token_at[node] = ids[0]
+    step = np.zeros((len(children), 256), np.int32)
+    fail, found = [0] * len(children), [0] * len(children)
+    shorter = [0] * len(children)
+    queue = [0]
+    for node in queue:
+        if node:
+            step[node] = step[fail[node]]
+        found[node] = node if token_at[node] >= 0 else found[fail[node]]
+        shorter[node] = found[fail[node]]
+        for b, child in children[node].items():
+            fail[child] = int(step[fail[node], b]) if node else 0
+            step[node, b] = child
+            queue.append(child)
+    return step, np.array(found, np.int32), np.array(shorter, np.int32), np.array(token_at, np.int32)
+
+
+@lru_cache(maxsize=2)
+def batch_encoder(vocabulary: Vocabulary) -> BatchEncoder:
+    """The batch encoder of a vocabulary, built once per process."""
+    return BatchEncoder(codec(vocabulary))
+
+
 @lru_cache(maxsize=2)
 def codec(vocabulary: Vocabulary) -> Codec:
     """The codec of a vocabulary, built once per process."""
     return Codec(vocabulary)
 
 
+def encoded(encoder: BatchEncoder, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(ids, counts)`` of consecutive slices of texts."""
+    for a, b in slices(texts, 2_000_000):
+        yield encoder.encode(texts[a:b])
+
+
 def shared(spark: SparkSession, vocabulary: Vocabulary):
     """The vocabulary (a few MB, fixed by its file) as a broadcast value."""
     return spark.sparkContext.broadcast(vocabulary)
@@ -243,9 +502,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_
 
     @F.pandas_udf("array<int>")
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        c = codec(held.value)
+        encoder = batch_encoder(held.value)
         for batch in texts:
-            yield pd.Series([c.encode(t) if isinstance(t, str) else [] for t in batch])
+            out = []
+            for ids, counts in encoded(encoder, clean(batch)):
+                out += np.split(ids, np.cumsum(counts)[:-1])
+            yield pd.Series(out, dtype=object)
 
     return docs.withColumn(ids_col, ids(F.col(text_col)))
 
@@ -275,15 +537,17 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     held = shared(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(held.value)
+        c, encoder = codec(held.value), batch_encoder(held.value)
         digits = [str(i) for i in range(len(c.tokens))]
         for batch in batches:
             count, of_ids, of_text = [], [], []
-            for text in batch["text"]:
-                ids = c.encode(text) if isinstance(text, str) else []
-                count.append(len(ids))
-                of_ids.append(hashlib.sha256(",".join([digits[i] for i in ids]).encode()).hexdigest())
-                of_text.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
+            for flat, counts in encoded(encoder, clean(batch["text"])):
+                flat, end = flat.tolist(), 0
+                for n in counts.tolist():
+                    ids, end = flat[end : end + n], end + n
+                    count.append(n)
+                    of_ids.append(hashlib.sha256(",".join([digits[i] for i in ids]).encode()).hexdigest())
+                    of_text.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_tokens": count, "ids_sha256": of_ids, "decoded_sha256": of_text})
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInPandas(run, ROUND_TRIP)
