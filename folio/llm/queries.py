@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, jaccard, langid, main_text, quality, rules, secret_scan
+from folio.llm import bpe, decontam, jaccard, langid, main_text, quality, rules, secret_scan
 from folio.sources.tables import table
 
 QUERIES: dict = {}
@@ -112,3 +112,9 @@ def op2_main_text(spark: SparkSession, base: str) -> DataFrame:
     """Main text of every page."""
     found = main_text.extract(table(spark, base, "pages")).select("page_id", "url", "text")
     return found.withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
+@register
+def op6_decontaminate(spark: SparkSession, base: str) -> DataFrame:
+    """Benchmark items found in documents, copied or paraphrased."""
+    return decontam.leaks(table(spark, base, "documents"), table(spark, base, "benchmark"))
