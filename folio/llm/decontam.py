@@ -8,9 +8,9 @@ block is searched in all documents.
 2. The TF-IDF matrix of the passages is decomposed by a randomised SVD: random directions are
    multiplied by ``A'A`` in power iterations, each one a pass over the partitions of passages
    that returns partial products, with a QR step in between.
-3. Every document is cut into overlapping windows.  A window whose words weigh enough to hold a
-   part of the lightest passage is folded into the latent space; passages with cosine at least
-   ``COSINE`` are candidates.
+3. Every document is cut into overlapping windows.  A window whose words could together be the
+   share ``SHARE`` of some passage is folded into the latent space; passages with cosine at least
+   ``COSINE`` that it also covers by ``SHARE`` are candidates.
 4. A candidate is verified on the words themselves: the longest common subsequence must cover
    ``COVER`` of the passage, or ``ANSWER_COVER`` of it if the passage's end (the answer) stands
    in the window word for word.
@@ -34,10 +34,9 @@ from folio.llm.words import ALNUM, clean, slices, word_hashes
 BLOCK_ITEMS = 1000
 PASSAGE, STRIDE = 64, 32
 RANK, OVERSAMPLE, POWER = 256, 8, 2
-COSINE = 0.3
+#: Least cosine, and least length of the window along the passage as a share of the passage's.
+COSINE, SHARE = 0.25, 0.3
 COVER, ANSWER_COVER, ANSWER_WORDS = 0.7, 0.5, 8
-#: Share of the lightest passage's squared weight that a window must have to be folded in.
-LEAST_MASS = 0.25
 #: Passages with fewer words must stand in the text word for word.
 SHORT = 8
 
@@ -171,7 +170,8 @@ class Index:
     idf: np.ndarray
     basis: np.ndarray
     latent: np.ndarray
-    least_mass: float
+    length: np.ndarray
+    share: np.ndarray
 
     def leaks(self, texts: list[str]) -> list[list[dict]]:
         """For each text the benchmark items found in it, best passage of each."""
@@ -195,14 +195,14 @@ class Index:
             return
         index = lookup(words)
         weight = np.where(index >= 0, self.idf[index], 0).astype(np.float64)
-        mass = np.concatenate([[0], np.cumsum(weight * weight)])
+        mass = np.concatenate([[0], np.cumsum(np.where(index >= 0, self.share[index], 0).astype(np.float64))])
         texts, first = np.unique(owner, return_index=True)
         last = np.append(first[1:], len(words))
         count = np.maximum(1, -(-(last - first - PASSAGE) // STRIDE) + 1)
         text = np.repeat(np.arange(len(texts)), count)
         start = first[text] + STRIDE * (np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count))
         end = np.minimum(start + PASSAGE, last[text])
-        heavy = np.flatnonzero(mass[end] - mass[start] >= self.least_mass)
+        heavy = np.flatnonzero(mass[end] - mass[start] >= SHARE)
         for k in range(0, len(heavy), 256):
             part = heavy[k : k + 256]
             size = end[part] - start[part]
@@ -214,9 +214,9 @@ class Index:
             if len(at):
                 begin = np.flatnonzero(np.diff(row, prepend=-1))
                 x[row[begin]] = np.add.reduceat(self.basis[index[at]] * weight[at, None].astype(np.float32), begin)
-            norm = np.linalg.norm(x, axis=1, keepdims=True)
-            cosine = x @ self.latent.T / np.maximum(norm, 1e-9)
-            for i, p in zip(*np.nonzero(cosine >= COSINE)):
+            along = x @ self.latent.T
+            cosine = along / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+            for i, p in zip(*np.nonzero((cosine >= COSINE) & (along >= SHARE * self.length))):
                 t = text[part[i]]
                 around = max(first[t], start[part[i]] - STRIDE), min(last[t], end[part[i]] + STRIDE)
                 yield int(texts[t]), around, self.passages[p], float(cosine[i, p])
@@ -245,18 +245,22 @@ def indexes(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEM
             continue
         vocabulary = np.unique(np.concatenate([p.words for p in held]))
         df, n = document_frequency(docs, vocabulary)
-        idf = np.log((n + 1) / (np.minimum(df, n) + 1)).astype(np.float32) + np.float32(0.01)
-        sparse = []
+        # squared, so that rare words decide
+        idf = np.square(np.log((n + 1) / (np.minimum(df, n) + 1)).astype(np.float32)) + np.float32(0.01)
+        sparse, length = [], []
         for p in held:
             term, tf = np.unique(np.searchsorted(vocabulary, p.words), return_counts=True)
             w = tf * idf[term]
+            length.append(float(np.linalg.norm(w)))
             sparse.append((term.astype(int).tolist(), (w / np.linalg.norm(w)).astype(float).tolist()))
         matrix = docs.sparkSession.createDataFrame(sparse, "term array<int>, weight array<float>").repartition(min(8, len(sparse)))
         basis = latent_basis(matrix, len(vocabulary), len(sparse))
         latent = np.stack([np.asarray(w, np.float32) @ basis[t] for t, w in sparse])
         latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-        mass = min(float((idf[np.searchsorted(vocabulary, p.words)] ** 2).sum()) for p in held)
-        yield Index(held, vocabulary, idf, basis, latent, LEAST_MASS * mass)
+        share = np.zeros(len(vocabulary), np.float32)  # the most that a word is of any passage
+        for (t, w), n in zip(sparse, length):
+            share[t] = np.maximum(share[t], idf[t] * np.asarray(w, np.float32) / n)
+        yield Index(held, vocabulary, idf, basis, latent, np.array(length, np.float32), share)
 
 
 LEAK = "array<struct<item_id: bigint, cosine: double, common: bigint, coverage: double, answer: boolean>>"
