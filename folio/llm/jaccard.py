@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm.components import components
@@ -428,9 +428,14 @@ def link(docs: DataFrame, name: str = "jaccard") -> DataFrame:
 def keep_one(docs: DataFrame, name: str = "jaccard") -> DataFrame:
     """``docs`` without the near copies: the row with the smallest ``doc_id`` of each component.
 
-    Rows without an id and rows without words stay.  Of several rows with one id, equal in set
-    or linked, one stays.
+    Rows without an id, and rows without words, stay.  Of several rows with that id one stays,
+    the one with the smallest text hash.  Only ids and hashes are grouped.
     """
-    kept = materialize(link(docs, name).where("doc_id = component_id").select("doc_id").distinct(), f"{name}-kept")
-    known = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    return known.dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    kept = materialize(link(docs, name).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), f"{name}-kept")
+    known = docs.where("doc_id is not null")
+    out = known.join(kept.where("rows = 1"), "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    if kept.where("rows > 1").limit(1).count():
+        first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *(F.col(c) for c in docs.columns)))
+        repeated = known.join(kept.where("rows > 1"), "doc_id", "left_semi").withColumn("__first", first).where("__first = 1")
+        out = out.unionByName(repeated.select(*docs.columns))
+    return out

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, decontam, jaccard, langid, main_text, quality, rules, secret_scan
+from folio.llm import bpe, decontam, jaccard, langid, main_text, packing, quality, rules, secret_scan, shards
 from folio.sources.tables import table
 
 QUERIES: dict = {}
@@ -118,3 +118,15 @@ def op2_main_text(spark: SparkSession, base: str) -> DataFrame:
 def op6_decontaminate(spark: SparkSession, base: str) -> DataFrame:
     """Benchmark items found in documents, copied or paraphrased."""
     return decontam.leaks(table(spark, base, "documents"), table(spark, base, "benchmark"))
+
+
+@register
+def op5_shards(spark: SparkSession, base: str) -> DataFrame:
+    """Shard and slot of every document; equal texts stay together."""
+    return shards.assign(table(spark, base, "documents"))
+
+
+@register
+def op10_packing(spark: SparkSession, base: str) -> DataFrame:
+    """Packed id matrix rows of all documents."""
+    return packing.pack(table(spark, base, "documents"), vocabulary())
