@@ -62,36 +62,65 @@ def call_with_retry(fn: Callable, arg, policy: RetryPolicy, sleep: Callable[[flo
 def enrich(df: DataFrame, make_client: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]],
            output_schema: T.StructType, *, batch_size: int = 50, on_error: str = "fail",
            default: dict | None = None, policy: RetryPolicy = RetryPolicy(),
-           sleep: Callable[[float], None] = time.sleep, partitions: int | None = None) -> DataFrame:
+           sleep: Callable[[float], None] = time.sleep, partitions: int | None = None,
+           error_col: str | None = None) -> DataFrame:
     """Apply ``make_client()`` (built once per task) to batches of rows.
 
     The client takes a pandas frame of up to ``batch_size`` input rows and returns a frame with
     the columns of ``output_schema`` in the same row order (one row out per row in).  Input
     columns named in ``output_schema`` are passed through when the client does not return them.
     ``partitions`` sets the number of concurrent callers (a service's rate limit, not the
-    input layout, decides it).
+    input layout, decides it).  ``error_col`` names a string column of ``output_schema`` that
+    is null for answered rows and holds the error of a failed one; with ``drop`` such rows are
+    then emitted with their input columns and the reason, for the caller to set aside.
     """
     if on_error not in ("fail", "drop", "default"):
         raise ValueError(f"on_error must be fail, drop or default, not {on_error!r}")
     names = [f.name for f in output_schema.fields]
+    if error_col is not None and error_col not in names:
+        raise ValueError(f"{error_col!r} is not a column of the output schema")
+
+    def answered(client, chunk: pd.DataFrame) -> pd.DataFrame:
+        out = call_with_retry(client, chunk, policy, sleep)
+        if len(out) != len(chunk):
+            raise ValueError(f"the client returned {len(out)} rows for {len(chunk)}")
+        return out.reset_index(drop=True)
+
+    def failed(chunk: pd.DataFrame, exc: Exception) -> Iterator[pd.DataFrame]:
+        """A single failed row as the policy wants it."""
+        if on_error == "drop" and error_col is None:
+            return
+        out = pd.DataFrame({k: [v] for k, v in (default or {}).items()}) if on_error == "default" else pd.DataFrame(index=[0])
+        if error_col is not None:
+            out[error_col] = f"{type(exc).__name__}: {exc}"[:500]
+        yield complete(out, chunk)
+
+    def complete(out: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
+        for col in names:
+            if col not in out.columns:
+                out[col] = chunk[col].to_numpy() if col in chunk.columns else None
+        return out[names]
+
+    def solve(client, chunk: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        try:
+            out = answered(client, chunk)
+        except Exception as exc:  # noqa: BLE001 - the policy decides
+            if on_error == "fail":
+                raise
+            if len(chunk) == 1:
+                yield from failed(chunk, exc)
+                return
+            half = len(chunk) // 2
+            yield from solve(client, chunk.iloc[:half].reset_index(drop=True))
+            yield from solve(client, chunk.iloc[half:].reset_index(drop=True))
+            return
+        yield complete(out, chunk)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make_client()
         for pdf in batches:
             for start in range(0, len(pdf), batch_size):
-                chunk = pdf.iloc[start:start + batch_size].reset_index(drop=True)
-                try:
-                    out = call_with_retry(client, chunk, policy, sleep)
-                except Exception:
-                    if on_error == "fail":
-                        raise
-                    if on_error == "drop":
-                        continue
-                    out = pd.DataFrame({k: [v] * len(chunk) for k, v in (default or {}).items()})
-                for col in names:
-                    if col not in out.columns and col in chunk.columns:
-                        out[col] = chunk[col].to_numpy()
-                yield out[names]
+                yield from solve(client, pdf.iloc[start:start + batch_size].reset_index(drop=True))
 
     if partitions:
         df = df.repartition(partitions)

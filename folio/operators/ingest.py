@@ -6,8 +6,6 @@ validate → append``.  Nothing is batched by hand; the anti-join takes the whol
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,18 +87,28 @@ def skip_existing(incoming: DataFrame, existing_ids: DataFrame, key: str = "corp
     """Incoming rows whose id is not in the store, one row per id (lowest ``tie_break`` wins).
 
     One ``left_anti`` join against the id column only; the store side is column-pruned at the
-    scan.  The in-batch dedupe is a window on the incoming side alone.
+    scan.  The in-batch dedupe is a window on the incoming side alone.  Rows without an id are
+    nobody's duplicate: all of them are kept, for validation to reject.
     """
-    fresh = incoming.join(existing_ids.select(key).distinct(), key, "left_anti")
+    known = incoming.where(F.col(key).isNotNull())
+    fresh = known.join(existing_ids.select(key), key, "left_anti")
     w = Window.partitionBy(key).orderBy(F.col(tie_break).asc_nulls_last())
-    return fresh.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    fresh = fresh.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    return fresh.unionByName(incoming.where(F.col(key).isNull()).select(*fresh.columns))
+
 
+def insert_if_absent(new: DataFrame, target: DataFrame, key: str | None = None) -> DataFrame:
+    """Rows of ``new`` with no identical row (all columns, nulls equal) in ``target``.
 
-def insert_if_absent(new: DataFrame, target: DataFrame) -> DataFrame:
-    """Rows of ``new`` with no identical row (all columns, nulls equal) in ``target``."""
+    The join and the dedupe shuffle ``key`` (the first column by default) and a hash of the
+    row; full rows are then compared, so equal hashes of different rows are told apart.
+    """
     cols = new.columns
-    cond = reduce(lambda a, b: a & b, [new[c].eqNullSafe(target[c]) for c in cols])
-    return new.dropDuplicates(cols).join(target.select(*cols), cond, "left_anti")
+    key = key or cols[0]
+    left = new.dropDuplicates(cols).withColumn("_h", F.xxhash64(*cols))
+    right = target.select(F.col(key).alias("_k"), F.xxhash64(*cols).alias("_th"), F.struct(*cols).alias("_row"))
+    same = left[key].eqNullSafe(right["_k"]) & (left["_h"] == right["_th"]) & F.struct(*[left[c] for c in cols]).eqNullSafe(right["_row"])
+    return left.join(right, same, "left_anti").select(*cols)
 
 
 def embeddable(pages: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folio.operators.bm25 import rank_top
-from folio.session import at_most
+from folio.session import at_most, path_exists
 
 MAX_BROADCAST_QUERIES = 20_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
@@ -298,12 +298,10 @@ def vector_table(spark, path: str, dim: int, vector_type: T.DataType = T.FloatTy
     An existing table is returned as is; its vectors are checked against ``dim`` lazily, so a
     write of a wrong dimension fails the job that reads it.
     """
-    try:
-        existing = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - absent: create it
+    if not path_exists(spark, path):
         schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("vector", T.ArrayType(vector_type))])
         spark.createDataFrame([], schema).write.parquet(path)
-        existing = spark.read.parquet(path)
+    existing = spark.read.parquet(path)
     return check_dimension(existing, dim)
 
 

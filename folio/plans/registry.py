@@ -488,45 +488,46 @@ def enrich_pages(spark: SparkSession, base: str) -> DataFrame:
 
 @register("stream_ingest")
 def stream_ingest(spark: SparkSession, base: str) -> DataFrame:
-    """Corpus files arriving one per trigger (plus a re-delivery of stored pages) →
+    """Corpus files arriving a few per trigger (plus a re-delivery of stored pages) →
     skip-existing → OCR → validate → append; returns the page table."""
     from folio import schemas
     from folio.streaming import jobs
 
     root = new_path(spark, "stream-ingest")
     corpus = fixtures.corpus(spark, base).drop("markdown_content")
-    corpus.repartitionByRange(4, "corpus_id").write.parquet(f"{root}/in")
-    corpus.where(F.col("corpus_id") % 3 == 0).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    jobs.ingest_stream(spark, f"{root}/in", schemas.CORPUS, f"{root}/out", f"{root}/checkpoint")
+    corpus.write.parquet(f"{root}/in")
+    corpus.where(F.col("corpus_id") % 3 == 0).write.mode("append").parquet(f"{root}/in")
+    files = spark.sparkContext.defaultParallelism
+    jobs.ingest_stream(spark, f"{root}/in", schemas.CORPUS, f"{root}/out", f"{root}/checkpoint", max_files=max(1, files // 2))
     return spark.read.parquet(f"{root}/out/pages").drop("batch")
 
 
 @register("stream_thread_state")
 def stream_thread_state(spark: SparkSession, base: str) -> DataFrame:
-    """T2 + W6: turns arriving in four files (turn pairs, rows shuffled) folded per thread
+    """T2 + W6: all turns arriving as files that hold any turns in any order, folded per thread
     with bounded state; equals the batch sticky-year fold."""
     from folio.streaming import jobs
 
     root = new_path(spark, "stream-threads")
+    files = spark.sparkContext.defaultParallelism
     t = fixtures.turns(spark, base)
-    for g in range(4):
-        t.where(F.floor(F.col("turn") / 2) == g).orderBy(F.rand(7)).coalesce(1).write.mode("append").parquet(
-            f"{root}/in")
+    t.repartition(files, F.xxhash64("turn", "thread_id")).write.parquet(f"{root}/in")
     jobs.thread_state_stream(spark, f"{root}/in", t.schema, f"{root}/out", f"{root}/checkpoint",
-                             state_partitions=spark.sparkContext.defaultParallelism)
-    return spark.read.parquet(f"{root}/out").select("thread_id", "turn", "action", "year")
+                             max_files=max(1, files // 3), state_partitions=files)
+    return jobs.current_state(spark, f"{root}/out")
 
 
 @register("stream_embed")
 def stream_embed(spark: SparkSession, base: str) -> DataFrame:
-    """Stored page files arriving one per trigger → embed pages not yet in the vector
+    """Stored page files arriving a few per trigger → embed pages not yet in the vector
     table → append points."""
     from folio.streaming import jobs
 
     root = new_path(spark, "stream-embed")
     pages = catalog.stored_pages(spark, base)
-    pages.repartition(4, "corpus_id").write.parquet(f"{root}/in")
-    jobs.embed_stream(spark, f"{root}/in", pages.schema, f"{root}/out", f"{root}/checkpoint")
+    pages.write.parquet(f"{root}/in")
+    files = spark.sparkContext.defaultParallelism
+    jobs.embed_stream(spark, f"{root}/in", pages.schema, f"{root}/out", f"{root}/checkpoint", max_files=max(1, files // 2))
     pts = spark.read.parquet(f"{root}/out")
     return pts.select("id", F.size("v_idx").cast("bigint").alias("n_entries"), "years")
 

@@ -1,7 +1,7 @@
 """Session helpers: building a session, the shared work folder, materialised tables.
 
 Nothing here reads data.  The work folder is the cluster's ``spark.checkpoint.dir``; a folder
-under ``/tmp`` is only chosen when the session has none (local runs and tests).
+under ``/tmp`` is only chosen when a local session has none (tests, trial runs).
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ LOCAL_CONF = {
 
 def get_spark(master: str = "local[8]", app: str = "folio", **conf: str) -> SparkSession:
     builder = SparkSession.builder.master(master).appName(app)
-    for key, value in {**LOCAL_CONF, **conf}.items():
+    defaults = LOCAL_CONF if master.startswith("local") else {}
+    for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -42,9 +43,10 @@ def get_spark(master: str = "local[8]", app: str = "folio", **conf: str) -> Spar
 def work_root(spark: SparkSession) -> str:
     """The shared folder for materialised tables: ``spark.checkpoint.dir`` of the session.
 
-    When the session names none (local runs, tests) a fresh folder under /tmp is created and
-    registered as the checkpoint folder, so ``DataFrame.checkpoint()`` and written tables land
-    in the same place.
+    When a local session names none, a fresh folder under /tmp is created and registered as
+    the checkpoint folder, so ``DataFrame.checkpoint()`` and written tables land in the same
+    place.  On a cluster a machine-local folder would be a different one on every executor, so
+    a session without the setting is an error there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -52,14 +54,34 @@ def work_root(spark: SparkSession) -> str:
         return current.rstrip("/")
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="folio-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
     return (sc.getCheckpointDir() or configured).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path under the work folder."""
-    return f"{work_root(spark)}/folio/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh, unique path under the application's own part of the work folder."""
+    return f"{work_root(spark)}/folio/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists; a store that cannot be asked is an error, not "absent"."""
+    fs, jvm_path = _file_system(spark, path)
+    return bool(fs.exists(jvm_path))
+
+
+def clean_work(spark: SparkSession) -> None:
+    """Removes what this application wrote to the work folder (its indexes and intermediate
+    tables).  Call it when no result that reads them is needed any more."""
+    fs, jvm_path = _file_system(spark, f"{work_root(spark)}/folio/{spark.sparkContext.applicationId}")
+    fs.delete(jvm_path, True)
 
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:

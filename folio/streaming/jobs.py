@@ -9,10 +9,11 @@ writes to the exactly-once parquet file sink.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -20,15 +21,16 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from folio.functions.embed import DEFAULT_DIM, hashed_embedding
 from folio.functions.enrich import enrich, ocr_stand_in
 from folio.operators import conversation, ingest
+from folio.session import path_exists
 
 
 def _stored(spark: SparkSession, path: str, batch_id: int, cols: list[str]) -> DataFrame | None:
-    """Rows of earlier batches of a ``batch=<id>``-partitioned table (None when empty)."""
-    try:
-        t = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - the table does not exist before the first batch
+    """Rows of earlier batches of a ``batch=<id>``-partitioned table (None before the first).
+
+    Only a missing path means "nothing stored"; any other failure to read fails the batch."""
+    if not path_exists(spark, path):
         return None
-    return t.where(F.col("batch") != batch_id).select(*cols)
+    return spark.read.parquet(path).where(F.col("batch") != batch_id).select(*cols)
 
 
 def _run(query_builder, checkpoint: str, max_files: int | None = None):
@@ -73,7 +75,8 @@ def embed_stream(spark: SparkSession, source_dir: str, schema: T.StructType, tar
         stored = _stored(spark, target, batch_id, ["id"])
         if stored is not None:
             pages = pages.join(stored.withColumnRenamed("id", "corpus_id"), "corpus_id", "left_anti")
-        pages = pages.dropDuplicates(["corpus_id"])
+        first = Window.partitionBy("corpus_id").orderBy(*[F.col(c).asc_nulls_last() for c in pages.columns if c != "corpus_id"])
+        pages = pages.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
         vecs = hashed_embedding(pages.select(F.col("corpus_id").alias("id"), "markdown_content"), ["id"],
                                 "markdown_content", dim)
         years = pages.select(F.col("corpus_id").alias("id"), F.col("probable_referenced_years").alias("years"))
@@ -82,13 +85,20 @@ def embed_stream(spark: SparkSession, source_dir: str, schema: T.StructType, tar
     _run(src.writeStream.foreachBatch(per_batch), checkpoint)
 
 
+#: User turns of a thread that a late turn may still be sorted into; older ones are settled.
+LOG_TURNS = 512
+
 STATE_SCHEMA = T.StructType([
-    T.StructField("last_turn", T.IntegerType()),
-    T.StructField("has_year", T.BooleanType()),
-    T.StructField("year", T.IntegerType()),
+    T.StructField("settled_turn", T.IntegerType()),
+    T.StructField("settled_year", T.IntegerType()),
+    T.StructField("turns", T.ArrayType(T.IntegerType())),
+    T.StructField("actions", T.ArrayType(T.StringType())),
+    T.StructField("values", T.ArrayType(T.IntegerType())),
+    T.StructField("years", T.ArrayType(T.IntegerType())),
     T.StructField("hist_turns", T.ArrayType(T.IntegerType())),
     T.StructField("hist_roles", T.ArrayType(T.StringType())),
     T.StructField("hist_contents", T.ArrayType(T.StringType())),
+    T.StructField("revision", T.IntegerType()),
 ])
 THREAD_OUTPUT = T.StructType([
     T.StructField("thread_id", T.LongType()),
@@ -96,62 +106,129 @@ THREAD_OUTPUT = T.StructType([
     T.StructField("action", T.StringType()),
     T.StructField("year", T.IntegerType()),
     T.StructField("history_size", T.IntegerType()),
+    T.StructField("revision", T.IntegerType()),
+    T.StructField("reason", T.StringType()),
+    T.StructField("kind", T.StringType()),
 ])
 
 
-def _fold_thread(key, batches: Iterator[pd.DataFrame], state):
-    """Per-thread fold over one micro-batch: rows sorted by turn, turns at or before the last
-    seen turn dropped (they cannot be re-folded), year updated for user turns, history trimmed
-    to the last ``HISTORY_KEEP + 1`` messages.  The state stays bounded."""
-    if state.exists:
-        last_turn, has_year, year, h_t, h_r, h_c = state.get
-        h_t, h_r, h_c = list(h_t), list(h_r), list(h_c)
-    else:
-        last_turn, has_year, year, h_t, h_r, h_c = -1, False, None, [], [], []
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values("turn", kind="stable")
-    out = []
+def _next_year(year: int | None, action: str, value) -> int | None:
+    if action == "SET":
+        return int(value)
+    if action == "CLEAR":
+        return None
+    return year + int(value) if action == "RELATIVE" and year is not None else year
+
+
+def _fold_thread(ttl_ms: int | None, log_turns: int = LOG_TURNS):
+    """The per-thread fold: turns may arrive in any order.
+
+    The state is a bounded, ordered log of the last ``log_turns`` user turns with their
+    actions and years, the year settled before it, and the last ``HISTORY_KEEP + 1`` messages.
+    A turn is sorted into the log, the years after it are folded again, and a row is emitted
+    for it and for each later turn whose year changed, with a higher ``revision``.  A turn
+    that belongs before the log, or one that is already in it, is emitted as ``kind = late``
+    with the reason instead.  Batches are folded one at a time, so a thread with very many
+    turns is never held whole.
+    """
     keep = conversation.HISTORY_KEEP + 1
-    for row in pdf.itertuples(index=False):
-        turn = int(row.turn)
-        if turn <= last_turn:
-            continue
-        last_turn = turn
-        h_t.append(turn), h_r.append(row.role), h_c.append(row.content)
-        h_t, h_r, h_c = h_t[-keep:], h_r[-keep:], h_c[-keep:]
-        if row.role != "user":
-            continue
-        if row.action == "SET":
-            has_year, year = True, int(row.value)
-        elif row.action == "CLEAR":
-            has_year, year = False, None
-        elif row.action == "RELATIVE" and has_year:
-            year = year + int(row.value)
-        out.append((int(key[0]), turn, row.action, year if has_year else None, len(h_t)))
-    state.update((last_turn, has_year, year, h_t, h_r, h_c))
-    if out:
-        yield pd.DataFrame(out, columns=[f.name for f in THREAD_OUTPUT.fields]).astype(
-            {"year": "Int32", "turn": "int32", "history_size": "int32"})
+
+    def fold(key, batches: Iterator[pd.DataFrame], state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        if state.exists:
+            settled, base, turns, actions, values, years, h_t, h_r, h_c, revision = state.get
+            turns, actions, values, years = list(turns), list(actions), list(values), list(years)
+            history = list(zip(h_t, h_r, h_c))
+        else:
+            settled, base, turns, actions, values, years, history, revision = -1, None, [], [], [], [], [], 0
+        for pdf in batches:
+            out = []
+            revision += 1
+            new: set[int] = set()
+            for row in pdf.sort_values("turn", kind="stable").itertuples(index=False):
+                turn = int(row.turn)
+                if turn not in {m[0] for m in history}:
+                    history = sorted([*history, (turn, row.role, row.content)], key=lambda m: m[0])[-keep:]
+                if row.role != "user":
+                    continue
+                at = bisect.bisect_left(turns, turn)
+                known = at < len(turns) and turns[at] == turn
+                if known or turn <= settled:
+                    reason = "repeated turn" if known else f"turn before the {log_turns} that are kept"
+                    out.append((int(key[0]), turn, row.action, None, len(history), revision, reason, "late"))
+                    continue
+                turns.insert(at, turn)
+                actions.insert(at, row.action)
+                values.insert(at, None if pd.isna(row.value) else int(row.value))
+                years.insert(at, None)
+                new.add(turn)
+            if new:
+                first = bisect.bisect_left(turns, min(new))
+                year = years[first - 1] if first else base
+                for k in range(first, len(turns)):
+                    year = _next_year(year, actions[k], values[k])
+                    if turns[k] in new or year != years[k]:
+                        years[k] = year
+                        out.append((int(key[0]), turns[k], actions[k], year, len(history), revision, None, "state"))
+            over = len(turns) - log_turns
+            if over > 0:
+                settled, base = turns[over - 1], years[over - 1]
+                turns, actions, values, years = turns[over:], actions[over:], values[over:], years[over:]
+            if out:
+                yield pd.DataFrame(out, columns=[f.name for f in THREAD_OUTPUT.fields]).astype(
+                    {"year": "Int32", "turn": "int32", "history_size": "int32", "revision": "int32"})
+        h_t, h_r, h_c = ([list(c) for c in zip(*history)] if history else ([], [], []))
+        state.update((settled, base, turns, actions, values, years, h_t, h_r, h_c, revision))
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
+
+    return fold
 
 
 def thread_state_stream(spark: SparkSession, source_dir: str, schema: T.StructType, output: str, checkpoint: str,
-                        max_files: int = 1, state_partitions: int | None = None) -> None:
-    """Conversation turns arriving as files → per-thread sticky year and bounded history,
-    one output row per user turn (append mode, parquet file sink).
+                        max_files: int = 1, state_partitions: int | None = None, ttl_ms: int | None = None,
+                        log_turns: int = LOG_TURNS) -> None:
+    """Conversation turns arriving as files, in any order → per-thread sticky year and bounded
+    history (append mode, parquet file sink partitioned by ``kind``).
+
+    ``kind=state`` has a row per user turn and revision; ``current_state`` reads the latest.
+    ``kind=late`` is the side table of turns that could not be folded, with the reason.  With
+    ``ttl_ms`` the state of a thread without turns for so long (processing time) is removed; its
+    later turns start a new thread state.
 
     ``state_partitions`` fixes the number of state-store partitions when the checkpoint is
     new (Spark records it in the checkpoint; streaming has no adaptive coalescing), and the
-    session setting is restored afterwards."""
+    session setting is restored afterwards.  Expiry is looked at in batches that bring data."""
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source_dir)
     acted = src.select("thread_id", "turn", "role", "content",
                        conversation.year_action(F.col("content")).alias("a")).select(
         "thread_id", "turn", "role", "content", F.col("a.action").alias("action"), F.col("a.value").alias("value"))
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
     out = acted.groupBy("thread_id").applyInPandasWithState(
-        _fold_thread, THREAD_OUTPUT, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-    key = "spark.sql.shuffle.partitions"
-    previous = spark.conf.get(key)
-    if state_partitions:
-        spark.conf.set(key, str(state_partitions))
+        _fold_thread(ttl_ms, log_turns), THREAD_OUTPUT, STATE_SCHEMA, "append", timeout)
+    settings = {"spark.sql.shuffle.partitions": str(state_partitions)} if state_partitions else {}
+    if ttl_ms:  # else a run over the files at hand would go on with empty batches for ever
+        settings["spark.sql.streaming.noDataMicroBatches.enabled"] = "false"
+    previous = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
-        _run(out.writeStream.format("parquet").option("path", output).outputMode("append"), checkpoint)
+        sink = out.writeStream.format("parquet").option("path", output).partitionBy("kind").outputMode("append")
+        _run(sink, checkpoint)
     finally:
-        spark.conf.set(key, previous)
+        for k, v in previous.items():
+            spark.conf.set(k, v)
+
+
+def current_state(spark: SparkSession, output: str) -> DataFrame:
+    """``(thread_id, turn, action, year)`` of the latest revision of every folded user turn."""
+    rows = spark.read.schema(THREAD_OUTPUT).parquet(output).where("kind = 'state'")
+    latest = rows.groupBy("thread_id", "turn").agg(F.max_by(F.struct("action", "year"), "revision").alias("r"))
+    return latest.select("thread_id", "turn", "r.action", "r.year")
+
+
+def late_turns(spark: SparkSession, output: str) -> DataFrame:
+    """``(thread_id, turn, reason)`` of the turns that were not folded."""
+    return spark.read.schema(THREAD_OUTPUT).parquet(output).where("kind = 'late'").select("thread_id", "turn", "reason")

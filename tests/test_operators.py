@@ -10,7 +10,9 @@ from pyspark.sql import types as T
 
 from folio.functions import enrich as E
 from folio.functions.text import clean_text, mentioned_year, page_number, referenced_years, tokens
+from folio import session
 from folio.operators import answers, bm25, conversation, evaluation, fusion, ingest, vectors
+from folio.operators.passages import containment_pairs
 from folio.session import new_path
 
 
@@ -244,10 +246,69 @@ def test_enrich_error_policies(spark):
         return call
 
     got = E.enrich(df.coalesce(1), make, schema, batch_size=2, on_error="drop", policy=E.NO_WAIT)
-    assert sorted(rows(got, "id", "y")) == [(0, "v0"), (1, "v1"), (4, "v4")]
+    assert sorted(rows(got, "id", "y")) == [(0, "v0"), (1, "v1"), (2, "v2"), (4, "v4")]
     got = E.enrich(df.coalesce(1), make, schema, batch_size=2, on_error="default", policy=E.NO_WAIT,
                    default={"y": "Error"})
-    assert sorted(rows(got, "id", "y"))[2:4] == [(2, "Error"), (3, "Error")]
+    assert sorted(rows(got, "id", "y")) == [(0, "v0"), (1, "v1"), (2, "v2"), (3, "Error"), (4, "v4")]
+
+
+def test_enrich_loses_only_the_bad_row_and_keeps_its_reason(spark):
+    df = spark.createDataFrame([(i, bytes([0xFF, 0xFE]) if i == 41 else str(i).encode()) for i in range(100)], "id long, image binary")
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("markdown_content", T.StringType()),
+                           T.StructField("error", T.StringType())])
+    for mode in ("default", "drop"):
+        got = E.enrich(df.coalesce(1), E.ocr_stand_in, schema, batch_size=50, on_error=mode, policy=E.NO_WAIT,
+                       default={"markdown_content": None}, error_col="error").collect()
+        assert len(got) == 100
+        assert [r["id"] for r in got if r["markdown_content"] is None] == [41]
+        assert [(r["id"], r["error"].split(":")[0]) for r in got if r["error"] is not None] == [(41, "UnicodeDecodeError")]
+
+
+def test_enrich_fails_on_a_row_count_mismatch(spark):
+    df = spark.createDataFrame([(i,) for i in range(4)], "id long")
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("y", T.StringType())])
+
+    def make():
+        return lambda b: pd.DataFrame({"y": ["only one"]})
+
+    with pytest.raises(Exception, match="returned 1 rows for 4"):
+        E.enrich(df.coalesce(1), make, schema, batch_size=4, policy=E.NO_WAIT).collect()
+    got = E.enrich(df.coalesce(1), make, schema, batch_size=4, on_error="default", default={"y": "x"}, policy=E.NO_WAIT)
+    assert got.count() == 4
+
+
+def test_null_ids_reach_the_rejects(spark):
+    corpus = spark.createDataFrame(
+        [(1, "a_2013", "a_2013_page_1.png", "x"), (None, "a_2013", "a_2013_page_2.png", "y"), (None, "a_2013", "a_2013_page_2.png", "y")],
+        "corpus_id long, doc_key string, image_filename string, markdown_content string")
+    v = ingest.ingest(corpus, spark.createDataFrame([(None,), (7,)], "corpus_id long"))
+    assert sorted(str(r) for r in rows(ingest.rejected(v), "corpus_id", "reject_reason")) == ["(None, 'null_id')"] * 2
+    assert rows(ingest.accepted(v), "corpus_id") == [(1,)]
+
+
+def test_containment_of_short_and_tokenless_passages(spark):
+    docs = [(1, "abc def"), (2, "x *** y"), (3, "bc"), (4, ""), (5, None), (6, "one two three four five"), (7, "zé—q")]
+    passages = [(1, "bc de"), (2, "***"), (3, "b"), (4, ""), (5, None), (6, "ne two three fo"), (7, "é—"), (8, "three"), (9, "nowhere to be found")]
+    got = containment_pairs(spark.createDataFrame(passages, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string"))
+    want = {(p, d) for p, t in passages for d, x in docs if t is not None and x is not None and t in x}
+    assert {(r["item_id"], r["doc_id"]) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.work_root(Session())
 
 
 # ---------------------------------------------------------------- plans

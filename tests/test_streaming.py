@@ -1,9 +1,11 @@
 """Incremental ingest: re-running with the same checkpoint adds nothing; a new file that
 re-delivers stored pages only appends the new ones."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from folio import schemas
+from folio.operators import conversation
 from folio.session import new_path
 from folio.streaming import jobs
 
@@ -30,3 +32,59 @@ def test_ingest_stream_is_incremental_and_idempotent(spark):
     got = out.where("corpus_id = 7").select("markdown_content", "text_content", "page").first()
     assert (got[0], got[1], got[2]) == ("page 7 text", "page 7 text", 7)
     assert out.select(F.countDistinct("batch")).first()[0] == 2
+
+
+def _turns(threads, turns):
+    phrases = ["Revenue in 2011?", "And the year before?", "Who leads the board? New topic", "Tell me more.", "What about FY24?", "And the year after?"]
+    return [(t, n, "user" if n % 3 != 2 else "assistant", phrases[(t * 5 + n * 3) % 6]) for t in range(threads) for n in range(turns)]
+
+
+SCHEMA = "thread_id long, turn int, role string, content string"
+
+
+def _run_threads(spark, files, name, **options):
+    root = new_path(spark, name)
+    for rows in files:
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        jobs.thread_state_stream(spark, f"{root}/in", spark.createDataFrame([], SCHEMA).schema, f"{root}/out", f"{root}/ck",
+                                 state_partitions=2, **options)
+    return root
+
+
+def test_thread_state_equals_the_batch_fold_in_any_order(spark):
+    rows = _turns(4, 14)
+    want = sorted(map(tuple, conversation.sticky_year(spark.createDataFrame(rows, SCHEMA)).collect()))
+    reverse = [[r for r in rows if 5 * k <= r[1] < 5 * k + 5] for k in (2, 1, 0)]
+    root = _run_threads(spark, reverse, "t-reverse")
+    got = jobs.current_state(spark, f"{root}/out")
+    assert sorted(map(tuple, got.select("thread_id", "turn", "action", "year").collect())) == want
+    assert jobs.late_turns(spark, f"{root}/out").count() == 0
+
+
+def test_turns_before_the_log_go_to_the_side_table(spark):
+    rows = _turns(1, 12)
+    root = _run_threads(spark, [rows[6:], rows[:6], rows[11:]], "t-late", log_turns=2)
+    late = sorted((r["turn"], r["reason"]) for r in jobs.late_turns(spark, f"{root}/out").collect())
+    assert [t for t, _ in late] == [r[1] for r in rows[:6] if r[2] == "user"]
+    assert all("before" in r for _, r in late)
+    assert {r["turn"] for r in jobs.current_state(spark, f"{root}/out").collect()} == {r[1] for r in rows[6:] if r[2] == "user"}
+
+
+def test_thread_state_expires(spark):
+    rows = [(1, 0, "user", "Revenue in 2011?"), (2, 0, "user", "Revenue in 2012?")]
+    later = [(1, 1, "user", "And the year before?")]
+    root = new_path(spark, "t-ttl")
+    for part in (rows, later):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        jobs.thread_state_stream(spark, f"{root}/in", spark.createDataFrame([], SCHEMA).schema, f"{root}/out", f"{root}/ck", state_partitions=2, ttl_ms=600_000)
+    got = {(r["thread_id"], r["turn"]): r["year"] for r in jobs.current_state(spark, f"{root}/out").collect()}
+    assert got == {(1, 0): 2011, (2, 0): 2012, (1, 1): 2010}
+
+
+def test_a_store_that_cannot_be_read_is_an_error(spark, tmp_path):
+    target = tmp_path / "pages"
+    target.mkdir()
+    (target / "part-0.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        jobs._stored(spark, str(target), 0, ["corpus_id"]).count()
+    assert jobs._stored(spark, str(tmp_path / "none"), 0, ["corpus_id"]) is None
