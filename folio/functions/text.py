@@ -7,6 +7,9 @@ crosses into Python.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,30 +26,34 @@ YEAR_MENTION = r"(?:^|" + NON_WORD + r")((?:19|20)[0-9]{2})(?:" + NON_WORD + r"|
 # Page number in a file name, first match of this pattern, group 1.
 PAGE_PATTERN = r"_page_([0-9]+)"
 
-# Named character references decoded by ``clean_text``, in this order.
-# "&amp;" stays last so that "&amp;lt;" becomes "&lt;" and not "<".
-HTML_ENTITIES = [
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&apos;", "'"),
-    ("&nbsp;", " "),
-    ("&copy;", "©"),
-    ("&reg;", "®"),
-    ("&middot;", "·"),
-    ("&mdash;", "—"),
-    ("&ndash;", "–"),
-    ("&hellip;", "…"),
-    ("&amp;", "&"),
-]
+# A fiscal year such as FY24, FY 2024 or FY'24; group 1 is its two or four digits.
+FISCAL_YEAR = r"(?i)(?:^|" + NON_WORD + r")FY[ '’-]?((?:20)?[0-9]{2})(?:" + NON_WORD + r"|$)"
+
+# A character reference after its "&"; group 1 is a number or a name.
+REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+REPLACEMENT = "�"
+
+
+def named_references() -> dict[str, str]:
+    """All named character references of HTML 5 that end in a semicolon, without it."""
+    return {name[:-1]: char for name, char in sorted(html5.items()) if name.endswith(";")}
 
+
+_EDGE = r"[^\p{L}\p{N}_]"
 # Cleaning steps: (pattern, replacement) applied in order by ``clean_text``.  Script and style
-# bodies and comments go first because scripts may hold tag-like strings such as "</p>".
+# bodies and comments go first because scripts may hold tag-like strings such as "</p>"; line
+# marks (quotes, lists, headings) before emphasis, so that a list star opens no emphasis.
+_STAR = (r"(^|[^\p{L}\p{N}_*])\*([^*\s]|[^*\s][^*\n]*[^*\s])\*([^\p{L}\p{N}_*]|$)", "$1$2$3")
+_UNDERSCORE = (r"(^|" + _EDGE + r")_([^_\s]|[^_\s][^_\n]*[^_\s])_(" + _EDGE + r"|$)", "$1$2$3")
 CLEAN_STEPS = [
     (r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", " "),
     (r"!?\[([^\]]*)\]\([^)]*\)", "$1"),
-    (r"(?m)^[ \t]{0,3}#{1,6}[ \t]*|\*\*|__|`", ""),
+    (r"(^|\n)[ \t]*(?:>[ \t]?)+", "$1"),
+    (r"(^|\n)[ \t]*(?:[-*+]|[0-9]{1,3}[.)])[ \t]+", "$1"),
+    (r"(^|\n)[ \t]{0,3}#{1,6}[ \t]*", "$1"),
+    (r"\*\*|`", ""),
+    (r"(^|" + _EDGE + r")__([^\n]*?[^_\n])__(" + _EDGE + r"|$)", "$1$2$3"),
+    _STAR, _STAR, _UNDERSCORE, _UNDERSCORE,  # twice: neighbours share the character between them
     (r"<[A-Za-z/!][^>]*>", " "),
 ]
 WHITESPACE = r"[ \t\n\r\f]+"
@@ -60,22 +67,39 @@ def tokens(text: Column) -> Column:
 def clean_text(text: Column, collapse_whitespace: bool = True) -> Column:
     """Markdown or HTML → plain text, as a chain of regular-expression rewrites.
 
-    Drops script/style bodies and comments, unwraps markdown links and images, removes
-    heading marks, ``**``/``__``/backticks and tags, decodes the fixed entity list, and
-    (by default) collapses whitespace runs to one space and trims.
+    Drops script/style bodies and comments, unwraps markdown links and images, removes quote,
+    list and heading marks, bold and emphasis marks (``__`` and ``_`` inside words stay),
+    backticks and tags, decodes character references, and (by default) collapses whitespace
+    runs to one space and trims.
     """
     out = text
     for pattern, repl in CLEAN_STEPS:
         out = F.regexp_replace(out, pattern, repl)
-    decoded = out
-    for entity, char in HTML_ENTITIES:
-        decoded = F.replace(decoded, F.lit(entity), F.lit(char))
-    out = F.when(F.instr(out, "&") > 0, decoded).otherwise(out)
+    out = F.when(F.instr(out, "&") > 0, decode_references(out)).otherwise(out)
     if collapse_whitespace:
         out = F.trim(F.regexp_replace(out, WHITESPACE, " "))
     return out
 
 
+def decode_references(text: Column) -> Column:
+    """Decodes ``&name;``, ``&#n;`` and ``&#xh;`` once, left to right; unknown names and
+    references without a semicolon stay, numbers that are no character become U+FFFD."""
+    names = F.from_json(F.lit(json.dumps(named_references())), "map<string,string>")
+
+    def decoded(piece: Column) -> Column:
+        ref = F.regexp_extract(piece, REFERENCE, 1)
+        rest = F.substr(piece, F.length(ref) + 2)
+        number = F.when(F.lower(F.substring(ref, 2, 1)) == "x", F.conv(F.substr(ref, F.lit(3)), 16, 10)).otherwise(
+            F.substr(ref, F.lit(2))).try_cast("int")
+        real = ((number > 0) & (number < 0xD800)) | ((number > 0xDFFF) & (number <= 0x10FFFF))
+        char = F.when(real, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise(F.lit(REPLACEMENT))
+        value = F.when(F.substring(ref, 1, 1) == "#", char).otherwise(F.try_element_at(names, ref))
+        return F.when((ref != "") & value.isNotNull(), F.concat(value, rest)).otherwise(F.concat(F.lit("&"), piece))
+
+    pieces = F.split(text, "&")
+    return F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, 2, 1_000_000_000), decoded), ""))
+
+
 def publication_year(doc_key: Column) -> Column:
     """Last four characters of the document key as INT; null when not a number."""
     return F.right(doc_key, F.lit(4)).try_cast("int")
@@ -93,8 +117,11 @@ def page_number(file_name: Column) -> Column:
 
 
 def mentioned_year(text: Column) -> Column:
-    """First year mention (1900–2099) in free text as INT; null when none."""
-    return F.regexp_extract(text, YEAR_MENTION, 1).try_cast("int")
+    """First year mention (1900–2099) in free text as INT, else the first fiscal year (FY24,
+    FY2024); null when none."""
+    fiscal = F.regexp_extract(text, FISCAL_YEAR, 1).try_cast("int")
+    return F.coalesce(
+        F.regexp_extract(text, YEAR_MENTION, 1).try_cast("int"), F.when(fiscal < 100, fiscal + 2000).otherwise(fiscal))
 
 
 def words(alternatives: str) -> str:

@@ -18,7 +18,7 @@ from folio.functions.text import mentioned_year, words
 # Phrases that move the active year (case-insensitive, whole words).
 RELATIVE_BACK = words("the year before|previous year|prior year|a year earlier")
 RELATIVE_FORWARD = words("the year after|following year|next year|a year later")
-TOPIC_CHANGE = words("who is the ceo|what does this company do|what does the company do|change of topic|new topic")
+TOPIC_CHANGE = words("change of topic|new topic|another subject|who leads the board")
 # Lexicon of the relevance router.
 FINANCIAL_TERMS = words("revenue|revenues|profit|profits|income|cost|costs|earnings|margin|cash|debt|"
                         "dividend|dividends|sales|report|reports|year|fiscal|quarter")
@@ -158,3 +158,25 @@ def trim_history(turns: DataFrame, new_messages: DataFrame, keep: int = HISTORY_
         "turn", (F.col("_last") + F.row_number().over(w)).cast("int")).drop("_last")
     return kept.select("thread_id", "turn", "role", "content").unionByName(
         new.select("thread_id", "turn", "role", "content"))
+
+
+def context_aware_query(turns: DataFrame) -> DataFrame:
+    """User turns with ``search_text``, the question as it is searched: by default the previous
+    user message of the thread followed by the question (a model's rewriting can be plugged in
+    as this column)."""
+    before = F.lag("content").over(Window.partitionBy("thread_id").orderBy("turn"))
+    return user_turns(turns).select("thread_id", "turn", "content", F.concat_ws(" ", before, F.col("content")).alias("search_text"))
+
+
+def running_transcript(turns: DataFrame, keep: int = HISTORY_KEEP) -> DataFrame:
+    """For each user turn the messages retained at that point (the last ``keep`` and the turn
+    itself) as transcript lines, and the last ``keep`` up to it as ``role: content`` lines."""
+    speaker = F.coalesce(*[F.when(F.col("role") == r, F.lit(p)) for r, p in SPEAKER.items()], F.col("role"))
+    content = F.coalesce(F.col("content"), F.lit(""))
+    thread = Window.partitionBy("thread_id").orderBy("turn")
+    rows = turns.select(
+        "thread_id", "turn", "role",
+        F.collect_list(F.concat(speaker, F.lit(": "), content)).over(thread.rowsBetween(-keep, 0)).alias("said"),
+        F.collect_list(F.concat(F.coalesce("role", F.lit("unknown")), F.lit(": "), content)).over(thread.rowsBetween(1 - keep, 0)).alias("kept"),
+    )
+    return user_turns(rows).select("thread_id", "turn", F.array_join("said", "\n").alias("dialogue"), F.array_join("kept", "\n").alias("kept"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from folio.functions.embed import DEFAULT_DIM, hashed_embedding
 from folio.functions.text import WHITESPACE, tokens
 from folio.operators.bm25 import TextIndex, bm25_topk
-from folio.operators.vectors import DENSE, sparse, vector_topk
+from folio.operators.vectors import DENSE, payload_filter, sparse, vector_topk
 from folio.session import bounded_broadcast, materialize
 
 # Over-fetch factor of each candidate list and fusion constant factor
@@ -129,16 +129,33 @@ def rerank(fused: DataFrame, queries: DataFrame, pages: DataFrame, top_k: int, k
 YEAR_KEY = "probable_referenced_years"
 
 
+def filtered_points(points: DataFrame, filters: dict | None) -> DataFrame:
+    """Points that fit every payload filter; ``probable_referenced_years`` is the points'
+    ``years`` and coerced to INT (empty or zero: no filter).  An unknown field is an error."""
+    wanted = {}
+    for field, value in (filters or {}).items():
+        if field == YEAR_KEY:
+            if value:
+                wanted["years"] = int(value)
+        else:
+            wanted[field] = value
+    unknown = sorted(set(wanted) - set(points.columns))
+    if unknown:
+        raise ValueError(f"no payload field named {', '.join(unknown)}")
+    return points.where(payload_filter(points, wanted)) if wanted else points
+
+
 def hybrid_retrieve(queries: DataFrame, index: TextIndex, points: DataFrame, pages: DataFrame,
                     top_k: int = 5, year_col: str | None = None, key: str = "query_id",
                     text_col: str = "text", response: Column | None = None,
                     filters: dict | None = None, embed=hashed_embedding, scorer=None) -> DataFrame:
     """End-to-end retrieval for a table of queries.
 
-    The year filter is either per query (``year_col``) or one for all queries
-    (``filters={"probable_referenced_years": y}``, coerced to INT; a missing, zero or empty
-    value is no filter).  Both searches apply it before their top-k.
+    ``filters`` hold for all queries: the vector search honours every payload field, the text
+    search the year alone.  A year per query is given by ``year_col`` instead; both searches
+    apply it.  All filters come before the top-k.
     """
+    points = filtered_points(points, filters)
     if filters and filters.get(YEAR_KEY) and year_col is None:
         queries = queries.withColumn("_year", F.lit(str(filters[YEAR_KEY])).try_cast("int"))
         year_col = "_year"

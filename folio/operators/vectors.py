@@ -1,13 +1,14 @@
 """Vector points, payload filters and exact / approximate cosine top-k.
 
-Exact top-k has two physical strategies, chosen by a row-count check on the query table:
+Exact top-k has two physical strategies, chosen by the size of the query table:
 
-* **broadcast** (queries proven small): the query block is broadcast once and every task scans
-  its slice of the points with ``mapInPandas``, scoring Arrow batches as one matrix product and
-  keeping only per-query candidates; the points are never shuffled.
-* **blocked** (any size): queries and points are cut into hash blocks; each (query block,
-  point block) pair meets in one ``cogroup`` group, so memory per task is bounded by two blocks
-  and nothing is broadcast.  Each group emits at most ~k rows per query.
+* **broadcast** (query block proven small in bytes): the block is broadcast once and every task
+  scans its slice of the points with ``mapInPandas``, scoring tiles of queries against Arrow
+  batches of points as matrix products and keeping only per-query candidates; the points are
+  never shuffled.
+* **blocked** (any size): the larger side is cut into hash blocks and shuffled once, the
+  smaller side is replicated to the blocks; a task holds one block and streams the other side
+  past it, so memory is bounded by a block and nothing is broadcast.
 
 Both emit candidates, not pairs: per query the rows whose score is within 1e-6 of the local
 k-th best (ties at the cut are kept), and a final ``row_number`` over
@@ -32,7 +33,9 @@ from folio.session import at_most, path_exists
 
 MAX_BROADCAST_QUERIES = 20_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-BLOCK_ROWS = 4096
+#: Rows of a held block; queries scored against a batch at once; rows of a streamed batch.
+BLOCK_ROWS = 16384
+TILE_ROWS = 512
 TIE_TOLERANCE = 1e-6
 
 
@@ -50,7 +53,8 @@ class VecCols:
 
     def present(self) -> Column:
         cols = self.columns()
-        return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
+        full = [F.size(self.vector) > 0] if self.vector else []
+        return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols] + full)
 
 
 DENSE = VecCols()
@@ -119,6 +123,21 @@ def _prune(qi: np.ndarray, pid: np.ndarray, sc: np.ndarray, k: int):
     return qi[keep], pid[keep], sc[keep]
 
 
+def _score_tiles(q, q_ok, q_self, q_year, ppdf, pc, id_col, years_col, k):
+    """Candidates of a query block against a frame of points, ``TILE_ROWS`` queries at a time, so
+    that the score matrix stays small whatever the size of the block."""
+    parts = []
+    for t in range(0, len(q), TILE_ROWS):
+        cut = slice(t, t + TILE_ROWS)
+        qi, pid, sc = _score_block(q[cut], q_ok[cut], None if q_self is None else q_self[cut],
+                                   None if q_year is None else q_year[cut], ppdf, pc, id_col, years_col, k)
+        parts.append((qi + t, pid, sc))
+    if not parts:
+        e = np.zeros(0, dtype=np.int64)
+        return e, e, np.zeros(0)
+    return tuple(np.concatenate(c) for c in zip(*parts))
+
+
 def _score_block(q: np.ndarray, q_ok: np.ndarray, q_self: np.ndarray | None, q_year: np.ndarray | None,
                  ppdf: pd.DataFrame, pc: VecCols, id_col: str, years_col: str | None, k: int):
     p, p_ok = _matrix(ppdf, pc)
@@ -166,10 +185,13 @@ def _query_arrays(qpdf: pd.DataFrame, qc: VecCols, self_col: str | None, year_co
 def _broadcast_topk(queries, points, keys, qc, pc, k, self_col, year_col, years_col, id_col):
     spark = queries.sparkSession
     qcols = list(dict.fromkeys(keys + qc.columns() + [c for c in (self_col, year_col) if c]))
+    # the bytes of the dense block, known before a row is collected
+    width = F.lit(qc.dim) if qc.dim else F.size(F.col(qc.columns()[0]))
+    n, wide = queries.agg(F.count(F.lit(1)), F.max(width)).first()
+    if n * (wide or 0) * 8 > MAX_BROADCAST_BYTES:
+        return None
     qpdf = queries.select(*qcols).toPandas()
     q, q_ok, q_self, q_year = _query_arrays(qpdf, qc, self_col, year_col)
-    if q.nbytes > MAX_BROADCAST_BYTES:  # many rows of wide vectors: do not ship them to every task
-        return None
     bc = spark.sparkContext.broadcast((qpdf[keys].reset_index(drop=True), q, q_ok, q_self, q_year))
     pcols = list(dict.fromkeys([id_col] + pc.columns() + ([years_col] if years_col else [])))
     schema = _out_schema(queries, keys)
@@ -178,7 +200,7 @@ def _broadcast_topk(queries, points, keys, qc, pc, k, self_col, year_col, years_
         kdf, qm, qok, qself, qyear = bc.value
         acc_q, acc_p, acc_s = [], [], []
         for ppdf in batches:
-            qi, pid, sc = _score_block(qm, qok, qself, qyear, ppdf, pc, id_col, years_col, k)
+            qi, pid, sc = _score_tiles(qm, qok, qself, qyear, ppdf, pc, id_col, years_col, k)
             acc_q.append(qi), acc_p.append(pid), acc_s.append(sc)
             if sum(len(a) for a in acc_q) > 8 * k * max(len(qm), 1):
                 qi, pid, sc = _prune(np.concatenate(acc_q), np.concatenate(acc_p), np.concatenate(acc_s), k)
@@ -195,32 +217,45 @@ def _broadcast_topk(queries, points, keys, qc, pc, k, self_col, year_col, years_
 
 
 def _blocked_topk(queries, points, keys, qc, pc, k, self_col, year_col, years_col, id_col, block_rows):
-    nq = max(1, math.ceil(queries.count() / block_rows))
-    nv = max(1, math.ceil(points.count() / block_rows))
+    """The larger side stays, cut into blocks; the smaller one is copied to every block."""
+    nq, nv = queries.count(), points.count()
+    hold_points = nv >= nq
+    blocks = max(1, math.ceil(max(nq, nv) / block_rows))
     qcols = list(dict.fromkeys(keys + qc.columns() + [c for c in (self_col, year_col) if c]))
     pcols = list(dict.fromkeys([id_col] + pc.columns() + ([years_col] if years_col else [])))
-    # Fresh aliases on both sides: when queries and points come from the same frame they share
-    # attribute ids, and the co-group would otherwise lose columns of one side to pruning.
-    q2 = queries.select(*[F.col(c).alias(c) for c in qcols]).withColumn("_qb", F.pmod(F.xxhash64(*keys), F.lit(nq))).withColumn(
-        "_vb", F.explode(F.sequence(F.lit(0), F.lit(nv - 1)).cast("array<bigint>")))
-    p2 = points.select(*[F.col(c).alias(c) for c in pcols]).withColumn("_vb", F.pmod(F.xxhash64(id_col), F.lit(nv))).withColumn(
-        "_qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)).cast("array<bigint>")))
+    q2 = queries.select(F.struct(*[F.col(c).alias(c) for c in qcols]).alias("_q"), F.xxhash64(*keys).alias("_h"))
+    p2 = points.select(F.struct(*[F.col(c).alias(c) for c in pcols]).alias("_p"), F.xxhash64(id_col).alias("_h"))
+    held, moved = (p2, q2) if hold_points else (q2, p2)
+    held = held.withColumn("_b", F.pmod("_h", F.lit(blocks)).cast("int")).withColumn("_side", F.lit(0))
+    moved = moved.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_side", F.lit(1))
+    both = held.drop("_h").unionByName(moved.drop("_h"), allowMissingColumns=True)
     schema = _out_schema(queries, keys)
 
-    empty = _empty_frame(schema)
-
-    def run(qpdf: pd.DataFrame, ppdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qpdf) == 0 or len(ppdf) == 0:  # one side of the block pair has no rows
-            return empty
+    def score(qpdf, ppdf):
         q, q_ok, q_self, q_year = _query_arrays(qpdf, qc, self_col, year_col)
-        qi, pid, sc = _score_block(q, q_ok, q_self, q_year, ppdf, pc, id_col, years_col, k)
-        qi, pid, sc = _prune(qi, pid, sc, k)
+        qi, pid, sc = _prune(*_score_tiles(q, q_ok, q_self, q_year, ppdf, pc, id_col, years_col, k), k)
         out = qpdf[keys].iloc[qi].reset_index(drop=True)
-        out["id"] = pid
-        out["score"] = sc
+        out["id"], out["score"] = pid, sc
         return out
 
-    return q2.groupBy("_qb", "_vb").cogroup(p2.groupBy("_qb", "_vb")).applyInPandas(run, schema)
+    def run(batches):
+        block, parts, known = None, [], None
+        for pdf in batches:
+            for b, rows in pdf.groupby("_b", sort=True):
+                if b != block:
+                    block, parts, known = b, [], None
+                first = rows[rows["_side"] == 0]
+                if len(first):
+                    parts.append(pd.DataFrame(list(first["_p" if hold_points else "_q"])))
+                second = rows[rows["_side"] == 1]
+                if len(second) and (parts or known is not None):
+                    if known is None:
+                        known, parts = pd.concat(parts, ignore_index=True), []
+                    other = pd.DataFrame(list(second["_q" if hold_points else "_p"]))
+                    yield score(other, known) if hold_points else score(known, other)
+
+    ordered = both.select("_b", "_side", "_q", "_p").repartition(blocks, "_b").sortWithinPartitions("_b", "_side")
+    return ordered.mapInPandas(run, schema)
 
 
 def vector_topk(queries: DataFrame, points: DataFrame, keys: list[str], k: int = 10, *,
@@ -316,93 +351,119 @@ def points_of_pages(pages: DataFrame, vectors: DataFrame, vector_col: str = "vec
 def upsert(base: DataFrame, updates: DataFrame, key: str = "id", order_col: str | None = None) -> DataFrame:
     """Latest write wins: ``base`` rows without an update, plus one row per updated key.
 
-    Within ``updates`` the row with the greatest ``order_col`` (or any one row, when None)
-    wins.
+    Within ``updates`` the row with the greatest ``order_col`` wins; among equals (or without
+    ``order_col``) the one whose row hash is smallest.
     """
-    if order_col:
-        w = Window.partitionBy(key).orderBy(F.col(order_col).desc())
-        updates = updates.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-    else:
-        updates = updates.dropDuplicates([key])
+    order = [F.col(order_col).desc()] if order_col else []
+    w = Window.partitionBy(key).orderBy(*order, F.xxhash64(*updates.columns))
+    updates = updates.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
     return base.join(updates.select(key), key, "left_anti").unionByName(updates)
 
 
+VERSIONS, POINTER = "versions", "current"
+
+
+def current_version(spark, path: str) -> DataFrame | None:
+    """The rows of the version that the table's pointer names; None for a new table."""
+    pointer = f"{path}/{POINTER}"
+    if not path_exists(spark, pointer):
+        return None
+    newest = spark.read.schema("n bigint, version string").json(pointer).orderBy(F.col("n").desc()).first()
+    return spark.read.parquet(f"{path}/{VERSIONS}/{newest['version']}")
+
+
+def write_upsert(spark, path: str, updates: DataFrame, version: str, key: str = "id", order_col: str | None = None) -> DataFrame:
+    """Upserts into the versioned table at ``path`` and returns its new state.
+
+    A version is written whole under ``versions/<version>``, then one line naming it is appended
+    to the pointer, which readers follow; a failed write leaves the old version current.  Writing
+    a version that the pointer names already changes nothing, so a repeated run is safe.
+    """
+    pointer = f"{path}/{POINTER}"
+    names = []
+    if path_exists(spark, pointer):
+        names = [r["version"] for r in spark.read.schema("n bigint, version string").json(pointer).orderBy("n").collect()]
+    if version not in names:
+        old = current_version(spark, path)
+        rows = updates if old is None else updates.select(*old.columns)
+        new = upsert(rows.limit(0) if old is None else old, rows, key, order_col)
+        new.write.mode("overwrite").parquet(f"{path}/{VERSIONS}/{version}")
+        line = spark.createDataFrame([(len(names), version)], "n bigint, version string")
+        line.coalesce(1).write.mode("append").json(pointer)
+    return current_version(spark, path)
+
+
 # ---------------------------------------------------------------- approximate top-k
 
-MAX_CENTROIDS = 65_536
 
+def hyperplanes(tables: int, bits: int, dim: int) -> list[list[list[int]]]:
+    """Fixed +1/-1 hyperplanes ``[table][bit][dimension]`` from a rule that any engine can repeat:
+    the parity of a squared linear form modulo a prime."""
+    def sign(t: int, b: int, d: int) -> int:
+        x = (t * 7919 + b * 104729 + d * 1299709 + 15485863) % 32452843
+        return 1 if (x * x % 32452843) // 7 % 2 else -1
+
+    return [[[sign(t, b, d) for d in range(dim)] for b in range(bits)] for t in range(tables)]
 
-def _unit(vec: Column) -> Column:
-    norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(vec, lambda x: x.cast("double") / norm)
 
+def _codes(vector_col: str, planes: list[list[list[int]]]) -> Column:
+    """``array<int>``: for each table the signs of the products with its planes as bits."""
+    flat = np.array(planes, dtype=np.float64)
+    tables, bits, dim = flat.shape
+    weight = 1 << np.arange(bits)
 
-def ivf_topk(queries: DataFrame, points: DataFrame, keys: list[str], k: int = 10, *, vector_col: str = "vector",
-             id_col: str = "id", exclude_self_col: str | None = None, n_lists: int | None = None,
-             n_probe: int = 3, n_assign: int = 2, block_rows: int = BLOCK_ROWS, seed: int = 7,
-             max_iter: int = 10) -> DataFrame:
-    """Approximate cosine top-``k`` with an inverted-file index: ``(keys..., rank, id, score)``.
+    @F.pandas_udf("array<int>")
+    def codes(vecs: pd.Series) -> pd.Series:
+        if not len(vecs):
+            return pd.Series([], dtype=object)
+        m = np.vstack([np.asarray(v, dtype=np.float64) for v in vecs])
+        above = (m @ flat.reshape(tables * bits, dim).T >= 0).reshape(len(m), tables, bits)
+        return pd.Series(list((above @ weight).astype(np.int32)))
 
-    Points are clustered by k-means on unit vectors (Spark ML, distributed); each query
-    searches only the ``n_probe`` lists with the nearest centroids; each point is stored in its
-    ``n_assign`` nearest lists (spilling), so neighbours near a list boundary are still found.
-    Inside a list the exact
-    block kernel scores (query block × point block) pairs, and a list larger than
-    ``block_rows`` is split into several point blocks, so a hot list is still spread over
-    tasks.  Scores are exact cosines; only recall is approximate.
+    return codes(F.col(vector_col))
+
+
+def lsh_topk(queries: DataFrame, points: DataFrame, keys: list[str], k: int = 10, *, vector_col: str = "vector",
+             id_col: str = "id", exclude_self_col: str | None = None, tables: int = 16, bits: int = 4,
+             block_rows: int = 4096) -> DataFrame:
+    """Approximate cosine top-``k`` by random hyperplanes: ``(keys..., rank, id, score)``.
+
+    A point is a candidate of a query when they fall on the same side of all ``bits`` planes of
+    some table; candidates are ranked by exact cosine, so only recall is approximate.  More
+    ``bits`` make smaller buckets, more ``tables`` raise recall.  A bucket with more than
+    ``block_rows`` rows on a side is cut into blocks on that side, so a hot bucket is spread
+    over tasks.  Null, empty and zero vectors take no part.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+    def usable(df: DataFrame) -> DataFrame:
+        norm = F.aggregate(F.col(vector_col), F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+        return df.where(F.col(vector_col).isNotNull() & (norm > 0))
 
-    spark = queries.sparkSession
-    pts = points.where(F.col(vector_col).isNotNull() & (F.size(vector_col) > 0)).select(
-        F.col(id_col).alias(id_col), _unit(F.col(vector_col)).alias("_u"))
-    n_points = pts.count()
-    n_lists = n_lists or max(1, int(math.sqrt(max(n_points, 1))))
-    if n_lists > MAX_CENTROIDS:
-        raise ValueError(f"{n_lists} lists exceed the centroid bound {MAX_CENTROIDS}")
-    model = KMeans(k=n_lists, seed=seed, maxIter=max_iter, featuresCol="_f", predictionCol="_list").fit(
-        pts.select(array_to_vector("_u").alias("_f")))
-    centroids = np.vstack(model.clusterCenters())
-    centroids /= np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
-    bc = spark.sparkContext.broadcast(centroids)
-    n_assign = max(1, min(n_assign, n_lists))
-    assign_schema = T.StructType([pts.schema[id_col], T.StructField("vector", T.ArrayType(T.DoubleType())),
-                                  T.StructField("_list", T.LongType())])
-
-    def assign(batches):
-        cm = bc.value
-        for pdf in batches:
-            m = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf["_u"].to_numpy()]) if len(pdf) else \
-                np.zeros((0, cm.shape[1]))
-            near = np.argsort(-(m @ cm.T), axis=1)[:, :n_assign]
-            rep = pdf.loc[pdf.index.repeat(n_assign)].reset_index(drop=True)
-            yield pd.DataFrame({id_col: rep[id_col], "vector": rep["_u"],
-                                "_list": near.reshape(-1).astype(np.int64)})
-
-    assigned = pts.mapInPandas(assign, assign_schema)
-    sizes = assigned.groupBy("_list").agg(F.count(F.lit(1)).alias("_n")).select(
-        "_list", F.greatest(F.lit(1), F.ceil(F.col("_n") / block_rows)).cast("long").alias("_nb"))
-
-    qcols = list(dict.fromkeys(keys + [vector_col] + ([exclude_self_col] if exclude_self_col else [])))
-    q = queries.where(F.col(vector_col).isNotNull()).select(*[F.col(c).alias(c) for c in qcols])
-    probe_schema = T.StructType(list(q.schema.fields) + [T.StructField("_list", T.LongType())])
-    n_probe = min(n_probe, n_lists)
-
-    def probe(batches):
-        cm = bc.value
-        for pdf in batches:
-            m, ok = _matrix(pdf, DENSE if vector_col == "vector" else VecCols(vector=vector_col))
-            s = m @ cm.T
-            near = np.argsort(-s, axis=1)[:, :n_probe]
-            rep = pdf.loc[pdf.index.repeat(n_probe)].reset_index(drop=True)
-            rep["_list"] = near.reshape(-1).astype(np.int64)
-            yield rep[ok.repeat(n_probe)]
-
-    probed = q.mapInPandas(probe, probe_schema).join(F.broadcast(sizes), "_list")
-    probed = probed.withColumn("_vb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1))).drop("_nb")
-    pblocks = assigned.join(F.broadcast(sizes), "_list").withColumn(
-        "_vb", F.pmod(F.xxhash64(id_col), F.col("_nb"))).drop("_nb")
+    queries, points = usable(queries), usable(points)
+    dim = points.agg(F.max(F.size(vector_col))).first()[0] or 1
+    planes = hyperplanes(tables, bits, dim)
+    place = ["_table", "_code"]
+
+    def placed(df: DataFrame, cols: list[str]) -> DataFrame:
+        coded = df.select(*[F.col(c).alias(c) for c in cols], _codes(vector_col, planes).alias("_codes"))
+        return coded.select(*cols, F.posexplode("_codes").alias("_table", "_code"))
+
+    q = placed(queries, list(dict.fromkeys(keys + [vector_col] + ([exclude_self_col] if exclude_self_col else []))))
+    p = placed(points, [id_col, vector_col])
+
+    def blocks_of(df: DataFrame, name: str) -> DataFrame:  # at most tables * 2 ** bits rows
+        n = df.groupBy(*place).agg(F.count(F.lit(1)).alias("n"))
+        return n.select(*place, F.ceil(F.col("n") / block_rows).cast("int").alias(name))
+
+    cut = blocks_of(q, "_nq").join(blocks_of(p, "_np"), place)
+
+    def dealt(df: DataFrame, hashed: list[str], own: str, n_own: str, other: str, n_other: str) -> DataFrame:
+        return (
+            df.join(F.broadcast(cut), place)
+            .withColumn(own, F.pmod(F.xxhash64(*hashed), F.col(n_own)).cast("int"))
+            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))).drop("_nq", "_np")
+        )
+
+    q, p = dealt(q, keys, "_qb", "_nq", "_pb", "_np"), dealt(p, [id_col], "_pb", "_np", "_qb", "_nq")
     qc = VecCols(vector=vector_col)
     schema = _out_schema(queries, keys)
     empty = _empty_frame(schema)
@@ -411,15 +472,14 @@ def ivf_topk(queries: DataFrame, points: DataFrame, keys: list[str], k: int = 10
         if len(qpdf) == 0 or len(ppdf) == 0:
             return empty
         qm, q_ok, q_self, _ = _query_arrays(qpdf, qc, exclude_self_col, None)
-        qi, pid, sc = _score_block(qm, q_ok, q_self, None, ppdf, DENSE, id_col, None, k)
-        qi, pid, sc = _prune(qi, pid, sc, k)
+        qi, pid, sc = _prune(*_score_tiles(qm, q_ok, q_self, None, ppdf, qc, id_col, None, k), k)
         out = qpdf[keys].iloc[qi].reset_index(drop=True)
-        out["id"] = pid
-        out["score"] = sc
+        out["id"], out["score"] = pid, sc
         return out
 
-    cands = probed.groupBy("_list", "_vb").cogroup(pblocks.groupBy("_list", "_vb")).applyInPandas(run, schema)
-    # A point stored in two probed lists is a candidate twice: keep one row per (query, point).
+    cell = [*place, "_qb", "_pb"]
+    cands = q.groupBy(*cell).cogroup(p.groupBy(*cell)).applyInPandas(run, schema)
+    # a point that shares several buckets with a query is found several times
     cands = cands.groupBy(*keys, "id").agg(F.max("score").alias("score"))
     return rank_top(cands, keys, k, id_col="id").select(*keys, "rank", "id", "score")
 

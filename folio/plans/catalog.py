@@ -62,13 +62,15 @@ def answers(spark: SparkSession, base: str) -> DataFrame:
 
 
 def page_vectors(spark: SparkSession, base: str, dim: int = DEFAULT_DIM) -> DataFrame:
-    """Vector points of the stored pages: ``(id, v_idx, v_val, years)`` from the hashed
-    embedder over ``markdown_content``; pages without a token get no point."""
+    """Vector points of the stored pages: ``(id, v_idx, v_val, years)`` and the other payload
+    fields, from the hashed embedder over ``markdown_content``; pages without a token get no
+    point."""
     def build():
         pages = ingest.embeddable(stored_pages(spark, base))
         vecs = hashed_embedding(pages.select(F.col("corpus_id").alias("id"), "markdown_content"),
                                 ["id"], "markdown_content", dim)
-        years = pages.select(F.col("corpus_id").alias("id"), F.col("probable_referenced_years").alias("years"))
-        return materialize(vecs.join(years, "id"), "page-vectors")
+        payload = pages.select(F.col("corpus_id").alias("id"), F.col("probable_referenced_years").alias("years"),
+                               "doc_id", "page", "exact_filename")
+        return materialize(vecs.join(payload, "id"), "page-vectors")
 
     return _cached(spark, base, f"page-vectors-{dim}", build)

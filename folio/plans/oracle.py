@@ -23,10 +23,20 @@ def tokens(expr: str) -> str:
 def clean(expr: str) -> str:
     out = expr
     for pattern, repl in T.CLEAN_STEPS:
-        out = f"regexp_replace({out}, {_lit(pattern)}, {_lit(repl.replace('$1', chr(92) + '1'))}, 'g')"
-    for entity, char in T.HTML_ENTITIES:
-        out = f"replace({out}, {_lit(entity)}, {_lit(char)})"
-    return f"trim(regexp_replace({out}, {_lit(T.WHITESPACE)}, ' ', 'g'))"
+        for n in "123":
+            repl = repl.replace("$" + n, chr(92) + n)
+        out = f"regexp_replace({out}, {_lit(pattern)}, {_lit(repl)}, 'g')"
+    names = ", ".join(f"{_lit(k)}: {_lit(v)}" for k, v in T.named_references().items())
+    ref = f"regexp_extract(p, {_lit(T.REFERENCE)}, 1)"
+    num = (f"(CASE WHEN lower(substr({ref}, 2, 1)) = 'x' THEN TRY_CAST('0x' || substr({ref}, 3) AS INTEGER) "
+           f"ELSE TRY_CAST(substr({ref}, 2) AS INTEGER) END)")
+    char = (f"CASE WHEN {num} BETWEEN 1 AND 55295 OR {num} BETWEEN 57344 AND 1114111 THEN chr({num}) "
+            f"ELSE {_lit(T.REPLACEMENT)} END")
+    value = f"CASE WHEN {ref} LIKE '#%' THEN {char} ELSE MAP {{{names}}}[{ref}] END"
+    piece = f"CASE WHEN {ref} <> '' THEN coalesce({value} || substr(p, length({ref}) + 2), '&' || p) ELSE '&' || p END"
+    parts = f"string_split({out}, '&')"
+    decoded = f"{parts}[1] || array_to_string(list_transform({parts}[2:], lambda p: {piece}), '')"
+    return f"trim(regexp_replace({decoded}, {_lit(T.WHITESPACE)}, ' ', 'g'))"
 
 
 def bucket(expr: str, dim: int) -> str:
@@ -140,10 +150,11 @@ def distinct_ordered(expr: str) -> str:
     return f"list_filter({expr}, lambda x, i: list_position({expr}, x) = i)"
 
 
-def hybrid(top_k: int, year: bool, stage: str, hq: str | None = None, prefix: str = "") -> str:
+def hybrid(top_k: int, year: bool, stage: str, hq: str | None = None, prefix: str = "", payload: str = "true") -> str:
     """SQL for the hybrid retrieval of every question; ``stage`` picks the output:
     variants, hits, fused, rerank, final, or none (CTEs only, ending with ``reranked``).
-    ``hq`` replaces the question CTE ``hq(query_id, text, year)``; ``prefix`` adds CTEs first."""
+    ``hq`` replaces the question CTE ``hq(query_id, text, year)``; ``prefix`` adds CTEs first;
+    ``payload`` is a condition on the points."""
     ws = _lit(T.WHITESPACE)
     limit = top_k * 5
     k = top_k * 3
@@ -177,7 +188,8 @@ branked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id, variant_no ORDER BY round(score, 6) DESC, corpus_id) AS rank
   FROM bfilt),
 {embedding('pages_v', 'corpus_id', 'markdown_content', 'pemb')},
-pvec AS (SELECT corpus_id, probable_referenced_years AS years FROM pages_v WHERE corpus_id IN (SELECT id FROM pemb)),
+pvec AS (SELECT corpus_id, probable_referenced_years AS years FROM pages_v
+         WHERE corpus_id IN (SELECT id FROM pemb) AND {payload}),
 vdot AS (SELECT q.id AS vkey, p.id AS corpus_id, sum(q.w * p.w) AS dot
          FROM qemb q JOIN pemb p ON q.bucket = p.bucket GROUP BY ALL),
 vpairs AS (
@@ -237,13 +249,15 @@ turns_v AS (
   SELECT conv_id AS thread_id, CAST(turn AS INTEGER) AS turn, role,
          CASE a WHEN 'SET' THEN text || ' What was the revenue in ' || CAST(2000 + (conv_id + turn) % 24 AS VARCHAR) || '?'
                 WHEN 'RELATIVE' THEN text || ' And the year before?'
-                WHEN 'CLEAR' THEN text || ' Who is the CEO?'
+                WHEN 'CLEAR' THEN text || ' On another subject: who leads the board?'
                 ELSE text END AS content
   FROM t0)"""
 
 
 def year_of(expr: str) -> str:
-    return f"TRY_CAST(regexp_extract({expr}, {_lit(T.YEAR_MENTION)}, 1) AS INTEGER)"
+    fiscal = f"TRY_CAST(regexp_extract({expr}, {_lit(T.FISCAL_YEAR)}, 1) AS INTEGER)"
+    return (f"coalesce(TRY_CAST(regexp_extract({expr}, {_lit(T.YEAR_MENTION)}, 1) AS INTEGER), "
+            f"CASE WHEN {fiscal} < 100 THEN {fiscal} + 2000 ELSE {fiscal} END)")
 
 
 def rlike(expr: str, pattern: str) -> str:

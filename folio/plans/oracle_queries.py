@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from folio.operators import answers as A
+from folio.operators import vectors
 from folio.plans import oracle as O
 
 SQL: dict[str, str] = {}
@@ -113,6 +114,26 @@ SELECT query_id, rank, id, round(score, 4) AS score FROM ranked WHERE rank <= 10
 SQL["vector_topk"] = _vec_topk(False)
 SQL["vector_topk_filtered"] = _vec_topk(True)
 
+
+
+def _lsh_sql(tables: int, bits: int, dim: int = 64) -> str:
+    planes = vectors.hyperplanes(tables, bits, dim)
+    codes = ", ".join(
+        f"{{'t': {t}, 'c': " + " + ".join(
+            f"CASE WHEN list_dot_product(e, CAST({p} AS DOUBLE[])) >= 0 THEN {1 << b} ELSE 0 END" for b, p in enumerate(table)
+        ) + "}" for t, table in enumerate(planes))
+    return f"""WITH {_VEC},
+placed AS (SELECT id, unnest([{codes}], recursive := true) FROM v2 WHERE n > 0),
+near AS (SELECT DISTINCT q.id AS query_id, p.id FROM placed q JOIN placed p ON q.t = p.t AND q.c = p.c WHERE q.id <> p.id),
+pairs AS (SELECT query_id, x.id, list_dot_product(q.e, p.e) / (q.n * p.n) AS score
+          FROM near x JOIN v2 q ON q.id = x.query_id JOIN v2 p ON p.id = x.id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM pairs)
+SELECT query_id, rank, id, round(score, 4) AS score FROM ranked WHERE rank <= 10"""
+
+
+# As in the registered query.
+SQL["vector_topk_lsh"] = _lsh_sql(24, 4)
+
 SQL["filter_any_field"] = f"""WITH {_VEC}
 SELECT id, label, CAST(years AS INTEGER[]) AS years FROM v2 WHERE label = 1 AND list_contains(years, 2010)"""
 
@@ -143,11 +164,14 @@ SQL["rrf_fuse"] = O.hybrid(5, False, "fused")
 SQL["rerank"] = O.hybrid(5, False, "rerank")
 SQL["hybrid_retrieve"] = O.hybrid(5, False, "final")
 SQL["hybrid_retrieve_year"] = O.hybrid(3, True, "final")
+SQL["hybrid_retrieve_filtered"] = O.hybrid(
+    5, True, "final", payload="doc_id = 'src3_2013' AND list_contains(probable_referenced_years, 2013)",
+    hq="hq AS (SELECT query_id, original AS text, CAST(2013 AS INTEGER) AS year FROM questions_v WHERE original IS NOT NULL)")
 
 SQL["extract_year"] = f"""WITH {O.TURNS}
 SELECT thread_id, turn, {O.year_of('content')} AS year FROM turns_v WHERE role = 'user'"""
 
-SQL["sticky_year"] = f"""WITH {O.TURNS},
+_STICKY = f"""
 a AS (
   SELECT thread_id, turn, {O.action_sql('content')} AS action, {O.year_of('content')} AS y,
          {O.shift_sql('content')} AS shift
@@ -155,8 +179,11 @@ a AS (
 s AS (SELECT *, sum(CASE WHEN action IN ('SET', 'CLEAR') THEN 1 ELSE 0 END)
                    OVER (PARTITION BY thread_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS seg FROM a),
 b AS (SELECT *, max(CASE WHEN action = 'SET' THEN y END) OVER (PARTITION BY thread_id, seg) AS base,
-             sum(shift) OVER (PARTITION BY thread_id, seg ORDER BY turn ROWS UNBOUNDED PRECEDING) AS sh FROM s)
-SELECT thread_id, turn, action, CAST(base + sh AS INTEGER) AS year FROM b"""
+             sum(shift) OVER (PARTITION BY thread_id, seg ORDER BY turn ROWS UNBOUNDED PRECEDING) AS sh FROM s),
+sticky AS (SELECT thread_id, turn, action, CAST(base + sh AS INTEGER) AS year FROM b)"""
+
+SQL["sticky_year"] = f"""WITH {O.TURNS}, {_STICKY}
+SELECT thread_id, turn, action, year FROM sticky"""
 
 SQL["route_queries"] = f"""WITH {O.TURNS}
 SELECT thread_id, turn, {O.route_cols('content')} FROM turns_v WHERE role = 'user'"""
@@ -225,14 +252,17 @@ ret AS (SELECT * FROM reranked WHERE rank <= 3), {_ctx_sql('ret', 'hq')}
 SELECT query_id, context FROM ctx"""
 
 
-def _answer_sql(src: str) -> str:
+def _answer_sql(src: str, thread: bool = False, prefix: str = "") -> str:
     """CTEs ending in ``ans(query_id, is_financial, route, year, prompt, logic_steps,
-    generated_response, summary_sources, sources)`` for questions ``src(query_id, text)``."""
-    hq = f"""aq AS (SELECT query_id, text, {O.year_of('text')} AS year, {O.route_cols('text')} FROM {src}),
-hq AS (SELECT query_id, text, year FROM aq WHERE route = 'retrieve')"""
+    generated_response, summary_sources, sources)`` for questions ``src(query_id, text)``, with
+    ``(year, search_text, dialogue)`` of their own if ``thread``."""
+    own = "year, search_text, dialogue" if thread else (
+        f"{O.year_of('text')} AS year, text AS search_text, 'Human: ' || coalesce(text, '') AS dialogue")
+    hq = f"""aq AS (SELECT query_id, text, {own}, {O.route_cols('text')} FROM {src}),
+hq AS (SELECT query_id, search_text AS text, year FROM aq WHERE route = 'retrieve')"""
     persona = (f"CASE WHEN coalesce(is_financial, false) THEN {O._lit(A.PERSONA_FINANCIAL)} "
                f"ELSE {O._lit(A.PERSONA_GENERAL)} END")
-    return O.hybrid(3, True, "none", hq=hq) + f""",
+    return O.hybrid(3, True, "none", hq=hq, prefix=prefix) + f""",
 ret AS (SELECT * FROM reranked WHERE rank <= 3), {_ctx_sql('ret', 'hq')},
 pg AS (SELECT query_id, list(struct_pack(rank := rank, source := source, c := markdown_content) ORDER BY rank) AS pages
        FROM ret GROUP BY query_id),
@@ -241,9 +271,9 @@ j AS (SELECT a.*, c.context, p.pages FROM aq a LEFT JOIN ctx c ON a.query_id = c
 ans AS (
   SELECT query_id, is_financial, route, year,
          {persona} || chr(10) || chr(10) || 'Context:' || chr(10)
-           || CASE WHEN route = 'retrieve' THEN context ELSE 'Human: ' || coalesce(text, '') END
+           || CASE WHEN route = 'retrieve' THEN context ELSE dialogue END
            || chr(10) || chr(10) || 'Question: ' || coalesce(text, '') || chr(10) || 'Rephrased question: '
-           || coalesce(text, '') AS prompt,
+           || coalesce(search_text, '') AS prompt,
          CASE WHEN text IS NULL THEN 'Error'
               WHEN route = 'retrieve' AND pages IS NOT NULL
                 THEN 'Answered from the best of ' || CAST(len(pages) AS VARCHAR) || ' retrieved pages: ' || pages[1].source
@@ -304,6 +334,29 @@ SQL["evaluation_run"] = _STORED
 SQL["prompt_rows"] = _GEN + """
 SELECT query_id, is_financial, route, year, prompt FROM ans"""
 
+_ASKED = _STICKY + """,
+said AS (
+  SELECT thread_id, turn, role, content,
+         string_agg(CASE role WHEN 'user' THEN 'Human' WHEN 'assistant' THEN 'AI' WHEN 'system' THEN 'System' ELSE role END
+                    || ': ' || coalesce(content, ''), chr(10))
+           OVER (PARTITION BY thread_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS dialogue,
+         string_agg(coalesce(role, 'unknown') || ': ' || coalesce(content, ''), chr(10))
+           OVER (PARTITION BY thread_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS kept
+  FROM turns_v),
+mine AS (SELECT thread_id, turn, content, lag(content) OVER (PARTITION BY thread_id ORDER BY turn) AS earlier
+         FROM turns_v WHERE role = 'user'),
+asked AS (
+  SELECT CAST(m.thread_id AS VARCHAR) || '#' || CAST(m.turn AS VARCHAR) AS query_id, m.thread_id, m.turn, m.content AS text,
+         concat_ws(' ', m.earlier, m.content) AS search_text, y.year, d.dialogue, d.kept
+  FROM mine m JOIN sticky y USING (thread_id, turn) JOIN said d USING (thread_id, turn)),"""
+
+SQL["conversation_run"] = _answer_sql("asked", thread=True, prefix=_ASKED) + """,
+rec AS (SELECT *, 'Answer: ' || generated_response || chr(10) || 'Reasoning: ' || logic_steps || chr(10) || 'Sources summary: '
+               || summary_sources || chr(10) || 'Sources: ' || array_to_string(sources, ', ') AS record FROM ans)
+SELECT q.thread_id, q.turn, r.year, r.is_financial, r.route, q.search_text, r.prompt, r.record,
+       q.kept || chr(10) || 'assistant: ' || r.record AS history
+FROM rec r JOIN asked q USING (query_id)"""
+
 SQL["stream_ingest"] = f"""WITH {O.PAGE_ROWS}
 SELECT * FROM pages_v"""
 

@@ -16,7 +16,7 @@ from folio.functions.enrich import enrich, ocr_stand_in
 from folio.functions.text import mentioned_year
 from folio.operators import answers, bm25, conversation, evaluation, fusion, ingest, testset, vectors
 from folio.plans import catalog
-from folio.session import new_path, spread
+from folio.session import materialize, new_path, spread
 from folio.sources import fixtures
 from folio.sources.tables import read_corpus, table
 
@@ -193,11 +193,15 @@ def vector_topk_filtered(spark: SparkSession, base: str) -> DataFrame:
     return hits.select("query_id", F.col("rank").cast("bigint").alias("rank"), "id", F.round("score", 4).alias("score"))
 
 
+# Hash tables and planes per table of the approximate search.
+LSH_TABLES, LSH_BITS = 24, 4
+
+
 @register("vector_topk_lsh")
 def vector_topk_lsh(spark: SparkSession, base: str) -> DataFrame:
-    """Approximate cosine top-10 of every vector (inverted lists from k-means, 8 probed)."""
-    hits = vectors.ivf_topk(_vector_queries(spark, base), fixtures.vectors(spark, base), ["query_id"], 10,
-                            exclude_self_col="self_id", n_probe=8)
+    """Approximate cosine top-10 of every vector by random hyperplanes."""
+    hits = vectors.lsh_topk(_vector_queries(spark, base), fixtures.vectors(spark, base), ["query_id"], 10,
+                            exclude_self_col="self_id", tables=LSH_TABLES, bits=LSH_BITS)
     return hits.select("query_id", F.col("rank").cast("bigint").alias("rank"), "id", F.round("score", 4).alias("score"))
 
 
@@ -242,12 +246,15 @@ def build_points(spark: SparkSession, base: str) -> DataFrame:
 def vector_upsert(spark: SparkSession, base: str) -> DataFrame:
     """Re-embedded points replace stored ones by id (latest version wins)."""
     stored = catalog.stored_pages(spark, base)
-    basev = catalog.page_vectors(spark, base).select("id", "v_idx", F.lit("markdown").alias("origin"))
-    upd = hashed_embedding(stored.where(F.col("corpus_id") % 4 == 0).select(
-        F.col("corpus_id").alias("id"), "text_content"), ["id"], "text_content")
+    path = new_path(spark, "upserted-vectors")
+    first = catalog.page_vectors(spark, base).select("id", "v_idx", F.lit("markdown").alias("origin"), F.lit(0).alias("version"))
+    vectors.write_upsert(spark, path, first, "v0", "id", "version")
+    upd = materialize(hashed_embedding(stored.where(F.col("corpus_id") % 4 == 0).select(
+        F.col("corpus_id").alias("id"), "text_content"), ["id"], "text_content"), "re-embedded")
     upd = upd.select("id", "v_idx", F.lit("text").alias("origin"), F.lit(2).alias("version")).unionByName(
         upd.select("id", "v_idx", F.lit("stale").alias("origin"), F.lit(1).alias("version")))
-    out = vectors.upsert(basev.withColumn("version", F.lit(0)), upd, "id", "version")
+    for _ in range(2):  # a repeated run changes nothing
+        out = vectors.write_upsert(spark, path, upd, "v1", "id", "version")
     return out.select("id", "origin", F.size("v_idx").cast("bigint").alias("n_entries"))
 
 
@@ -341,6 +348,18 @@ def hybrid_retrieve_year(spark: SparkSession, base: str) -> DataFrame:
                                          TOOL_TOP_K, year_col="year"))
 
 
+# Filters of the filtered retrieval query (the text search honours the year alone).
+RETRIEVAL_FILTERS = {"probable_referenced_years": "2013", "doc_id": "src3_2013"}
+
+
+@register("hybrid_retrieve_filtered")
+def hybrid_retrieve_filtered(spark: SparkSession, base: str) -> DataFrame:
+    """R8 + P9 + P10: hybrid retrieval with a year and another payload field for all questions."""
+    index, points, pages = _hybrid_inputs(spark, base)
+    return _final(fusion.hybrid_retrieve(_questions_for_retrieval(spark, base, False), index, points, pages, TOP_K,
+                                         filters=RETRIEVAL_FILTERS))
+
+
 # ---------------------------------------------------------------- conversation state
 
 
@@ -423,6 +442,28 @@ def prompt_rows(spark: SparkSession, base: str) -> DataFrame:
     return out.select("query_id", "is_financial", "route", "year", "prompt")
 
 
+@register("conversation_run")
+def conversation_run(spark: SparkSession, base: str) -> DataFrame:
+    """W1 to W5, P14 to P16, R9 in one job: every user turn of every thread with its sticky
+    year, route, searched question, prompt (retrieved pages or transcript), answer record and
+    the history that is kept after it."""
+    index, points, pages = _hybrid_inputs(spark, base)
+    turns = fixtures.turns(spark, base)
+    at = ["thread_id", "turn"]
+    years = conversation.sticky_year(turns).select(*at, "year")
+    asked = (
+        conversation.context_aware_query(turns).join(years, at).join(conversation.running_transcript(turns), at)
+        .withColumn("qkey", F.concat_ws("#", *at))
+    )
+    asked = materialize(asked, "asked-turns")
+    out = answers.answer_questions(asked, index, points, pages, "qkey", "content", TOOL_TOP_K, year_col="year",
+                                   search_col="search_text", dialogue_col="dialogue")
+    record = conversation.history_record(F.col("answer"))
+    return asked.select("qkey", *at, "search_text", "kept").join(out, "qkey").select(
+        *at, "year", "is_financial", "route", "search_text", "prompt", record.alias("record"),
+        F.concat(F.col("kept"), F.lit("\nassistant: "), record).alias("history"))
+
+
 # ---------------------------------------------------------------- answers and evaluation
 
 

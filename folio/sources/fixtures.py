@@ -101,7 +101,7 @@ def turns(spark: SparkSession, base: str) -> DataFrame:
     text = (
         F.when(action == "SET", F.concat(F.col("text"), F.lit(" What was the revenue in "), set_year, F.lit("?")))
         .when(action == "RELATIVE", F.concat(F.col("text"), F.lit(" And the year before?")))
-        .when(action == "CLEAR", F.concat(F.col("text"), F.lit(" Who is the CEO?")))
+        .when(action == "CLEAR", F.concat(F.col("text"), F.lit(" On another subject: who leads the board?")))
         .otherwise(F.col("text"))
     )
     return c.select(

@@ -43,6 +43,45 @@ def test_clean_text_drops_script_bodies_and_decodes_entities(spark):
     assert out == "A & B © 2020 link bold label &lt;"
 
 
+@pytest.mark.parametrize("source, want", [
+    ("caf&eacute; &euro;5 &#8217; *it* _em_", "café €5 ’ it em"),
+    ("a__b __c__ x_y_z __d e__.", "a__b c x_y_z d e."),
+    ("- one\n* two\n12. three\n> quote\n> > deep\n## Head", "one two three quote deep Head"),
+    ("&amp;lt; &nope; &amp &#0; &#xD800; &#x1F600; AT&T;", "&lt; &nope; &amp \ufffd \ufffd \U0001f600 AT&T;"),
+    ("*d* *e*, _f_ _g_ 2*3*4 * not*", "d e, f g 2*3*4 * not*"),
+])
+def test_clean_text_literally(spark, source, want):
+    got = spark.createDataFrame([(source,)], "t string").select(clean_text(F.col("t")).alias("x")).first()["x"]
+    assert got == want
+
+
+def test_fiscal_years(spark):
+    texts = ["FY24", "in fy2023?", "FY'22 rose", "2019 and FY24", "FYI 24", "xFY24"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i")
+    assert [r[0] for r in df.select(mentioned_year(F.col("t"))).collect()] == [2024, 2023, 2022, 2019, None, None]
+    turns = spark.createDataFrame([(1, 0, "user", "sales in FY24?"), (1, 1, "user", "the year before?")], "thread_id long, turn int, role string, content string")
+    assert sorted(rows(conversation.sticky_year(turns), "turn", "year")) == [(0, 2024), (1, 2023)]
+
+
+def test_unknown_payload_fields_are_errors(spark):
+    points = spark.createDataFrame([(1, [2013], "a", 3), (2, [2014], "a", 4)], "id long, years array<int>, doc_id string, page int")
+    assert rows(fusion.filtered_points(points, {"doc_id": "a", "probable_referenced_years": "2013"}), "id") == [(1,)]
+    assert fusion.filtered_points(points, {"probable_referenced_years": 0}).count() == 2
+    with pytest.raises(ValueError, match="title"):
+        fusion.filtered_points(points, {"title": "x"})
+
+
+def test_running_transcript_holds_earlier_turns(spark):
+    turns = spark.createDataFrame(
+        [(1, n, "user" if n % 2 == 0 else "assistant", f"m{n}") for n in range(7)], "thread_id long, turn int, role string, content string")
+    got = {r["turn"]: (r["dialogue"], r["kept"]) for r in conversation.running_transcript(turns).collect()}
+    assert got[0] == ("Human: m0", "user: m0")
+    assert got[6][0] == "Human: m2\nAI: m3\nHuman: m4\nAI: m5\nHuman: m6"
+    assert got[6][1] == "assistant: m3\nuser: m4\nassistant: m5\nuser: m6"
+    asked = {r["turn"]: r["search_text"] for r in conversation.context_aware_query(turns).collect()}
+    assert asked == {0: "m0", 2: "m0 m2", 4: "m2 m4", 6: "m4 m6"}
+
+
 def test_tokens_lowercase_unicode(spark):
     out = spark.createDataFrame([("Ça va, ÜBER-cool 42!",)], "t string").select(tokens(F.col("t")).alias("x")).first()
     assert out["x"] == ["ça", "va", "über", "cool", "42"]
@@ -158,7 +197,7 @@ def _turns(spark, data):
 
 def test_sticky_year_clear_then_relative_and_chunks(spark):
     data = [(1, 0, "user", "revenue in 2020"), (1, 1, "assistant", "x"), (1, 2, "user", "and the year before?"),
-            (1, 3, "user", "what about costs"), (1, 4, "user", "who is the CEO?"), (1, 5, "user", "the year before"),
+            (1, 3, "user", "what about costs"), (1, 4, "user", "a new topic please"), (1, 5, "user", "the year before"),
             (1, 6, "user", "in 2010 then"), (1, 7, "user", "next year"), (1, 8, "user", "next year"),
             (2, 0, "user", "the year before")]
     t = _turns(spark, data)
@@ -383,18 +422,46 @@ def test_hybrid_with_dense_embedder_plugin_matches_sparse(spark):
     assert sorted(rows(a, *cols)) == sorted(rows(b, *cols)) and a.count() == 6
 
 
-def test_ivf_all_lists_probed_equals_exact(spark):
+def test_lsh_recall_zero_vectors_and_hot_buckets(spark):
     import numpy as np
 
     rng = np.random.default_rng(5)
-    pts = rng.normal(size=(80, 6))
-    df = spark.createDataFrame([(i, [float(x) for x in pts[i]]) for i in range(80)], "id long, vector array<double>")
+    pts = rng.normal(size=(300, 64))
+    pts[100:180] = pts[100] + rng.normal(size=(80, 64)) * 0.05  # a hot bucket
+    pts[7] = 0
+    df = spark.createDataFrame([(i, [float(x) for x in pts[i]]) for i in range(300)] + [(900, None), (901, [])], "id long, vector array<double>")
     q = df.select(F.col("id").alias("query_id"), "vector", F.col("id").alias("self_id"))
     exact = vectors.vector_topk(q, df, ["query_id"], 5, exclude_self_col="self_id")
-    approx = vectors.ivf_topk(q, df, ["query_id"], 5, exclude_self_col="self_id", n_lists=6, n_probe=6,
-                              block_rows=16)
-    assert sorted(rows(approx, "query_id", "rank", "id")) == sorted(rows(exact, "query_id", "rank", "id"))
-    assert vectors.recall_at_k(approx, exact, ["query_id"]) == 1.0
+    approx = vectors.lsh_topk(q, df, ["query_id"], 5, exclude_self_col="self_id", tables=24, bits=4, block_rows=16)
+    assert vectors.recall_at_k(approx, exact, ["query_id"]) >= 0.9
+    assert not {7, 900, 901} & {r["id"] for r in approx.collect()}
+
+
+def test_blocked_topk_holds_either_side_and_does_not_cogroup(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "MAX_BROADCAST_BYTES", 0)
+    monkeypatch.setattr(vectors, "TILE_ROWS", 7)
+    rng = np.random.default_rng(9)
+    pts = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(90, 8)))], "id long, vector array<double>")
+    few = pts.where("id < 20").select(F.col("id").alias("query_id"), "vector")
+    for qs, ps in ((few, pts), (pts.select(F.col("id").alias("query_id"), "vector"), pts.where("id < 20"))):
+        got = vectors.vector_topk(qs, ps, ["query_id"], 4, block_rows=25)
+        assert "CoGroup" not in _plan(got)
+        m = np.array([r["vector"] for r in pts.orderBy("id").collect()])
+        m /= np.linalg.norm(m, axis=1, keepdims=True)
+        n_p = ps.count()
+        want = {(i, r + 1, int(j)) for i in range(qs.count()) for r, j in enumerate(np.argsort(-(m[:n_p] @ m[i]))[:4])}
+        assert set(rows(got, "query_id", "rank", "id")) == want
+
+
+def test_versioned_upsert_swaps_the_pointer_once(spark):
+    path = new_path(spark, "t-upsert")
+    vectors.write_upsert(spark, path, spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "id long, v string, version int"), "v0", order_col="version")
+    upd = spark.createDataFrame([(2, "x", 1), (2, "y", 1), (3, "c", 1)], "id long, v string, version int")
+    first = sorted(rows(vectors.write_upsert(spark, path, upd, "v1", order_col="version"), "id", "v"))
+    again = sorted(rows(vectors.write_upsert(spark, path, upd, "v1", order_col="version"), "id", "v"))
+    assert first == again and [i for i, _ in first] == [1, 2, 3] and first[1][1] in ("x", "y")
 
 
 def test_bounded_broadcast_respects_the_bound_and_spread_is_a_noop_when_parallel(spark):

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from folio.operators import conversation, fusion
 
 PHRASES = {"SET": "revenue in {y}", "BACK": "and the year before?", "FWD": "what about next year",
-           "CLEAR": "who is the CEO?", "KEEP": "and the costs"}
+           "CLEAR": "a new topic please", "KEEP": "and the costs"}
 
 
 def fold(actions):
