@@ -115,10 +115,9 @@ def rerank(fused: DataFrame, queries: DataFrame, pages: DataFrame, top_k: int, k
     the fusion order.  Adds the page content and its file name as ``source``.
 
     ``scorer(question, content) -> Column`` replaces the default token-coverage score."""
-    cands = bounded_broadcast(fused.join(queries.select(key, text_col), key), MAX_BROADCAST_CANDIDATES,
-                              bound_by=fused)
-    joined = pages.select("corpus_id", content_col, F.col("exact_filename").alias("source")).join(
-        cands, "corpus_id")
+    cands = bounded_broadcast(fused, MAX_BROADCAST_CANDIDATES)  # ids and scores only
+    found = pages.select("corpus_id", content_col, F.col("exact_filename").alias("source")).join(cands, "corpus_id")
+    joined = found.join(queries.select(key, text_col), key)
     scorer = scorer or coverage_score
     scored = joined.withColumn("rerank_score", scorer(F.col(text_col), F.col(content_col)))
     w = Window.partitionBy(key).orderBy(F.round("rerank_score", 6).desc_nulls_last(), F.col("fused_rank").asc())

@@ -136,7 +136,7 @@ def testset_unpivot(spark: SparkSession, base: str) -> DataFrame:
 @register("build_postings")
 def build_postings(spark: SparkSession, base: str) -> DataFrame:
     """Postings of the stored pages."""
-    return catalog.page_index(spark, base).postings
+    return catalog.page_index(spark, base).postings.select("term", "corpus_id", "tf", "dl")
 
 
 @register("term_stats")

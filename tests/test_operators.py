@@ -482,3 +482,28 @@ def test_bounded_broadcast_respects_the_bound_and_spread_is_a_noop_when_parallel
     assert spread(wide) is wide
     narrow = spark.range(0, 100, numPartitions=1)
     assert spread(narrow, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_index_reopens_in_another_application_and_reads_only_its_terms(spark, tmp_path):
+    pages = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + j) % 40}" for j in range(12)), [2000 + i % 3]) for i in range(60)],
+                                  "corpus_id long, text_content string, probable_referenced_years array<int>")
+    path = new_path(spark, "t-index")
+    built = bm25.ensure_index(pages, path, buckets=4)
+    qs = spark.createDataFrame([(1, "w3", 2001), (2, "w3", None)], "query_id long, text string, year int")
+    want = sorted(rows(bm25.bm25_topk(built, qs, ["query_id"], limit=5, year_col="year"), "query_id", "rank", "corpus_id"))
+    plain = bm25.build_index(pages, persist=False)
+    assert want == sorted(rows(bm25.bm25_topk(plain, qs, ["query_id"], limit=5, year_col="year"), "query_id", "rank", "corpus_id"))
+    other = spark.newSession()
+    for k, v in (("spark.sql.shuffle.partitions", "8"),):
+        other.conf.set(k, v)
+    again = bm25.ensure_index(other.createDataFrame([], pages.schema), path)  # nothing to build it from: it is opened
+    assert again.n_docs == 60
+    search = bm25.bm25_scores(again, other.createDataFrame(qs.collect(), qs.schema), ["query_id"])
+    plan = _plan(search)
+    assert "PartitionFilters: [isnotnull(term_hash" in plan or "PartitionFilters: [(term_hash" in plan or "term_hash#" in plan.split("PartitionFilters")[1][:80]
+    assert search.count() == bm25.bm25_scores(plain, qs, ["query_id"]).count()
+
+
+def test_index_build_has_one_exchange(spark):
+    pages = spark.createDataFrame([(i, f"a b c{i}") for i in range(20)], "corpus_id long, text_content string")
+    assert _plan(bm25.build_postings(pages.repartition(4, "corpus_id"))).count("Exchange hashpartitioning") == 1
