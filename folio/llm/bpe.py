@@ -36,10 +36,10 @@ PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\
 #: Pre-tokens never cross the border of these chunks.
 CHUNK = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Entries of a worker's chunk table and of its pair table; each is bounded in size.
-CACHED_CHUNKS = 300_000
-CACHED_PAIRS = 1_000_000
+CACHED_CHUNKS = 100_000
+CACHED_PAIRS = 400_000
 #: Slots (as a power of two), entries and ids of a worker's table of encoded pre-tokens.
-TABLE_BITS, ENTRIES, POOL = 22, 1_500_000, 6_000_000
+TABLE_BITS, ENTRIES, POOL = 21, 1_000_000, 4_000_000
 #: Bytes of a pre-token that is encoded in bulk.
 LONG = 64
 #: White space besides the plain space and the line feed.
@@ -241,7 +241,7 @@ class BatchEncoder:
     def __init__(self, codec: Codec) -> None:
         self.codec = codec
         self.kinds = _character_kinds()
-        self.step, self.found, self.shorter, self.token_at = _automaton(codec)
+        self.automaton = Automaton(codec)
         self.size = np.array([len(t) for t in codec.tokens], np.int64)
         self.pair_keys = np.full(1 << 21, -1, np.int64)
         self.pair_fits = np.zeros(1 << 21, bool)
@@ -325,18 +325,18 @@ class BatchEncoder:
         state = np.zeros(rows, np.int32)
         for p in range(int(size[0])):
             active = int(np.searchsorted(-size, -p, side="left"))  # those longer than p
-            state[:active] = self.step[state[:active], buf[starts[:active] + p]]
+            state[:active] = self.automaton.step(state[:active], buf[starts[:active] + p])
             who = np.arange(active)
-            node = self.found[state[:active]]
+            node = self.automaton.found[state[:active]]
             while len(who):
-                token = self.token_at[node]
+                token = self.automaton.token_at[node]
                 before = p - self.size[token]
                 ok = before < 0
                 inner = np.flatnonzero(~ok)
                 if len(inner):
                     ok[inner] = self.fit(last[who[inner], before[inner]], token[inner])
                 last[who[ok], p] = token[ok]
-                who, node = who[~ok], self.shorter[node[~ok]]
+                who, node = who[~ok], self.automaton.shorter[node[~ok]]
         at, n = size - 1, 0
         back = np.zeros_like(last)
         count = np.zeros(rows, np.int64)
@@ -439,35 +439,75 @@ def _character_kinds() -> np.ndarray:
     return kinds
 
 
-def _automaton(codec: Codec):
-    """``(step, found, shorter, token_at)``: next state by (state, byte); the state of the longest
-    token that ends there; the state of the next shorter one; the token of such a state."""
-    children: list[dict[int, int]] = [{}]
-    token_at = [-1]
-    for text, ids in codec.whole.items():
-        node = 0
-        for b in text.encode("latin-1"):
-            nxt = children[node].get(b)
-            if nxt is None:
-                nxt = children[node][b] = len(children)
-                children.append({})
-                token_at.append(-1)
-            node = nxt
-        token_at[node] = ids[0]
-    step = np.zeros((len(children), 256), np.int32)
-    fail, found = [0] * len(children), [0] * len(children)
-    shorter = [0] * len(children)
-    queue = [0]
-    for node in queue:
-        if node:
-            step[node] = step[fail[node]]
-        found[node] = node if token_at[node] >= 0 else found[fail[node]]
-        shorter[node] = found[fail[node]]
-        for b, child in children[node].items():
-            fail[child] = int(step[fail[node], b]) if node else 0
-            step[node, b] = child
-            queue.append(child)
-    return step, np.array(found, np.int32), np.array(shorter, np.int32), np.array(token_at, np.int32)
+class Automaton:
+    """The suffix matcher as arrays: ``found`` is the state of the longest token that ends in a
+    state, ``shorter`` that of the next shorter one, ``token_at`` the token of such a state.
+
+    Edges of the token tree are kept in a hash table; where a state has no edge for a byte, its
+    longest proper suffix state is asked.
+    """
+
+    def __init__(self, codec: Codec) -> None:
+        edges: dict[int, int] = {}
+        parent, label, token_at = [0], [0], [-1]
+        for text, ids in codec.whole.items():
+            node = 0
+            for b in text.encode("latin-1"):
+                key = node << 8 | b
+                nxt = edges.get(key)
+                if nxt is None:
+                    nxt = edges[key] = len(parent)
+                    parent.append(node)
+                    label.append(b)
+                    token_at.append(-1)
+                node = nxt
+            token_at[node] = ids[0]
+        bits = (4 * len(edges)).bit_length()
+        self.shift = np.uint64(64 - bits)
+        keys, targets = np.array(list(edges), np.int64), np.array(list(edges.values()), np.int32)
+        slot = self.slot(keys)
+        self.keys, self.targets = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        self.keys[slot], self.targets[slot] = keys, targets
+        self.targets[slot[self.keys[slot] == keys]] = targets[self.keys[slot] == keys]
+        lost = self.keys[slot] != keys  # of several edges in a slot one is there, the others are here
+        order = np.argsort(keys[lost])
+        self.more, self.more_targets = keys[lost][order], targets[lost][order]
+        size = len(parent)
+        parent, label = np.array(parent), np.array(label)
+        self.fail = np.zeros(size, np.int32)
+        depth = np.zeros(size, np.int64)
+        for node in range(1, size):  # parents come first
+            depth[node] = depth[parent[node]] + 1
+        for d in range(2, int(depth.max(initial=0)) + 1):
+            level = np.flatnonzero(depth == d)
+            self.fail[level] = self.step(self.fail[parent[level]], label[level])
+        self.token_at = np.array(token_at, np.int32)
+        self.found, self.shorter = np.zeros(size, np.int32), np.zeros(size, np.int32)
+        for d in range(1, int(depth.max(initial=0)) + 1):
+            level = np.flatnonzero(depth == d)
+            self.shorter[level] = self.found[self.fail[level]]
+            self.found[level] = np.where(self.token_at[level] >= 0, level, self.shorter[level])
+
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The next state of each state by its byte."""
+        out = np.zeros(len(state), np.int32)
+        who, state = np.arange(len(state)), state.astype(np.int64)
+        while len(who):
+            key = state << 8 | byte[who]
+            slot = self.slot(key)
+            hit, target = self.keys[slot] == key, self.targets[slot]
+            missed = np.flatnonzero(~hit & (self.keys[slot] >= 0))
+            if len(missed) and len(self.more):
+                at = np.minimum(np.searchsorted(self.more, key[missed]), len(self.more) - 1)
+                there = self.more[at] == key[missed]
+                hit[missed], target[missed] = there, self.more_targets[at]
+            out[who[hit]] = target[hit]
+            on = ~hit & (state != 0)  # at the root a byte without an edge stays there
+            who, state = who[on], self.fail[state[on]].astype(np.int64)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -484,7 +524,7 @@ def codec(vocabulary: Vocabulary) -> Codec:
 
 def encoded(encoder: BatchEncoder, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``(ids, counts)`` of consecutive slices of texts."""
-    for a, b in slices(texts, 2_000_000):
+    for a, b in slices(texts, 1_000_000):
         yield encoder.encode(texts[a:b])
 
 

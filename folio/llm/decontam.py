@@ -37,6 +37,8 @@ RANK, OVERSAMPLE, POWER = 256, 8, 2
 #: Least cosine, and least length of the window along the passage as a share of the passage's.
 COSINE, SHARE = 0.25, 0.3
 COVER, ANSWER_COVER, ANSWER_WORDS = 0.7, 0.5, 8
+#: Characters that are read at once.
+SLICE = 2_000_000
 #: Passages with fewer words must stand in the text word for word.
 SHORT = 8
 
@@ -91,7 +93,7 @@ def document_frequency(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndar
         for batch in batches:
             texts = clean(batch["text"])
             rows += len(texts)
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 words, owner = word_hashes(texts[a:b], ALNUM)
                 index = lookup(words)
                 known = index >= 0
@@ -177,7 +179,7 @@ class Index:
         """For each text the benchmark items found in it, best passage of each."""
         lookup = Lookup(self.vocabulary)
         out: list[list[dict]] = []
-        for a, b in slices(texts):
+        for a, b in slices(texts, SLICE):
             words, owner = word_hashes(texts[a:b], ALNUM)
             found: list[dict[int, dict]] = [{} for _ in range(b - a)]
             for text, at, passage, cosine in self.candidates(lookup, words, owner):
