@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from folio.llm.words import NOT_WHITE, chain, clean, hash_spans, mix, slices, word_spans
 
 BUCKETS = 1 << 17
+#: Neutral features that every document has besides its own, so that a few words decide little.
+NEUTRAL = 30
 DIM = 16
 PER_LABEL = 1500
 EPOCHS, RATE = 6, 0.5
@@ -104,7 +106,7 @@ class Model:
             for bucket, owner in features(texts[a:b]):
                 total += np.bincount(owner, weights=self.weights[bucket], minlength=b - a)
                 count += np.bincount(owner, minlength=b - a)
-            out[a:b] = total / np.maximum(count, 1)
+            out[a:b] = total / (count + NEUTRAL)
         return 1 / (1 + np.exp(-(out + self.bias)))
 
 
@@ -129,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, seed:
             if not len(bucket):
                 continue
             part = np.frombuffer(count, np.uint32).astype(np.float32)
-            part /= part.sum()
+            part /= part.sum() + NEUTRAL
             mean = part @ embed[bucket]
             z = mean @ layer + bias
             p = np.exp(z - z.max())
