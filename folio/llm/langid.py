@@ -25,6 +25,8 @@ from folio.llm.words import clean
 BUCKETS = 1 << 14
 SHIFT = np.uint64(64 - 14)
 TRAIN_DOCS, LEAST_PER_LANG = 4000, 20
+#: Hash lanes in which a language's rows are ranked first.
+LANES = 64
 ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 0.002, 0.0005, 3
 UNKNOWN = "und"
 #: Characters that are counted at once.
@@ -121,8 +123,13 @@ def sample(docs: DataFrame, total: int = TRAIN_DOCS) -> DataFrame:
     ids = docs.select("doc_id", "lang").where("doc_id is not null and lang is not null").where(trainable()).groupBy("doc_id").agg(F.min("lang").alias("lang"))
     langs = ids.agg(F.approx_count_distinct("lang", 0.01)).first()[0]
     each = max(LEAST_PER_LANG, total // max(1, langs))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = ids.withColumn("rank", rank).where(F.col("rank") <= each).drop("rank")
+    # first within hash lanes, so that no task sorts all rows of a frequent language
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    lane = F.pmod(F.xxhash64("doc_id"), F.lit(LANES))
+    first = F.row_number().over(Window.partitionBy("lang", "lane").orderBy(*order))
+    thinned = ids.withColumn("lane", lane).withColumn("rank", first).where(F.col("rank") <= each)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    chosen = thinned.withColumn("rank", rank).where(F.col("rank") <= each).select("doc_id", "lang")
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # bounded by the sample
 
 
