@@ -45,6 +45,8 @@ WIDTH = 5
 SCREEN = 0.35
 #: Shingles that one fragment task should hold at most, on average.
 SCREEN_TOKENS, FRAGMENT_TOKENS = 400_000, 1_000_000
+#: Characters that are cut into shingles at once.
+SLICE = 4_000_000
 #: Least number of fragments of the whole order.
 FRAGMENTS = 16
 #: Classes in a block of a cluster.
@@ -92,7 +94,7 @@ def _screen_rows(parts: int):
         for batch in batches:
             ids = batch["doc_id"].to_numpy()
             texts = clean(batch["text"])
-            for a, b in slices(texts, 8_000_000):
+            for a, b in slices(texts, SLICE):
                 h, own, n = shingle_sets(texts[a:b], WIDTH)
                 cls = _signatures(h, n)
                 low = h < limit
@@ -210,7 +212,7 @@ def _segment_rows(bitmap, bits: int, parts: int):
             for at in _bloom_bits(ids, bits):
                 member &= (held[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
             ids, texts = ids[member], clean(batch["text"][member])
-            for a, b in slices(texts, 8_000_000):
+            for a, b in slices(texts, SLICE):
                 h, own, n = shingle_sets(texts[a:b], WIDTH)
                 cls = _signatures(h, n)
                 part = (h // np.uint64(step)).astype(np.int64)
@@ -263,51 +265,57 @@ PARTIAL = "cell string, part int, counts binary"
 LINKS = "a bigint, b bigint"
 
 
+def _side(packed: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of a packed block segment and the slot each belongs to, without Python objects."""
+    members = packed.values
+    tokens = members.field("tokens")
+    slots = np.repeat(members.field("slot").to_numpy(), tokens.value_lengths().to_numpy())
+    return tokens.flatten().to_numpy(), slots
+
+
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial overlaps of one block pair in one fragment, as packed (index, count)."""
     for batch in batches:
-        out = []
-        for row in batch.to_pylist():
-            left, right = ((np.concatenate([np.asarray(m["tokens"], np.int64) for m in s]), np.repeat([m["slot"] for m in s], [len(m["tokens"]) for m in s])) for s in (row["left"], row["right"]))
-            order = np.argsort(right[0], kind="stable")
-            token, slot = right[0][order], right[1][order]
-            lo, hi = np.searchsorted(token, left[0], "left"), np.searchsorted(token, left[0], "right")
+        for k in range(batch.num_rows):
+            (token, own), (other, slot) = _side(batch.column("left")[k]), _side(batch.column("right")[k])
+            order = np.argsort(other, kind="stable")
+            other, slot = other[order], slot[order]
+            lo, hi = np.searchsorted(other, token, "left"), np.searchsorted(other, token, "right")
             size = hi - lo
-            total = np.zeros(BLOCK * BLOCK * 4, np.int64) if size.sum() else np.zeros(0, np.int64)
-            cut = np.append(np.flatnonzero(np.diff(np.cumsum(size) // 4_000_000, prepend=-1)), len(size))
+            total = np.zeros(BLOCK * BLOCK * 4, np.int64)
+            cut = np.append(np.flatnonzero(np.diff(np.cumsum(size) // 1_000_000, prepend=-1)), len(size))
             for x, y in zip(cut[:-1], cut[1:]):  # bounded memory for frequent shingles
                 s = size[x:y]
                 at = np.repeat(lo[x:y] - (np.cumsum(s) - s), s) + np.arange(int(s.sum()))
-                total += np.bincount(np.repeat(left[1][x:y], s) * (2 * BLOCK) + slot[at], minlength=len(total))
+                total += np.bincount(np.repeat(own[x:y], s) * (2 * BLOCK) + slot[at], minlength=len(total))
             where = np.flatnonzero(total)
-            out.append((row["cell"], row["part"], _pack(where, np.uint32) + _pack(total[where], np.uint32)))
-        yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["cell", "part", "counts"]).astype({"part": "int32"}), preserve_index=False)
+            counts = _pack(where, np.uint32) + _pack(total[where], np.uint32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("cell").slice(k, 1), batch.column("part").slice(k, 1), pa.array([counts], pa.binary())], names=["cell", "part", "counts"]
+            )
 
 
 def _link_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums the partial overlaps of a block pair; links between different components, one for
     each class and component at most."""
     for batch in batches:
-        a, b = [], []
-        for row in batch.to_pylist():
+        for k in range(batch.num_rows):
             total = np.zeros(BLOCK * BLOCK * 4, np.int64)
-            for packed in row["counts"]:
-                both = np.frombuffer(packed, np.uint32).reshape(2, -1)
+            for packed in batch.column("counts")[k].values:
+                both = np.frombuffer(packed.as_buffer(), np.uint32).reshape(2, -1)
                 total[both[0]] += both[1]
             at = np.flatnonzero(total)
             i, j, common = at // (2 * BLOCK), at % (2 * BLOCK), total[at]
             sides = []
-            for members in (row["left"], row["right"]):
+            for name in ("left", "right"):
+                members = batch.column(name)[k].values
                 slot = np.zeros((3, 2 * BLOCK), np.int64)
-                for m in members:
-                    slot[:, m["slot"]] = m["cls"], m["n"], m["comp"]
+                slot[:, members.field("slot").to_numpy()] = [members.field(f).to_numpy() for f in ("cls", "n", "comp")]
                 sides.append(slot)
             (p, n, c), (q, m, d) = sides[0][:, i], sides[1][:, j]
             hit = (c != d) & (100 * common >= 75 * (n + m - common))
             once = pd.DataFrame({"a": p[hit], "b": q[hit], "c": c[hit], "d": d[hit]}).drop_duplicates(["a", "d"]).drop_duplicates(["c", "b"])
-            a.append(once["a"].to_numpy())
-            b.append(once["b"].to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(once["a"].to_numpy()), pa.array(once["b"].to_numpy())], names=["a", "b"])
 
 
 def _hub_links(segments: DataFrame, keys: DataFrame) -> DataFrame:
@@ -414,7 +422,8 @@ def link(docs: DataFrame, name: str = "jaccard") -> DataFrame:
     cross = materialize(_cluster_links(segments, keys, comps, name), f"{name}-cross")
     found = components(hub.union(cross), f"{name}-all").select(F.col("node").alias("cls"), "label")
     rows = stats.join(found, "cls", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "cls")))
-    lowest = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("low"))
+    # written, so that the join below is one of plain exchanges, whose hot labels can be split
+    lowest = materialize(rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("low")), f"{name}-lowest")
     return (
         rows.join(lowest, "label", "left")
         .select(
@@ -425,17 +434,38 @@ def link(docs: DataFrame, name: str = "jaccard") -> DataFrame:
     )
 
 
+def _held(bitmap, bits: int):
+    """Whether an id may be in a Bloom filter, as a column function."""
+
+    @F.pandas_udf("boolean")
+    def held(ids: pd.Series) -> pd.Series:
+        bytes_, out = np.frombuffer(bitmap.value, np.uint8), np.ones(len(ids), bool)
+        for at in _bloom_bits(ids.to_numpy(), bits):
+            out &= (bytes_[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        return pd.Series(out)
+
+    return held
+
+
 def keep_one(docs: DataFrame, name: str = "jaccard") -> DataFrame:
     """``docs`` without the near copies: the row with the smallest ``doc_id`` of each component.
 
     Rows without an id, and rows without words, stay.  Of several rows with that id one stays,
-    the one with the smallest text hash.  Only ids and hashes are grouped.
+    the one with the smallest text hash.  Rows that a Bloom filter of the removed ids does not
+    hold stay where they are read; only the others are joined with those ids, so most texts
+    are not shuffled.
     """
-    kept = materialize(link(docs, name).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), f"{name}-kept")
+    ids = materialize(link(docs, name).where("doc_id is not null").groupBy("doc_id").agg(
+        F.min("component_id").alias("component_id"), F.count("*").alias("rows")), f"{name}-ids")
+    removed = ids.where("doc_id <> component_id").select("doc_id")
+    bitmap, bits = _bloom(removed, removed.count())
+    maybe = _held(docs.sparkSession.sparkContext.broadcast(bitmap), bits)(F.col("doc_id").cast("bigint"))
     known = docs.where("doc_id is not null")
-    out = known.join(kept.where("rows = 1"), "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
-    if kept.where("rows > 1").limit(1).count():
+    checked = known.where(maybe).join(removed, "doc_id", "left_anti").select(*docs.columns)
+    out = known.where(~maybe).unionByName(checked)
+    repeated = ids.where("rows > 1 and doc_id = component_id").select("doc_id")
+    if repeated.limit(1).count():
         first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *(F.col(c) for c in docs.columns)))
-        repeated = known.join(kept.where("rows > 1"), "doc_id", "left_semi").withColumn("__first", first).where("__first = 1")
-        out = out.unionByName(repeated.select(*docs.columns))
-    return out
+        one = known.join(repeated, "doc_id", "left_semi").withColumn("__first", first).where("__first = 1")
+        out = out.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
+    return out.unionByName(docs.where("doc_id is null"))
