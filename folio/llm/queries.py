@@ -37,9 +37,10 @@ def op1_bpe_round_trip(spark: SparkSession, base: str) -> DataFrame:
 
 
 @register
-def op4_ngram_jaccard(spark: SparkSession, base: str) -> DataFrame:
-    """Set size and component of every document under shingle similarity 0.75."""
-    return jaccard.link(table(spark, base, "documents"))
+def op2_main_text(spark: SparkSession, base: str) -> DataFrame:
+    """Main text of every page."""
+    found = main_text.extract(table(spark, base, "pages")).select("page_id", "url", "text")
+    return found.withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 
 @register
@@ -51,11 +52,46 @@ def op3_quality(spark: SparkSession, base: str) -> DataFrame:
 
 
 @register
-def op9_language(spark: SparkSession, base: str) -> DataFrame:
-    """Predicted language of every document, learned outside the held-out fold."""
-    docs = table(spark, base, "documents")
-    held = F.coalesce(~langid.trainable(), F.lit(False)).alias("held_out")
-    return langid.predict(docs, langid.train(docs)).select("doc_id", held, "lang_pred", "score")
+def op4_ngram_jaccard(spark: SparkSession, base: str) -> DataFrame:
+    """Set size and component of every document under shingle similarity 0.75."""
+    return jaccard.link(table(spark, base, "documents"))
+
+
+SQL["op4_ngram_jaccard"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+    lambda x: x <> '') AS ws
+  FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s
+  FROM (SELECT *, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+  FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+link AS (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (
+  SELECT doc_id AS node, doc_id AS label FROM documents
+  UNION
+  SELECT e.b, r.label FROM reach r JOIN both_ways e ON e.a = r.node)
+SELECT node AS doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(label) AS component_id
+FROM reach LEFT JOIN n ON n.doc_id = node GROUP BY node
+"""
+
+
+@register
+def op5_shards(spark: SparkSession, base: str) -> DataFrame:
+    """Shard and slot of every document; equal texts stay together."""
+    return shards.assign(table(spark, base, "documents"))
+
+
+@register
+def op6_decontaminate(spark: SparkSession, base: str) -> DataFrame:
+    """Benchmark items found in documents, copied or paraphrased."""
+    return decontam.leaks(table(spark, base, "documents"), table(spark, base, "benchmark"))
 
 
 @register
@@ -108,22 +144,11 @@ FROM b
 
 
 @register
-def op2_main_text(spark: SparkSession, base: str) -> DataFrame:
-    """Main text of every page."""
-    found = main_text.extract(table(spark, base, "pages")).select("page_id", "url", "text")
-    return found.withColumn("n_chars", F.char_length("text").cast("bigint"))
-
-
-@register
-def op6_decontaminate(spark: SparkSession, base: str) -> DataFrame:
-    """Benchmark items found in documents, copied or paraphrased."""
-    return decontam.leaks(table(spark, base, "documents"), table(spark, base, "benchmark"))
-
-
-@register
-def op5_shards(spark: SparkSession, base: str) -> DataFrame:
-    """Shard and slot of every document; equal texts stay together."""
-    return shards.assign(table(spark, base, "documents"))
+def op9_language(spark: SparkSession, base: str) -> DataFrame:
+    """Predicted language of every document, learned outside the held-out fold."""
+    docs = table(spark, base, "documents")
+    held = F.coalesce(~langid.trainable(), F.lit(False)).alias("held_out")
+    return langid.predict(docs, langid.train(docs)).select("doc_id", held, "lang_pred", "score")
 
 
 @register
