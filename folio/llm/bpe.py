@@ -589,5 +589,7 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                     of_ids.append(hashlib.sha256(",".join([digits[i] for i in ids]).encode()).hexdigest())
                     of_text.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_tokens": count, "ids_sha256": of_ids, "decoded_sha256": of_text})
+        encoder.forget()  # the worker lives on and other operators run in it
+        c.pairs.clear()
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInPandas(run, ROUND_TRIP)
