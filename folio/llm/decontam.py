@@ -1,13 +1,15 @@
 """Benchmark decontamination by latent semantic retrieval and verification.
 
-The benchmark is the query set; it is taken in blocks of about ``BLOCK_ITEMS`` items and each
-block is searched in all documents.
+The benchmark is the query set; it is taken in blocks of about ``BLOCK_ITEMS`` items, whose
+passages are cut into latent spaces of at most ``RANK`` passages, so that each space is complete;
+``PASS_SPACES`` of them are searched in one pass over all documents.
 
 1. Items are cut into passages of at most ``PASSAGE`` words.  The document frequency of their
    words is counted over all documents.
 2. The TF-IDF matrix of the passages is decomposed by a randomised SVD: random directions are
    multiplied by ``A'A`` in power iterations, each one a pass over the partitions of passages
-   that returns partial products, with a QR step in between.
+   that returns partial products, with a QR step in between.  A space holds no more passages
+   than directions, and one that does not keep ``KEPT`` of each passage is split.
 3. Every document is cut into overlapping windows.  A window whose words could together be the
    share ``SHARE`` of some passage is folded into the latent space; passages with cosine at least
    ``COSINE`` that it also covers by ``SHARE`` are candidates.
@@ -21,19 +23,24 @@ Verification happens where the window was read, so no text is shuffled.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm.words import ALNUM, clean, slices, word_hashes
 
 BLOCK_ITEMS = 1000
+#: Latent spaces that are searched in one pass over the texts.
+PASS_SPACES = 4
 PASSAGE, STRIDE = 64, 32
 RANK, OVERSAMPLE, POWER = 256, 8, 2
+#: Least length of a passage in its latent space as a share of its own; a space that keeps less is split.
+KEPT = 0.99
 #: Least cosine, and least length of the window along the passage as a share of the passage's.
 COSINE, SHARE = 0.25, 0.3
 COVER, ANSWER_COVER, ANSWER_WORDS = 0.7, 0.5, 8
@@ -165,7 +172,7 @@ def contains(words: np.ndarray, run: np.ndarray) -> bool:
 
 @dataclass(frozen=True)
 class Index:
-    """One block of the benchmark: passages, vocabulary, word weights and latent space."""
+    """One latent space: passages, vocabulary, word weights and directions."""
 
     passages: list[Passage]
     vocabulary: np.ndarray
@@ -175,22 +182,6 @@ class Index:
     length: np.ndarray
     share: np.ndarray
 
-    def leaks(self, texts: list[str]) -> list[list[dict]]:
-        """For each text the benchmark items found in it, best passage of each."""
-        lookup = Lookup(self.vocabulary)
-        out: list[list[dict]] = []
-        for a, b in slices(texts, SLICE):
-            words, owner = word_hashes(texts[a:b], ALNUM)
-            found: list[dict[int, dict]] = [{} for _ in range(b - a)]
-            for text, at, passage, cosine in self.candidates(lookup, words, owner):
-                verdict = self.verify(words, at, passage)
-                if verdict:
-                    held = found[text].get(verdict["item_id"])
-                    if held is None or (verdict["coverage"], cosine) > (held["coverage"], held["cosine"]):
-                        found[text][verdict["item_id"]] = verdict | {"cosine": cosine}
-            out += [[f[i] for i in sorted(f)] for f in found]
-        return out
-
     def candidates(self, lookup: Lookup, words: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, tuple[int, int], Passage, float]]:
         """``(text, (start, end), passage, cosine)`` of similar windows, with some words around."""
         if not len(words) or not len(self.passages):
@@ -204,7 +195,7 @@ class Index:
         text = np.repeat(np.arange(len(texts)), count)
         start = first[text] + STRIDE * (np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count))
         end = np.minimum(start + PASSAGE, last[text])
-        heavy = np.flatnonzero(mass[end] - mass[start] >= SHARE)
+        heavy = np.flatnonzero(mass[end] - mass[start] >= SHARE * KEPT)
         for k in range(0, len(heavy), 256):
             part = heavy[k : k + 256]
             size = end[part] - start[part]
@@ -236,8 +227,54 @@ class Index:
         return None
 
 
-def indexes(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> Iterator[Index]:
-    """One index per benchmark block.  Items without words or id are left out."""
+def leaks_of(spaces: list[Index], texts: list[str]) -> list[list[dict]]:
+    """For each text the benchmark items found in it, best passage of each."""
+    lookups = [Lookup(space.vocabulary) for space in spaces]
+    out: list[list[dict]] = []
+    for a, b in slices(texts, SLICE):
+        words, owner = word_hashes(texts[a:b], ALNUM)
+        found: list[dict[int, dict]] = [{} for _ in range(b - a)]
+        for space, lookup in zip(spaces, lookups):
+            for text, at, passage, cosine in space.candidates(lookup, words, owner):
+                verdict = space.verify(words, at, passage)
+                if verdict:
+                    held = found[text].get(verdict["item_id"])
+                    if held is None or (verdict["coverage"], cosine) > (held["coverage"], held["cosine"]):
+                        found[text][verdict["item_id"]] = verdict | {"cosine": cosine}
+        out += [[f[i] for i in sorted(f)] for f in found]
+    return out
+
+
+def space_of(spark: SparkSession, held: list[Passage], weights: dict[int, float]) -> Iterator[Index]:
+    """The latent space of at most ``RANK`` passages, or of its halves if it does not keep ``KEPT``
+    of each passage's length.  ``weights`` has the idf of every word hash."""
+    vocabulary = np.unique(np.concatenate([p.words for p in held]))
+    idf = np.array([weights[w] for w in vocabulary.tolist()], np.float32)
+    sparse, length = [], []
+    for p in held:
+        term, tf = np.unique(np.searchsorted(vocabulary, p.words), return_counts=True)
+        w = tf * idf[term]
+        length.append(float(np.linalg.norm(w)))
+        sparse.append((term.astype(int).tolist(), (w / np.linalg.norm(w)).astype(float).tolist()))
+    matrix = spark.createDataFrame(sparse, "term array<int>, weight array<float>").repartition(min(8, len(sparse)))
+    basis = latent_basis(matrix, len(vocabulary), len(sparse))
+    latent = np.stack([np.asarray(w, np.float32) @ basis[t] for t, w in sparse])
+    kept = np.linalg.norm(latent, axis=1, keepdims=True)
+    if kept.min() < KEPT and len(held) > 1:
+        yield from space_of(spark, held[: len(held) // 2], weights)
+        yield from space_of(spark, held[len(held) // 2 :], weights)
+        return
+    latent /= np.maximum(kept, 1e-9)
+    share = np.zeros(len(vocabulary), np.float32)  # the most that a word is of any passage
+    for (t, w), n in zip(sparse, length):
+        share[t] = np.maximum(share[t], idf[t] * np.asarray(w, np.float32) / n)
+    yield Index(held, vocabulary, idf, basis, latent, np.array(length, np.float32) * kept[:, 0], share)
+
+
+def indexes(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> Iterator[list[Index]]:
+    """The latent spaces of each pass; an item's passages are all in one pass.  Items without
+    words or id are left out."""
+    spark = docs.sparkSession
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("bigint"), "text").distinct()
     blocks = max(1, -(-items.count() // block_items))
     for block in range(blocks):
@@ -249,20 +286,21 @@ def indexes(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEM
         df, n = document_frequency(docs, vocabulary)
         # squared, so that rare words decide
         idf = np.square(np.log((n + 1) / (np.minimum(df, n) + 1)).astype(np.float32)) + np.float32(0.01)
-        sparse, length = [], []
-        for p in held:
-            term, tf = np.unique(np.searchsorted(vocabulary, p.words), return_counts=True)
-            w = tf * idf[term]
-            length.append(float(np.linalg.norm(w)))
-            sparse.append((term.astype(int).tolist(), (w / np.linalg.norm(w)).astype(float).tolist()))
-        matrix = docs.sparkSession.createDataFrame(sparse, "term array<int>, weight array<float>").repartition(min(8, len(sparse)))
-        basis = latent_basis(matrix, len(vocabulary), len(sparse))
-        latent = np.stack([np.asarray(w, np.float32) @ basis[t] for t, w in sparse])
-        latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-        share = np.zeros(len(vocabulary), np.float32)  # the most that a word is of any passage
-        for (t, w), n in zip(sparse, length):
-            share[t] = np.maximum(share[t], idf[t] * np.asarray(w, np.float32) / n)
-        yield Index(held, vocabulary, idf, basis, latent, np.array(length, np.float32), share)
+        weights = dict(zip(vocabulary.tolist(), idf.tolist()))
+        part: list[Passage] = []
+        for _, group in itertools.groupby(held, key=lambda p: p.item_id):
+            more = list(group)
+            if part and len(part) + len(more) > PASS_SPACES * RANK:
+                yield _spaces(spark, part, weights)
+                part = []
+            part = part + more
+        yield _spaces(spark, part, weights)
+
+
+def _spaces(spark: SparkSession, held: list[Passage], weights: dict[int, float]) -> list[Index]:
+    pieces = -(-len(held) // RANK)
+    cuts = [len(held) * k // pieces for k in range(pieces + 1)]
+    return [space for a, b in zip(cuts, cuts[1:]) for space in space_of(spark, held[a:b], weights)]
 
 
 LEAK = "array<struct<item_id: bigint, cosine: double, common: bigint, coverage: double, answer: boolean>>"
@@ -272,12 +310,12 @@ def flag(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with ``leaks``, the benchmark items found in each text (empty if clean).
 
     All columns are kept; one named ``leaks`` is replaced.  Null and empty texts, and an empty
-    benchmark, give no leaks.  Each benchmark block is one pass over the texts.
+    benchmark, give no leaks.  ``PASS_SPACES`` latent spaces are one pass over the texts.
     """
     spark = docs.sparkSession
     out = docs.withColumn("leaks", F.array().cast(LEAK))
-    for index in indexes(docs, benchmark):
-        found = _finder(spark.sparkContext.broadcast(index))  # one block of the benchmark
+    for spaces in indexes(docs, benchmark):
+        found = _finder(spark.sparkContext.broadcast(spaces))  # at most about PASS_SPACES * RANK passages
         out = out.withColumn("leaks", F.concat("leaks", found("text")))
     return out
 
@@ -286,7 +324,7 @@ def _finder(held):
     @F.pandas_udf(LEAK)
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(held.value.leaks(clean(batch)), dtype=object)
+            yield pd.Series(leaks_of(held.value, clean(batch)), dtype=object)
 
     return found
 

@@ -120,6 +120,21 @@ def test_decontamination(spark):
     assert decontam.leaks(frame.limit(0), bench).count() == 0
 
 
+def test_verbatim_copies_are_found_in_a_large_benchmark(spark):
+    r = random.Random(4)
+    vocabulary = sorted(set(words(r, 20000)))
+    items = []
+    for k in range(290):  # families of similar questions draw the leading directions to themselves
+        shared = r.sample(vocabulary, 28)
+        items += [(3 * k + j, " ".join(shared + r.sample(vocabulary, 2))) for j in range(3)]
+    items += [(k, " ".join(r.sample(vocabulary, 30 if k < 980 else 100))) for k in range(870, 1000)]
+    docs = [(k, items[k][1] if k % 2 else " ".join(r.sample(vocabulary, 40) + items[k][1].split() + r.sample(vocabulary, 40))) for k in [*range(0, 870, 15), *range(870, 1000)]]
+    out = decontam.leaks(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(8), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    missed = [k for k, _ in docs if (k, k) not in {(x["doc_id"], x["item_id"]) for x in out}]
+    assert len(missed) == 0, f"{len(missed)} of {len(docs)} copies missed"
+    assert len(out) == len({(x["doc_id"], x["item_id"]) for x in out})
+
+
 def test_common_subsequence_equals_dynamic_programming():
     r = random.Random(6)
     for _ in range(50):
