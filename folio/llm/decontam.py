@@ -11,8 +11,9 @@ passages are cut into latent spaces of at most ``RANK`` passages, so that each s
    that returns partial products, with a QR step in between.  A space holds no more passages
    than directions, and one that does not keep ``KEPT`` of each passage is split.
 3. Every document is cut into overlapping windows.  A window whose words could together be the
-   share ``SHARE`` of some passage is folded into the latent space; passages with cosine at least
-   ``COSINE`` that it also covers by ``SHARE`` are candidates.
+   share ``SHARE`` of some passage is folded into the latent space; passages that it covers by
+   ``SHARE`` are candidates, whatever else stands in the window, unless too few of their words
+   stand there to pass step 4.
 4. A candidate is verified on the words themselves: the longest common subsequence must cover
    ``COVER`` of the passage, or ``ANSWER_COVER`` of it if the passage's end (the answer) stands
    in the window word for word.
@@ -41,8 +42,10 @@ PASSAGE, STRIDE = 64, 32
 RANK, OVERSAMPLE, POWER = 256, 8, 2
 #: Least length of a passage in its latent space as a share of its own; a space that keeps less is split.
 KEPT = 0.99
-#: Least cosine, and least length of the window along the passage as a share of the passage's.
-COSINE, SHARE = 0.25, 0.3
+#: Least length of the window along the passage as a share of the passage's.
+SHARE = 0.3
+#: Rounding errors of the latent space, as a share of the window's length.
+ROUNDING = 1e-5
 COVER, ANSWER_COVER, ANSWER_WORDS = 0.7, 0.5, 8
 #: Characters that are read at once.
 SLICE = 2_000_000
@@ -196,6 +199,8 @@ class Index:
         start = first[text] + STRIDE * (np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count))
         end = np.minimum(start + PASSAGE, last[text])
         heavy = np.flatnonzero(mass[end] - mass[start] >= SHARE * KEPT)
+        wanted, needed = self.wanted()
+        present = np.zeros(len(self.vocabulary) + 1, bool)
         for k in range(0, len(heavy), 256):
             part = heavy[k : k + 256]
             size = end[part] - start[part]
@@ -208,11 +213,28 @@ class Index:
                 begin = np.flatnonzero(np.diff(row, prepend=-1))
                 x[row[begin]] = np.add.reduceat(self.basis[index[at]] * weight[at, None].astype(np.float32), begin)
             along = x @ self.latent.T
-            cosine = along / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-            for i, p in zip(*np.nonzero((cosine >= COSINE) & (along >= SHARE * self.length))):
+            norm = np.linalg.norm(x, axis=1, keepdims=True)
+            cosine = along / np.maximum(norm, 1e-9)
+            covered = along >= SHARE * self.length - ROUNDING * norm
+            for i in np.flatnonzero(covered.any(axis=1)):
                 t = text[part[i]]
                 around = max(first[t], start[part[i]] - STRIDE), min(last[t], end[part[i]] + STRIDE)
-                yield int(texts[t]), around, self.passages[p], float(cosine[i, p])
+                here = index[around[0] : around[1]]
+                present[here] = True
+                present[-1] = False  # words of no passage
+                near = np.flatnonzero(covered[i])
+                for p in near[present[wanted[near]].sum(axis=1) >= needed[near]]:
+                    yield int(texts[t]), around, self.passages[p], float(cosine[i, p])
+                present[here] = False
+
+    def wanted(self) -> tuple[np.ndarray, np.ndarray]:
+        """The words of each passage, filled up with -1, and how many of them a text must hold
+        at least for ``verify`` to find the passage."""
+        words = np.full((len(self.passages), max(len(p.words) for p in self.passages)), -1)
+        for k, p in enumerate(self.passages):
+            words[k, : len(p.words)] = np.searchsorted(self.vocabulary, p.words)
+        size = np.array([len(p.words) for p in self.passages])
+        return words, np.where(size < SHORT, size, np.ceil(min(COVER, ANSWER_COVER) * size - 1e-9))
 
     def verify(self, words: np.ndarray, at: tuple[int, int], passage: Passage) -> dict | None:
         window, wanted = words[at[0] : at[1]], passage.words

@@ -135,6 +135,20 @@ def test_verbatim_copies_are_found_in_a_large_benchmark(spark):
     assert len(out) == len({(x["doc_id"], x["item_id"]) for x in out})
 
 
+def test_a_hot_short_item_is_found_beside_rare_words_of_the_benchmark(spark):
+    r = random.Random(5)
+    vocabulary = sorted(set(words(r, 20000)))
+    items = [(k, " ".join(r.sample(vocabulary, r.choice([15, 40])))) for k in range(100)]
+    hot, rare = " ".join(items[0][1].split()[:15]), [w for _, t in items[1:] for w in t.split()]
+    items[0] = (0, hot)
+    docs = [(k, " ".join(r.sample(rare, 40) + hot.split() + r.sample(rare, 40))) for k in range(150)]
+    docs += [(1000 + k, " ".join(r.sample(vocabulary, 100))) for k in range(300)]
+    out = decontam.leaks(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(8), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    found = {x["doc_id"] for x in out if x["item_id"] == 0}
+    missed = [k for k in range(150) if k not in found]
+    assert not missed, f"{len(missed)} of 150 copies missed"
+
+
 def test_common_subsequence_equals_dynamic_programming():
     r = random.Random(6)
     for _ in range(50):
