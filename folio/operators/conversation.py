@@ -56,9 +56,12 @@ def sticky_year(turns: DataFrame, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
     ``(thread, turn div chunk_turns)`` groups; level 2 scans the per-chunk summaries of a
     thread (few rows) to get the year carried into each chunk.
     """
-    act = user_turns(turns).select(
-        "thread_id", "turn", year_action(F.col("content")).alias("a"),
-        F.floor(F.col("turn") / chunk_turns).alias("chunk"))
+    return fold_years(user_turns(turns).select("thread_id", "turn", year_action(F.col("content")).alias("a")), chunk_turns)
+
+
+def fold_years(acted: DataFrame, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
+    """The fold of ``sticky_year`` over user turns ``(thread_id, turn, a)`` with their actions."""
+    act = acted.withColumn("chunk", F.floor(F.col("turn") / chunk_turns))
     rows = act.select(
         "thread_id", "turn", "chunk", F.col("a.action").alias("action"), F.col("a.value").alias("value"),
         F.col("a.action").isin("SET", "CLEAR").cast("int").alias("reset"),

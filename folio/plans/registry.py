@@ -546,7 +546,8 @@ def stream_ingest(spark: SparkSession, base: str) -> DataFrame:
 @register("stream_thread_state")
 def stream_thread_state(spark: SparkSession, base: str) -> DataFrame:
     """T2 + W6: all turns arriving as files that hold any turns in any order, folded per thread
-    with bounded state; equals the batch sticky-year fold."""
+    with bounded state, and threads with turns older than their log folded again; equals the batch
+    sticky-year fold."""
     from folio.streaming import jobs
 
     root = new_path(spark, "stream-threads")
@@ -555,7 +556,7 @@ def stream_thread_state(spark: SparkSession, base: str) -> DataFrame:
     t.repartition(files, F.xxhash64("turn", "thread_id")).write.parquet(f"{root}/in")
     jobs.thread_state_stream(spark, f"{root}/in", t.schema, f"{root}/out", f"{root}/checkpoint",
                              max_files=max(1, files // 3), state_partitions=files)
-    return jobs.current_state(spark, f"{root}/out")
+    return jobs.complete_state(spark, f"{root}/out")
 
 
 @register("stream_embed")

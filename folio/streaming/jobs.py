@@ -87,6 +87,8 @@ def embed_stream(spark: SparkSession, source_dir: str, schema: T.StructType, tar
 
 #: User turns of a thread that a late turn may still be sorted into; older ones are settled.
 LOG_TURNS = 512
+#: How the reason of a turn that came when it was settled begins.
+BEFORE_LOG = "turn before the"
 
 STATE_SCHEMA = T.StructType([
     T.StructField("settled_turn", T.IntegerType()),
@@ -104,6 +106,7 @@ THREAD_OUTPUT = T.StructType([
     T.StructField("thread_id", T.LongType()),
     T.StructField("turn", T.IntegerType()),
     T.StructField("action", T.StringType()),
+    T.StructField("value", T.IntegerType()),
     T.StructField("year", T.IntegerType()),
     T.StructField("history_size", T.IntegerType()),
     T.StructField("revision", T.IntegerType()),
@@ -128,7 +131,7 @@ def _fold_thread(ttl_ms: int | None, log_turns: int = LOG_TURNS):
     A turn is sorted into the log, the years after it are folded again, and a row is emitted
     for it and for each later turn whose year changed, with a higher ``revision``.  A turn
     that belongs before the log, or one that is already in it, is emitted as ``kind = late``
-    with the reason instead.  Batches are folded one at a time, so a thread with very many
+    with the reason instead; ``complete_state`` folds the former in afterwards.  Batches are folded one at a time, so a thread with very many
     turns is never held whole.
     """
     keep = conversation.HISTORY_KEEP + 1
@@ -156,8 +159,9 @@ def _fold_thread(ttl_ms: int | None, log_turns: int = LOG_TURNS):
                 at = bisect.bisect_left(turns, turn)
                 known = at < len(turns) and turns[at] == turn
                 if known or turn <= settled:
-                    reason = "repeated turn" if known else f"turn before the {log_turns} that are kept"
-                    out.append((int(key[0]), turn, row.action, None, len(history), revision, reason, "late"))
+                    reason = "repeated turn" if known else f"{BEFORE_LOG} {log_turns} that are kept"
+                    value = None if pd.isna(row.value) else int(row.value)
+                    out.append((int(key[0]), turn, row.action, value, None, len(history), revision, reason, "late"))
                     continue
                 turns.insert(at, turn)
                 actions.insert(at, row.action)
@@ -171,14 +175,14 @@ def _fold_thread(ttl_ms: int | None, log_turns: int = LOG_TURNS):
                     year = _next_year(year, actions[k], values[k])
                     if turns[k] in new or year != years[k]:
                         years[k] = year
-                        out.append((int(key[0]), turns[k], actions[k], year, len(history), revision, None, "state"))
+                        out.append((int(key[0]), turns[k], actions[k], values[k], year, len(history), revision, None, "state"))
             over = len(turns) - log_turns
             if over > 0:
                 settled, base = turns[over - 1], years[over - 1]
                 turns, actions, values, years = turns[over:], actions[over:], values[over:], years[over:]
             if out:
                 yield pd.DataFrame(out, columns=[f.name for f in THREAD_OUTPUT.fields]).astype(
-                    {"year": "Int32", "turn": "int32", "history_size": "int32", "revision": "int32"})
+                    {"value": "Int32", "year": "Int32", "turn": "int32", "history_size": "int32", "revision": "int32"})
         h_t, h_r, h_c = ([list(c) for c in zip(*history)] if history else ([], [], []))
         state.update((settled, base, turns, actions, values, years, h_t, h_r, h_c, revision))
         if ttl_ms:
@@ -194,7 +198,8 @@ def thread_state_stream(spark: SparkSession, source_dir: str, schema: T.StructTy
     history (append mode, parquet file sink partitioned by ``kind``).
 
     ``kind=state`` has a row per user turn and revision; ``current_state`` reads the latest.
-    ``kind=late`` is the side table of turns that could not be folded, with the reason.  With
+    ``kind=late`` is the side table of turns that the log could not take, with the reason;
+    ``complete_state`` folds both.  With
     ``ttl_ms`` the state of a thread without turns for so long (processing time) is removed; its
     later turns start a new thread state.
 
@@ -229,6 +234,20 @@ def current_state(spark: SparkSession, output: str) -> DataFrame:
     return latest.select("thread_id", "turn", "r.action", "r.year")
 
 
+def complete_state(spark: SparkSession, output: str) -> DataFrame:
+    """``(thread_id, turn, action, year)`` of every user turn, also of those that came after their
+    place was settled: a thread that has such turns is folded again as a whole by the chunked batch
+    fold, the others are as in ``current_state``.  The first delivery of a turn counts.  A thread
+    that is folded again is one thread, also where ``ttl_ms`` had let its state expire."""
+    rows = spark.read.schema(THREAD_OUTPUT).parquet(output).where(
+        (F.col("kind") == "state") | F.col("reason").startswith(BEFORE_LOG))
+    touched = rows.where("kind = 'late'").select("thread_id").distinct()
+    first = F.struct("revision", "kind", "action", "value")
+    again = rows.join(touched, "thread_id", "left_semi").groupBy("thread_id", "turn").agg(F.min(first).alias("r"))
+    folded = conversation.fold_years(again.select("thread_id", "turn", F.struct("r.action", "r.value").alias("a")))
+    return current_state(spark, output).join(touched, "thread_id", "left_anti").unionByName(folded)
+
+
 def late_turns(spark: SparkSession, output: str) -> DataFrame:
     """``(thread_id, turn, reason)`` of the turns that were not folded."""
     return spark.read.schema(THREAD_OUTPUT).parquet(output).where("kind = 'late'").select("thread_id", "turn", "reason")

@@ -70,6 +70,16 @@ def test_turns_before_the_log_go_to_the_side_table(spark):
     assert {r["turn"] for r in jobs.current_state(spark, f"{root}/out").collect()} == {r[1] for r in rows[6:] if r[2] == "user"}
 
 
+def test_turns_before_the_log_are_in_the_complete_state(spark):
+    rows = _turns(1, 4000) + [(t + 1, n, role, text) for t, n, role, text in _turns(2, 30)]
+    want = sorted(map(tuple, conversation.sticky_year(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    files = [[r for r in rows if (r[1] * 7919 + r[0]) % 31 % 3 == k] for k in range(3)]
+    root = _run_threads(spark, [*files, files[1][:40]], "t-complete")
+    assert jobs.late_turns(spark, f"{root}/out").count() > 512
+    got = jobs.complete_state(spark, f"{root}/out").select("thread_id", "turn", "action", "year")
+    assert sorted(map(tuple, got.collect()), key=str) == want
+
+
 def test_thread_state_expires(spark):
     rows = [(1, 0, "user", "Revenue in 2011?"), (2, 0, "user", "Revenue in 2012?")]
     later = [(1, 1, "user", "And the year before?")]
