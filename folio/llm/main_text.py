@@ -26,6 +26,8 @@ BOILERPLATE = frozenset("nav header footer aside form menu dialog fieldset".spli
 SECTIONS = frozenset("article main section nav header footer aside form div body td".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+#: What may stand in a head; anything else ends it, as its end tag is optional.
+HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 MAIN = frozenset(("article", "main"))
 #: Words of class, id and role values that mark boilerplate.
 MARKS = frozenset(
@@ -86,7 +88,20 @@ class Blocks(HTMLParser):
             self.blocks.append(Block(text, self.linked, *self.state()))
         self.parts, self.linked = [], 0
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """A malformed ``<![`` is a comment up to the next ``>``."""
+        try:
+            end = super().parse_marked_section(i, report)
+        except AssertionError:
+            end = -1
+        return end if end >= 0 else self.rawdata.find(">", i) + 1 or -1
+
+    def in_head(self) -> bool:
+        return bool(self.open) and self.open[-1][0] == "head"
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in HEAD and self.in_head() or tag == "body" and all(name != "template" for name, *_ in self.open):
+            self.leave("head")
         if tag in VOID:
             if tag not in INLINE:
                 if tag == "br":
@@ -132,6 +147,8 @@ class Blocks(HTMLParser):
         self.leave(tag, stop=SECTIONS - {tag} if tag in INLINE or tag == "p" else frozenset())
 
     def handle_data(self, data: str) -> None:
+        if self.hidden and self.in_head() and data.strip():
+            self.leave("head")
         if not self.hidden:
             self.parts.append(data)
             if self.links:
@@ -144,11 +161,8 @@ def blocks_of(html: str) -> list[Block]:
     parser = Blocks()
     if html.rfind("<!--") > html.rfind("-->"):  # a comment without an end hides the rest
         html = html[: html.rfind("<!--")] if "<script" not in html[html.rfind("<!--") - 200 : html.rfind("<!--")] else html
-    try:
-        parser.feed(html)
-        HTMLParser.close(parser)
-    except AssertionError:  # malformed declarations; what was read so far counts
-        pass
+    parser.feed(html)
+    HTMLParser.close(parser)
     parser.end_block()
     return parser.blocks
 

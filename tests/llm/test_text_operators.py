@@ -33,6 +33,22 @@ def test_pages_without_containers_and_broken_ones():
     assert len(main_text.extract_text(deep)) == 20 * 20000 - 1
 
 
+def test_a_head_without_end_tag_hides_no_text():
+    article = "<article><p>The first of the paragraphs is the one that we want to have in the text.</p></article>"
+    want = "The first of the paragraphs is the one that we want to have in the text."
+    head = "<!doctype html><html><head><meta charset=utf-8><title>T</title><style>p{}</style><link rel=x href=y>"
+    for html in (head + "<body>" + article, head + article, head + "</head><body>" + article, head + "<script>var a;</script>\n" + article, "<head><noscript><style>p{}</style><body>" + article):
+        assert main_text.extract_text(html) == want
+    assert main_text.extract_text(head + want) == want
+
+
+def test_text_after_a_malformed_section_is_kept():
+    one, two = ("The %s of the paragraphs is the one that we want to have in the text." % w for w in ("first", "second"))
+    for mark in ("<![x", "<![foo bar]>", "<![ ]>", "<![cdata[ open>", "<![if !IE]>", "<![CDATA[a]]>", "<![endif]-->", "<!x>"):
+        html = f"<article><p>{one}</p>{mark}<p>{two}</p></article>"
+        assert main_text.extract_text(html) == f"{one}\n\n{two}", mark
+
+
 def test_main_text_frame(spark):
     rows = [(1, "u", PAGE, "old"), (2, None, None, None), (2, None, None, None)]
     out = main_text.extract(spark.createDataFrame(rows, "page_id int, url string, html string, text string")).collect()
