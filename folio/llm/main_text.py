@@ -7,6 +7,9 @@ mostly) are ambiguous.  In pass two an ambiguous block inherits the label of its
 decided neighbours, looking first inside its own section element; inside ``article`` or
 ``main`` it is good if no neighbour decides, elsewhere bad.
 
+The stop words are English, German, French, Italian and Spanish.  On a page whose text shows none
+of these languages they decide nothing: there, length and links alone tell good blocks.
+
 Every page is one row in, one row out; work is one parse of its html.
 """
 
@@ -167,18 +170,33 @@ def blocks_of(html: str) -> list[Block]:
     return parser.blocks
 
 
-def first_pass(block: Block) -> int:
-    """The label of a block on its own."""
-    size = len("".join(block.text.split()))
-    if block.boilerplate or block.linked > MAX_LINK_DENSITY * size:
-        return BAD
+def is_boilerplate(block: Block) -> bool:
+    return block.boilerplate or block.linked > MAX_LINK_DENSITY * len("".join(block.text.split()))
+
+
+def stop_words(block: Block) -> tuple[int, int]:
+    """How many words of a block are stop words, and how many it has."""
     words = WORD.findall(block.text.lower())
-    stop = sum(map(STOP_WORDS.__contains__, words)) / max(1, len(words))
+    return sum(map(STOP_WORDS.__contains__, words)), len(words)
+
+
+def covered_language(blocks: list[Block]) -> bool:
+    """Whether the longer blocks of a page, taken together, show a language of the stop words."""
+    counts = [stop_words(b) for b in blocks if len(b.text) >= GOOD_LENGTH and not is_boilerplate(b)]
+    return sum(c[0] for c in counts) >= GOOD_STOP_DENSITY / 2 * sum(c[1] for c in counts)
+
+
+def first_pass(block: Block, covered: bool = True) -> int:
+    """The label of a block on its own; ``covered`` tells whether stop words mean anything."""
+    if is_boilerplate(block):
+        return BAD
+    found, words = stop_words(block)
+    stop = found / max(1, words)
     if "©" in block.text and not block.main:
         return BAD
     if len(block.text) >= GOOD_LENGTH and stop >= GOOD_STOP_DENSITY:
         return GOOD
-    if block.main and len(block.text) >= GOOD_LENGTH:
+    if (block.main or not covered) and len(block.text) >= GOOD_LENGTH:
         return GOOD
     if len(block.text) >= LONG_LENGTH and not block.main and stop < GOOD_STOP_DENSITY / 2:
         return BAD
@@ -222,7 +240,8 @@ def extract_text(html: str | None) -> str:
     if not html:
         return ""
     blocks = blocks_of(html)
-    labels = second_pass(blocks, [first_pass(b) for b in blocks])
+    covered = covered_language(blocks)
+    labels = second_pass(blocks, [first_pass(b, covered) for b in blocks])
     return "\n\n".join(b.text for b, label in zip(blocks, labels) if label == GOOD)
 
 

@@ -49,6 +49,15 @@ def test_text_after_a_malformed_section_is_kept():
         assert main_text.extract_text(html) == f"{one}\n\n{two}", mark
 
 
+def test_articles_in_other_languages_are_kept():
+    long = "Вчера вечером жители города собрались на площади, чтобы обсудить новые планы строительства и рассказать о своих пожеланиях, которые мэр обещал учесть."
+    html = f"<body><nav><a href=/>Главная</a></nav><div class=post><h1>Новости</h1><p>{long}</p><p>Конец.</p></div><div class=ad>{long}</div></body>"
+    assert main_text.extract_text(html) == f"Новости\n\n{long}\n\nКонец."
+    english = "The cat and the dog are in the house of the man who is with them for the day."
+    code = "x9 = foo(bar); " * 12
+    assert main_text.extract_text(f"<div><p>{english} {english}</p></div><div><p>{code}</p></div>") == f"{english} {english}"
+
+
 def test_main_text_frame(spark):
     rows = [(1, "u", PAGE, "old"), (2, None, None, None), (2, None, None, None)]
     out = main_text.extract(spark.createDataFrame(rows, "page_id int, url string, html string, text string")).collect()
