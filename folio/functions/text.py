@@ -32,6 +32,8 @@ FISCAL_YEAR = r"(?i)(?:^|" + NON_WORD + r")FY[ '’-]?((?:20)?[0-9]{2})(?:" + NO
 # A character reference after its "&"; group 1 is a number or a name.
 REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 REPLACEMENT = "�"
+# The references that most texts use, looked at before the table of all names.
+COMMON_REFERENCES = [("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", "\u00a0")]
 
 
 def named_references() -> dict[str, str]:
@@ -41,24 +43,51 @@ def named_references() -> dict[str, str]:
 
 _EDGE = r"[^\p{L}\p{N}_]"
 # Cleaning steps: (pattern, replacement) applied in order by ``clean_text``.  Script and style
-# bodies and comments go first because scripts may hold tag-like strings such as "</p>"; line
-# marks (quotes, lists, headings) before emphasis, so that a list star opens no emphasis.
+# bodies and comments go first because scripts may hold tag-like strings such as "</p>"; escapes
+# become character references, which are decoded last; line marks (quotes, lists, headings, rules)
+# go before emphasis, so that a list star opens no emphasis.  No step repeats a group without bound
+# (Java's matcher would recurse) and none lets a mark scan past the next mark of its kind, so each
+# is linear in the text.
+_ESCAPES = [(r"\\" + ("\\" if c in "\\`*_{}[]()#+.!|-" else "") + c, f"&#{ord(c)};") for c in "\\`*_{}[]()#+.!|~>-"]
+_LINK = (r"!?\[([^\[\]]*)\]\([^()\[\]]*(?:\([^()\[\]]*\)[^()\[\]]*)?\)", "$1")
 _STAR = (r"(^|[^\p{L}\p{N}_*])\*([^*\s]|[^*\s][^*\n]*[^*\s])\*([^\p{L}\p{N}_*]|$)", "$1$2$3")
 _UNDERSCORE = (r"(^|" + _EDGE + r")_([^_\s]|[^_\s][^_\n]*[^_\s])_(" + _EDGE + r"|$)", "$1$2$3")
+HIDDEN_PARTS = (r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", " ")
 CLEAN_STEPS = [
-    (r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", " "),
-    (r"!?\[([^\]]*)\]\([^)]*\)", "$1"),
-    (r"(^|\n)[ \t]*(?:>[ \t]?)+", "$1"),
+    HIDDEN_PARTS,
+    *_ESCAPES,
+    _LINK, _LINK,  # twice: an image inside a link
+    (r"(?m)^[ \t]{0,3}(?:=+|-{2,}|\*{3,}|_{3,})[ \t\r]*$", ""),
+    (r"(^|\n)[ \t]*>[> \t]*", "$1"),
     (r"(^|\n)[ \t]*(?:[-*+]|[0-9]{1,3}[.)])[ \t]+", "$1"),
     (r"(^|\n)[ \t]{0,3}#{1,6}[ \t]*", "$1"),
     (r"\*\*|`", ""),
-    (r"(^|" + _EDGE + r")__([^\n]*?[^_\n])__(" + _EDGE + r"|$)", "$1$2$3"),
+    (r"(^|" + _EDGE + r")__([^_\s][^_\n]*(?:_[^_\n]+){0,3})__(" + _EDGE + r"|$)", "$1$2$3"),
     _STAR, _STAR, _UNDERSCORE, _UNDERSCORE,  # twice: neighbours share the character between them
-    (r"<[A-Za-z/!][^>]*>", " "),
+    (r"<[A-Za-z/!][^<>]*>", " "),
 ]
+# Steps for texts with link definitions ("[label]: target" lines), before the others.
+DEFINITION = r"(?m)^[ \t]{0,3}\[[^\[\]\n]+\]:[ \t]*[^ \t\n][^\n]*$"
+REFERENCE_STEPS = [(DEFINITION, ""), (r"!?\[([^\[\]]*)\]\[[^\[\]]*\]", "$1")]
+# Openers of hidden parts and their ends.  An opener after the last end of its kind opens nothing;
+# its "<" is set aside, or each such opener would be searched to the end of the text.
+_OPENERS = [(r"(?i)<(?=script\b)", r"(?is)^.*</script\s*>"), (r"(?i)<(?=style\b)", r"(?is)^.*</style\s*>"), (r"<(?=!--)", r"(?s)^.*-->")]
+_ASIDE = "\ufdd0"
+_ASIDE_BACK = r"(?i)" + _ASIDE + r"(?=script\b|style\b|!--)"
 WHITESPACE = r"[ \t\n\r\f]+"
 
 
+def _let(value: Column, of) -> Column:
+    """``of(value)`` with the value computed once, however often ``of`` names it."""
+    return F.element_at(F.transform(F.array(value), lambda x: of(x)), 1)
+
+
+def _replaced(text: Column, steps: list[tuple[str, str]]) -> Column:
+    for pattern, repl in steps:
+        text = F.regexp_replace(text, pattern, repl)
+    return text
+
+
 def tokens(text: Column) -> Column:
     """``array<string>`` of lower-cased word tokens; null text gives null."""
     return F.filter(F.split(F.lower(text), TOKEN_SPLIT), lambda t: t != F.lit(""))
@@ -67,24 +96,41 @@ def tokens(text: Column) -> Column:
 def clean_text(text: Column, collapse_whitespace: bool = True) -> Column:
     """Markdown or HTML → plain text, as a chain of regular-expression rewrites.
 
-    Drops script/style bodies and comments, unwraps markdown links and images, removes quote,
-    list and heading marks, bold and emphasis marks (``__`` and ``_`` inside words stay),
-    backticks and tags, decodes character references, and (by default) collapses whitespace
-    runs to one space and trims.
+    Drops script/style bodies and comments, unwraps markdown links and images (inline, or by
+    label where the text defines labels), removes link definitions, quote, list and heading
+    marks (underlines and rules too), bold and emphasis marks (``__`` and ``_`` inside words
+    stay), backticks and tags, keeps escaped marks as characters, decodes character references,
+    and (by default) collapses whitespace runs to one space and trims.  Linear in the text.
     """
-    out = text
-    for pattern, repl in CLEAN_STEPS:
-        out = F.regexp_replace(out, pattern, repl)
-    out = F.when(F.instr(out, "&") > 0, decode_references(out)).otherwise(out)
+    out = _let(text, lambda t: F.when(F.instr(t, "<") > 0, without_hidden_parts(t)).otherwise(t))
+    out = _let(out, lambda t: F.when((F.instr(t, "]:") > 0) & t.rlike(DEFINITION), _replaced(t, REFERENCE_STEPS)).otherwise(t))
+    out = _let(out, lambda t: F.when(F.instr(t, "\\") > 0, _replaced(t, _ESCAPES)).otherwise(t))
+    out = _let(_replaced(out, CLEAN_STEPS[1 + len(_ESCAPES):]), lambda t: F.when(F.instr(t, "&") > 0, decode_references(t)).otherwise(t))
     if collapse_whitespace:
         out = F.trim(F.regexp_replace(out, WHITESPACE, " "))
     return out
 
 
+def without_hidden_parts(text: Column) -> Column:
+    """The text without script and style bodies and comments.  Only openers that have an end
+    after them are searched from, so the search is one pass."""
+    def set_aside(t: Column, opener: str, to_last_end: str) -> Column:
+        return _let(F.length(F.regexp_extract(t, to_last_end, 0)), lambda ended: F.concat(
+            F.substr(t, F.lit(1), ended), F.regexp_replace(F.substr(t, ended + 1), opener, _ASIDE)))
+
+    for pair in _OPENERS:
+        text = _let(text, lambda t, pair=pair: F.when(t.rlike(pair[0]), set_aside(t, *pair)).otherwise(t))
+    return F.regexp_replace(F.regexp_replace(text, *HIDDEN_PARTS), _ASIDE_BACK, "<")
+
+
 def decode_references(text: Column) -> Column:
     """Decodes ``&name;``, ``&#n;`` and ``&#xh;`` once, left to right; unknown names and
     references without a semicolon stay, numbers that are no character become U+FFFD."""
-    names = F.from_json(F.lit(json.dumps(named_references())), "map<string,string>")
+    # by first character, as a map is searched from its start
+    groups: dict[str, dict[str, str]] = {}
+    for name, char in named_references().items():
+        groups.setdefault(name[0], {})[name] = char
+    names = F.from_json(F.lit(json.dumps(groups)), "map<string,map<string,string>>")
 
     def decoded(piece: Column) -> Column:
         ref = F.regexp_extract(piece, REFERENCE, 1)
@@ -93,7 +139,8 @@ def decode_references(text: Column) -> Column:
             F.substr(ref, F.lit(2))).try_cast("int")
         real = ((number > 0) & (number < 0xD800)) | ((number > 0xDFFF) & (number <= 0x10FFFF))
         char = F.when(real, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise(F.lit(REPLACEMENT))
-        value = F.when(F.substring(ref, 1, 1) == "#", char).otherwise(F.try_element_at(names, ref))
+        value = F.when(F.substring(ref, 1, 1) == "#", char).otherwise(F.coalesce(
+            *(F.when(ref == name, F.lit(char)) for name, char in COMMON_REFERENCES), F.try_element_at(F.try_element_at(names, F.substring(ref, 1, 1)), ref)))
         return F.when((ref != "") & value.isNotNull(), F.concat(value, rest)).otherwise(F.concat(F.lit("&"), piece))
 
     pieces = F.split(text, "&")

@@ -21,11 +21,17 @@ def tokens(expr: str) -> str:
 
 
 def clean(expr: str) -> str:
-    out = expr
-    for pattern, repl in T.CLEAN_STEPS:
+    def replaced(out: str, pattern: str, repl: str) -> str:
         for n in "123":
             repl = repl.replace("$" + n, chr(92) + n)
-        out = f"regexp_replace({out}, {_lit(pattern)}, {_lit(repl)}, 'g')"
+        return f"regexp_replace({out}, {_lit(pattern)}, {_lit(repl)}, 'g')"
+
+    out = linked = replaced(expr, *T.HIDDEN_PARTS)
+    for step in T.REFERENCE_STEPS:
+        linked = replaced(linked, *step)
+    out = f"CASE WHEN regexp_matches({out}, {_lit(T.DEFINITION)}) THEN {linked} ELSE {out} END"
+    for step in T.CLEAN_STEPS[1:]:
+        out = replaced(out, *step)
     names = ", ".join(f"{_lit(k)}: {_lit(v)}" for k, v in T.named_references().items())
     ref = f"regexp_extract(p, {_lit(T.REFERENCE)}, 1)"
     num = (f"(CASE WHEN lower(substr({ref}, 2, 1)) = 'x' THEN TRY_CAST('0x' || substr({ref}, 3) AS INTEGER) "

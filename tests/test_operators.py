@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pandas as pd
 import pytest
 from pyspark.sql import Row
@@ -49,12 +51,31 @@ def test_clean_text_drops_script_bodies_and_decodes_entities(spark):
     ("- one\n* two\n12. three\n> quote\n> > deep\n## Head", "one two three quote deep Head"),
     ("&amp;lt; &nope; &amp &#0; &#xD800; &#x1F600; AT&T;", "&lt; &nope; &amp \ufffd \ufffd \U0001f600 AT&T;"),
     ("*d* *e*, _f_ _g_ 2*3*4 * not*", "d e, f g 2*3*4 * not*"),
+    ("Head\n====\nSub\n---\ntext\n\n***\nend", "Head Sub text end"),
+    (r"a \*star\* and \_line\_ 1\. \\ \x", r"a *star* and _line_ 1. \ \x"),
+    ("see [the page][1] and ![pic][p]\n\n[1]: http://u 'T'\n[p]: x.png", "see the page and pic"),
+    ("a[0][1] stays", "a[0][1] stays"),
+    ("[![alt](i.png)](http://u) [w](http://u/a_(b)) [x [y](z)", "alt w [x y"),
+    ("a <script>x='<!--'</script> b <!-- c --> d <!-- open <b>e</b> <script f", "a b d <!-- open e <script f"),
+    ("<script>1</script>k<style>2", "k 2"),
+    ("", ""),
 ])
 def test_clean_text_literally(spark, source, want):
     got = spark.createDataFrame([(source,)], "t string").select(clean_text(F.col("t")).alias("x")).first()["x"]
     assert got == want
 
 
+def test_clean_text_is_linear(spark):
+    """A megabyte of any mark is cleaned in seconds (a group repeated per mark overflowed the
+    stack, and searches to a missing end were quadratic)."""
+    marks = [">", "> ", "<!--", "<script ", "</script", "__x ", "[", "*", "<style>", "[a](", "&lt", "_a", "* ", "\\", "<a ", "=", "[a]: "]
+    texts = [(m * (1_000_000 // len(m)),) for m in marks]
+    df = spark.createDataFrame(texts, "t string").repartition(4)
+    began = time.monotonic()
+    assert df.select(F.length(clean_text(F.col("t"))).alias("n")).where("n is not null").count() == len(marks)
+    assert time.monotonic() - began < 2 * len(marks)
+
+
 def test_fiscal_years(spark):
     texts = ["FY24", "in fy2023?", "FY'22 rose", "2019 and FY24", "FYI 24", "xFY24"]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i")
