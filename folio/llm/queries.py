@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, decontam, jaccard, langid, main_text, packing, quality, rules, secret_scan, shards
+from folio.llm import bpe, decontam, jaccard, langid, lexical, main_text, packing, quality, rules, secret_scan, shards
 from folio.sources.tables import table
 
 QUERIES: dict = {}
@@ -155,3 +155,30 @@ def op9_language(spark: SparkSession, base: str) -> DataFrame:
 def op10_packing(spark: SparkSession, base: str) -> DataFrame:
     """Packed id matrix rows of all documents."""
     return packing.pack(table(spark, base, "documents"), vocabulary())
+
+
+@register
+def op13_lexical_search(spark: SparkSession, base: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return lexical.search(table(spark, base, "documents"), table(spark, base, "benchmark"))
+
+
+SQL["op13_lexical_search"] = r"""
+WITH low AS (
+  SELECT 'd' AS kind, doc_id AS id, row_number() OVER () AS r, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  UNION ALL
+  SELECT 'i', item_id, row_number() OVER (), translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+tok AS (SELECT kind, id, r, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM low),
+tf AS (SELECT id, r, term, count(*) AS tf FROM tok WHERE kind = 'd' GROUP BY ALL),
+doc AS (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY r),
+corpus AS (SELECT count(*) AS cn, CAST(sum(n) AS BIGINT) AS cl FROM doc),
+m AS (SELECT r, 75 + (25 * n * cn) // cl AS m FROM doc, corpus),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * cn + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM df, corpus),
+q AS (SELECT id AS item_id, r AS item, term, count(*) AS times FROM tok WHERE kind = 'i' GROUP BY ALL),
+score AS (
+  SELECT item_id, item, tf.id AS doc_id, tf.r, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m ON m.r = tf.r GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST, r) AS rank FROM score WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
