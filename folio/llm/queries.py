@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, decontam, jaccard, langid, lexical, main_text, packing, quality, rules, secret_scan, shards
+from folio.llm import bpe, decontam, jaccard, langid, lexical, main_text, packing, prefix_trie, privacy, quality, rules, secret_scan, shards
 from folio.sources.tables import table
 
 QUERIES: dict = {}
@@ -157,6 +157,65 @@ def op10_packing(spark: SparkSession, base: str) -> DataFrame:
     return packing.pack(table(spark, base, "documents"), vocabulary())
 
 
+@register
+def op11_prefix_trie(spark: SparkSession, base: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return prefix_trie.trie(table(spark, base, "conversations"))
+
+
+#: The eight steps of a table of CRC-32 values.
+_CRC_STEPS = "".join(
+    f"c{k} AS (SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END AS c FROM c{k - 1}),\n" for k in range(1, 9))
+SQL["op11_prefix_trie"] = f"""
+WITH RECURSIVE c0 AS (SELECT i, CAST(i AS BIGINT) AS c FROM range(256) r(i)),
+{_CRC_STEPS}
+own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+    coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+conv AS (SELECT conv_id, count(*) AS n, CAST(conv_id AS VARCHAR) AS s FROM own GROUP BY conv_id),
+crc AS (
+  SELECT conv_id, s, 0 AS k, CAST(4294967295 AS BIGINT) AS c FROM conv
+  UNION ALL
+  SELECT conv_id, s, k + 1, xor(c8.c, crc.c >> 8) FROM crc JOIN c8 ON c8.i = xor(crc.c, CAST(ord(substr(s, k + 1, 1)) AS BIGINT)) & 255 WHERE k < length(s)),
+taken AS (
+  SELECT c.conv_id, c.n, xor(crc.c, 4294967295) % 6 AS h, least(xor(crc.c, 4294967295) % 6, coalesce(b.n, 0)) AS hb
+  FROM conv c JOIN crc ON crc.conv_id = c.conv_id AND crc.k = length(c.s) LEFT JOIN conv b ON b.conv_id = c.conv_id - c.conv_id % 100),
+turn AS (
+  SELECT t.conv_id, o.pos AS depth, role, text FROM taken t JOIN own o ON o.conv_id = t.conv_id - t.conv_id % 100 AND o.pos <= t.hb
+  UNION ALL
+  SELECT t.conv_id, t.hb + o.pos - t.h, role, text FROM taken t JOIN own o ON o.conv_id = t.conv_id AND o.pos > t.h),
+prefix AS (
+  SELECT conv_id, depth, length(text) AS chars, array_to_string(list(md5(role) || md5(text)) OVER (PARTITION BY conv_id ORDER BY depth), ',') AS k,
+    depth = max(depth) OVER (PARTITION BY conv_id) AS is_end
+  FROM turn
+  UNION ALL
+  SELECT conv_id, 0, 0, '', hb + greatest(n - h, 0) = 0 FROM taken),
+node AS (
+  SELECT depth, k, min(conv_id) AS conv_id, count(*) AS n_convs, min(chars) AS chars,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (is_end), '')) AS ends_sha256
+  FROM prefix GROUP BY depth, k),
+child AS (SELECT *, substr(k, 1, greatest(length(k) - 65, 0)) AS up FROM node WHERE depth > 0),
+below AS (SELECT a.depth, a.k, count(*) AS n_children FROM child JOIN node a ON a.depth = child.depth - 1 AND a.k = child.up GROUP BY ALL),
+sums AS (
+  SELECT a.depth, a.k, count(*) FILTER (below.n_children IS NULL) AS n_leaves, CAST(sum((d.n_convs - 1) * d.chars) AS BIGINT) AS saved_tokens
+  FROM node a JOIN node d ON starts_with(d.k, a.k) AND d.depth >= a.depth LEFT JOIN below ON below.depth = d.depth AND below.k = d.k GROUP BY ALL)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(below.n_children, 0) AS n_children,
+  n_leaves, saved_tokens, n.ends_sha256
+FROM node n JOIN sums ON sums.depth = n.depth AND sums.k = n.k LEFT JOIN below ON below.depth = n.depth AND below.k = n.k
+  LEFT JOIN child ON child.depth = n.depth AND child.k = n.k LEFT JOIN node p ON p.depth = n.depth - 1 AND p.k = child.up
+"""
+
+
+@register
+def op12_privacy(spark: SparkSession, base: str) -> DataFrame:
+    """Spans of personal data in every document: base patterns and disclosing terms."""
+    docs = table(spark, base, "documents").select("doc_id", "text")
+    found = privacy.scan(docs, privacy.disclosing(docs))
+    counts = (f"personal.{c}" for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256"))
+    return found.select("doc_id", *counts, privacy.span_list().alias("spans"))
+
+
 @register
 def op13_lexical_search(spark: SparkSession, base: str) -> DataFrame:
     """The 20 best documents of every benchmark item."""
