@@ -18,6 +18,7 @@ Spans are code points, end exclusive.  A null text counts as empty and has no sp
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -91,15 +92,34 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
     return found
 
 
-def _window(text: str, start: int, end: int) -> list[str]:
-    """The terms around an entity on its line; one that the reach cuts through is left out."""
+class Covered:
+    """The union of some spans."""
+
+    def __init__(self, spans: list[tuple]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted((s[1], s[2]) for s in spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        k = bisect.bisect_left(self.starts, b) - 1  # the last one that begins before b
+        return k >= 0 and self.ends[k] > a
+
+
+def _window(text: str, start: int, end: int, covered: Covered) -> list[str]:
+    """The terms around an entity on its line, outside of all entities; one that the reach cuts
+    through is left out."""
     a, b = max(0, start - REACH_CHARS), min(len(text), end + REACH_CHARS)
     left, right = text[a:start], text[end:b]
     cut_left, cut_right = left.rfind("\n") + 1, right.find("\n")
-    before = [m for m in TERM.finditer(left, cut_left) if m.start() > 0 or a == 0]
+    before = [m[0] for m in TERM.finditer(left, cut_left) if (m.start() > 0 or a == 0) and not covered.meets(a + m.start(), a + m.end())]
     stop = cut_right if cut_right >= 0 else len(right)
-    after = [m for m in TERM.finditer(right, 0, stop) if m.end() < len(right) or b == len(text)]
-    return [m[0] for m in (*before[-REACH:], *after[:REACH])]
+    after = [m[0] for m in TERM.finditer(right, 0, stop) if (m.end() < len(right) or b == len(text)) and not covered.meets(end + m.start(), end + m.end())]
+    return [*before[-REACH:], *after[:REACH]]
 
 
 def _name(value: str) -> int:
@@ -120,11 +140,10 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 spans = base_spans(text)
                 if not spans:
                     continue
-                inside = {m[0].lower() for _, a, b, _ in spans for m in TERM.finditer(text, a, b)}
-                seen = set()
+                covered, seen = Covered(spans), set()
                 for kind, a, b, value in spans:
                     entity = _name(f"{kind}:{value}")
-                    words = [w for w in _window(text, a, b) if len(w) >= LEAST_TERM and w.lower() not in inside]
+                    words = [w for w in _window(text, a, b, covered) if len(w) >= LEAST_TERM]
                     if entity not in seen:
                         seen.add(entity)
                         rows.append((entity, None, None, 1))
@@ -253,7 +272,8 @@ def _finder(terms: np.ndarray, removed: np.ndarray, spark, base: bool):
             for text, added in zip(texts, term_spans(texts, terms, removed)):
                 spans = [s[:3] for s in base_spans(text)]
                 kinds = [k for k, _, _ in spans]
-                free = [s for s in added if not any(a < s[2] and s[1] < b for _, a, b in spans)]
+                covered = Covered(spans) if added else None
+                free = [s for s in added if not covered.meets(s[1], s[2])]
                 rows.append((*(kinds.count(k) for k in KINDS), hashlib.sha256(written(spans).encode()).hexdigest(), [*(spans if base else ()), *free]))
             yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
