@@ -324,8 +324,8 @@ def subtree_sums(paths: DataFrame, shard_paths: int | None = None) -> DataFrame:
         shard, held = None, []
 
         def done() -> pd.DataFrame:
-            out = pd.DataFrame(shard_sums(held, shared.value[shard]), columns=["top", "first", "n", "parent", "leaves", "saved", "children"])
-            return out.astype({"first": "Int64", "parent": "Int64"})
+            columns = zip(*shard_sums(held, shared.value[shard]))  # nulls must not turn ids into doubles
+            return pd.DataFrame({name: pd.array(list(column), "Int64") for name, column in zip(("top", "first", "n", "parent", "leaves", "saved", "children"), columns)})
 
         for batch in batches:
             for s, cell in zip(batch["shard"], batch["path"]):

@@ -126,12 +126,14 @@ def _name(value: str) -> int:
     return int.from_bytes(hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+#: In the place of a term where the entity alone is counted.
+NO_TERM = 0
 OCCURRENCE = "entity bigint, term bigint, context bigint, n bigint"
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """``(entity, term, context, n)``: terms in windows around entities, ``n`` is 1 once for each
-    document, entity and term; rows with null term and context count the entity's documents."""
+    document, entity and term; rows of ``NO_TERM`` count the entity's documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -146,15 +148,14 @@ def occurrences(docs: DataFrame) -> DataFrame:
                     words = [w for w in _window(text, a, b, covered) if len(w) >= LEAST_TERM]
                     if entity not in seen:
                         seen.add(entity)
-                        rows.append((entity, None, None, 1))
+                        rows.append((entity, NO_TERM, NO_TERM, 1))
                     if words:
                         hashes = np.unique(word_hashes([" ".join(words)], ALNUM)[0]).view(np.int64).tolist()
                         context = _name(" ".join(words).lower())
                         for h in hashes:
                             rows.append((entity, h, context, int((entity, h) not in seen)))
                             seen.add((entity, h))
-            out = pd.DataFrame(rows, columns=["entity", "term", "context", "n"])
-            yield out.astype({"term": "Int64", "context": "Int64"})
+            yield pd.DataFrame(rows, columns=["entity", "term", "context", "n"])
 
     return docs.select("text").mapInPandas(run, OCCURRENCE)
 
@@ -165,7 +166,9 @@ def _passes(rows: DataFrame, col: str) -> Iterator[np.ndarray]:
     parts = -(-values.count() // PASS_TERMS)
     for k in range(parts):
         block = values.where(F.pmod(F.xxhash64(col), F.lit(parts)) == k)
-        yield np.sort(np.array([r[0] for r in block.toLocalIterator()], np.int64))
+        found = np.array([r[0] for r in block.toLocalIterator()], np.int64)
+        if len(found):
+            yield np.sort(found)
 
 
 def term_counts(docs: DataFrame, terms: np.ndarray) -> DataFrame:
@@ -197,8 +200,8 @@ def disclosing(docs: DataFrame, support: int = SUPPORT, doubt: float = DOUBT) ->
     by_window = occurrences(docs).groupBy("entity", "term", "context").agg(F.sum("n").alias("n"))
     by_pair = materialize(
         by_window.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("n"))
-        .where((F.col("contexts") >= support) | F.col("term").isNull()), "entity-terms")
-    pairs = by_pair.where("term is not null").select("entity", "term", F.col("n").alias("in_both"))
+        .where((F.col("contexts") >= support) | (F.col("term") == NO_TERM)), "entity-terms")
+    pairs = by_pair.where(F.col("term") != NO_TERM).select("entity", "term", F.col("n").alias("in_both"))
     counts = None
     for terms in _passes(pairs, "term"):
         part = materialize(term_counts(docs, terms), "term-counts")
@@ -206,7 +209,7 @@ def disclosing(docs: DataFrame, support: int = SUPPORT, doubt: float = DOUBT) ->
     if counts is None:
         return spark.createDataFrame([], "term bigint, entity bigint, in_both bigint, in_docs bigint, pmi double, ic double, action string")
     total = docs.count()
-    entities = by_pair.where("term is null").select("entity", F.col("n").alias("of_entity"))
+    entities = by_pair.where(F.col("term") == NO_TERM).select("entity", F.col("n").alias("of_entity"))
     told = pairs.join(counts, "term").join(entities, "entity").select(
         "term", "entity", "in_both", "in_docs", F.log2(F.lit(float(total)) / F.col("of_entity")).alias("ic"),
         F.log2(F.col("in_docs") / F.col("in_both")).alias("doubt"))
@@ -302,10 +305,11 @@ def scan(docs: DataFrame, told: DataFrame) -> DataFrame:
         else:
             more = F.filter(found("text")["spans"], lambda s: s["kind"].isin(REMOVED, GENERALISED))
             out = out.withColumn("personal", F.col("personal").withField("spans", F.concat("personal.spans", more)))
-    if parts > 1:  # terms of different passes in the order of the text
-        rank = F.expr("array_sort(personal.spans, (x, y) -> case when x.kind in ('removed', 'generalised') and y.kind in ('removed', 'generalised') then x.start - y.start"
-                      " when x.kind in ('removed', 'generalised') then 1 when y.kind in ('removed', 'generalised') then -1"
-                      " when x.kind = y.kind then x.start - y.start else array_position(array('email', 'ip', 'card', 'phone'), x.kind) - array_position(array('email', 'ip', 'card', 'phone'), y.kind) end)")
+    if parts > 1:
+        place = "array_position(array('email', 'ip', 'card', 'phone', 'removed', 'generalised'), {0}.kind)"
+        place = f"if({place} > 4, 5, {place})"  # terms in the order of the text
+        x, y = place.format("x"), place.format("y")
+        rank = F.expr(f"array_sort(personal.spans, (x, y) -> cast(if({x} = {y}, x.start - y.start, {x} - {y}) as int))")
         out = out.withColumn("personal", F.col("personal").withField("spans", rank))
     return out
 

@@ -63,6 +63,7 @@ def conversations(seed: int):
         more = [(c, t, r.choice(["user", "assistant", None]) if r.random() < 0.3 else "user", r.choice(texts)) for t in turns]
         rows += [*more[:n], *((c, t, "zz", text) for c, t, _, text in more[n:])]
     rows += [(17, k, "user", f"long {k // 2}") for k in range(10, 400)] + [(18, k, "user", f"long {k // 2}") for k in range(10, 390)]
+    rows += [(2**60 + 100 * (c // 3) - 2**60 % 100 + c % 3, t, "user", f"{c} {t}" if t > 2 else "big") for c in range(9) for t in range(6)]
     rows += [(None, 1, "user", "x"), rows[0], rows[5]]
     r.shuffle(rows)
     return rows
