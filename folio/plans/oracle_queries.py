@@ -83,6 +83,8 @@ ranked AS (
   FROM bm25_raw)
 SELECT query_id, rank, corpus_id, round(score, 4) AS score FROM ranked WHERE rank <= 10"""
 
+SQL["bm25_topk_appended"] = SQL["bm25_topk"]
+
 SQL["bm25_topk_year"] = f"""WITH {O.PAGE_ROWS}, {O.INDEX}, {O.QUESTIONS}, {_BM25_Q}, {O.bm25_hits('bq', 'query_id', 'text', 'year')},
 filtered AS (
   SELECT * FROM bm25_raw h

@@ -169,6 +169,20 @@ def bm25_topk_year(spark: SparkSession, base: str) -> DataFrame:
                        F.round("score", 4).alias("score"))
 
 
+@register("bm25_topk_appended")
+def bm25_topk_appended(spark: SparkSession, base: str) -> DataFrame:
+    """The same search over an index that was built from the pages stored before, got the new
+    ones (and some stored ones again) as a second segment, and was reopened."""
+    pages, path = catalog.stored_pages(spark, base), new_path(spark, "grown-index")
+    stored = pages.join(fixtures.stored_ids(spark, base), "corpus_id", "left_semi")
+    bm25.ensure_index(stored, path)
+    fresh = pages.join(fixtures.stored_ids(spark, base), "corpus_id", "left_anti")
+    again = stored.where(F.col("page") % 2 == 0)  # replaced by themselves
+    bm25.append_pages(fresh.unionByName(again), path)
+    hits = bm25.bm25_topk(bm25.ensure_index(pages, path), _question_queries(spark, base), ["query_id"], limit=10)
+    return hits.select("query_id", F.col("rank").cast("bigint").alias("rank"), "corpus_id", F.round("score", 4).alias("score"))
+
+
 # ---------------------------------------------------------------- vectors
 
 

@@ -77,6 +77,15 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(jvm_path))
 
 
+def list_folders(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """The numbers of the folders ``<prefix><number>`` directly under ``path`` (none if it is missing)."""
+    fs, jvm_path = _file_system(spark, path)
+    if not fs.exists(jvm_path):
+        return []
+    names = [str(f.getPath().getName()) for f in fs.listStatus(jvm_path)]
+    return [int(n[len(prefix):]) for n in names if n.startswith(prefix) and n[len(prefix):].isdigit()]
+
+
 def clean_work(spark: SparkSession) -> None:
     """Removes what this application wrote to the work folder (its indexes and intermediate
     tables).  Call it when no result that reads them is needed any more."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import time
 
 import pandas as pd
@@ -525,6 +526,63 @@ def test_index_reopens_in_another_application_and_reads_only_its_terms(spark, tm
     assert search.count() == bm25.bm25_scores(plain, qs, ["query_id"]).count()
 
 
+def _random_pages(n, seed=1, start=0):
+    r = random.Random(seed)
+    words = [f"w{k}" for k in range(3000)]
+    return [(start + i, " ".join(words[min(2999, int(r.paretovariate(0.6)))] for _ in range(r.choice([3, 20, 60]))), [2000 + i % 3, 1999]) for i in range(n)]
+
+
+PAGES = "corpus_id long, text_content string, probable_referenced_years array<int>"
+
+
+@pytest.mark.parametrize("lookups", [500_000, 0])
+def test_bounded_search_equals_plain_and_scores_fewer_pages(spark, monkeypatch, lookups):
+    pages, r = _random_pages(1500), random.Random(2)
+    idx = bm25.build_index(spark.createDataFrame(pages, PAGES), buckets=4)
+    qs = [(k, " ".join(r.choice([t for _, t, _ in pages if len(t) > 200]).split()[:14]) + " w0 w1 w2", r.choice([None, 2001])) for k in range(20)]
+    qs = spark.createDataFrame([*qs, (None, "w250 w3 w4", 2000), (50, "unknown", None), (51, None, None)], "query_id long, text string, year int")
+    monkeypatch.setattr(bm25, "MAX_BROADCAST_LOOKUPS", lookups)
+    for year in (None, "year"):
+        got, want = (sorted(rows(bm25.bm25_topk(idx, qs, ["query_id"], limit=5, year_col=year, strategy=s).withColumn("score", F.round("score", 6)).fillna(-1, ["query_id"]),
+                                 "query_id", "rank", "corpus_id", "score")) for s in ("bounded", "plain"))
+        assert got == want and len({q for q, *_ in got}) == 21
+    search = bm25.pruned_scores(idx, qs, ["query_id"], "text", 5)
+    assert search.essential.count() < (0.6 if lookups else 0.9) * bm25.bm25_scores(idx, qs, ["query_id"]).count()
+
+
+def test_index_grows_by_segments(spark):
+    """Built, appended to with replaced pages, and merged: the same as one full build."""
+    first, more = _random_pages(200), _random_pages(90, 5, 160)
+    last = {i: (i, t, y) for i, t, y in [*first, *more]}
+    want = bm25.build_index(spark.createDataFrame(list(last.values()), PAGES), buckets=4)
+    path = new_path(spark, "t-grown")
+    bm25.ensure_index(spark.createDataFrame(first, PAGES), path, buckets=4)
+    grown = bm25.append_pages(spark.createDataFrame(more[:50], PAGES), path)
+    grown = bm25.append_pages(spark.createDataFrame(more[50:], PAGES), path)
+    merged = bm25.merge_index(spark, path)
+    qs = spark.createDataFrame([(k, f"w{k} w{3 * k} w1", 2001) for k in range(9)], "query_id long, text string, year int")
+    for idx in (grown, merged, bm25.open_index(spark, path)):
+        assert (idx.n_docs, idx.avgdl) == (want.n_docs, want.avgdl)
+        assert sorted(rows(idx.postings, "term", "corpus_id", "tf", "dl")) == sorted(rows(want.postings, "term", "corpus_id", "tf", "dl"))
+        assert sorted(rows(idx.terms, "term", "df", "idf")) == sorted(rows(want.terms, "term", "df", "idf"))
+        bounds = idx.terms.join(want.terms.select("term", F.col("bound").alias("least")), "term")
+        assert bounds.where("bound < least - 1e-9").count() == 0  # never below what a posting can add
+        for year in (None, "year"):
+            assert sorted(rows(bm25.bm25_topk(idx, qs, ["query_id"], year_col=year, strategy="bounded"), "query_id", "rank", "corpus_id")) == \
+                sorted(rows(bm25.bm25_topk(want, qs, ["query_id"], year_col=year), "query_id", "rank", "corpus_id"))
+
+
+def test_unfinished_segment_is_not_seen(spark):
+    path = new_path(spark, "t-failed")
+    bm25.ensure_index(spark.createDataFrame(_random_pages(30), PAGES), path, buckets=2)
+    bad = spark.createDataFrame(_random_pages(9, 3, 100), PAGES).withColumn(
+        "text_content", F.when(F.col("corpus_id") == 104, F.raise_error(F.lit("broken page")).cast("string")).otherwise(F.col("text_content")))
+    with pytest.raises(Exception, match="broken page"):
+        bm25.append_pages(bad, path)
+    assert bm25.open_index(spark, path).n_docs == 30
+    assert bm25.append_pages(spark.createDataFrame(_random_pages(9, 3, 100), PAGES), path).n_docs == 39
+
+
 def test_index_build_has_one_exchange(spark):
     pages = spark.createDataFrame([(i, f"a b c{i}") for i in range(20)], "corpus_id long, text_content string")
     assert _plan(bm25.build_postings(pages.repartition(4, "corpus_id"))).count("Exchange hashpartitioning") == 1
