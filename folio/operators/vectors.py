@@ -18,6 +18,7 @@ per-query year, self-exclusion) are applied before any cut.
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 from functools import reduce
@@ -361,35 +362,61 @@ def upsert(base: DataFrame, updates: DataFrame, key: str = "id", order_col: str
 
 
 VERSIONS, POINTER = "versions", "current"
+#: Rows that a bucket of an upserted table should hold, and how many buckets there are at least and most.
+BUCKET_ROWS, BUCKETS = 200_000, (8, 4096)
+MANIFEST = "n bigint, version string, buckets int, schema string, folders map<string,string>"
+
+
+def _manifests(spark, path: str) -> DataFrame | None:
+    """The lines of the table's pointer, one per version; None for a new table."""
+    pointer = f"{path}/{POINTER}"
+    return spark.read.schema(MANIFEST).json(pointer) if path_exists(spark, pointer) else None
+
+
+def _bucket_rows(spark, path: str, manifest, only: set[int] | None = None) -> DataFrame:
+    """The rows of a version, or of some of its buckets; each bucket is read where it was last written."""
+    schema = T.StructType.fromJson(json.loads(manifest["schema"]))
+    folders = [f"{path}/{VERSIONS}/{v}/_bucket={b}" for b, v in sorted(manifest["folders"].items()) if only is None or int(b) in only]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
 def current_version(spark, path: str) -> DataFrame | None:
     """The rows of the version that the table's pointer names; None for a new table."""
-    pointer = f"{path}/{POINTER}"
-    if not path_exists(spark, pointer):
-        return None
-    newest = spark.read.schema("n bigint, version string").json(pointer).orderBy(F.col("n").desc()).first()
-    return spark.read.parquet(f"{path}/{VERSIONS}/{newest['version']}")
+    lines = _manifests(spark, path)
+    newest = None if lines is None else lines.orderBy(F.col("n").desc()).first()
+    return None if newest is None else _bucket_rows(spark, path, newest)
 
 
-def write_upsert(spark, path: str, updates: DataFrame, version: str, key: str = "id", order_col: str | None = None) -> DataFrame:
+def write_upsert(spark, path: str, updates: DataFrame, version: str, key: str = "id", order_col: str | None = None,
+                 buckets: int | None = None) -> DataFrame:
     """Upserts into the versioned table at ``path`` and returns its new state.
 
-    A version is written whole under ``versions/<version>``, then one line naming it is appended
-    to the pointer, which readers follow; a failed write leaves the old version current.  Writing
-    a version that the pointer names already changes nothing, so a repeated run is safe.
+    Rows are kept in ``buckets`` by a hash of the key (fixed when the table is made; by the number
+    of its first rows if not given).  A version writes the buckets that its updates fall in, under
+    ``versions/<version>/_bucket=<b>``, and then appends one line to the pointer that names the
+    folder of every bucket, old or new; readers follow the newest line.  So an upsert costs what
+    its buckets cost, and a failed write leaves the old version current.  Writing a version that
+    the pointer names already changes nothing, so a repeated run is safe.
     """
-    pointer = f"{path}/{POINTER}"
-    names = []
-    if path_exists(spark, pointer):
-        names = [r["version"] for r in spark.read.schema("n bigint, version string").json(pointer).orderBy("n").collect()]
-    if version not in names:
-        old = current_version(spark, path)
-        rows = updates if old is None else updates.select(*old.columns)
-        new = upsert(rows.limit(0) if old is None else old, rows, key, order_col)
-        new.write.mode("overwrite").parquet(f"{path}/{VERSIONS}/{version}")
-        line = spark.createDataFrame([(len(names), version)], "n bigint, version string")
-        line.coalesce(1).write.mode("append").json(pointer)
+    lines = _manifests(spark, path)
+    known = [] if lines is None else lines.orderBy("n").collect()  # one line per version
+    if version not in [r["version"] for r in known]:
+        last = known[-1] if known else None
+        if last is None:
+            buckets = buckets or min(max(-(-updates.count() // BUCKET_ROWS), BUCKETS[0]), BUCKETS[1])
+            schema, folders = updates.schema, {}
+        else:
+            buckets, folders = last["buckets"], dict(last["folders"])
+            schema = T.StructType.fromJson(json.loads(last["schema"]))
+        place = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        rows = updates.select(*(F.col(f.name).cast(f.dataType) for f in schema.fields))
+        touched = {r[0] for r in rows.select(place).distinct().collect()}  # at most ``buckets``
+        old = rows.limit(0) if last is None else _bucket_rows(spark, path, last, touched)
+        new = upsert(old, rows, key, order_col).withColumn("_bucket", place)
+        new.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/{VERSIONS}/{version}")
+        folders |= {str(b): version for b in touched}
+        line = spark.createDataFrame([(len(known), version, buckets, schema.json(), folders)], MANIFEST)
+        line.coalesce(1).write.mode("append").json(f"{path}/{POINTER}")
     return current_version(spark, path)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import time
+from pathlib import Path
 
 import pandas as pd
 import pytest
@@ -477,6 +478,26 @@ def test_blocked_topk_holds_either_side_and_does_not_cogroup(spark, monkeypatch)
         assert set(rows(got, "query_id", "rank", "id")) == want
 
 
+def test_upsert_writes_only_the_buckets_of_its_ids(spark):
+    path = new_path(spark, "t-buckets")
+    schema = "id long, v string, tags array<string>, n int"
+    vectors.write_upsert(spark, path, spark.createDataFrame([(i, "old", None, 0) for i in range(2000)] + [(None, "x", [], 0)], schema), "v0", buckets=16)
+    bucket = F.pmod(F.xxhash64("id"), F.lit(16))
+    ids = [r["id"] for r in spark.range(2000).where(bucket == 5).collect()][:20]
+    out = vectors.write_upsert(spark, path, spark.createDataFrame([(i, "new", ["t"], 1) for i in ids] + [(ids[0], "older", None, 0)], schema), "v1", order_col="n")
+    written = {f.name for f in (Path(path.removeprefix("file:")) / "versions" / "v1").iterdir() if f.name.startswith("_bucket=")}
+    assert written == {"_bucket=5"}
+    got = rows(out, "id", "v", "tags")
+    assert len(got) == 2001 and {i for i, v, tags in got if v == "new" and tags == ["t"]} == set(ids)
+    bad = spark.createDataFrame([(7, "bad", None, 2)], schema).withColumn("v", F.raise_error(F.lit("no value")).cast("string"))
+    with pytest.raises(Exception, match="no value"):
+        vectors.write_upsert(spark, path, bad, "v2")
+    assert sorted(rows(vectors.current_version(spark, path), "id", "v"), key=str) == sorted(((i, v) for i, v, _ in got), key=str)
+    assert vectors.write_upsert(spark, path, spark.createDataFrame([], schema), "v3").count() == 2001
+    empty = new_path(spark, "t-empty")
+    assert vectors.write_upsert(spark, empty, spark.createDataFrame([], schema), "v0").count() == 0
+
+
 def test_versioned_upsert_swaps_the_pointer_once(spark):
     path = new_path(spark, "t-upsert")
     vectors.write_upsert(spark, path, spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "id long, v string, version int"), "v0", order_col="version")
