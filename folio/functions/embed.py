@@ -1,16 +1,25 @@
 """Hashed bag-of-words embedder: the deterministic stand-in for an embedding model.
 
 A page or query becomes a sparse, L2-normalised vector: each token adds its count to bucket
-``md5(token)[:8] mod dim``.  It is computed per row with JVM-side array functions (no shuffle);
-cosine similarity of two such vectors is the dot product of their sparse entries.  A real
-model plugs in through :func:`folio.functions.enrich.enrich` and returns dense vectors.
+``md5(token)[:8] mod dim``.  It is computed with JVM-side functions and two exchanges of counts;
+cosine similarity of two such vectors is the dot product of their sparse entries.
+
+Embedding models treat documents and questions differently.  An ``Embedder`` is the pair of both
+modes; ``model_embedder`` makes one from a client (through :func:`folio.functions.enrich.enrich`)
+that is told the mode with each row and returns dense vectors.  ``HASHED`` is the same in both.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from folio.functions.enrich import enrich
 from folio.functions.text import hash_bucket, token_pieces
 
 DEFAULT_DIM = 64
@@ -41,6 +50,36 @@ def hashed_embedding(rows: DataFrame, keys: list[str], text_col: str, dim: int =
     )
 
 
+@dataclass(frozen=True)
+class Embedder:
+    """Functions ``(rows, keys, text_col, dim) -> keys and vector columns`` for stored texts and for
+    questions; both must give vectors of one space."""
+
+    document: Callable[..., DataFrame]
+    query: Callable[..., DataFrame]
+
+
+HASHED = Embedder(hashed_embedding, hashed_embedding)
+DOCUMENT, QUERY = "document", "query"
+
+
+def model_embedder(make_client, **options) -> Embedder:
+    """An embedder of dense vectors from a model client.
+
+    The client gets frames with ``text`` and ``mode`` (``document`` or ``query``) and returns frames
+    with ``vector``.  Texts that fail under ``on_error="drop"``, and vectors of a length other than
+    ``dim``, give no row and an error respectively.  ``options`` are those of ``enrich``.
+    """
+    def embed(mode: str, rows: DataFrame, keys: list[str], text_col: str, dim: int) -> DataFrame:
+        schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("vector", T.ArrayType(T.DoubleType()))])
+        asked = rows.where(F.col(text_col).isNotNull()).select(*keys, F.col(text_col).alias("text"), F.lit(mode).alias("mode"))
+        out = enrich(asked, make_client, schema, **options)
+        wrong = F.raise_error(F.lit(f"the model's vectors do not have {dim} dimensions")).cast("array<double>")
+        return out.withColumn("vector", F.when(F.size("vector") == dim, F.col("vector")).otherwise(wrong))
+
+    return Embedder(partial(embed, DOCUMENT), partial(embed, QUERY))
+
+
 def sparse_entries(vectors: DataFrame, keys: list[str]) -> DataFrame:
     """Explode sparse vectors to ``(keys..., bucket, w)``."""
     return vectors.select(*keys, F.posexplode("v_idx").alias("_i", "bucket"), "v_val").select(

@@ -29,6 +29,8 @@ PAGE_PATTERN = r"_page_([0-9]+)"
 # A fiscal year such as FY24, FY 2024 or FY'24; group 1 is its two or four digits.
 FISCAL_YEAR = r"(?i)(?:^|" + NON_WORD + r")FY[ '’-]?((?:20)?[0-9]{2})(?:" + NON_WORD + r"|$)"
 
+CENTURY_PIVOT = 70
+
 # A character reference after its "&"; group 1 is a number or a name.
 REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 REPLACEMENT = "�"
@@ -164,11 +166,16 @@ def page_number(file_name: Column) -> Column:
 
 
 def mentioned_year(text: Column) -> Column:
-    """First year mention (1900–2099) in free text as INT, else the first fiscal year (FY24,
-    FY2024); null when none."""
+    """First year mention (1900–2099) in free text as INT; null when none."""
+    return F.regexp_extract(text, YEAR_MENTION, 1).try_cast("int")
+
+
+def spoken_year(text: Column) -> Column:
+    """The year that a question asks for: its first year mention, else its first fiscal year (FY24,
+    FY2024; two digits from ``CENTURY_PIVOT`` on are of the last century)."""
     fiscal = F.regexp_extract(text, FISCAL_YEAR, 1).try_cast("int")
-    return F.coalesce(
-        F.regexp_extract(text, YEAR_MENTION, 1).try_cast("int"), F.when(fiscal < 100, fiscal + 2000).otherwise(fiscal))
+    full = F.when(fiscal >= 100, fiscal).when(fiscal >= CENTURY_PIVOT, fiscal + 1900).otherwise(fiscal + 2000)
+    return F.coalesce(mentioned_year(text), full)
 
 
 def words(alternatives: str) -> str:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.text import mentioned_year, words
+from folio.functions.text import spoken_year, words
 
 # Phrases that move the active year (case-insensitive, whole words).
 RELATIVE_BACK = words("the year before|previous year|prior year|a year earlier")
@@ -33,7 +33,7 @@ CHUNK_TURNS = 4096
 def year_action(content: Column) -> Column:
     """``struct<action string, value int>``: SET (explicit year), RELATIVE (±1), CLEAR (topic
     change) or KEEP, checked in this order."""
-    year = mentioned_year(content)
+    year = spoken_year(content)
     return (
         F.when(year.isNotNull(), F.struct(F.lit("SET").alias("action"), year.alias("value")))
         .when(content.rlike(RELATIVE_BACK), F.struct(F.lit("RELATIVE").alias("action"), F.lit(-1).alias("value")))
@@ -89,7 +89,8 @@ def fold_years(acted: DataFrame, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
         "thread_id", "chunk",
         (F.col("last_reset.end_local") + (F.col("prefix") - F.col("shift0") - F.col("last_reset.prefix"))).alias(
             "carry"))
-    out = rows.join(carry, ["thread_id", "chunk"])
+    carry = carry.select(F.col("thread_id").alias("_thread"), F.col("chunk").alias("_chunk"), "carry")
+    out = rows.join(carry, rows["thread_id"].eqNullSafe(carry["_thread"]) & rows["chunk"].eqNullSafe(carry["_chunk"]))
     year = F.when(F.col("lseg") > 0, F.col("seg_base") + F.col("seg_shift")).otherwise(
         F.col("carry") + F.col("seg_shift"))
     return out.select("thread_id", "turn", "action", year.cast("int").alias("year"))
@@ -163,23 +164,54 @@ def trim_history(turns: DataFrame, new_messages: DataFrame, keep: int = HISTORY_
         new.select("thread_id", "turn", "role", "content"))
 
 
-def context_aware_query(turns: DataFrame) -> DataFrame:
+#: Consecutive messages of a thread that one window holds.
+BLOCK_TURNS = 1024
+
+
+def blocked(rows: DataFrame, back: int, block_turns: int = BLOCK_TURNS, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
+    """``rows`` with ``_pos`` (place in the thread from 0), ``_block`` and ``_halo``: the last ``back``
+    rows of each block stand in the next one, too, marked as halo.  A window over ``(thread_id,
+    _block)`` then sees ``back`` rows before each row, and a long thread is many windows.
+
+    The place is counted in two levels, inside chunks of turn numbers and over the chunks of a
+    thread (few rows), so no task sorts a whole thread.  Null threads and turns keep their rows.
+    """
+    if not 0 < back <= block_turns:
+        raise ValueError("a block must hold the rows that are looked back at")
+    order = ["turn", *(c for c in ("role", "content") if c in rows.columns)]
+    rows = rows.withColumn("_chunk", F.floor(F.col("turn") / chunk_turns))
+    counts = rows.groupBy(F.col("thread_id").alias("_t"), F.col("_chunk").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_t").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_t", "_c", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    placed = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("thread_id", "_chunk").orderBy(*order)))
+    placed = placed.join(starts, F.col("thread_id").eqNullSafe(F.col("_t")) & F.col("_chunk").eqNullSafe(F.col("_c")))
+    pos = F.col("_start") + F.col("_rn") - 1
+    placed = placed.select(*(c for c in rows.columns if c != "_chunk"), pos.alias("_pos"), F.floor(pos / block_turns).alias("_own"))
+    reach = F.when(F.col("_pos") % block_turns >= block_turns - back, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))
+    return placed.withColumn("_block", F.explode(reach)).withColumn("_halo", F.col("_block") != F.col("_own")).drop("_own")
+
+
+def _in_block():
+    return Window.partitionBy("thread_id", "_block").orderBy("_pos")
+
+
+def context_aware_query(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
     """User turns with ``search_text``, the question as it is searched: by default the previous
-    user message of the thread followed by the question (a model's rewriting can be plugged in
-    as this column)."""
-    before = F.lag("content").over(Window.partitionBy("thread_id").orderBy("turn"))
-    return user_turns(turns).select("thread_id", "turn", "content", F.concat_ws(" ", before, F.col("content")).alias("search_text"))
+    user message of the thread followed by the question (a model's rewriting can be plugged in as
+    this column)."""
+    asked = user_turns(turns).select("thread_id", "turn", "content")
+    said = blocked(asked, 1, block_turns).withColumn("_before", F.lag("content").over(_in_block())).where("not _halo")
+    return said.select("thread_id", "turn", "content", F.concat_ws(" ", "_before", F.col("content")).alias("search_text"))
 
 
-def running_transcript(turns: DataFrame, keep: int = HISTORY_KEEP) -> DataFrame:
+def running_transcript(turns: DataFrame, keep: int = HISTORY_KEEP, block_turns: int = BLOCK_TURNS) -> DataFrame:
     """For each user turn the messages retained at that point (the last ``keep`` and the turn
     itself) as transcript lines, and the last ``keep`` up to it as ``role: content`` lines."""
     speaker = F.coalesce(*[F.when(F.col("role") == r, F.lit(p)) for r, p in SPEAKER.items()], F.col("role"))
     content = F.coalesce(F.col("content"), F.lit(""))
-    thread = Window.partitionBy("thread_id").orderBy("turn")
-    rows = turns.select(
-        "thread_id", "turn", "role",
-        F.collect_list(F.concat(speaker, F.lit(": "), content)).over(thread.rowsBetween(-keep, 0)).alias("said"),
-        F.collect_list(F.concat(F.coalesce("role", F.lit("unknown")), F.lit(": "), content)).over(thread.rowsBetween(1 - keep, 0)).alias("kept"),
+    rows = blocked(turns.select("thread_id", "turn", "role", "content"), max(keep, 1), block_turns).select(
+        "thread_id", "turn", "role", "_halo",
+        F.collect_list(F.concat(speaker, F.lit(": "), content)).over(_in_block().rowsBetween(-keep, 0)).alias("said"),
+        F.collect_list(F.concat(F.coalesce("role", F.lit("unknown")), F.lit(": "), content)).over(_in_block().rowsBetween(1 - keep, 0)).alias("kept"),
     )
-    return user_turns(rows).select("thread_id", "turn", F.array_join("said", "\n").alias("dialogue"), F.array_join("kept", "\n").alias("kept"))
+    return user_turns(rows).where("not _halo").select("thread_id", "turn", F.array_join("said", "\n").alias("dialogue"), F.array_join("kept", "\n").alias("kept"))

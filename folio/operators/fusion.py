@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.embed import DEFAULT_DIM, hashed_embedding
+from folio.functions.embed import DEFAULT_DIM, HASHED, Embedder
 from folio.functions.text import WHITESPACE, tokens
 from folio.operators.bm25 import TextIndex, bm25_topk
 from folio.operators.vectors import DENSE, payload_filter, sparse, vector_topk
@@ -54,17 +54,18 @@ def _vec_cols(df: DataFrame, dim: int):
 
 def candidate_lists(variants: DataFrame, index: TextIndex, points: DataFrame, top_k: int,
                     year_col: str | None = None, dim: int = DEFAULT_DIM, key: str = "query_id",
-                    embed=hashed_embedding) -> DataFrame:
+                    embed=HASHED) -> DataFrame:
     """Every variant × {bm25, vector} ranked list of ``top_k * 5`` pages:
     ``(key, variant_no, source, rank0, corpus_id, score)``.
 
-    ``embed(rows, keys, text_col, dim)`` returns query vectors, dense (``vector``) or sparse
-    (``v_idx``/``v_val``); the points table must use the same model.  A variant without a
+    ``embed`` is an ``Embedder``, of which the query mode is used, or a function ``(rows, keys,
+    text_col, dim)``; vectors are dense (``vector``) or sparse (``v_idx``/``v_val``), and the points
+    table must use the same model (its document mode).  A variant without a
     vector (failed embedding) is dropped from both searches.
     """
     keys = [key, "variant_no"]
     limit = top_k * CANDIDATE_FACTOR
-    qv = embed(variants, keys, "variant_text", dim)
+    qv = (embed.query if isinstance(embed, Embedder) else embed)(variants, keys, "variant_text", dim)
     live = materialize(variants.join(qv, keys), "variants")
     # Variants with the same token set (and year) have the same BM25 list: each set is searched
     # once, under the keys of its first variant (short keys, not the text, travel through the
@@ -115,6 +116,7 @@ def rerank(fused: DataFrame, queries: DataFrame, pages: DataFrame, top_k: int, k
     the fusion order.  Adds the page content and its file name as ``source``.
 
     ``scorer(question, content) -> Column`` replaces the default token-coverage score."""
+    fused = materialize(fused, "rerank-input")  # counted and joined: the search before it runs once
     cands = bounded_broadcast(fused, MAX_BROADCAST_CANDIDATES)  # ids and scores only
     found = pages.select("corpus_id", content_col, F.col("exact_filename").alias("source")).join(cands, "corpus_id")
     joined = found.join(queries.select(key, text_col), key)
@@ -147,7 +149,7 @@ def filtered_points(points: DataFrame, filters: dict | None) -> DataFrame:
 def hybrid_retrieve(queries: DataFrame, index: TextIndex, points: DataFrame, pages: DataFrame,
                     top_k: int = 5, year_col: str | None = None, key: str = "query_id",
                     text_col: str = "text", response: Column | None = None,
-                    filters: dict | None = None, embed=hashed_embedding, scorer=None) -> DataFrame:
+                    filters: dict | None = None, embed=HASHED, scorer=None) -> DataFrame:
     """End-to-end retrieval for a table of queries.
 
     ``filters`` hold for all queries: the vector search honours every payload field, the text
@@ -161,5 +163,5 @@ def hybrid_retrieve(queries: DataFrame, index: TextIndex, points: DataFrame, pag
     extra = [year_col] if year_col else []
     variants = query_variants(queries, key, text_col, response, extra)
     hits = candidate_lists(variants, index, points, top_k, year_col, key=key, embed=embed)
-    fused = materialize(rrf_fuse(hits, top_k * FUSION_FACTOR, key), "fused")
+    fused = rrf_fuse(hits, top_k * FUSION_FACTOR, key)
     return rerank(fused, queries, pages, top_k, key, text_col, scorer=scorer)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.text import clean_text, page_number, referenced_years
+from folio.session import bounded_broadcast, materialize
 
 PAGE_COLUMNS = [
     "corpus_id",
@@ -43,8 +44,9 @@ def first_n(df: DataFrame, n: int | None, order_by: str | list[str] = "corpus_id
     return df.orderBy(order_by).limit(n)
 
 
-def to_page_rows(corpus: DataFrame) -> DataFrame:
-    """Corpus rows with OCR text → page rows in the stored layout (not yet validated)."""
+def to_page_rows(corpus: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """Corpus rows with OCR text → page rows in the stored layout (not yet validated), with the
+    columns to ``keep`` besides."""
     with_fields = derive_page(derive_years(corpus))
     return with_fields.select(
         F.col("corpus_id").try_cast("bigint").alias("corpus_id"),
@@ -54,6 +56,7 @@ def to_page_rows(corpus: DataFrame) -> DataFrame:
         F.col("probable_referenced_years"),
         F.col("markdown_content"),
         clean_text(F.col("markdown_content")).alias("text_content"),
+        *keep,
     )
 
 
@@ -66,7 +69,10 @@ def _reasons(df: DataFrame) -> Column:
         (F.col("exact_filename").isNull(), "null_filename"),
         (F.col("markdown_content").isNull(), "null_content"),
     ]
-    return F.concat_ws(";", *[F.when(cond, F.lit(name)) for cond, name in checks])
+    reasons = [F.when(cond, F.lit(name)) for cond, name in checks]
+    if "ocr_error" in df.columns:  # why there is no content
+        reasons.append(F.when(F.col("ocr_error").isNotNull(), F.concat(F.lit("ocr: "), F.col("ocr_error"))))
+    return F.concat_ws(";", *reasons)
 
 
 def validate_pages(rows: DataFrame) -> DataFrame:
@@ -82,33 +88,52 @@ def rejected(validated: DataFrame) -> DataFrame:
     return validated.where(F.col("reject_reason") != "")
 
 
+#: Ids that are broadcast at most; beyond it the join is one of exchanges.
+MAX_BROADCAST_IDS = 2_000_000
+
+
 def skip_existing(incoming: DataFrame, existing_ids: DataFrame, key: str = "corpus_id",
                   tie_break: str = "image_filename") -> DataFrame:
     """Incoming rows whose id is not in the store, one row per id (lowest ``tie_break`` wins).
 
-    One ``left_anti`` join against the id column only; the store side is column-pruned at the
-    scan.  The in-batch dedupe is a window on the incoming side alone.  Rows without an id are
-    nobody's duplicate: all of them are kept, for validation to reject.
+    Only ids are shuffled to find out which ones are stored or come more than once.  Rows of all
+    other ids stay where they are read, whole images included; rows of repeated ids alone go
+    through the dedupe window.  Rows without an id are nobody's duplicate: all of them are kept,
+    for validation to reject.
     """
-    known = incoming.where(F.col(key).isNotNull())
-    fresh = known.join(existing_ids.select(key), key, "left_anti")
+    counted = incoming.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    stored = existing_ids.select(key).distinct().withColumn("_stored", F.lit(True))
+    doubtful = counted.join(stored, key, "left").where((F.col("_n") > 1) | F.col("_stored"))
+    doubtful = materialize(doubtful.select(key, F.coalesce("_stored", F.lit(False)).alias("_stored")), "known-ids")
+    marked = bounded_broadcast(doubtful, MAX_BROADCAST_IDS)
+    fresh = incoming.join(marked.select(key), key, "left_anti").select(*incoming.columns)  # also rows without an id
+    again = incoming.join(marked.where("not _stored").select(key), key, "left_semi").select(*incoming.columns)
     w = Window.partitionBy(key).orderBy(F.col(tie_break).asc_nulls_last())
-    fresh = fresh.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-    return fresh.unionByName(incoming.where(F.col(key).isNull()).select(*fresh.columns))
+    return fresh.unionByName(again.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn"))
 
 
 def insert_if_absent(new: DataFrame, target: DataFrame, key: str | None = None) -> DataFrame:
     """Rows of ``new`` with no identical row (all columns, nulls equal) in ``target``.
 
-    The join and the dedupe shuffle ``key`` (the first column by default) and a hash of the
-    row; full rows are then compared, so equal hashes of different rows are told apart.
+    ``key`` (the first column by default) and a hash of the row decide which rows can have a twin,
+    in ``target`` or in ``new``; all others are passed on.  Only rows that can are compared whole,
+    so equal hashes of different rows are told apart.
     """
     cols = new.columns
     key = key or cols[0]
-    left = new.dropDuplicates(cols).withColumn("_h", F.xxhash64(*cols))
-    right = target.select(F.col(key).alias("_k"), F.xxhash64(*cols).alias("_th"), F.struct(*cols).alias("_row"))
-    same = left[key].eqNullSafe(right["_k"]) & (left["_h"] == right["_th"]) & F.struct(*[left[c] for c in cols]).eqNullSafe(right["_row"])
-    return left.join(right, same, "left_anti").select(*cols)
+    hashed = lambda df: df.withColumn("_h", F.xxhash64(*cols))
+    left, right = hashed(new), hashed(target.select(*cols))
+    mine = left.select(F.col(key).alias("_k"), "_h").groupBy("_k", "_h").agg(F.count(F.lit(1)).alias("_n"))
+    there = right.select(F.col(key).alias("_tk"), F.col("_h").alias("_th")).distinct()
+    twins = mine.join(there, mine["_k"].eqNullSafe(there["_tk"]) & (mine["_h"] == there["_th"]), "left")
+    twins = materialize(twins.where("_n > 1 or _th is not null").select("_k", F.col("_h").alias("_hk")), "twins")
+    near = bounded_broadcast(twins, MAX_BROADCAST_IDS)
+    met = lambda df: df[key].eqNullSafe(near["_k"]) & (df["_h"] == near["_hk"])
+    alone = left.join(near, met(left), "left_anti").select(*cols)
+    few = left.join(near, met(left), "left_semi").dropDuplicates(cols)
+    held = right.join(near, met(right), "left_semi").select(F.col(key).alias("_tk"), F.col("_h").alias("_th"), F.struct(*cols).alias("_row"))
+    same = few[key].eqNullSafe(held["_tk"]) & (few["_h"] == held["_th"]) & F.struct(*[few[c] for c in cols]).eqNullSafe(held["_row"])
+    return alone.unionByName(few.join(held, same, "left_anti").select(*cols))
 
 
 def embeddable(pages: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.functions.embed import DEFAULT_DIM, hashed_embedding
+from folio.functions.embed import DEFAULT_DIM, HASHED
 from folio.operators import ingest
 from folio.operators.bm25 import TextIndex, build_index
 from folio.operators.passages import containment_pairs
@@ -67,7 +67,7 @@ def page_vectors(spark: SparkSession, base: str, dim: int = DEFAULT_DIM) -> Data
     point."""
     def build():
         pages = ingest.embeddable(stored_pages(spark, base))
-        vecs = hashed_embedding(pages.select(F.col("corpus_id").alias("id"), "markdown_content"),
+        vecs = HASHED.document(pages.select(F.col("corpus_id").alias("id"), "markdown_content"),
                                 ["id"], "markdown_content", dim)
         payload = pages.select(F.col("corpus_id").alias("id"), F.col("probable_referenced_years").alias("years"),
                                "doc_id", "page", "exact_filename")

@@ -260,10 +260,14 @@ turns_v AS (
   FROM t0)"""
 
 
+def mention_of(expr: str) -> str:
+    return f"TRY_CAST(regexp_extract({expr}, {_lit(T.YEAR_MENTION)}, 1) AS INTEGER)"
+
+
 def year_of(expr: str) -> str:
     fiscal = f"TRY_CAST(regexp_extract({expr}, {_lit(T.FISCAL_YEAR)}, 1) AS INTEGER)"
-    return (f"coalesce(TRY_CAST(regexp_extract({expr}, {_lit(T.YEAR_MENTION)}, 1) AS INTEGER), "
-            f"CASE WHEN {fiscal} < 100 THEN {fiscal} + 2000 ELSE {fiscal} END)")
+    return (f"coalesce({mention_of(expr)}, CASE WHEN {fiscal} >= 100 THEN {fiscal} "
+            f"WHEN {fiscal} >= {T.CENTURY_PIVOT} THEN {fiscal} + 1900 ELSE {fiscal} + 2000 END)")
 
 
 def rlike(expr: str, pattern: str) -> str:

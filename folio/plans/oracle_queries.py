@@ -171,7 +171,7 @@ SQL["hybrid_retrieve_filtered"] = O.hybrid(
     hq="hq AS (SELECT query_id, original AS text, CAST(2013 AS INTEGER) AS year FROM questions_v WHERE original IS NOT NULL)")
 
 SQL["extract_year"] = f"""WITH {O.TURNS}
-SELECT thread_id, turn, {O.year_of('content')} AS year FROM turns_v WHERE role = 'user'"""
+SELECT thread_id, turn, {O.mention_of('content')} AS year FROM turns_v WHERE role = 'user'"""
 
 _STICKY = f"""
 a AS (

@@ -21,7 +21,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from folio.functions.embed import DEFAULT_DIM, hashed_embedding
 from folio.functions.enrich import enrich, ocr_stand_in
 from folio.operators import conversation, ingest
-from folio.session import path_exists
+from folio.session import materialize, path_exists
 
 
 def _stored(spark: SparkSession, path: str, batch_id: int, cols: list[str]) -> DataFrame | None:
@@ -53,13 +53,15 @@ def ingest_stream(spark: SparkSession, source_dir: str, schema: T.StructType, ta
         existing = stored if stored is not None else batch.limit(0).select("corpus_id")
         fresh = ingest.skip_existing(batch, existing)
         ocr_schema = T.StructType([f for f in schema.fields if f.name != "image"]
-                                  + [T.StructField("markdown_content", T.StringType())])
+                                  + [T.StructField("markdown_content", T.StringType()), T.StructField("ocr_error", T.StringType())])
         with_text = enrich(fresh, ocr, ocr_schema, batch_size=50, on_error="default",
-                           default={"markdown_content": None})
-        validated = ingest.validate_pages(ingest.to_page_rows(with_text)).cache()
+                           default={"markdown_content": None}, error_col="ocr_error")
+        # written, so that a lost executor does not send pages to the model again
+        with_text = materialize(with_text, "ocr")
+        rows = ingest.to_page_rows(with_text, keep=["ocr_error"])
+        validated = ingest.validate_pages(rows)
         ingest.accepted(validated).write.mode("overwrite").parquet(f"{target}/pages/batch={batch_id}")
         ingest.rejected(validated).write.mode("overwrite").parquet(f"{target}/rejected/batch={batch_id}")
-        validated.unpersist()
 
     _run(src.writeStream.foreachBatch(per_batch), checkpoint)
 

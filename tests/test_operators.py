@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folio.functions import enrich as E
-from folio.functions.text import clean_text, mentioned_year, page_number, referenced_years, tokens
+from folio.functions.embed import model_embedder
+from folio.functions.text import clean_text, mentioned_year, page_number, referenced_years, spoken_year, tokens
 from folio import session
 from folio.operators import answers, bm25, conversation, evaluation, fusion, ingest, vectors
 from folio.operators.passages import containment_pairs
@@ -79,9 +80,10 @@ def test_clean_text_is_linear(spark):
 
 
 def test_fiscal_years(spark):
-    texts = ["FY24", "in fy2023?", "FY'22 rose", "2019 and FY24", "FYI 24", "xFY24"]
+    texts = ["FY24", "in fy2023?", "FY'22 rose", "2019 and FY24", "FYI 24", "xFY24", "FY99", "FY70 FY69", "FY00"]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i")
-    assert [r[0] for r in df.select(mentioned_year(F.col("t"))).collect()] == [2024, 2023, 2022, 2019, None, None]
+    assert [r[0] for r in df.select(spoken_year(F.col("t"))).collect()] == [2024, 2023, 2022, 2019, None, None, 1999, 1970, 2000]
+    assert [r[0] for r in df.select(mentioned_year(F.col("t"))).collect()] == [None, None, None, 2019, None, None, None, None, None]
     turns = spark.createDataFrame([(1, 0, "user", "sales in FY24?"), (1, 1, "user", "the year before?")], "thread_id long, turn int, role string, content string")
     assert sorted(rows(conversation.sticky_year(turns), "turn", "year")) == [(0, 2024), (1, 2023)]
 
@@ -231,6 +233,41 @@ def test_sticky_year_clear_then_relative_and_chunks(spark):
         assert got == want, chunk
 
 
+def test_null_threads_and_turns_keep_their_rows(spark):
+    data = [(None, 0, "user", "in 2019"), (None, 1, "user", "the year before"), (1, 0, "user", "in 2020"), (1, None, "user", "hello")]
+    got = set(rows(conversation.sticky_year(_turns(spark, data)), "thread_id", "turn", "year"))
+    assert got == {(None, 0, 2019), (None, 1, 2018), (1, 0, 2020), (1, None, None)}
+    assert set(rows(conversation.context_aware_query(_turns(spark, data)), "thread_id", "turn")) == {(None, 0), (None, 1), (1, 0), (1, None)}
+
+
+@pytest.mark.parametrize("block", [4, 5, 7, 1024])
+def test_windows_of_long_threads_are_cut_into_blocks(spark, block):
+    r = random.Random(3)
+    data = [(t, 3 * k, r.choice(["user", "assistant", None, "system"]), f"m{t}-{k}") for t, n in ((1, 60), (2, 3), (None, 9)) for k in range(n)]
+    turns = _turns(spark, data)
+    line = {"user": "Human", "assistant": "AI", "system": "System"}
+    want, searched = {}, {}
+    for thread in (1, 2, None):
+        own = [d for d in data if d[0] == thread]
+        for k, (_, turn, role, content) in enumerate(own):
+            if role == "user":
+                said = [f"{line[x]}: {c}" for _, _, x, c in own[max(0, k - 4):k + 1] if x]
+                kept = [f"{x or 'unknown'}: {c}" for _, _, x, c in own[max(0, k - 3):k + 1]]
+                want[(thread, turn)] = ("\n".join(said), "\n".join(kept))
+                asked = [c for _, _, x, c in own[:k + 1] if x == "user"]
+                searched[(thread, turn)] = " ".join(asked[-2:])
+    cut = conversation.running_transcript(turns, block_turns=block)
+    assert {(x["thread_id"], x["turn"]): (x["dialogue"], x["kept"]) for x in cut.collect()} == want
+    assert {(x["thread_id"], x["turn"]): x["search_text"] for x in conversation.context_aware_query(turns, block).collect()} == searched
+
+
+def test_message_windows_are_not_partitioned_by_thread_alone(spark):
+    turns = _turns(spark, [(1, k, "user", "x") for k in range(9)])
+    for df in (conversation.running_transcript(turns), conversation.context_aware_query(turns)):
+        windows = [x for x in _plan(df).splitlines() if " Window [" in x and ("collect_list" in x or "lag(" in x)]
+        assert windows and all("_block" in x for x in windows)
+
+
 def test_trim_history_keeps_four_and_appends(spark):
     t = _turns(spark, [(1, i, "user" if i % 2 == 0 else "assistant", f"m{i}") for i in range(7)])
     new = spark.createDataFrame([(1, "assistant", "answer")], "thread_id long, role string, content string")
@@ -326,6 +363,111 @@ def test_enrich_loses_only_the_bad_row_and_keeps_its_reason(spark):
         assert [(r["id"], r["error"].split(":")[0]) for r in got if r["error"] is not None] == [(41, "UnicodeDecodeError")]
 
 
+def _counting(folder, broken=()):
+    """A client that leaves a file for each call, slow enough to overlap; 503 for some rows."""
+    def make():
+        def call(batch):
+            name = f"{min(batch['id'])}-{len(batch)}-{time.monotonic_ns()}"
+            (Path(folder) / name).write_text("")
+            if broken == "all" or set(batch["id"]) & set(broken):
+                down = Exception("503")
+                down.status_code = 503
+                raise down
+            return pd.DataFrame({"y": [f"v{i}" for i in batch["id"]]})
+        return call
+
+    return make
+
+
+Y = T.StructType([T.StructField("id", T.LongType()), T.StructField("y", T.StringType()), T.StructField("error", T.StringType())])
+
+
+def test_an_outage_costs_the_retries_of_a_few_batches(spark, tmp_path):
+    df = spark.range(50).coalesce(1)
+    got = E.enrich(df, _counting(tmp_path, "all"), Y, batch_size=50, on_error="default", policy=E.NO_WAIT, error_col="error").collect()
+    assert len(got) == 50 and all(r["y"] is None and "503" in r["error"] for r in got)
+    assert len(list(tmp_path.iterdir())) == 5
+    many = spark.range(1000).coalesce(1)
+    got = E.enrich(many, _counting(tmp_path, "all"), Y, batch_size=10, on_error="drop", policy=E.NO_WAIT, error_col="error").collect()
+    assert sorted(r["id"] for r in got) == list(range(1000)) and len(list(tmp_path.iterdir())) == 5 + 3 * 5
+    with pytest.raises(Exception, match="503"):
+        E.enrich(df, _counting(tmp_path, "all"), Y, policy=E.NO_WAIT).collect()
+
+
+def test_slow_calls_overlap_and_keep_their_order(spark, tmp_path):
+    def make():
+        def call(batch):
+            time.sleep(0.4 if min(batch["id"]) % 20 else 0.6)
+            return pd.DataFrame({"y": [f"v{i}" for i in batch["id"]]})
+        return call
+
+    began = time.monotonic()
+    got = E.enrich(spark.range(100).coalesce(1), make, Y, batch_size=10, concurrency=10, error_col="error").collect()
+    assert [(r["id"], r["y"]) for r in got] == [(i, f"v{i}") for i in range(100)]
+    assert time.monotonic() - began < 3.5  # one after another: 5
+
+
+def test_a_rerun_calls_only_for_new_and_failed_rows(spark, tmp_path):
+    ledger, answer = new_path(spark, "t-ledger"), T.StructType([T.StructField("y", T.StringType())])
+    calls = lambda: len(list(tmp_path.iterdir()))
+    df = spark.createDataFrame([(i % 40, "x" if i % 2 else None) for i in range(80)], "id long, kind string").coalesce(1)
+
+    def run(frame, broken=()):
+        return sorted(rows(E.enrich_resumable(frame, _counting(tmp_path, broken), answer, ledger, ["id"], batch_size=10, policy=E.NO_WAIT), "id", "y", "error"))
+
+    first = run(df, broken=[7])
+    assert len(first) == 80 and calls() == 3 + 5  # equal inputs are sent once; one batch of four is down
+    down = {i for i, y, _ in first if y is None}
+    assert 7 in down and len(down) == 10
+    assert run(df) == sorted((i % 40, f"v{i % 40}", None) for i in range(80)) and calls() == 9
+    assert run(df) == sorted((i % 40, f"v{i % 40}", None) for i in range(80)) and calls() == 9
+    more = df.unionByName(spark.createDataFrame([(100, None), (None, "x")], df.schema).coalesce(1).where("id is not null"))
+    assert len(run(more)) == 81 and calls() == 10
+
+
+def test_model_embedder_tells_the_mode(spark):
+    def make():
+        return lambda batch: pd.DataFrame({"vector": [[float(len(t)), 1.0 if m == "query" else 0.0] for t, m in zip(batch["text"], batch["mode"])]})
+
+    model = model_embedder(make)
+    texts = spark.createDataFrame([(1, "ab"), (2, None), (3, "")], "id long, t string")
+    assert sorted(rows(model.document(texts, ["id"], "t", 2), "id", "vector")) == [(1, [2.0, 0.0]), (3, [0.0, 0.0])]
+    assert sorted(rows(model.query(texts, ["id"], "t", 2), "id", "vector")) == [(1, [2.0, 1.0]), (3, [0.0, 1.0])]
+    with pytest.raises(Exception, match="3 dimensions"):
+        model.query(texts, ["id"], "t", 3).collect()
+    pages = spark.createDataFrame([(i, f"d{i}", i, f"f{i}.png", [2001], "x" * i, f"word{i}") for i in range(1, 6)],
+                                  "corpus_id long, doc_id string, page int, exact_filename string, probable_referenced_years array<int>, markdown_content string, text_content string")
+    points = model.document(pages.select(F.col("corpus_id").alias("id"), "markdown_content"), ["id"], "markdown_content", 2)
+    index = bm25.build_index(pages, persist=False)
+    variants = fusion.query_variants(spark.createDataFrame([(1, "word3")], "query_id long, text string"))
+    hits = fusion.candidate_lists(variants, index, points, 2, dim=2, embed=model)
+    assert {r["source"] for r in hits.collect()} == {"bm25", "vector"}
+
+
+def test_images_of_new_pages_are_not_shuffled(spark):
+    path = new_path(spark, "t-images")
+    data = [(i, f"f{k}.png", bytearray([k])) for i in range(40) for k in range(2 if i % 10 == 0 else 1)] + [(None, "n", bytearray(b"n"))] * 2
+    spark.createDataFrame(data, "corpus_id long, image_filename string, image binary").write.parquet(path)
+    stored = spark.createDataFrame([(i,) for i in range(0, 40, 4)] * 2, "corpus_id long")
+    out = ingest.skip_existing(spark.read.parquet(path), stored)
+    plan = _plan(out)
+    fresh = plan[plan.index("Union"):plan.index("Window")]  # rows of ids that come once
+    assert "LeftAnti" in fresh and "image" in fresh and "Exchange hashpartitioning" not in fresh.split("LeftSemi")[0]
+    got = rows(out, "corpus_id", "image_filename", "image")
+    want = [(i, "f0.png", bytearray([0])) for i in range(40) if i % 4] + [(None, "n", bytearray(b"n"))] * 2
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_insert_if_absent_compares_whole_rows(spark, monkeypatch):
+    schema = "k long, v string, w array<int>"
+    new = spark.createDataFrame([(1, "a", None), (1, "a", None), (1, "b", [1]), (None, None, None), (None, None, None), (2, "c", [2]), (3, "d", [])], schema)
+    old = spark.createDataFrame([(1, "b", [1]), (2, "c", [3]), (9, "z", None), (3, "d", [])], schema)
+    want = [(1, "a", None), (2, "c", [2]), (None, None, None)]
+    for bound in (2_000_000, 0):
+        monkeypatch.setattr(ingest, "MAX_BROADCAST_IDS", bound)
+        assert sorted(rows(ingest.insert_if_absent(new, old), "k", "v", "w"), key=str) == sorted(want, key=str)
+
+
 def test_enrich_fails_on_a_row_count_mismatch(spark):
     df = spark.createDataFrame([(i,) for i in range(4)], "id long")
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("y", T.StringType())])
