@@ -10,13 +10,14 @@ passages are cut into latent spaces of at most ``RANK`` passages, so that each s
    multiplied by ``A'A`` in power iterations, each one a pass over the partitions of passages
    that returns partial products, with a QR step in between.  A space holds no more passages
    than directions, and one that does not keep ``KEPT`` of each passage is split.
-3. Every document is cut into overlapping windows.  A window whose words could together be the
-   share ``SHARE`` of some passage is folded into the latent space; passages that it covers by
-   ``SHARE`` are candidates, whatever else stands in the window, unless too few of their words
-   stand there to pass step 4.
-4. A candidate is verified on the words themselves: the longest common subsequence must cover
-   ``COVER`` of the passage, or ``ANSWER_COVER`` of it if the passage's end (the answer) stands
-   in the window word for word.
+3. Every document is cut into overlapping windows of ``WINDOW`` words.  A window that holds too few
+   of the less common words of every passage is left out; the others are folded into the latent
+   space.  A passage that the window covers by at least what step 4 needs of it, were its lightest
+   words the ones that are left, is a candidate, whatever else stands in the window: a paraphrase
+   may have lost the heaviest words (names, numbers).  No window that step 4 accepts is missed.
+4. A candidate is verified on the words themselves: in some stretch of text not much longer than the
+   passage (``SPREAD``) the longest common subsequence must cover ``COVER`` of the passage, or
+   ``ANSWER_COVER`` of it if the passage's end (the answer) stands there word for word.
 
 Words are ASCII letters and digits and non-ASCII characters in runs, lower-cased (A-Z).
 Verification happens where the window was read, so no text is shuffled.
@@ -42,8 +43,14 @@ PASSAGE, STRIDE = 64, 32
 RANK, OVERSAMPLE, POWER = 256, 8, 2
 #: Least length of a passage in its latent space as a share of its own; a space that keeps less is split.
 KEPT = 0.99
-#: Least length of the window along the passage as a share of the passage's.
-SHARE = 0.3
+#: Words of a text window; a passage with half as many further words between fits in some window.
+WINDOW = 128
+#: Inverse document frequencies are kept in these bounds, so that no single word decides.
+IDF = (2.0, 4.0)
+#: Words in at least this share of the documents are common.
+COMMON = 0.01
+#: Words of a stretch of text that stands for a passage, as a multiple of its own, and some more.
+SPREAD, SPREAD_WORDS = 1.5, 4
 #: Rounding errors of the latent space, as a share of the window's length.
 ROUNDING = 1e-5
 COVER, ANSWER_COVER, ANSWER_WORDS = 0.7, 0.5, 8
@@ -173,9 +180,17 @@ def contains(words: np.ndarray, run: np.ndarray) -> bool:
     return any((words[k : k + len(run)] == run).all() for k in np.flatnonzero(words[: len(words) - len(run) + 1] == run[0]))
 
 
+def least_tokens(words: np.ndarray) -> int:
+    """Words of a passage that a text must hold at least for ``verify`` to find it."""
+    n = len(words)
+    return n if n < SHORT else int(np.ceil(min(COVER, ANSWER_COVER) * n - 1e-9))
+
+
 @dataclass(frozen=True)
 class Index:
-    """One latent space: passages, vocabulary, word weights and directions."""
+    """One latent space: passages, vocabulary, word weights and directions, the least share of each
+    passage's squared weight that a found text covers, and what each word counts at most towards
+    the words that any passage needs."""
 
     passages: list[Passage]
     vocabulary: np.ndarray
@@ -183,22 +198,22 @@ class Index:
     basis: np.ndarray
     latent: np.ndarray
     length: np.ndarray
+    least: np.ndarray
     share: np.ndarray
 
     def candidates(self, lookup: Lookup, words: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, tuple[int, int], Passage, float]]:
-        """``(text, (start, end), passage, cosine)`` of similar windows, with some words around."""
+        """``(text, (start, end), passage, cosine)`` of similar windows."""
         if not len(words) or not len(self.passages):
             return
         index = lookup(words)
-        weight = np.where(index >= 0, self.idf[index], 0).astype(np.float64)
         mass = np.concatenate([[0], np.cumsum(np.where(index >= 0, self.share[index], 0).astype(np.float64))])
         texts, first = np.unique(owner, return_index=True)
         last = np.append(first[1:], len(words))
-        count = np.maximum(1, -(-(last - first - PASSAGE) // STRIDE) + 1)
+        count = np.maximum(1, -(-(last - first - WINDOW) // STRIDE) + 1)
         text = np.repeat(np.arange(len(texts)), count)
         start = first[text] + STRIDE * (np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count))
-        end = np.minimum(start + PASSAGE, last[text])
-        heavy = np.flatnonzero(mass[end] - mass[start] >= SHARE * KEPT)
+        end = np.minimum(start + WINDOW, last[text])
+        heavy = np.flatnonzero(mass[end] - mass[start] >= 1 - 1e-6)
         wanted, needed = self.wanted()
         present = np.zeros(len(self.vocabulary) + 1, bool)
         for k in range(0, len(heavy), 256):
@@ -207,46 +222,67 @@ class Index:
             at = np.repeat(start[part] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
             row = np.repeat(np.arange(len(part)), size)
             known = index[at] >= 0
-            at, row = at[known], row[known]
+            # a word counts once in a window, as in a passage
+            once = np.unique(row[known] * len(self.vocabulary) + index[at[known]])
+            row, term = once // len(self.vocabulary), once % len(self.vocabulary)
             x = np.zeros((len(part), self.basis.shape[1]), np.float32)
-            if len(at):
+            if len(term):
                 begin = np.flatnonzero(np.diff(row, prepend=-1))
-                x[row[begin]] = np.add.reduceat(self.basis[index[at]] * weight[at, None].astype(np.float32), begin)
+                x[row[begin]] = np.add.reduceat(self.basis[term] * self.idf[term, None], begin)
             along = x @ self.latent.T
             norm = np.linalg.norm(x, axis=1, keepdims=True)
             cosine = along / np.maximum(norm, 1e-9)
-            covered = along >= SHARE * self.length - ROUNDING * norm
+            covered = along >= KEPT * self.least * self.length - ROUNDING * norm
+            bounds = np.searchsorted(row, np.arange(len(part) + 1))
             for i in np.flatnonzero(covered.any(axis=1)):
-                t = text[part[i]]
-                around = max(first[t], start[part[i]] - STRIDE), min(last[t], end[part[i]] + STRIDE)
-                here = index[around[0] : around[1]]
+                here = term[bounds[i] : bounds[i + 1]]
                 present[here] = True
-                present[-1] = False  # words of no passage
                 near = np.flatnonzero(covered[i])
                 for p in near[present[wanted[near]].sum(axis=1) >= needed[near]]:
-                    yield int(texts[t]), around, self.passages[p], float(cosine[i, p])
+                    yield int(texts[text[part[i]]]), (int(start[part[i]]), int(end[part[i]])), self.passages[p], float(cosine[i, p])
                 present[here] = False
 
     def wanted(self) -> tuple[np.ndarray, np.ndarray]:
-        """The words of each passage, filled up with -1, and how many of them a text must hold
-        at least for ``verify`` to find the passage."""
+        """The words of each passage, filled up with -1, and how many of them a text must hold."""
         words = np.full((len(self.passages), max(len(p.words) for p in self.passages)), -1)
         for k, p in enumerate(self.passages):
             words[k, : len(p.words)] = np.searchsorted(self.vocabulary, p.words)
-        size = np.array([len(p.words) for p in self.passages])
-        return words, np.where(size < SHORT, size, np.ceil(min(COVER, ANSWER_COVER) * size - 1e-9))
+        return words, np.array([least_tokens(p.words) for p in self.passages])
 
     def verify(self, words: np.ndarray, at: tuple[int, int], passage: Passage) -> dict | None:
-        window, wanted = words[at[0] : at[1]], passage.words
-        if len(wanted) < SHORT:
-            hit = contains(window, wanted)
-            return {"item_id": passage.item_id, "common": len(wanted), "coverage": 1.0, "answer": True} if hit else None
-        common = common_subsequence(wanted, window)
-        answer = contains(window, wanted[-ANSWER_WORDS:])
-        coverage = common / len(wanted)
-        if coverage >= COVER or coverage >= ANSWER_COVER and answer:
-            return {"item_id": passage.item_id, "common": common, "coverage": coverage, "answer": answer}
+        return verified(words[at[0] : at[1]], passage)
+
+
+def verified(window: np.ndarray, passage: Passage) -> dict | None:
+    """The best stretch of the window that stands for the passage."""
+    wanted = passage.words
+    if len(wanted) < SHORT:
+        hit = contains(window, wanted)
+        return {"item_id": passage.item_id, "common": len(wanted), "coverage": 1.0, "answer": True} if hit else None
+    if common_subsequence(wanted, window) < least_tokens(wanted):
         return None
+    reach = int(SPREAD * len(wanted)) + SPREAD_WORDS
+    step, best = max(1, len(wanted) // 8), None
+    for a in range(0, max(1, len(window) - reach + step), step):
+        stretch = window[a : a + reach]
+        common = common_subsequence(wanted, stretch)
+        if common < least_tokens(wanted) or best is not None and common <= best["common"]:
+            continue
+        answer, coverage = contains(stretch, wanted[-ANSWER_WORDS:]), common / len(wanted)
+        if coverage >= COVER or coverage >= ANSWER_COVER and answer:
+            best = {"item_id": passage.item_id, "common": common, "coverage": coverage, "answer": answer}
+    return best
+
+
+def least_share(terms: np.ndarray, tf: np.ndarray, weight: np.ndarray, needed: int) -> float:
+    """The least share of a passage's squared weight that ``needed`` of its words can have: its
+    lightest words, the last one in part."""
+    order = np.argsort(np.square(weight) / tf, kind="stable")
+    tf, square = tf[order], np.square(weight)[order].astype(np.float64)
+    whole = int(np.searchsorted(np.cumsum(tf), needed))
+    before = int(tf[:whole].sum())
+    part = square[whole] * (needed - before) / tf[whole] if whole < len(tf) else 0.0
+    return float((square[:whole].sum() + part) / square.sum())
 
 
 def leaks_of(spaces: list[Index], texts: list[str]) -> list[list[dict]]:
@@ -267,17 +303,24 @@ def leaks_of(spaces: list[Index], texts: list[str]) -> list[list[dict]]:
     return out
 
 
-def space_of(spark: SparkSession, held: list[Passage], weights: dict[int, float]) -> Iterator[Index]:
+def space_of(spark: SparkSession, held: list[Passage], weights: dict[int, tuple[float, bool]]) -> Iterator[Index]:
     """The latent space of at most ``RANK`` passages, or of its halves if it does not keep ``KEPT``
-    of each passage's length.  ``weights`` has the idf of every word hash."""
+    of each passage's length.  ``weights`` has the idf of every word hash and whether it is common."""
     vocabulary = np.unique(np.concatenate([p.words for p in held]))
-    idf = np.array([weights[w] for w in vocabulary.tolist()], np.float32)
-    sparse, length = [], []
+    idf = np.array([weights[w][0] for w in vocabulary.tolist()], np.float32)
+    common = np.array([weights[w][1] for w in vocabulary.tolist()], bool)
+    sparse, length, least = [], [], []
+    share = np.zeros(len(vocabulary), np.float32)
     for p in held:
         term, tf = np.unique(np.searchsorted(vocabulary, p.words), return_counts=True)
-        w = tf * idf[term]
+        w, needed = idf[term], least_tokens(p.words)
         length.append(float(np.linalg.norm(w)))
+        least.append(least_share(term, tf, w, needed))
         sparse.append((term.astype(int).tolist(), (w / np.linalg.norm(w)).astype(float).tolist()))
+        # a found text holds ``needed`` of the words, so at least ``rare`` of those that are not common
+        rare = needed - int(tf[common[term]].sum())
+        counts = np.where(common[term], 0, tf) / rare if rare >= 2 else tf / needed
+        share[term] = np.maximum(share[term], counts.astype(np.float32))
     matrix = spark.createDataFrame(sparse, "term array<int>, weight array<float>").repartition(min(8, len(sparse)))
     basis = latent_basis(matrix, len(vocabulary), len(sparse))
     latent = np.stack([np.asarray(w, np.float32) @ basis[t] for t, w in sparse])
@@ -287,10 +330,7 @@ def space_of(spark: SparkSession, held: list[Passage], weights: dict[int, float]
         yield from space_of(spark, held[len(held) // 2 :], weights)
         return
     latent /= np.maximum(kept, 1e-9)
-    share = np.zeros(len(vocabulary), np.float32)  # the most that a word is of any passage
-    for (t, w), n in zip(sparse, length):
-        share[t] = np.maximum(share[t], idf[t] * np.asarray(w, np.float32) / n)
-    yield Index(held, vocabulary, idf, basis, latent, np.array(length, np.float32) * kept[:, 0], share)
+    yield Index(held, vocabulary, idf, basis, latent, np.array(length, np.float32) * kept[:, 0], np.array(least, np.float32), share)
 
 
 def indexes(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> Iterator[list[Index]]:
@@ -306,9 +346,8 @@ def indexes(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEM
             continue
         vocabulary = np.unique(np.concatenate([p.words for p in held]))
         df, n = document_frequency(docs, vocabulary)
-        # squared, so that rare words decide
-        idf = np.square(np.log((n + 1) / (np.minimum(df, n) + 1)).astype(np.float32)) + np.float32(0.01)
-        weights = dict(zip(vocabulary.tolist(), idf.tolist()))
+        idf = np.clip(np.log((n + 1) / (np.minimum(df, n) + 1)), *IDF).astype(np.float32)
+        weights = dict(zip(vocabulary.tolist(), zip(idf.tolist(), (df >= COMMON * n).tolist())))
         part: list[Passage] = []
         for _, group in itertools.groupby(held, key=lambda p: p.item_id):
             more = list(group)
@@ -319,7 +358,7 @@ def indexes(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEM
         yield _spaces(spark, part, weights)
 
 
-def _spaces(spark: SparkSession, held: list[Passage], weights: dict[int, float]) -> list[Index]:
+def _spaces(spark: SparkSession, held: list[Passage], weights: dict[int, tuple[float, bool]]) -> list[Index]:
     pieces = -(-len(held) // RANK)
     cuts = [len(held) * k // pieces for k in range(pieces + 1)]
     return [space for a, b in zip(cuts, cuts[1:]) for space in space_of(spark, held[a:b], weights)]

@@ -174,6 +174,46 @@ def test_a_hot_short_item_is_found_beside_rare_words_of_the_benchmark(spark):
     assert not missed, f"{len(missed)} of 150 copies missed"
 
 
+def all_pairs(docs, items):
+    """Every (document, item) that verification accepts in any window, whatever the search."""
+    out = set()
+    held = [p for k, t in items for p in decontam.passages(k, t)]
+    for d, text in docs:
+        w = word_hashes([text], ALNUM)[0]
+        for p in held:
+            if any(decontam.verified(w[a : a + 128], p) for a in range(0, max(1, len(w) - 96), 8)):
+                out.add((d, p.item_id))
+    return out
+
+
+def test_paraphrases_are_found_as_by_all_pairs(spark):
+    """One word replaced (a name, a number, any), and up to 30 % of the words replaced."""
+    r = random.Random(12)
+    common, rare = words(r, 40), sorted(set(words(r, 4000)))
+    items, docs = [], []
+    for k in range(60):
+        item = [r.choice(common) for _ in range(18)]
+        item[7] = f"Name{k}xyz"  # the one rare word
+        items.append((k, " ".join(item)))
+        docs.append((k, " ".join([r.choice(rare) for _ in range(30)] + ["Somebody" if w.startswith("Name") else w for w in item] + [r.choice(rare) for _ in range(30)])))
+    for k in range(60, 100):
+        item = [r.choice(common) if r.random() < 0.4 else r.choice(rare) for _ in range(r.choice([20, 30, 60]))]
+        items.append((k, " ".join(item)))
+        for j, share in enumerate((0.0, 0.1, 0.2, 0.3)):
+            new = list(item)
+            for at in r.sample(range(len(new)), int(share * len(new))):
+                new[at] = r.choice(rare)
+            docs.append((1000 * (j + 1) + k, " ".join([r.choice(common + rare[:60]) for _ in range(r.choice([0, 50, 300]))] + new + [r.choice(rare) for _ in range(20)])))
+    docs += [(9000 + k, " ".join(r.choice(common) if r.random() < 0.5 else r.choice(rare) for _ in range(300))) for k in range(100)]
+    out = decontam.leaks(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(8), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    found = {(x["doc_id"], x["item_id"]) for x in out}
+    planted = {(d, d % 1000) for d, _ in docs if d < 9000}
+    assert len(planted & found) >= 0.98 * len(planted)
+    assert not {d for d, _ in found if d >= 9000}
+    want = all_pairs(docs, items)
+    assert found <= want and len(found) >= 0.98 * len(want)
+
+
 def test_common_subsequence_equals_dynamic_programming():
     r = random.Random(6)
     for _ in range(50):
