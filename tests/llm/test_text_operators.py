@@ -103,8 +103,63 @@ def test_scan_frame(spark):
     assert first["redacted"] == "see [SECRET] here"
     none = next(r["secrets"] for r in out if r["doc_id"] == 100)
     assert none["spans"] == "" and none["redacted"] is None and none["base_sha256"] == hashlib.sha256(b"").hexdigest()
-    assert secret_scan.scan(docs.limit(0), {}).count() == 0
-    assert secret_scan.train(docs.limit(0)) == {}
+    assert secret_scan.scan(docs.limit(0), secret_scan.train(docs)).count() == 0
+    assert secret_scan.train(docs.limit(0)).formats == {}
+
+
+ALNUM62 = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def make_formats(r):
+    """Formats that the base patterns do not know when they stand alone."""
+    pick = lambda n, a=ALNUM62: "".join(r.choice(a) for _ in range(n))
+    return {
+        "prefixed": lambda: "ghq_" + pick(r.choice([30, 36])), "dotted": lambda: f"ey{pick(12)}.{pick(20)}.{pick(16)}",
+        "short": lambda: pick(r.randint(8, 14)), "grouped": lambda: "-".join(pick(5, "0123456789ABCDEFGHJKMNPQRSTVWXYZ") for _ in range(4)), "hex18": lambda: pick(18, "0123456789abcdef"),
+    }
+
+
+PROSE = "the user opens a file and reads every line of it before the next request goes out to another server which answers in time".split()
+
+
+def identifiers(r):
+    camel = lambda n: "".join(w.capitalize() if k else w for k, w in enumerate(r.choice(PROSE) for _ in range(n)))
+    out = ["getElementById2WithOptions", "utf8Encode", "version2beta", "user_id_17", "README.md", "2024-05-17T10:22:31", "mail6.example.com", "http2Server", "x86_64-linux-gnu"]
+    out += [camel(3) + str(r.randint(0, 99)) for _ in range(150)] + ["_".join(r.choice(PROSE) for _ in range(3)) + "_" + str(r.randint(0, 9)) for _ in range(150)]
+    out += ["-".join("".join(r.choice("0123456789abcdef") for _ in range(n)) for n in (8, 4, 4, 4, 12)) for _ in range(100)]  # ids
+    out += [".".join(r.choice(PROSE) for _ in range(3)) for _ in range(100)] + [str(r.randrange(10**15)) for _ in range(50)]
+    return out
+
+
+def test_formats_outside_the_base_patterns(spark):
+    r = random.Random(21)
+    made = make_formats(r)
+    prose = lambda n: " ".join(r.choice(PROSE) for _ in range(n))
+    docs = [f"{prose(20)} {r.choice(['token', 'api_key', 'password'])}={make()} {prose(5)}" for make in made.values() for _ in range(120)]
+    docs += [prose(150) + " " + " ".join(r.sample(identifiers(r), 5)) for _ in range(100)]
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    model = secret_scan.train(frame)
+    assert sum(len(f.ends) > 10 for fs in model.formats.values() for f in fs) >= 4  # lengths and beginnings are in the states
+    for name, make in made.items():
+        new = [make() for _ in range(200)]
+        hits = sum(any(k == "format" and (a, b) == (4, 4 + len(c)) for a, b, k in secret_scan.all_spans(f"see {c}, and {c}.", model)[1]) for c in new)
+        assert hits >= 180, (name, hits)
+    plain = identifiers(r)
+    wrong = [w for w in plain if any(k == "format" for _, _, k in secret_scan.all_spans(f"see {w}, then", model)[1])]
+    assert len(wrong) <= 0.01 * len(plain), wrong
+    assert not any(k == "format" for t in (prose(400), docs[-1]) for _, _, k in secret_scan.all_spans(t, model)[1])
+    out = {x["doc_id"]: x["secrets"] for x in secret_scan.scan(spark.createDataFrame([(1, "see " + made["prefixed"]()), (2, prose(30))], "doc_id bigint, text string"), model).collect()}
+    assert out[1]["redacted"] == "see [SECRET]" and out[2]["spans"] == ""
+
+
+def test_lengths_stay_in_the_states():
+    r = random.Random(3)
+    keys = ["".join(r.choice("0123456789abcdef") for _ in range(r.choice([18, 40]))) for _ in range(200)]
+    learned = secret_scan.infer(keys)
+    assert len(learned.ends) >= 40
+    new = ["".join(r.choice("0123456789abcdef") for _ in range(n)) for n in (18, 40) for _ in range(50)]
+    assert sum(learned.accepts(k) for k in new) >= 90
+    assert not any(learned.accepts("".join(r.choice("0123456789abcdef") for _ in range(n))) for n in (12, 17, 19, 30, 39, 41))
 
 
 def words(r, n):
