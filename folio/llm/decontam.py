@@ -180,17 +180,19 @@ def contains(words: np.ndarray, run: np.ndarray) -> bool:
     return any((words[k : k + len(run)] == run).all() for k in np.flatnonzero(words[: len(words) - len(run) + 1] == run[0]))
 
 
-def least_tokens(words: np.ndarray) -> int:
-    """Words of a passage that a text must hold at least for ``verify`` to find it."""
+def least_tokens(words: np.ndarray, cover: float = ANSWER_COVER) -> int:
+    """Words of a passage that a text must hold at least for ``verify`` to find it, with its end
+    (``ANSWER_COVER``) or without it (``COVER``)."""
     n = len(words)
-    return n if n < SHORT else int(np.ceil(min(COVER, ANSWER_COVER) * n - 1e-9))
+    return n if n < SHORT else int(np.ceil(cover * n - 1e-9))
 
 
 @dataclass(frozen=True)
 class Index:
-    """One latent space: passages, vocabulary, word weights and directions, the least share of each
-    passage's squared weight that a found text covers, and what each word counts at most towards
-    the words that any passage needs."""
+    """One latent space: passages, vocabulary, word weights and directions; the least share of each
+    passage's squared weight that a found text covers, without the passage's end and with it; the
+    rarest word of each end (which a text found by its end holds); and what each word counts at most
+    towards the words that any passage needs without its end."""
 
     passages: list[Passage]
     vocabulary: np.ndarray
@@ -199,6 +201,7 @@ class Index:
     latent: np.ndarray
     length: np.ndarray
     least: np.ndarray
+    key: np.ndarray
     share: np.ndarray
 
     def candidates(self, lookup: Lookup, words: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, tuple[int, int], Passage, float]]:
@@ -213,7 +216,11 @@ class Index:
         text = np.repeat(np.arange(len(texts)), count)
         start = first[text] + STRIDE * (np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count))
         end = np.minimum(start + WINDOW, last[text])
-        heavy = np.flatnonzero(mass[end] - mass[start] >= 1 - 1e-6)
+        is_key = np.zeros(len(self.vocabulary) + 1, np.int64)
+        is_key[self.key] = 1
+        is_key[-1] = 0  # words of no passage
+        keys = np.concatenate([[0], np.cumsum(is_key[index])])
+        heavy = np.flatnonzero((mass[end] - mass[start] >= 1 - 1e-6) | (keys[end] > keys[start]))
         wanted, needed = self.wanted()
         present = np.zeros(len(self.vocabulary) + 1, bool)
         for k in range(0, len(heavy), 256):
@@ -232,13 +239,16 @@ class Index:
             along = x @ self.latent.T
             norm = np.linalg.norm(x, axis=1, keepdims=True)
             cosine = along / np.maximum(norm, 1e-9)
-            covered = along >= KEPT * self.least * self.length - ROUNDING * norm
+            held = np.zeros((len(part), len(self.vocabulary)), bool)
+            held[row, term] = True
+            ended = held[:, self.key]
+            covered = along >= KEPT * np.where(ended, self.least[1], self.least[0]) * self.length - ROUNDING * norm
             bounds = np.searchsorted(row, np.arange(len(part) + 1))
             for i in np.flatnonzero(covered.any(axis=1)):
                 here = term[bounds[i] : bounds[i + 1]]
                 present[here] = True
                 near = np.flatnonzero(covered[i])
-                for p in near[present[wanted[near]].sum(axis=1) >= needed[near]]:
+                for p in near[present[wanted[near]].sum(axis=1) >= np.where(ended[i, near], needed[1, near], needed[0, near])]:
                     yield int(texts[text[part[i]]]), (int(start[part[i]]), int(end[part[i]])), self.passages[p], float(cosine[i, p])
                 present[here] = False
 
@@ -247,7 +257,7 @@ class Index:
         words = np.full((len(self.passages), max(len(p.words) for p in self.passages)), -1)
         for k, p in enumerate(self.passages):
             words[k, : len(p.words)] = np.searchsorted(self.vocabulary, p.words)
-        return words, np.array([least_tokens(p.words) for p in self.passages])
+        return words, np.array([[least_tokens(p.words, cover) for p in self.passages] for cover in (COVER, ANSWER_COVER)])
 
     def verify(self, words: np.ndarray, at: tuple[int, int], passage: Passage) -> dict | None:
         return verified(words[at[0] : at[1]], passage)
@@ -303,19 +313,22 @@ def leaks_of(spaces: list[Index], texts: list[str]) -> list[list[dict]]:
     return out
 
 
-def space_of(spark: SparkSession, held: list[Passage], weights: dict[int, tuple[float, bool]]) -> Iterator[Index]:
+def space_of(spark: SparkSession, held: list[Passage], weights: dict[int, tuple[float, bool, float]]) -> Iterator[Index]:
     """The latent space of at most ``RANK`` passages, or of its halves if it does not keep ``KEPT``
-    of each passage's length.  ``weights`` has the idf of every word hash and whether it is common."""
+    of each passage's length.  ``weights`` has of every word hash the idf, whether it is common, and in
+    how many documents it is."""
     vocabulary = np.unique(np.concatenate([p.words for p in held]))
     idf = np.array([weights[w][0] for w in vocabulary.tolist()], np.float32)
     common = np.array([weights[w][1] for w in vocabulary.tolist()], bool)
-    sparse, length, least = [], [], []
+    sparse, length, least, key = [], [], [], []
     share = np.zeros(len(vocabulary), np.float32)
     for p in held:
         term, tf = np.unique(np.searchsorted(vocabulary, p.words), return_counts=True)
-        w, needed = idf[term], least_tokens(p.words)
+        w, needed = idf[term], least_tokens(p.words, COVER)
         length.append(float(np.linalg.norm(w)))
-        least.append(least_share(term, tf, w, needed))
+        least.append([least_share(term, tf, w, least_tokens(p.words, cover)) for cover in (COVER, ANSWER_COVER)])
+        end = np.searchsorted(vocabulary, p.words[-ANSWER_WORDS:])
+        key.append(int(end[np.argmin([weights[h][2] for h in p.words[-ANSWER_WORDS:].tolist()])]))
         sparse.append((term.astype(int).tolist(), (w / np.linalg.norm(w)).astype(float).tolist()))
         # a found text holds ``needed`` of the words, so at least ``rare`` of those that are not common
         rare = needed - int(tf[common[term]].sum())
@@ -330,7 +343,7 @@ def space_of(spark: SparkSession, held: list[Passage], weights: dict[int, tuple[
         yield from space_of(spark, held[len(held) // 2 :], weights)
         return
     latent /= np.maximum(kept, 1e-9)
-    yield Index(held, vocabulary, idf, basis, latent, np.array(length, np.float32) * kept[:, 0], np.array(least, np.float32), share)
+    yield Index(held, vocabulary, idf, basis, latent, np.array(length, np.float32) * kept[:, 0], np.array(least, np.float32).T, np.array(key), share)
 
 
 def indexes(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> Iterator[list[Index]]:
@@ -347,7 +360,7 @@ def indexes(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEM
         vocabulary = np.unique(np.concatenate([p.words for p in held]))
         df, n = document_frequency(docs, vocabulary)
         idf = np.clip(np.log((n + 1) / (np.minimum(df, n) + 1)), *IDF).astype(np.float32)
-        weights = dict(zip(vocabulary.tolist(), zip(idf.tolist(), (df >= COMMON * n).tolist())))
+        weights = dict(zip(vocabulary.tolist(), zip(idf.tolist(), (df >= COMMON * n).tolist(), df.tolist())))
         part: list[Passage] = []
         for _, group in itertools.groupby(held, key=lambda p: p.item_id):
             more = list(group)
@@ -358,7 +371,7 @@ def indexes(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEM
         yield _spaces(spark, part, weights)
 
 
-def _spaces(spark: SparkSession, held: list[Passage], weights: dict[int, tuple[float, bool]]) -> list[Index]:
+def _spaces(spark: SparkSession, held: list[Passage], weights: dict[int, tuple[float, bool, float]]) -> list[Index]:
     pieces = -(-len(held) // RANK)
     cuts = [len(held) * k // pieces for k in range(pieces + 1)]
     return [space for a, b in zip(cuts, cuts[1:]) for space in space_of(spark, held[a:b], weights)]
