@@ -33,9 +33,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm import bloom
 from folio.llm.components import components
 from folio.llm.words import clean, mix, shingle_sets, slices
 from folio.session import materialize
@@ -51,8 +52,6 @@ SLICE = 4_000_000
 FRAGMENTS = 16
 #: Classes in a block of a cluster.
 BLOCK = 256
-#: Least and largest size of the Bloom filter in bits (at most 64 MB on an executor).
-BLOOM_BITS = (1 << 20, 1 << 29)
 
 
 def allowed(n):
@@ -172,31 +171,6 @@ def set_stats(docs: DataFrame, name: str = "jaccard") -> DataFrame:
 # --- pass 2: segments of the remaining classes --------------------------------------------
 
 
-def _bloom_bits(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    x = mix(ids.astype(np.int64).view(np.uint64))
-    return x & np.uint64(bits - 1), mix(x + np.uint64(1)) & np.uint64(bits - 1)
-
-
-def _bloom(reps: DataFrame, count: int) -> tuple[bytes, int]:
-    """A Bloom filter of ``doc_id``; each of at most 32 tasks returns one bitmap."""
-    bits = BLOOM_BITS[0]
-    while bits < 16 * count and bits < BLOOM_BITS[1]:
-        bits *= 2
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.zeros(bits, bool)
-        for batch in batches:
-            for at in _bloom_bits(batch["doc_id"].to_numpy(), bits):
-                held[at] = True
-        yield pd.DataFrame({"bitmap": [np.packbits(held, bitorder="little").tobytes()]})
-
-    tasks = 32 if bits <= 1 << 26 else 4
-    out = np.zeros(bits // 8, np.uint8)
-    for row in reps.select("doc_id").coalesce(tasks).mapInPandas(run, "bitmap binary").toLocalIterator():
-        out |= np.frombuffer(row["bitmap"], np.uint8)
-    return out.tobytes(), bits
-
-
 SEGMENT_ROWS = "part int, classes binary, sizes binary, tokens binary, owner binary"
 SEGMENTS = "cls bigint, n bigint, part int, tokens array<bigint>, freqs array<int>"
 
@@ -205,12 +179,9 @@ def _segment_rows(bitmap, bits: int, parts: int):
     step = 2**64 // parts + 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.frombuffer(bitmap.value, np.uint8)
         for batch in batches:
             ids = batch["doc_id"].to_numpy()
-            member = np.ones(len(ids), bool)
-            for at in _bloom_bits(ids, bits):
-                member &= (held[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            member = bloom.members(bitmap.value, bits, ids)
             ids, texts = ids[member], clean(batch["text"][member])
             for a, b in slices(texts, SLICE):
                 h, own, n = shingle_sets(texts[a:b], WIDTH)
@@ -396,12 +367,20 @@ def link(docs: DataFrame, name: str = "jaccard") -> DataFrame:
     component of its own text.  Further
     columns of ``docs`` are ignored.  An empty table gives an empty result.
     """
+    rows = linked(docs, name)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("k")).drop("k")
+
+
+def linked(docs: DataFrame, name: str = "jaccard") -> DataFrame:
+    """``(doc_id, cls, n, rows, label, component_id)`` per id and class (shingle set): its size, how
+    many rows it stands for, the name of its component (null where it has no link), and the
+    smallest id of that."""
     spark = docs.sparkSession
     stats = materialize(set_stats(docs, name), f"{name}-sets")
     reps = stats.where("open and n > 0 and doc_id is not null").groupBy("cls", "n").agg(F.min("doc_id").alias("doc_id"))
     reps = materialize(reps, f"{name}-open")
     count, shingles = reps.agg(F.count("*"), F.sum("n")).first()
-    bitmap, bits = _bloom(reps, count)
+    bitmap, bits = bloom.build(reps.select("doc_id"), count)
     parts = max(FRAGMENTS, int((shingles or 0) / FRAGMENT_TOKENS))
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), "text").mapInPandas(
         _segment_rows(spark.sparkContext.broadcast(bitmap), bits, parts), SEGMENT_ROWS
@@ -424,48 +403,49 @@ def link(docs: DataFrame, name: str = "jaccard") -> DataFrame:
     rows = stats.join(found, "cls", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "cls")))
     # written, so that the join below is one of plain exchanges, whose hot labels can be split
     lowest = materialize(rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("low")), f"{name}-lowest")
-    return (
-        rows.join(lowest, "label", "left")
-        .select(
-            "doc_id", F.col("n").alias("n_shingles"),
-            F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id")).alias("component_id"),
-            F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("k"),
-        ).drop("k")
-    )
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id"))
+    return rows.join(lowest, "label", "left").select("doc_id", "cls", "n", "rows", "label", component.alias("component_id"))
 
 
-def _held(bitmap, bits: int):
-    """Whether an id may be in a Bloom filter, as a column function."""
+def _classes(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__cls``, the signature of each row's shingle set, and ``__n``, its size."""
 
-    @F.pandas_udf("boolean")
-    def held(ids: pd.Series) -> pd.Series:
-        bytes_, out = np.frombuffer(bitmap.value, np.uint8), np.ones(len(ids), bool)
-        for at in _bloom_bits(ids.to_numpy(), bits):
-            out &= (bytes_[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-        return pd.Series(out)
+    @F.pandas_udf("struct<cls: bigint, n: bigint>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        found = clean(texts)
+        cls, size = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
+        for a, b in slices(found, SLICE):
+            h, _, n = shingle_sets(found[a:b], WIDTH)
+            cls[a:b], size[a:b] = _signatures(h, n).view(np.int64), n
+        return pd.DataFrame({"cls": cls, "n": size})
 
-    return held
+    return docs.withColumn("__of", of("text")).withColumns({"__cls": F.col("__of.cls"), "__n": F.col("__of.n")}).drop("__of")
 
 
 def keep_one(docs: DataFrame, name: str = "jaccard") -> DataFrame:
-    """``docs`` without the near copies: the row with the smallest ``doc_id`` of each component.
-
-    Rows without an id, and rows without words, stay.  Of several rows with that id one stays,
-    the one with the smallest text hash.  Rows that a Bloom filter of the removed ids does not
-    hold stay where they are read; only the others are joined with those ids, so most texts
-    are not shuffled.
+    """``docs`` without the near copies: of each group of linked texts one row, with the smallest
+    ``doc_id`` of the group.
+
+    Rows without an id, and rows without words, stay.  Each row is judged by its own text: where a
+    ``doc_id`` stands for several texts, only those go that are linked with a kept one.  Of several
+    linked rows with the smallest id one stays, the one with the smallest text hash.  Rows that a
+    Bloom filter of the removed and the repeated ids does not hold stay where they are read; only
+    the others are joined with those ids, so most texts are not shuffled.
     """
-    ids = materialize(link(docs, name).where("doc_id is not null").groupBy("doc_id").agg(
-        F.min("component_id").alias("component_id"), F.count("*").alias("rows")), f"{name}-ids")
-    removed = ids.where("doc_id <> component_id").select("doc_id")
-    bitmap, bits = _bloom(removed, removed.count())
-    maybe = _held(docs.sparkSession.sparkContext.broadcast(bitmap), bits)(F.col("doc_id").cast("bigint"))
+    spark = docs.sparkSession
+    found = materialize(linked(docs, name).where("doc_id is not null"), f"{name}-linked")
+    ids = found.groupBy("doc_id").agg(F.min("component_id").alias("low"), F.sum("rows").alias("rows"))
+    marked = materialize(ids.where("rows > 1 or low <> doc_id").select("doc_id", (F.col("rows") > 1).alias("repeated")), f"{name}-marked")
+    bitmap, bits = bloom.build(marked.select("doc_id"), marked.count())
     known = docs.where("doc_id is not null")
-    checked = known.where(maybe).join(removed, "doc_id", "left_anti").select(*docs.columns)
-    out = known.where(~maybe).unionByName(checked)
-    repeated = ids.where("rows > 1 and doc_id = component_id").select("doc_id")
+    maybe = bloom.maybe_in(spark.sparkContext.broadcast(bitmap), bits)(F.col("doc_id").cast("bigint"))
+    out = known.where(~maybe).unionByName(known.where(maybe).join(marked.select("doc_id"), "doc_id", "left_anti").select(*docs.columns))
+    repeated = marked.where("repeated").select("doc_id")
     if repeated.limit(1).count():
-        first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *(F.col(c) for c in docs.columns)))
-        one = known.join(repeated, "doc_id", "left_semi").withColumn("__first", first).where("__first = 1")
-        out = out.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
+        rows = _classes(known.where(maybe).join(repeated, "doc_id", "left_semi").select(*docs.columns))
+        label = found.where("n > 0").select(F.col("doc_id").alias("__id"), F.col("cls").alias("__of"), "component_id", F.coalesce("label", "cls").alias("__label"))
+        judged = rows.where("__n > 0").join(label, (F.col("doc_id") == F.col("__id")) & (F.col("__cls") == F.col("__of")))
+        row = F.struct(*docs.columns)  # of a group the smallest row, without holding the group
+        one = judged.where("component_id = doc_id").groupBy("__id", "__label").agg(F.min_by(row, F.struct(F.xxhash64("text"), row)).alias("row"))
+        out = out.unionByName(rows.where("__n = 0").select(*docs.columns)).unionByName(one.select("row.*"))
     return out.unionByName(docs.where("doc_id is null"))

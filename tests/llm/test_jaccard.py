@@ -79,6 +79,18 @@ def test_nulls_repeats_and_extra_columns(spark):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 3), (False, 5), (False, 6), (False, 7), (True, 0), (True, 0)]
 
 
+def test_only_rows_whose_own_text_is_a_copy_go(spark):
+    """An id that stands for several texts loses only the linked ones."""
+    r = random.Random(9)
+    a, b, c = (" ".join(f"{x}{r.randrange(10**6)}" for _ in range(60)) for x in "abc")
+    near = a.rsplit(" ", 2)[0]
+    rows = [(1, a, "x"), (5, near, "x"), (5, b, "x"), (9, c, "x"), (7, c, "y"), (7, c, "x"), (7, "", "x"), (7, None, "x"), (8, b, "x"), (10, " .", "z"), (11, "", "z")]
+    kept = sorted(tuple(x) for x in jaccard.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, label string").repartition(3)).fillna("null").collect())
+    assert kept == sorted([(1, a, "x"), (5, b, "x"), (7, c, "x"), (7, "", "x"), (7, "null", "x"), (10, " .", "z"), (11, "", "z")])
+    same = spark.createDataFrame([(3, a, "x")] * 50 + [(4, near, "x")] * 3, "doc_id bigint, text string, label string")
+    assert [tuple(x) for x in jaccard.keep_one(same).collect()] == [(3, a, "x")]
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert jaccard.link(empty).count() == 0
