@@ -15,6 +15,7 @@ Every page is one row in, one row out; work is one parse of its html.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,6 +33,21 @@ INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img in
 #: What may stand in a head; anything else ends it, as its end tag is optional.
 HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 MAIN = frozenset(("article", "main"))
+#: Tags whose start ends an open paragraph.
+ENDS_P = frozenset(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr "
+    "main menu nav ol p pre search section table ul".split()
+)
+P_SCOPE = frozenset("button caption html object table td template th".split())
+#: Tags with optional end tags: the open tags that their start ends, and where the search stops.
+ENDED_BY = {
+    **dict.fromkeys(("li",), (("li",), frozenset("menu ol ul".split()))),
+    **dict.fromkeys(("dt", "dd"), (("dt", "dd"), frozenset(("dl",)))),
+    **dict.fromkeys(("td", "th"), (("td", "th"), frozenset(("table", "tr")))),
+    "tr": (("tr", "td", "th"), frozenset(("table",))),
+    **dict.fromkeys(("tbody", "tfoot", "thead"), (("tbody", "tfoot", "thead", "tr", "td", "th"), frozenset(("table",)))),
+    **dict.fromkeys(("option", "optgroup"), (("option",), frozenset(("select", "datalist")))),
+}
 #: Words of class, id and role values that mark boilerplate.
 MARKS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright "
@@ -40,6 +56,8 @@ MARKS = frozenset(
 )
 #: Roles and class words of containers that hold the article.
 KEEP = frozenset("main article content post entry".split())
+#: First words of class names that only tell of a layout, such as ``has-sidebar``.
+LAYOUT = frozenset("has is no not with without".split())
 
 #: Frequent function words, a few of each language (fixed values, alphabetical).
 STOP_WORDS = frozenset(
@@ -65,12 +83,30 @@ class Block:
     section: int
 
 
+def marked(attrs: list) -> tuple[bool, bool]:
+    """Whether class, id or role mark an element as boilerplate, and whether as the main part.
+
+    Names are judged whole.  One with a boilerplate word is boilerplate (``post-comments``,
+    ``main-menu``), but not the header of an article (``entry-header``) and not a layout
+    (``has-sidebar``).  Beside a name that is all main part (``content``) only names that are all
+    boilerplate count, so ``content sidebar-left`` is main part."""
+    names = [[w for w in re.split(r"[_-]+", name) if w] for k, v in attrs if k in ("class", "id", "role") and v for name in v.lower().split()]
+    names = [n for n in names if n and n[0] not in LAYOUT]
+    kept = [n for n in names if all(w in KEEP for w in n)]
+    bad = [n for n in names if any(w in MARKS for w in n) and not (n[-1] == "header" and n[0] in KEEP)]
+    if kept:
+        bad = [n for n in bad if all(w in MARKS for w in n)]
+    main = any("main" in n for n in names if n not in bad)
+    return bool(bad), main and not bad
+
+
 class Blocks(HTMLParser):
     """Collects the text blocks of a page; markup errors end no block early."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, bool, int]] = []
+        self.places: dict[str, list[int]] = {}  # of the open tags by name
         self.hidden = 0
         self.links = 0
         self.sections = 0
@@ -99,59 +135,70 @@ class Blocks(HTMLParser):
             end = -1
         return end if end >= 0 else self.rawdata.find(">", i) + 1 or -1
 
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        """A comment without an end hides the rest."""
+        end = super().parse_comment(i, report)
+        return end if end >= 0 else len(self.rawdata)
+
     def in_head(self) -> bool:
         return bool(self.open) and self.open[-1][0] == "head"
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag not in HEAD and self.in_head() or tag == "body" and all(name != "template" for name, *_ in self.open):
-            self.leave("head")
+        if tag not in HEAD and self.in_head() or tag == "body" and not self.places.get("template"):
+            self.leave(("head",))
+        if tag not in INLINE and tag != "br":
+            self.end_block()
+        if tag in ENDS_P:
+            self.leave(("p",), P_SCOPE)
+        if tag in ENDED_BY:
+            self.leave(*ENDED_BY[tag])
         if tag in VOID:
-            if tag not in INLINE:
-                if tag == "br":
-                    self.parts.append("\n")
-                else:
-                    self.end_block()
+            if tag == "br":
+                self.parts.append("\n")
             return
-        if tag not in INLINE:
-            self.end_block()
-            if tag == "p":
-                self.leave("p", stop=SECTIONS)
         boilerplate, main, section = self.state()
-        marks = {w for k, v in attrs if k in ("class", "id", "role") and v for w in re.split(r"[\s_-]+", v.lower())}
-        if tag in BOILERPLATE and not (tag == "header" and main) or marks & MARKS and not marks & KEEP and tag not in ("body", "html"):
+        bad, kept = marked(attrs)
+        if tag in BOILERPLATE and not (tag == "header" and main) or bad and tag not in ("body", "html"):
             boilerplate = True
         hide = any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and "display:none" in (v or "").replace(" ", "") for k, v in attrs)
         boilerplate = boilerplate or hide
-        main = main or tag in MAIN or "main" in marks
+        main = main or tag in MAIN or kept
         if tag in SECTIONS:
             self.sections += 1
             section = self.sections
+        self.places.setdefault(tag, []).append(len(self.open))
         self.open.append((tag, boilerplate, main, section))
         self.hidden += tag in HIDDEN
         self.links += tag == "a"
 
-    def leave(self, tag: str, stop: frozenset = frozenset()) -> None:
-        """Closes the innermost open ``tag`` and what is open inside it."""
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                for name, *_ in self.open[k:]:
-                    self.hidden -= name in HIDDEN
-                    self.links -= name == "a"
-                del self.open[k:]
-                return
-            if self.open[k][0] in stop:
-                return
+    def last(self, tags) -> int:
+        """Where the innermost open one of ``tags`` is, or -1."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def leave(self, tags: tuple, stop: frozenset = frozenset()) -> None:
+        """Closes the outermost of the open ``tags`` inside the innermost ``stop``, and what is open in it."""
+        end = self.last(stop)
+        at = min((self.places[t][k] for t in tags if (k := bisect.bisect_right(self.places.get(t, ()), end)) < len(self.places.get(t, ()))), default=-1)
+        if len(tags) == 1:  # nested ones of a name: the innermost
+            at = self.last(tags) if self.last(tags) > end else -1
+        if at < 0:
+            return
+        for name, *_ in self.open[at:]:
+            self.places[name].pop()
+            self.hidden -= name in HIDDEN
+            self.links -= name == "a"
+        del self.open[at:]
 
     def handle_endtag(self, tag: str) -> None:
         if tag in VOID:
             return
         if tag not in INLINE:
             self.end_block()
-        self.leave(tag, stop=SECTIONS - {tag} if tag in INLINE or tag == "p" else frozenset())
+        self.leave((tag,), SECTIONS - {tag} if tag in INLINE or tag == "p" else frozenset())
 
     def handle_data(self, data: str) -> None:
         if self.hidden and self.in_head() and data.strip():
-            self.leave("head")
+            self.leave(("head",))
         if not self.hidden:
             self.parts.append(data)
             if self.links:
@@ -162,8 +209,6 @@ class Blocks(HTMLParser):
 def blocks_of(html: str) -> list[Block]:
     """All visible text blocks of a page in order."""
     parser = Blocks()
-    if html.rfind("<!--") > html.rfind("-->"):  # a comment without an end hides the rest
-        html = html[: html.rfind("<!--")] if "<script" not in html[html.rfind("<!--") - 200 : html.rfind("<!--")] else html
     parser.feed(html)
     HTMLParser.close(parser)
     parser.end_block()

@@ -1,5 +1,10 @@
 import hashlib
 import random
+import re
+import time
+from html import unescape
+
+import pytest
 
 from folio.llm import decontam, main_text, secret_scan
 from folio.llm.words import ALNUM, word_hashes
@@ -58,6 +63,54 @@ def test_articles_in_other_languages_are_kept():
     assert main_text.extract_text(f"<div><p>{english} {english}</p></div><div><p>{code}</p></div>") == f"{english} {english}"
 
 
+TEXT = "The first of the paragraphs is the one that we want to have in the text of the page."
+
+
+@pytest.mark.parametrize("html, want", [
+    ("<script>document.write('<!-- x');</script><article><p>%s</p></article>", "%s"),
+    ("<style>a{} <!-- </style><article><p>%s</p></article>", "%s"),
+    ("<article data-x='<!-- x'><p>%s</p></article>", "%s"),
+    ("<article><p>%s</p><!-- open <p>gone</p></article>", "%s"),
+    ("<article><!-- a --><p>%s</p><!-- b --></article>", "%s"),
+    ("<table><tr><td class=sidebar>Menu<td><p>%s</p></table>", "%s"),
+    ("<td class=sidebar>Menu<td><p>%s</p>", "%s"),
+    ("<article><ul><li class=ad>Buy<li>%s<ul><li>Inner</ul><li>Last</ul></article>", "%s\n\nInner\n\nLast"),
+    ("<article><p class=byline>By X<h2>Head</h2><p>%s</article>", "Head\n\n%s"),
+    ("<article><p class=byline>By X<div><p>%s</p></div></article>", "%s"),
+    ("<article><dl><dt class=ad>Buy<dd>%s<dt>Term</dl></article>", "%s\n\nTerm"),
+    ("<article><p>%s</p></article><div class=post-comments><p>%s</p></div>", "%s"),
+    ("<article><p>%s</p><div id=article-comments><p>%s</p></div></article>", "%s"),
+    ("<div class=content><p>%s</p></div><div class=content-sidebar><p>%s</p></div>", "%s"),
+    ("<div class=main-menu><p>%s</p></div><div class=post><p>%s</p></div>", "%s"),
+    ("<div class='content has-sidebar'><div class=entry-header><h1>Head</h1></div><p>%s</p></div>", "Head\n\n%s"),
+    ("<body class=sidebar-left><main class='content sidebar-left'><p>%s</p></main>", "%s"),
+    ("<article><p>%s<table><tr><td>Cell<tr><td>Next</table><p>End.</article>", "%s\n\nCell\n\nNext\n\nEnd."),
+])
+def test_valid_pages_keep_their_article(html, want):
+    assert main_text.extract_text(html.replace("%s", TEXT)) == want.replace("%s", TEXT)
+
+
+@pytest.mark.parametrize("mark", ["</b>", "</p>", "</div>", "<b></p>", "<i></b>", "<div></b>", "<li>", "<td></p>", "<!-", "<p>", "</li><ul>", "<!--"])
+def test_unmatched_tags_take_linear_time(mark):
+    began = time.monotonic()
+    main_text.extract_text("<div><b><p>" + mark * 100_000 + TEXT)
+    assert time.monotonic() - began < 15
+
+
+def plain_article(html):
+    """The article of a given page by cutting strings alone."""
+    inner = re.search(r"(?s)<article>(.*?)</article>", html)[1]
+    blocks = re.split(r"(?i)</?(?:p|h1|h2|h3|ul|ol|li|div|blockquote)\b[^>]*>", re.sub(r"(?s)<!--.*?-->", "", inner))
+    texts = [" ".join(unescape(re.sub(r"<br\s*/?>", " ", b) if "<" not in b else re.sub(r"<[^>]*>", "", re.sub(r"<br\s*/?>", " ", b))).split()) for b in blocks]
+    return "\n\n".join(t for t in texts if t)
+
+
+def test_equals_a_plain_cut_of_the_given_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = main_text.extract(pages).collect()
+    assert len(rows) == 250 and all(r["text"] == plain_article(r["html"]) for r in rows)
+
+
 def test_main_text_frame(spark):
     rows = [(1, "u", PAGE, "old"), (2, None, None, None), (2, None, None, None)]
     out = main_text.extract(spark.createDataFrame(rows, "page_id int, url string, html string, text string")).collect()
