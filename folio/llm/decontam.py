@@ -39,12 +39,12 @@ from folio.llm.words import ALNUM, clean, slices, word_hashes
 BLOCK_ITEMS = 1000
 #: Latent spaces that are searched in one pass over the texts.
 PASS_SPACES = 4
-PASSAGE, STRIDE = 64, 32
+PASSAGE, STRIDE = 64, 64
 RANK, OVERSAMPLE, POWER = 256, 8, 2
 #: Least length of a passage in its latent space as a share of its own; a space that keeps less is split.
 KEPT = 0.99
 #: Words of a text window; a passage with half as many further words between fits in some window.
-WINDOW = 128
+WINDOW = 160
 #: Inverse document frequencies are kept in these bounds, so that no single word decides.
 IDF = (2.0, 4.0)
 #: Words in at least this share of the documents are common.
@@ -229,9 +229,9 @@ class Index:
             at = np.repeat(start[part] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
             row = np.repeat(np.arange(len(part)), size)
             known = index[at] >= 0
-            # a word counts once in a window, as in a passage
-            once = np.unique(row[known] * len(self.vocabulary) + index[at[known]])
-            row, term = once // len(self.vocabulary), once % len(self.vocabulary)
+            held = np.zeros((len(part), len(self.vocabulary)), bool)
+            held[row[known], index[at[known]]] = True
+            row, term = np.nonzero(held)  # a word counts once in a window, as in a passage
             x = np.zeros((len(part), self.basis.shape[1]), np.float32)
             if len(term):
                 begin = np.flatnonzero(np.diff(row, prepend=-1))
@@ -239,8 +239,6 @@ class Index:
             along = x @ self.latent.T
             norm = np.linalg.norm(x, axis=1, keepdims=True)
             cosine = along / np.maximum(norm, 1e-9)
-            held = np.zeros((len(part), len(self.vocabulary)), bool)
-            held[row, term] = True
             ended = held[:, self.key]
             covered = along >= KEPT * np.where(ended, self.least[1], self.least[0]) * self.length - ROUNDING * norm
             bounds = np.searchsorted(row, np.arange(len(part) + 1))
