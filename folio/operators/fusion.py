@@ -110,14 +110,27 @@ def coverage_score(query_text: Column, page_text: Column) -> Column:
     return F.try_divide(F.size(F.array_intersect(qt, tokens(page_text))).cast("double"), F.size(qt).cast("double"))
 
 
+#: Buckets of a page store by a hash of the page id.
+PAGE_BUCKETS = 16
+
+
+def page_bucket(page_id: Column, buckets: int = PAGE_BUCKETS) -> Column:
+    """The bucket of a page in a store that is partitioned by ``_bucket``."""
+    return F.pmod(F.xxhash64(page_id.cast("bigint")), F.lit(buckets)).cast("int")
+
+
 def rerank(fused: DataFrame, queries: DataFrame, pages: DataFrame, top_k: int, key: str = "query_id",
-           text_col: str = "text", content_col: str = "markdown_content", scorer=None) -> DataFrame:
+           text_col: str = "text", content_col: str = "markdown_content", scorer=None, buckets: int = PAGE_BUCKETS) -> DataFrame:
     """Score (original question, page content) pairs, keep ``top_k`` per question; ties keep
     the fusion order.  Adds the page content and its file name as ``source``.
 
-    ``scorer(question, content) -> Column`` replaces the default token-coverage score."""
+    ``scorer(question, content) -> Column`` replaces the default token-coverage score.  A page
+    store with a ``_bucket`` column (``page_bucket``) is read in the candidates' buckets only."""
     fused = materialize(fused, "rerank-input")  # counted and joined: the search before it runs once
     cands = bounded_broadcast(fused, MAX_BROADCAST_CANDIDATES)  # ids and scores only
+    if "_bucket" in pages.columns:
+        wanted = [r[0] for r in fused.select(page_bucket(F.col("corpus_id"), buckets)).distinct().collect()]  # at most ``buckets``
+        pages = pages.where(F.col("_bucket").isin(wanted))
     found = pages.select("corpus_id", content_col, F.col("exact_filename").alias("source")).join(cands, "corpus_id")
     joined = found.join(queries.select(key, text_col), key)
     scorer = scorer or coverage_score

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from folio.functions.embed import DEFAULT_DIM, HASHED
 from folio.operators import ingest
 from folio.operators.bm25 import TextIndex, build_index
+from folio.operators.fusion import page_bucket
 from folio.operators.passages import containment_pairs
 from folio.session import materialize, spread
 from folio.sources import fixtures
@@ -35,10 +36,19 @@ def validated_pages(spark: SparkSession, base: str) -> DataFrame:
     return ingest.ingest(fixtures.corpus(spark, base))
 
 
+def page_store(spark: SparkSession, base: str) -> DataFrame:
+    """The page store: every accepted page row, written once, in folders by ``_bucket``, so that a
+    few pages are read without the others (``fusion.rerank``)."""
+    def build():
+        pages = ingest.accepted(validated_pages(spark, base)).withColumn("_bucket", page_bucket(F.col("corpus_id")))
+        return materialize(pages.repartition("_bucket"), "pages", ["_bucket"])
+
+    return _cached(spark, base, "pages", build)
+
+
 def stored_pages(spark: SparkSession, base: str) -> DataFrame:
-    """The page store: every accepted page row, written once."""
-    return _cached(spark, base, "pages",
-                   lambda: materialize(ingest.accepted(validated_pages(spark, base)), "pages"))
+    """The columns of the page store."""
+    return page_store(spark, base).drop("_bucket")
 
 
 def page_index(spark: SparkSession, base: str) -> TextIndex:

@@ -333,6 +333,21 @@ FROM judged WHERE query_id IS NOT NULL AND difficulty IS NOT NULL AND query_text
 SQL["store_evaluation"] = _STORED
 SQL["evaluation_run"] = _STORED
 
+SQL["evaluation_rollup"] = f"""SELECT CASE WHEN grouping(difficulty) = 1 THEN 'all' ELSE difficulty END AS difficulty, count(*) AS n,
+  round(avg(answer_accuracy), 6) AS mean_accuracy,
+  {', '.join(f'round(avg(CASE WHEN answer_accuracy = {r} THEN 1 ELSE 0 END), 6) AS share_{r}' for r in (0, 2, 4))}
+FROM ({SQL["evaluation_run"]}) GROUP BY ROLLUP (difficulty)"""
+
+SQL["retrieval_metrics"] = f"""WITH h AS ({SQL["hybrid_retrieve"]}),
+rel AS (SELECT DISTINCT b.item_id AS query_id, d.doc_id AS corpus_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+ks AS (SELECT unnest([1, 3, 5]) AS k),
+q AS (
+  SELECT k, rel.query_id, count(h.rank) AS found, count(*) AS relevant, min(h.rank) AS first
+  FROM ks CROSS JOIN rel LEFT JOIN h ON h.query_id = rel.query_id AND h.corpus_id = rel.corpus_id AND h.rank <= k GROUP BY ALL)
+SELECT CAST(k AS INTEGER) AS k, count(*) AS n_queries, round(avg(found / relevant), 6) AS recall,
+  round(avg(CASE WHEN first IS NULL THEN 0 ELSE 1 END), 6) AS hit_rate, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr
+FROM q GROUP BY k"""
+
 SQL["prompt_rows"] = _GEN + """
 SELECT query_id, is_financial, route, year, prompt FROM ans"""
 

@@ -14,7 +14,7 @@ from folio.functions.text import clean_text
 from folio.functions.embed import DEFAULT_DIM, hashed_embedding, sparse_entries
 from folio.functions.enrich import enrich, ocr_stand_in
 from folio.functions.text import mentioned_year
-from folio.operators import answers, bm25, conversation, evaluation, fusion, ingest, testset, vectors
+from folio.operators import answers, bm25, conversation, evaluation, fusion, ingest, metrics, testset, vectors
 from folio.plans import catalog
 from folio.session import materialize, new_path, spread
 from folio.sources import fixtures
@@ -294,7 +294,7 @@ TOOL_TOP_K = 3
 
 
 def _hybrid_inputs(spark: SparkSession, base: str):
-    return (catalog.page_index(spark, base), catalog.page_vectors(spark, base), catalog.stored_pages(spark, base))
+    return (catalog.page_index(spark, base), catalog.page_vectors(spark, base), catalog.page_store(spark, base))
 
 
 def _questions_for_retrieval(spark: SparkSession, base: str, with_year: bool) -> DataFrame:
@@ -528,6 +528,22 @@ def evaluation_run(spark: SparkSession, base: str) -> DataFrame:
     return evaluation.store_evaluation(judged, path).drop("time")
 
 
+@register("evaluation_rollup")
+def evaluation_rollup(spark: SparkSession, base: str) -> DataFrame:
+    """Mean rating and share of each rating by difficulty and over all."""
+    out = metrics.score_rollup(evaluation_run(spark, base))
+    return out.select("difficulty", "n", *(F.round(c, 6).alias(c) for c in out.columns if c not in ("difficulty", "n")))
+
+
+@register("retrieval_metrics")
+def retrieval_metrics(spark: SparkSession, base: str) -> DataFrame:
+    """Recall, hit rate and mean reciprocal rank of the flagship's first 1, 3 and 5 pages,
+    against the pages that hold the passage."""
+    hits = hybrid_retrieve(spark, base).select("query_id", "rank", "corpus_id")
+    out = metrics.ranked_metrics(hits, catalog.answers(spark, base))
+    return out.select("k", "n_queries", *(F.round(c, 6).alias(c) for c in ("recall", "hit_rate", "mrr")))
+
+
 @register("enrich_pages")
 def enrich_pages(spark: SparkSession, base: str) -> DataFrame:
     """The OCR call as a batched, retried table enrichment over the page images."""

@@ -16,9 +16,10 @@ from folio.functions import enrich as E
 from folio.functions.embed import model_embedder
 from folio.functions.text import clean_text, mentioned_year, page_number, referenced_years, spoken_year, tokens
 from folio import session
-from folio.operators import answers, bm25, conversation, evaluation, fusion, ingest, vectors
+from folio.operators import answers, bm25, conversation, evaluation, fusion, ingest, metrics, vectors
 from folio.operators.passages import containment_pairs
 from folio.session import new_path
+from folio.sources import tables
 
 
 def rows(df, *cols):
@@ -749,3 +750,49 @@ def test_unfinished_segment_is_not_seen(spark):
 def test_index_build_has_one_exchange(spark):
     pages = spark.createDataFrame([(i, f"a b c{i}") for i in range(20)], "corpus_id long, text_content string")
     assert _plan(bm25.build_postings(pages.repartition(4, "corpus_id"))).count("Exchange hashpartitioning") == 1
+
+
+def test_score_rollup_and_ranked_metrics(spark):
+    records = spark.createDataFrame([("a", 4), ("a", 0), ("b", 2), (None, 4)], "difficulty string, answer_accuracy int")
+    got = {r["difficulty"]: (r["n"], r["mean_accuracy"], r["share_0"], r["share_2"], r["share_4"]) for r in metrics.score_rollup(records).collect()}
+    assert got == {"a": (2, 2.0, 0.5, 0.0, 0.5), "b": (1, 2.0, 0.0, 1.0, 0.0), None: (1, 4.0, 0.0, 0.0, 1.0), "all": (4, 2.5, 0.25, 0.25, 0.5)}
+    hits = spark.createDataFrame([(1, 1, 10), (1, 2, 11), (1, 3, 12), (2, 1, 20), (3, 1, 30)], "query_id long, rank int, corpus_id long")
+    relevant = spark.createDataFrame([(1, 11), (1, 12), (1, 11), (2, 20), (4, 40), (None, 1)], "query_id long, corpus_id long")
+    got = {r["k"]: (r["n_queries"], round(r["recall"], 4), round(r["hit_rate"], 4), round(r["mrr"], 4)) for r in metrics.ranked_metrics(hits, relevant, (1, 3)).collect()}
+    assert got == {1: (3, 0.3333, 0.3333, 0.3333), 3: (3, 0.6667, 0.6667, 0.5)}
+    assert metrics.ranked_metrics(hits, relevant.limit(0)).count() == 0
+
+
+def test_rerank_reads_the_buckets_of_its_candidates(spark):
+    path = new_path(spark, "t-store")
+    pages = spark.createDataFrame([(i, f"word{i} text", f"f{i}") for i in range(200)], "corpus_id long, markdown_content string, exact_filename string")
+    pages.withColumn("_bucket", fusion.page_bucket(F.col("corpus_id"))).repartition("_bucket").write.partitionBy("_bucket").parquet(path)
+    fused = spark.createDataFrame([(1, 7, 0.5, 1), (1, 8, 0.4, 2)], "query_id long, corpus_id long, rrf_score double, fused_rank int")
+    out = fusion.rerank(fused, spark.createDataFrame([(1, "word8")], "query_id long, text string"), spark.read.parquet(path), 2)
+    assert sorted(rows(out, "rank", "corpus_id")) == [(1, 8), (2, 7)]
+    wanted = {r[0] for r in fused.select(fusion.page_bucket(F.col("corpus_id"))).collect()}
+    read = {f.split("_bucket=")[1].split("/")[0] for f in spark.read.parquet(path).where(F.col("_bucket").isin(*wanted)).inputFiles()}
+    scan = next(x for x in _plan(out).splitlines() if "FileScan" in x and "markdown_content" in x)
+    assert "PartitionFilters: [_bucket#" in scan and " IN (" in scan or "_bucket#" in scan.split("PartitionFilters")[1] and read
+
+
+def test_image_files_equal_the_corpus_table(spark, tmp_path):
+    data = [(i, f"key_{2000 + i % 5}", f"key_page_{i}.png", f"text {i}".encode()) for i in range(12)]
+    folder = tmp_path / "in" / "sub"
+    folder.mkdir(parents=True)
+    for i, _, name, image in data:
+        if i != 5:
+            (folder / name).write_bytes(bytes([0xFF, 0xFE]) if i == 4 else image)
+    (folder / "note.txt").write_text("no image")
+    listing = spark.createDataFrame([x[:3] for x in data], "corpus_id long, doc_key string, image_filename string")
+    files = tables.image_files(spark, str(tmp_path / "in"), "*.png")
+    corpus = tables.corpus_of_files(files, listing)
+    assert sorted(rows(corpus.where("corpus_id not in (4, 5)"), "corpus_id", "doc_key", "image_filename", "image")) == [(a, b, c, bytearray(d)) for a, b, c, d in data if a not in (4, 5)]
+    schema = T.StructType([*(f for f in corpus.schema.fields if f.name != "image"), T.StructField("markdown_content", T.StringType()), T.StructField("ocr_error", T.StringType())])
+    read = E.enrich(corpus, E.ocr_stand_in, schema, on_error="default", default={"markdown_content": None}, error_col="ocr_error", policy=E.NO_WAIT)
+    checked = {r["corpus_id"]: r["reject_reason"] for r in ingest.validate_pages(ingest.to_page_rows(read, ["ocr_error"])).collect()}
+    assert {i for i, reason in checked.items() if reason} == {4, 5} and "ocr: UnicodeDecodeError" in checked[4] and checked[5] == "null_content"
+    stream = tables.corpus_of_files(tables.image_files(spark, str(tmp_path / "in"), "*.png", streaming=True, max_files=4), listing)
+    query = stream.writeStream.format("memory").queryName("t_images").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(rows(spark.table("t_images"), "corpus_id", "image")) == sorted(rows(corpus.where("image is not null"), "corpus_id", "image"))
