@@ -77,6 +77,21 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(jvm_path))
 
 
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Moves a folder to a place that does not exist yet."""
+    fs, jvm_path = _file_system(spark, source)
+    jvm_target = spark._jvm.org.apache.hadoop.fs.Path(target)
+    fs.mkdirs(jvm_target.getParent())
+    if not fs.rename(jvm_path, jvm_target):
+        raise OSError(f"{source} was not moved to {target}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder and what is in it; nothing if it is missing."""
+    fs, jvm_path = _file_system(spark, path)
+    fs.delete(jvm_path, True)
+
+
 def list_folders(spark: SparkSession, path: str, prefix: str) -> list[int]:
     """The numbers of the folders ``<prefix><number>`` directly under ``path`` (none if it is missing)."""
     fs, jvm_path = _file_system(spark, path)

@@ -21,7 +21,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from folio.functions.embed import DEFAULT_DIM, hashed_embedding
 from folio.functions.enrich import enrich, ocr_stand_in
 from folio.operators import conversation, ingest
-from folio.session import materialize, path_exists
+from folio.session import list_folders, materialize, move, path_exists, remove
 
 
 def _stored(spark: SparkSession, path: str, batch_id: int, cols: list[str]) -> DataFrame | None:
@@ -33,6 +33,49 @@ def _stored(spark: SparkSession, path: str, batch_id: int, cols: list[str]) -> D
     return spark.read.parquet(path).where(F.col("batch") != batch_id).select(*cols)
 
 
+#: Batch folders of a streamed table from which on all but the last are merged into one.
+COMPACT_AFTER = 16
+#: Rows of a file of merged batches.
+FILE_ROWS = 1_000_000
+
+
+def compact_batches(spark: SparkSession, path: str, after: int = COMPACT_AFTER) -> bool:
+    """Merges the batch folders of the table at ``path``, all but the last, into the first one's
+    when there are more than ``after``; tells whether it did.
+
+    The last folder stays, as only the last batch can be run again.  The merged rows are written
+    aside, then a line is written that names the folders they replace; only then these are removed
+    and the merged one takes its place.  A merge that was cut short goes on from that line
+    (``finish_merge``) before the next batch reads the table.  The writer of the table calls it; a
+    reader that lists the folders during the exchange may miss rows, so let it read between batches.
+    """
+    finish_merge(spark, path)
+    folders = sorted(list_folders(spark, path, "batch="))
+    if len(folders) <= after:
+        return False
+    old = folders[:-1]
+    rows = spark.read.parquet(*(f"{path}/batch={b}" for b in old))
+    files = max(1, -(-rows.count() // FILE_ROWS))
+    rows.coalesce(files).write.mode("overwrite").parquet(f"{path}/_merged/rows")
+    line = spark.createDataFrame([(old,)], "replaced array<bigint>")
+    line.coalesce(1).write.mode("overwrite").json(f"{path}/_merged/ready")
+    finish_merge(spark, path)
+    return True
+
+
+def finish_merge(spark: SparkSession, path: str) -> None:
+    """Puts merged rows that are complete in the place of the folders they replace."""
+    if not path_exists(spark, f"{path}/_merged/ready/_SUCCESS"):
+        remove(spark, f"{path}/_merged")
+        return
+    replaced = sorted(spark.read.schema("replaced array<bigint>").json(f"{path}/_merged/ready").first()["replaced"])
+    if path_exists(spark, f"{path}/_merged/rows"):  # else they are in place already
+        for b in replaced:
+            remove(spark, f"{path}/batch={b}")
+        move(spark, f"{path}/_merged/rows", f"{path}/batch={replaced[0]}")
+    remove(spark, f"{path}/_merged")
+
+
 def _run(query_builder, checkpoint: str, max_files: int | None = None):
     q = query_builder.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -42,13 +85,16 @@ def _run(query_builder, checkpoint: str, max_files: int | None = None):
 
 
 def ingest_stream(spark: SparkSession, source_dir: str, schema: T.StructType, target: str, checkpoint: str,
-                  max_files: int = 1, ocr=ocr_stand_in) -> None:
+                  max_files: int = 1, ocr=ocr_stand_in, compact_after: int = COMPACT_AFTER) -> None:
     """New corpus files → skip stored ids and in-batch duplicates → OCR (only the new pages)
     → clean → validate → append pages (``target/pages``) and rejects with their reason
-    (``target/rejected``)."""
+    (``target/rejected``).  Folders of earlier batches are merged (``compact_batches``), so looking
+    up ids reads a bounded number of folders, and of those the id column."""
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source_dir)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
+        for name in ("pages", "rejected"):
+            finish_merge(spark, f"{target}/{name}")
         stored = _stored(spark, f"{target}/pages", batch_id, ["corpus_id"])
         existing = stored if stored is not None else batch.limit(0).select("corpus_id")
         fresh = ingest.skip_existing(batch, existing)
@@ -62,18 +108,21 @@ def ingest_stream(spark: SparkSession, source_dir: str, schema: T.StructType, ta
         validated = ingest.validate_pages(rows)
         ingest.accepted(validated).write.mode("overwrite").parquet(f"{target}/pages/batch={batch_id}")
         ingest.rejected(validated).write.mode("overwrite").parquet(f"{target}/rejected/batch={batch_id}")
+        for name in ("pages", "rejected"):
+            compact_batches(spark, f"{target}/{name}", compact_after)
 
     _run(src.writeStream.foreachBatch(per_batch), checkpoint)
 
 
 def embed_stream(spark: SparkSession, source_dir: str, schema: T.StructType, target: str, checkpoint: str,
-                 max_files: int = 1, dim: int = DEFAULT_DIM) -> None:
+                 max_files: int = 1, dim: int = DEFAULT_DIM, compact_after: int = COMPACT_AFTER) -> None:
     """New page files → pages not yet in the vector table → hashed embedding → append points
     ``(id, v_idx, v_val, years)`` under ``target``."""
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source_dir)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         pages = ingest.embeddable(batch)
+        finish_merge(spark, target)
         stored = _stored(spark, target, batch_id, ["id"])
         if stored is not None:
             pages = pages.join(stored.withColumnRenamed("id", "corpus_id"), "corpus_id", "left_anti")
@@ -83,6 +132,7 @@ def embed_stream(spark: SparkSession, source_dir: str, schema: T.StructType, tar
                                 "markdown_content", dim)
         years = pages.select(F.col("corpus_id").alias("id"), F.col("probable_referenced_years").alias("years"))
         vecs.join(years, "id").write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        compact_batches(spark, target, compact_after)
 
     _run(src.writeStream.foreachBatch(per_batch), checkpoint)
 

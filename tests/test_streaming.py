@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folio import schemas
 from folio.operators import conversation
-from folio.session import new_path
+from folio.session import list_folders, new_path, remove
 from folio.streaming import jobs
 
 
@@ -34,6 +34,48 @@ def test_ingest_stream_is_incremental_and_idempotent(spark):
     assert out.select(F.countDistinct("batch")).first()[0] == 2
 
 
+def test_many_batches_leave_few_folders(spark):
+    root = new_path(spark, "t-many")
+    for k in range(9):
+        _corpus(spark, range(3 * k, 3 * k + 4)).coalesce(1).write.mode("append").parquet(f"{root}/in")  # one id again
+    jobs.ingest_stream(spark, f"{root}/in", schemas.CORPUS, f"{root}/out", f"{root}/ck", compact_after=3)
+    assert sorted(r["corpus_id"] for r in spark.read.parquet(f"{root}/out/pages").collect()) == list(range(28))
+    for name in ("pages", "rejected"):
+        assert len(list_folders(spark, f"{root}/out/{name}", "batch=")) <= 3
+
+
+def test_a_merge_that_was_cut_short_goes_on(spark, monkeypatch):
+    path = new_path(spark, "t-merge")
+    for b in range(5):
+        spark.range(10 * b, 10 * b + 10).coalesce(1).write.parquet(f"{path}/batch={b}")
+    want = list(range(50))
+
+    def ids():
+        return sorted(r["id"] for r in spark.read.parquet(path).collect())
+
+    real = jobs.finish_merge
+    monkeypatch.setattr(jobs, "finish_merge", lambda *a: None)  # stopped before the exchange
+    jobs.compact_batches(spark, path, 2)
+    assert ids() == want and len(list_folders(spark, path, "batch=")) == 5
+    monkeypatch.setattr(jobs, "finish_merge", real)
+    for b in (0, 1):  # stopped within it
+        remove(spark, f"{path}/batch={b}")
+    jobs.finish_merge(spark, path)
+    assert ids() == want and sorted(list_folders(spark, path, "batch=")) == [0, 4]
+    spark.range(3).write.parquet(f"{path}/_merged/rows")  # rows without the line that completes them
+    jobs.finish_merge(spark, path)
+    assert ids() == want and not jobs.compact_batches(spark, path, 2)
+
+
+def test_failed_pages_keep_the_reason(spark):
+    root = new_path(spark, "t-reasons")
+    rows = [(1, "s_2001", "s_page_1.png", b"fine"), (2, "s_2001", "s_page_2.png", bytes([0xFF])), (3, "s_2001", "s_page_3.png", None)]
+    spark.createDataFrame(rows, schemas.CORPUS).coalesce(1).write.parquet(f"{root}/in")
+    jobs.ingest_stream(spark, f"{root}/in", schemas.CORPUS, f"{root}/out", f"{root}/ck")
+    got = {r["corpus_id"]: r["reject_reason"] for r in spark.read.parquet(f"{root}/out/rejected").collect()}
+    assert got[2].startswith("null_content;ocr: UnicodeDecodeError") and got[3] == "null_content" and 1 not in got
+
+
 def _turns(threads, turns):
     phrases = ["Revenue in 2011?", "And the year before?", "Who leads the board? New topic", "Tell me more.", "What about FY24?", "And the year after?"]
     return [(t, n, "user" if n % 3 != 2 else "assistant", phrases[(t * 5 + n * 3) % 6]) for t in range(threads) for n in range(turns)]
