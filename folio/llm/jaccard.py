@@ -22,6 +22,9 @@ whole sets).
    overlaps per fragment as packed matrices, which are summed per block pair.  Only links
    found between different components leave the tasks, never all pairs.
 
+A shingle that very many classes have (a licence line) is settled where it is read: it leaves a
+slice of texts once in the first pass, and goes by class to fragments of its own in the second.
+
 Which rows are held to be members of the remaining classes is told to the second pass by a
 Bloom filter of bounded size; false members only cost work.
 """
@@ -47,11 +50,16 @@ SCREEN = 0.35
 #: Shingles that one fragment task should hold at most, on average.
 SCREEN_TOKENS, FRAGMENT_TOKENS = 400_000, 1_000_000
 #: Characters that are cut into shingles at once.
-SLICE = 4_000_000
+SLICE = 2_500_000
 #: Least number of fragments of the whole order.
 FRAGMENTS = 16
 #: Classes in a block of a cluster.
 BLOCK = 256
+#: The owner of a shingle that several classes of a slice have (no class has this signature).
+SEVERAL = np.uint64(0)
+#: A shingle is heavy with one in ``HEAVY_SHARE`` classes, and at least so many in a slice or in all;
+#: so many heavy ones are told to the tasks at most (16 MB).
+HEAVY_SHARE, HEAVY_HERE, HEAVY_LEAST, HEAVY_MOST = 100, 32, 1000, 1_000_000
 
 
 def allowed(n):
@@ -85,7 +93,12 @@ STATS = "kind int, doc_id bigint, n bigint, r bigint, cls bigint, shared bigint"
 
 def _screen_rows(parts: int):
     """Per slice of texts: one packed row of (class, shingle) for every fragment of the screen
-    and one row with the documents' sizes and signatures."""
+    and one row with the documents' sizes and signatures, how many of their shingles other classes
+    of the slice have, and the slice's heavy shingles with their numbers of classes.
+
+    A shingle of several classes of a slice leaves it once, as one of ``SEVERAL``, so a line that a
+    third of all documents hold is one entry per slice in its fragment, not one per document.  A
+    class in several slices may have a shingle counted more than once, which only keeps it open."""
     limit = np.uint64(int(SCREEN * 2**64))
     step = int(limit) // parts + 1
 
@@ -100,16 +113,27 @@ def _screen_rows(parts: int):
                 r = np.bincount(own[low], minlength=b - a)
                 null = pd.isna(ids[a:b])
                 known = np.where(null, 0, ids[a:b]).astype(np.int64)
-                info = np.stack([known, null.astype(np.int64), n, r, cls.view(np.int64)])
-                rows = [(-1 - int(cls[0] % np.uint64(parts)), b"", b"", _pack(info, np.int64))]
                 _, once = np.unique(cls, return_index=True)
                 one = np.zeros(b - a, bool)
                 one[once] = True
-                low &= one[own]
-                h, own = h[low], own[low]
+                keep = one[own]
+                order = np.argsort(h[keep], kind="stable")
+                h, own = h[keep][order], own[keep][order]
+                token, first, count = np.unique(h, return_index=True, return_counts=True)
+                # shingles that several classes of this slice have are settled here: one row each
+                several = np.repeat(count, count) > 1
+                low = h < limit
+                here = np.bincount(own[low & several], minlength=b - a)
+                many = count >= max(HEAVY_HERE, len(once) // HEAVY_SHARE)
+                info = np.stack([known, null.astype(np.int64), n, r, cls.view(np.int64), here])
+                heavy = np.stack([token[many].view(np.int64), count[many]])
+                rows = [(-1 - int(cls[0] % np.uint64(parts)), b"", _pack(heavy, np.int64), _pack(info, np.int64))]
+                shared = first[(count > 1) & (token < limit)]
+                own[shared] = b - a  # SEVERAL in the place of the classes
+                low &= ~several
+                low[shared] = True
+                h, own, cls = h[low], own[low], np.append(cls, SEVERAL)
                 part = (h // np.uint64(step)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                h, own, part = h[order], own[order], part[order]
                 for p, x, y in zip(*(lambda v, c: (v, c[:-1], c[1:]))(*_cuts(part, parts))):
                     who, index = np.unique(own[x:y], return_inverse=True)
                     rows.append((int(p), _pack(cls[who], np.uint64), _pack(h[x:y] & np.uint64(0xFFFFFFFF), np.uint32), _pack(index, np.uint32)))
@@ -123,10 +147,18 @@ def _screen_counts(group: pa.Table) -> pa.Table:
     part = group["part"][0].as_py()
     columns = {name: np.zeros(0, np.int64) for name in ("doc_id", "n", "r", "cls", "shared")}
     null = None
+    kinds = None
     if part < 0:
-        info = np.concatenate([np.frombuffer(x, np.int64).reshape(5, -1) for x in group["extra"].to_pylist()], axis=1)
-        columns |= dict(zip(("doc_id", "n", "r", "cls"), (info[0], info[2], info[3], info[4])))
-        columns["shared"], null = np.zeros(info.shape[1], np.int64), info[1] != 0
+        info = np.concatenate([np.frombuffer(x, np.int64).reshape(6, -1) for x in group["extra"].to_pylist()], axis=1)
+        heavy = np.concatenate([np.frombuffer(x, np.int64).reshape(2, -1) for x in group["tokens"].to_pylist()], axis=1)
+        here = info[:, info[5] > 0]
+        sizes = [info.shape[1], here.shape[1], heavy.shape[1]]
+        zeros = np.zeros(sizes[1] + sizes[2], np.int64)
+        columns = {name: np.append(info[k], zeros) for name, k in (("doc_id", 0), ("n", 2), ("r", 3))}
+        columns["cls"] = np.concatenate([info[4], here[4], heavy[0]])
+        columns["shared"] = np.concatenate([np.zeros(sizes[0], np.int64), here[5], heavy[1]])
+        null = np.append(info[1] != 0, zeros != 0)
+        kinds = np.repeat(np.arange(3), sizes)
     else:
         owners = [np.frombuffer(x, np.uint64) for x in group["owners"].to_pylist()]
         tokens = np.concatenate([np.frombuffer(x, np.uint32) for x in group["tokens"].to_pylist()]).astype(np.uint64)
@@ -140,10 +172,12 @@ def _screen_counts(group: pa.Table) -> pa.Table:
         many[1:] |= same
         many[:-1] |= same
         of, count = np.unique(pairs[many] & np.uint64(0xFFFFFFFF), return_counts=True)
+        classes = who[of.astype(np.int64)]
+        of, count = of[classes != SEVERAL], count[classes != SEVERAL]
         zero = np.zeros(len(of), np.int64)
         columns = {"doc_id": zero, "n": zero, "r": zero, "cls": who[of.astype(np.int64)].view(np.int64), "shared": count.astype(np.int64)}
     size = len(columns["cls"])
-    kind = pa.array(np.full(size, 0 if part < 0 else 1, np.int32))
+    kind = pa.array(np.full(size, 1, np.int32) if kinds is None else kinds.astype(np.int32))
     arrays = [pa.array(columns["doc_id"], mask=null)] + [pa.array(columns[c]) for c in ("n", "r", "cls", "shared")]
     return pa.table([kind, *arrays], names=["kind", "doc_id", "n", "r", "cls", "shared"])
 
@@ -152,9 +186,10 @@ def _text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def set_stats(docs: DataFrame, name: str = "jaccard") -> DataFrame:
+def set_stats(docs: DataFrame, name: str = "jaccard") -> tuple[DataFrame, DataFrame]:
     """``(doc_id, n, cls, rows, open)`` per document: set size, class (signature), number of
-    equal rows, and whether its class may still link with another class."""
+    equal rows, and whether its class may still link with another class; and ``(token, classes)``
+    of the shingles that were heavy in some slice."""
     parts = max(16, int(_text_bytes(docs) / 6 * SCREEN / SCREEN_TOKENS))
     rows = docs.select(F.col("doc_id").cast("bigint"), "text").mapInPandas(_screen_rows(parts), SCREEN_ROWS)
     stats = rows.groupBy("part").applyInArrow(_screen_counts, STATS)
@@ -162,10 +197,21 @@ def set_stats(docs: DataFrame, name: str = "jaccard") -> DataFrame:
     stats = materialize(stats.groupBy(*keys).agg(F.sum("shared").alias("shared"), F.count("*").alias("rows")), f"{name}-stats")
     info = stats.where("kind = 0").drop("kind", "shared")
     shared = stats.where("kind = 1").select("cls", "shared")
-    return info.join(shared, "cls", "left").select(
+    found = info.join(shared, "cls", "left").select(
         "doc_id", "n", "cls", "rows",
         (F.coalesce("shared", F.lit(0)) >= F.greatest(F.col("r") - F.floor(F.col("n") / 4), F.lit(0))).alias("open"),
     )
+    return found, stats.where("kind = 2").select(F.col("cls").alias("token"), F.col("shared").alias("classes"))
+
+
+def heavy_shingles(found: DataFrame, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending hashes and numbers of the shingles that very many classes have; at most
+    ``HEAVY_MOST``, the heaviest ones (the others are counted like any shingle)."""
+    heavy = found.where(F.col("classes") >= max(HEAVY_LEAST, classes // HEAVY_SHARE))
+    rows = heavy.orderBy(F.col("classes").desc(), "token").limit(HEAVY_MOST).collect()
+    token = np.array([r["token"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(token)
+    return token[order], np.array([r["classes"] for r in rows], np.int64)[order]
 
 
 # --- pass 2: segments of the remaining classes --------------------------------------------
@@ -175,7 +221,9 @@ SEGMENT_ROWS = "part int, classes binary, sizes binary, tokens binary, owner bin
 SEGMENTS = "cls bigint, n bigint, part int, tokens array<bigint>, freqs array<int>"
 
 
-def _segment_rows(bitmap, bits: int, parts: int):
+def _segment_rows(bitmap, bits: int, parts: int, heavy, salts: int):
+    """Per slice one packed row of (class, shingle) for every fragment.  Heavy shingles go to
+    fragments of their own, dealt by class, where each class is found once."""
     step = 2**64 // parts + 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,6 +235,10 @@ def _segment_rows(bitmap, bits: int, parts: int):
                 h, own, n = shingle_sets(texts[a:b], WIDTH)
                 cls = _signatures(h, n)
                 part = (h // np.uint64(step)).astype(np.int64)
+                tokens = heavy.value[0]
+                if len(tokens):
+                    hot = tokens[np.minimum(np.searchsorted(tokens, h), len(tokens) - 1)] == h
+                    part[hot] = parts + (cls[own[hot]] % np.uint64(salts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 h, own, part = h[order], own[order], part[order]
                 rows = []
@@ -198,9 +250,10 @@ def _segment_rows(bitmap, bits: int, parts: int):
     return run
 
 
-def _segments(group: pa.Table) -> pa.Table:
-    """One fragment: for each class its shingles that another class has, with frequencies."""
-    part = group["part"][0].as_py()
+def _segments(group: pa.Table, parts: int, heavy: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+    """One fragment: for each class its shingles that another class has, with frequencies.  The
+    heavy ones are known to be shared, so the classes of one fragment of them are enough."""
+    part = min(group["part"][0].as_py(), parts)
     classes = [np.frombuffer(x, np.int64) for x in group["classes"].to_pylist()]
     sizes = np.concatenate([np.frombuffer(x, np.int64) for x in group["sizes"].to_pylist()])
     tokens = np.concatenate([np.frombuffer(x, np.uint64) for x in group["tokens"].to_pylist()])
@@ -212,8 +265,11 @@ def _segments(group: pa.Table) -> pa.Table:
     tokens, owner = tokens[once[owner]], owner[once[owner]]
     order = np.argsort(tokens, kind="stable")
     tokens, owner = tokens[order], owner[order]
-    _, first, count = np.unique(tokens, return_index=True, return_counts=True)
-    freq = np.repeat(count, count)
+    if part == parts:
+        freq = heavy[1][np.searchsorted(heavy[0], tokens)]
+    else:
+        _, count = np.unique(tokens, return_counts=True)
+        freq = np.repeat(count, count)
     many = freq > 1
     tokens, owner, freq = tokens[many], owner[many], freq[many]
     order = np.argsort(owner, kind="stable")
@@ -376,16 +432,20 @@ def linked(docs: DataFrame, name: str = "jaccard") -> DataFrame:
     many rows it stands for, the name of its component (null where it has no link), and the
     smallest id of that."""
     spark = docs.sparkSession
-    stats = materialize(set_stats(docs, name), f"{name}-sets")
+    stats, heavy = set_stats(docs, name)
+    stats = materialize(stats, f"{name}-sets")
     reps = stats.where("open and n > 0 and doc_id is not null").groupBy("cls", "n").agg(F.min("doc_id").alias("doc_id"))
     reps = materialize(reps, f"{name}-open")
     count, shingles = reps.agg(F.count("*"), F.sum("n")).first()
     bitmap, bits = bloom.build(reps.select("doc_id"), count)
     parts = max(FRAGMENTS, int((shingles or 0) / FRAGMENT_TOKENS))
+    hot = heavy_shingles(heavy, count)
+    salts = max(1, -(-int(hot[1].sum()) // FRAGMENT_TOKENS))
+    held = spark.sparkContext.broadcast(hot)
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), "text").mapInPandas(
-        _segment_rows(spark.sparkContext.broadcast(bitmap), bits, parts), SEGMENT_ROWS
+        _segment_rows(spark.sparkContext.broadcast(bitmap), bits, parts, held, salts), SEGMENT_ROWS
     )
-    segments = materialize(rows.groupBy("part").applyInArrow(_segments, SEGMENTS), f"{name}-segments")
+    segments = materialize(rows.groupBy("part").applyInArrow(lambda group: _segments(group, parts, held.value), SEGMENTS), f"{name}-segments")
     per_class = segments.groupBy("cls", "n").agg(
         F.flatten(F.collect_list(F.arrays_zip(F.col("freqs").alias("f"), F.col("tokens").alias("t")))).alias("shared")
     )

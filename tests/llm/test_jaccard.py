@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from folio.llm import jaccard
@@ -79,6 +80,32 @@ def test_nulls_repeats_and_extra_columns(spark):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 3), (False, 5), (False, 6), (False, 7), (True, 0), (True, 0)]
 
 
+@pytest.mark.parametrize("least", [1, 1000])
+def test_a_line_in_half_of_the_documents(spark, monkeypatch, least):
+    """Its shingles are heavy; the components are those of brute force, and no group of a fragment
+    has as many entries as there are documents with the line."""
+    monkeypatch.setattr(jaccard, "HEAVY_LEAST", least)
+    r = random.Random(14)
+    line = " ".join(f"license{k}" for k in range(12))
+    rows = []
+    for k in range(300):
+        body = " ".join(f"w{r.randrange(5000)}" for _ in range(r.choice([3, 8, 40])))
+        rows.append((k, body + " " + line if k % 2 else body))
+    rows += [(400 + k, rows[k][1] + f" extra{k}") for k in range(0, 300, 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link(docs).collect()}
+    assert got == brute(rows)
+    _, heavy = jaccard.set_stats(docs)
+    token, count = jaccard.heavy_shingles(heavy, 400)
+    assert len(token) >= 8 if least == 1 else len(token) == 0
+    fragments = docs.mapInPandas(jaccard._screen_rows(4), jaccard.SCREEN_ROWS).where("part >= 0").collect()
+    entries = {}
+    for f in fragments:
+        for x in np.frombuffer(f["tokens"], np.uint32):
+            entries[(f["part"], int(x))] = entries.get((f["part"], int(x)), 0) + 1
+    assert max(entries.values()) <= 8  # slices, not documents
+
+
 def test_only_rows_whose_own_text_is_a_copy_go(spark):
     """An id that stands for several texts loses only the linked ones."""
     r = random.Random(9)
