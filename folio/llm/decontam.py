@@ -54,8 +54,8 @@ SPREAD, SPREAD_WORDS = 1.5, 4
 #: Rounding errors of the latent space, as a share of the window's length.
 ROUNDING = 1e-5
 COVER, ANSWER_COVER, ANSWER_WORDS = 0.7, 0.5, 8
-#: Characters that are read at once.
-SLICE = 2_000_000
+#: Characters that are read at once, and windows that are folded at once.
+SLICE, FOLDED = 1_000_000, 64
 #: Passages with fewer words must stand in the text word for word.
 SHORT = 8
 
@@ -223,8 +223,8 @@ class Index:
         heavy = np.flatnonzero((mass[end] - mass[start] >= 1 - 1e-6) | (keys[end] > keys[start]))
         wanted, needed = self.wanted()
         present = np.zeros(len(self.vocabulary) + 1, bool)
-        for k in range(0, len(heavy), 256):
-            part = heavy[k : k + 256]
+        for k in range(0, len(heavy), FOLDED):
+            part = heavy[k : k + FOLDED]
             size = end[part] - start[part]
             at = np.repeat(start[part] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
             row = np.repeat(np.arange(len(part)), size)
