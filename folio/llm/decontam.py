@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.words import ALNUM, clean, slices, word_hashes
+from folio.llm.words import ALNUM, clean, release, slices, word_hashes
 
 BLOCK_ITEMS = 1000
 #: Latent spaces that are searched in one pass over the texts.
@@ -119,6 +119,7 @@ def document_frequency(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndar
         count[size] = rows
         at = np.flatnonzero(count)
         yield pd.DataFrame({"term": at, "n": count[at]})
+        release()
 
     total = docs.select("text").mapInPandas(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(len(vocabulary) + 1, np.int64)
@@ -397,6 +398,7 @@ def _finder(held):
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series(leaks_of(held.value, clean(batch)), dtype=object)
+        release()
 
     return found
 

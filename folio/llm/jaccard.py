@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from folio.llm import bloom
 from folio.llm.components import components
-from folio.llm.words import clean, mix, shingle_sets, slices
+from folio.llm.words import clean, mix, release, shingle_sets, slices
 from folio.session import materialize
 
 WIDTH = 5
@@ -138,6 +138,7 @@ def _screen_rows(parts: int):
                     who, index = np.unique(own[x:y], return_inverse=True)
                     rows.append((int(p), _pack(cls[who], np.uint64), _pack(h[x:y] & np.uint64(0xFFFFFFFF), np.uint32), _pack(index, np.uint32)))
                 yield pd.DataFrame(rows, columns=["part", "owners", "tokens", "extra"])
+        release()
 
     return run
 
@@ -246,6 +247,7 @@ def _segment_rows(bitmap, bits: int, parts: int, heavy, salts: int):
                     who, index = np.unique(own[x:y], return_inverse=True)
                     rows.append((int(p), _pack(cls[who], np.uint64), _pack(n[who], np.int64), _pack(h[x:y], np.uint64), _pack(index, np.uint32)))
                 yield pd.DataFrame(rows, columns=["part", "classes", "sizes", "tokens", "owner"])
+        release()
 
     return run
 

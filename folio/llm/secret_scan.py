@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.privacy import Covered
-from folio.llm.words import clean, slices
+from folio.llm.words import clean, release, slices
 from folio.session import materialize
 
 # The base patterns and their least lengths.
@@ -456,5 +456,6 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
                     redact(t, spans) if spans else None,
                 ))
             yield pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted"])
+        release()
 
     return docs.withColumn("secrets", of("text"))

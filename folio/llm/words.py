@@ -7,9 +7,11 @@ size (``slices``).  Hashes are 64 bits and the same in every process.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 WHITE = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -42,6 +44,15 @@ NOT_WHITE = ~byte_table(WHITE)
 ALNUM = byte_table(bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256)))
 
 
+def release() -> None:
+    """Gives memory that a worker has freed back to the system.  Workers live on between the stages
+    of a job, and what each stage leaves in the allocators adds up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def clean(texts) -> list[str]:
     """Null texts become empty texts."""
     return [t if isinstance(t, str) else "" for t in texts]
