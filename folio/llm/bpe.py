@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.words import clean, hash_spans, slices
+from folio.llm.words import clean, hash_spans, release, slices
 
 #: White space of the pre-token pattern, as a character class (fixed values).
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -591,5 +591,6 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_tokens": count, "ids_sha256": of_ids, "decoded_sha256": of_text})
         encoder.forget()  # the worker lives on and other operators run in it
         c.pairs.clear()
+        release()
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInPandas(run, ROUND_TRIP)

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.words import NOT_WHITE, chain, clean, hash_spans, mix, slices, word_spans
+from folio.llm.words import NOT_WHITE, chain, clean, hash_spans, mix, release, slices, word_spans
 
 BUCKETS = 1 << 17
 #: Neutral features that every document has besides its own, so that a few words decide little.
@@ -158,5 +158,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series(held.value.score(clean(batch)))
+        release()
 
     return docs.withColumn("score", of("text")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

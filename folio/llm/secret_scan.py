@@ -55,6 +55,8 @@ LEAST_RATIO = 1.0
 #: Examples from which on every ``HELD_OUT``-th sets the threshold instead of being learned from.
 SPLIT_FROM, HELD_OUT = 25, 5
 MARK = "[SECRET]"
+#: Characters whose pairs are counted at once.
+SLICE = 1_000_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -351,11 +353,12 @@ def observed(docs: DataFrame) -> DataFrame:
                 if spans:
                     rows |= {(kind, c) for _, _, kind, c in spans if len(c) <= LONGEST}
                     texts[k] = redact(t, [s[:3] for s in spans], " ")
-            for a, b in slices(texts):
-                codes = _CODES[np.frombuffer("\n".join(texts[a:b]).encode("utf-8", "surrogatepass"), np.uint8)].astype(np.int64)
+            for a, b in slices(texts, SLICE):
+                codes = _CODES[np.frombuffer("\n".join(texts[a:b]).encode("utf-8", "surrogatepass"), np.uint8)]
                 count += np.bincount(codes[:-1] * 63 + codes[1:], minlength=63 * 63)
             yield pd.DataFrame([(k, c, -1, 1) for k, c in sorted(rows)], columns=["kind", "credential", "pair", "n"])
         yield pd.DataFrame([("", "", p, n) for p, n in enumerate(count.tolist()) if n], columns=["kind", "credential", "pair", "n"])
+        release()
 
     return materialize(docs.select("text").mapInPandas(run, OBSERVED), "observed")
 
