@@ -18,6 +18,8 @@ def test_spread_makes_more_tasks_of_a_larger_table(spark, monkeypatch):
     monkeypatch.setattr(session, "TASK_BYTES", 1 + session.size_in_bytes(df) // (3 * cores))
     more = session.spread(df, "id")
     assert more.rdd.getNumPartitions() == 3 * cores and more.count() == 20000
+    unknown = spark.createDataFrame(spark.sparkContext.parallelize([(1,)], cores), "id long")
+    assert session.spread(unknown, "id") is unknown
 
 
 def test_tokens_of_a_bucket_are_counted_by_several_tasks(spark, monkeypatch):
