@@ -29,8 +29,9 @@ NEUTRAL = 30
 DIM = 16
 PER_LABEL = 1500
 EPOCHS, RATE = 6, 0.5
-#: Characters whose features are made at once (about 60 bytes of memory each).
-SLICE = 1_000_000
+#: Characters whose features are made at once (about 100 bytes of memory each), and documents whose
+#: counts are handed on at once.
+SLICE, COUNTED_ROWS = 100_000, 200
 #: A document with at least this score is predicted to be of label 1.
 THRESHOLD = 0.3
 #: The word pair feature of a word that repeats its predecessor.
@@ -67,13 +68,15 @@ def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for text, label in zip(clean(batch["text"]), batch["quality"]):
-            groups = [g[0] for g in features([text])]
-            bucket, count = np.unique(np.concatenate(groups).astype(np.uint32), return_counts=True)
-            rows.append((int(label), bucket.astype(np.uint32).tobytes(), count.astype(np.uint32).tobytes()))
-        yield pd.DataFrame(rows, columns=["quality", "bucket", "count"])
+    for whole in batches:
+        for at in range(0, len(whole), COUNTED_ROWS):
+            batch, rows = whole.iloc[at:at + COUNTED_ROWS], []
+            for text, label in zip(clean(batch["text"]), batch["quality"]):
+                groups = [g[0] for g in features([text])]
+                bucket, count = np.unique(np.concatenate(groups).astype(np.uint32), return_counts=True)
+                rows.append((int(label), bucket.astype(np.uint32).tobytes(), count.astype(np.uint32).tobytes()))
+            yield pd.DataFrame(rows, columns=["quality", "bucket", "count"])
+    release()
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> DataFrame:

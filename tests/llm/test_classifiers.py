@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pandas as pd
 
 from folio.llm import langid, quality
 
@@ -77,3 +79,21 @@ def test_long_texts_are_counted_in_blocks(monkeypatch):
     whole = langid.counts(t)
     monkeypatch.setattr(langid, "BLOCK", 17)
     assert (langid.counts(t) == whole).all()
+
+
+def test_quality_scores_many_texts_in_little_memory():
+    texts = [text(random.Random(k), k % 4 == 0) * 10 for k in range(800)]
+    model = quality.Model(np.random.default_rng(1).normal(size=quality.BUCKETS).astype(np.float32), 0.1)
+    tracemalloc.start()
+    got = model.score(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, texts)) > 1_500_000 and peak < 30_000_000
+    assert got.tolist() == [model.score([t])[0] for t in texts]
+
+
+def test_quality_counts_of_large_batches_come_in_parts():
+    batch = pd.DataFrame({"text": [f"word{k} a" for k in range(450)], "quality": [k % 2 for k in range(450)]})
+    parts = list(quality._counted(iter([batch])))
+    assert [len(p) for p in parts] == [200, 200, 50]
+    assert [q for p in parts for q in p["quality"]] == batch["quality"].tolist()
