@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.words import clean, hash_spans, release, slices
+from folio.llm.words import KEPT, clean, hash_spans, release, slices
 
 #: White space of the pre-token pattern, as a character class (fixed values).
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -40,6 +40,8 @@ CACHED_CHUNKS = 100_000
 CACHED_PAIRS = 400_000
 #: Slots (as a power of two), entries and ids of a worker's table of encoded pre-tokens.
 TABLE_BITS, ENTRIES, POOL = 21, 1_000_000, 4_000_000
+#: Characters that are encoded at once.
+SLICE = 250_000
 #: Bytes of a pre-token that is encoded in bulk.
 LONG = 64
 #: White space besides the plain space and the line feed.
@@ -394,11 +396,15 @@ class BatchEncoder:
             extra, offsets, counts = self.learn(buf, starts[at], ends[at], distinct)
         entry = self.entry[slot]
         offset, length = self.offset[entry].astype(np.int64), self.length[entry]
-        source = self.pool[: self.used]
+        end = self.used + len(extra)
+        if end <= POOL:  # where ``keep`` puts them
+            self.pool[self.used : end] = extra
+            source = self.pool[:end]
+        else:
+            source = np.concatenate([self.pool[: self.used], extra])
         if len(missing):
             offset[missing] = offsets[inverse] + self.used
             length[missing] = counts[inverse]
-            source = np.concatenate([source, extra])
         ids = source[np.repeat(offset - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))]
         per_text = np.bincount(owner, weights=length, minlength=len(texts)).astype(np.int64)
         if len(missing):
@@ -522,9 +528,12 @@ def codec(vocabulary: Vocabulary) -> Codec:
     return Codec(vocabulary)
 
 
+KEPT += [batch_encoder.cache_clear, codec.cache_clear]
+
+
 def encoded(encoder: BatchEncoder, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``(ids, counts)`` of consecutive slices of texts."""
-    for a, b in slices(texts, 1_000_000):
+    for a, b in slices(texts, SLICE):
         yield encoder.encode(texts[a:b])
 
 
@@ -591,6 +600,6 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_tokens": count, "ids_sha256": of_ids, "decoded_sha256": of_text})
         encoder.forget()  # the worker lives on and other operators run in it
         c.pairs.clear()
-        release()
+        release(drop=False)
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInPandas(run, ROUND_TRIP)

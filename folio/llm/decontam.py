@@ -31,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -328,12 +329,14 @@ def space_of(spark: SparkSession, held: list[Passage], weights: dict[int, tuple[
         least.append([least_share(term, tf, w, least_tokens(p.words, cover)) for cover in (COVER, ANSWER_COVER)])
         end = np.searchsorted(vocabulary, p.words[-ANSWER_WORDS:])
         key.append(int(end[np.argmin([weights[h][2] for h in p.words[-ANSWER_WORDS:].tolist()])]))
-        sparse.append((term.astype(int).tolist(), (w / np.linalg.norm(w)).astype(float).tolist()))
+        sparse.append((term.astype(np.int32), (w / np.linalg.norm(w)).astype(np.float32)))
         # a found text holds ``needed`` of the words, so at least ``rare`` of those that are not common
         rare = needed - int(tf[common[term]].sum())
         counts = np.where(common[term], 0, tf) / rare if rare >= 2 else tf / needed
         share[term] = np.maximum(share[term], counts.astype(np.float32))
-    matrix = spark.createDataFrame(sparse, "term array<int>, weight array<float>").repartition(min(8, len(sparse)))
+    # as Arrow, since rows of Python objects start workers of another kind, which live on besides the others
+    table = pa.table({"term": pa.array([t for t, _ in sparse], pa.list_(pa.int32())), "weight": pa.array([w for _, w in sparse], pa.list_(pa.float32()))})
+    matrix = spark.createDataFrame(table).repartition(min(8, len(sparse)))
     basis = latent_basis(matrix, len(vocabulary), len(sparse))
     latent = np.stack([np.asarray(w, np.float32) @ basis[t] for t, w in sparse])
     kept = np.linalg.norm(latent, axis=1, keepdims=True)

@@ -8,7 +8,7 @@ size (``slices``).  Hashes are 64 bits and the same in every process.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +44,16 @@ NOT_WHITE = ~byte_table(WHITE)
 ALNUM = byte_table(bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256)))
 
 
-def release() -> None:
+#: Calls that drop what an operator keeps in a worker from one of its tasks to the next.
+KEPT: list[Callable[[], None]] = []
+
+
+def release(drop: bool = True) -> None:
     """Gives memory that a worker has freed back to the system.  Workers live on between the stages
-    of a job, and what each stage leaves in the allocators adds up."""
+    of a job, and what each stage leaves in the allocators adds up.  What other operators ``KEPT`` is
+    dropped before; an operator that keeps something itself says so with ``drop=False``."""
+    for forget in KEPT if drop else ():
+        forget()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
     if trim is not None:

@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from folio.llm import bpe
+from folio.llm import bpe, words
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = [
@@ -86,3 +86,11 @@ def test_frames(spark, vocabulary):
     assert [r["doc_id"] for r in trip] == [1, 2, None, 1]
     assert trip[1]["ids_sha256"] == trip[2]["decoded_sha256"] == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
     assert bpe.round_trip(docs.limit(0), vocabulary).count() == 0
+
+
+def test_tables_are_dropped_when_a_task_of_another_operator_ends(vocabulary):
+    bpe.batch_encoder(vocabulary)
+    words.release(drop=False)  # the next task of the same operator finds them
+    assert bpe.batch_encoder.cache_info().currsize and bpe.codec.cache_info().currsize
+    words.release()
+    assert not bpe.batch_encoder.cache_info().currsize and not bpe.codec.cache_info().currsize
