@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio import session
-from folio.operators import blocks, bm25, fusion, vectors
+from folio.operators import blocks, bm25, fusion, passages, vectors
 from tests.test_operators import PAGES, _plan, _random_pages, rows
 
 
@@ -104,3 +104,16 @@ def test_rerank_ranks_without_page_texts(spark):
     assert "Window" not in _plan(out)  # ranked before the texts are joined
     assert sorted(rows(out, "query_id", "rank", "corpus_id", "source")) == [
         (7, 1, 1, "f1"), (7, 2, 1, "f1"), (7, 3, 2, "f2"), (7, 4, 3, "f3"), (8, 1, 2, "f2")]
+
+
+def test_containment_shuffles_the_texts_of_candidates_alone(spark):
+    docs = [(k, f"filler{k} and more of it") for k in range(300)] + [(300, "so one two three four it is"), (300, "nothing"), (301, "one three two four"), (None, "one two three four")]
+    path = session.new_path(spark, "t-docs")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(path)
+    asked = spark.createDataFrame([(1, "one two three four"), (2, "is")], "item_id long, text string")
+    out = passages.containment_pairs(asked, spark.read.parquet(path))
+    assert sorted(rows(out, "item_id", "doc_id")) == [(1, 300), (2, 300)]
+    plan = _plan(out)
+    assert "LeftSemi" in plan
+    for scan in plan.split("LeftSemi")[1:]:  # the texts come from the files straight into the semi join
+        assert "Exchange" not in scan.split("FileScan")[0].replace("BroadcastExchange", "")
