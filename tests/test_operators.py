@@ -603,6 +603,35 @@ def test_lsh_recall_zero_vectors_and_hot_buckets(spark):
     assert not {7, 900, 901} & {r["id"] for r in approx.collect()}
 
 
+@pytest.mark.parametrize("tables, bits, whole", [(12, 3, True), (2, 7, False)])
+def test_lsh_moves_a_query_once_for_each_block_and_equals_brute_force(spark, monkeypatch, tables, bits, whole):
+    """Wide buckets: the points are held in blocks over all tables, not copied for each of them (before,
+    every vector was shuffled for each table and block of a bucket); narrow ones: block by bucket."""
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "TILE_ROWS", 7)
+    monkeypatch.setattr(vectors, "LSH_FIRST_ROWS", 5)
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(240, 8))
+    m[100:150] = m[100] + rng.normal(size=(50, 8)) * 0.01  # a hot bucket
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(3, [float(x) for x in m[3]])], "id long, vector array<double>")
+    q = df.where("id % 2 = 0").select(F.col("id").alias("query_id"), "vector", F.col("id").alias("self_id"))
+    got = vectors.lsh_topk(q, df, ["query_id"], 4, exclude_self_col="self_id", tables=tables, bits=bits, block_rows=25)
+    assert "CoGroup" not in _plan(got)
+    assert (_plan(got).count("posexplode") == 0) == whole
+    planes = np.array(vectors.hyperplanes(tables, bits, 8), dtype=np.float64)
+    code = ((m @ planes.reshape(-1, 8).T >= 0).reshape(240, tables, bits) @ (1 << np.arange(bits)))
+    same = (code[:, None, :] == code[None, :, :]).any(axis=2)
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    s = np.where(same, u @ u.T, -np.inf)
+    np.fill_diagonal(s, -np.inf)
+    want = set()
+    for i in range(0, 240, 2):
+        order = sorted((-round(float(s[i, j]), 6), j) for j in range(240) if s[i, j] > -np.inf)[:4]
+        want |= {(i, r + 1, j) for r, (_, j) in enumerate(order)}
+    assert set(rows(got, "query_id", "rank", "id")) == want
+
+
 def test_blocked_topk_holds_either_side_and_does_not_cogroup(spark, monkeypatch):
     import numpy as np
 
