@@ -13,14 +13,16 @@ whole sets).
 2. Fragments of the whole order are built for the remaining classes.  Within a fragment the
    frequency of a shingle is known, shingles of one class drop out, and the rest is kept as
    the segment of (class, fragment).
+   Segments travel packed to the bucket of their class, which joins them to ``SHARES`` segments a
+   class, however many fragments there are.
 3. Prefix filter: of each set its ``n - ceil(0.75 n) + 1`` rarest shingles are its keys; two
    linked classes share a key.  Every class is first compared with the smallest class of each
    of its keys (its hub), a number of pairs linear in the keys; this joins most of a group of
    near copies.
 4. Keys that still hold classes of different components put those components into one
-   cluster.  A cluster's classes are cut into blocks of ``BLOCK``; block pairs count partial
-   overlaps per fragment as packed matrices, which are summed per block pair.  Only links
-   found between different components leave the tasks, never all pairs.
+   cluster.  A cluster's classes are cut into blocks of ``BLOCK`` classes and ``BLOCK_TOKENS``
+   shingles at most; the overlaps of a block pair are counted in one matrix inside a task.  Only
+   links found between different components leave the tasks, never counts or pairs.
 
 A shingle that very many classes have (a licence line) is settled where it is read: it leaves a
 slice of texts once in the first pass, and goes by class to fragments of its own in the second.
@@ -53,8 +55,10 @@ SCREEN_TOKENS, FRAGMENT_TOKENS = 400_000, 1_000_000
 SLICE = 2_500_000
 #: Least number of fragments of the whole order.
 FRAGMENTS = 16
-#: Classes in a block of a cluster.
-BLOCK = 256
+#: Shares of the order that the shingles of a class are kept in; two classes are compared share by share.
+SHARES = 4
+#: Classes, and shingles of all of them, in a block of a cluster.
+BLOCK, BLOCK_TOKENS = 512, 1_000_000
 #: The owner of a shingle that several classes of a slice have (no class has this signature).
 SEVERAL = np.uint64(0)
 #: A shingle is heavy with one in ``HEAVY_SHARE`` classes, and at least so many in a slice or in all;
@@ -134,9 +138,11 @@ def _screen_rows(parts: int):
                 low[shared] = True
                 h, own, cls = h[low], own[low], np.append(cls, SEVERAL)
                 part = (h // np.uint64(step)).astype(np.int64)
+                order = np.lexsort((own, part))  # by class, so that a row has a count for each one and no index
+                h, own, part = h[order], own[order], part[order]
                 for p, x, y in zip(*(lambda v, c: (v, c[:-1], c[1:]))(*_cuts(part, parts))):
-                    who, index = np.unique(own[x:y], return_inverse=True)
-                    rows.append((int(p), _pack(cls[who], np.uint64), _pack(h[x:y] & np.uint64(0xFFFFFFFF), np.uint32), _pack(index, np.uint32)))
+                    who, size = np.unique(own[x:y], return_counts=True)
+                    rows.append((int(p), _pack(cls[who], np.uint64), _pack(h[x:y] & np.uint64(0xFFFFFFFF), np.uint32), _pack(size, np.uint32)))
                 yield pd.DataFrame(rows, columns=["part", "owners", "tokens", "extra"])
         release()
 
@@ -163,10 +169,9 @@ def _screen_counts(group: pa.Table) -> pa.Table:
     else:
         owners = [np.frombuffer(x, np.uint64) for x in group["owners"].to_pylist()]
         tokens = np.concatenate([np.frombuffer(x, np.uint32) for x in group["tokens"].to_pylist()]).astype(np.uint64)
-        shift = np.cumsum([0] + [len(o) for o in owners])
-        index = np.concatenate([np.frombuffer(x, np.uint32) + s for x, s in zip(group["extra"].to_pylist(), shift)])
+        size = np.concatenate([np.frombuffer(x, np.uint32) for x in group["extra"].to_pylist()])
         who, dense = np.unique(np.concatenate(owners), return_inverse=True)
-        pairs = np.unique(tokens << np.uint64(32) | dense[index].astype(np.uint64))
+        pairs = np.unique(tokens << np.uint64(32) | np.repeat(dense, size).astype(np.uint64))
         token = pairs >> np.uint64(32)
         many = np.zeros(len(pairs), bool)
         same = token[1:] == token[:-1]
@@ -218,8 +223,11 @@ def heavy_shingles(found: DataFrame, classes: int) -> tuple[np.ndarray, np.ndarr
 # --- pass 2: segments of the remaining classes --------------------------------------------
 
 
-SEGMENT_ROWS = "part int, classes binary, sizes binary, tokens binary, owner binary"
-SEGMENTS = "cls bigint, n bigint, part int, tokens array<bigint>, freqs array<int>"
+SEGMENT_ROWS = "part int, classes binary, sizes binary, counts binary, tokens binary"
+SHARED_ROWS = "bucket int, classes binary, sizes binary, counts binary, tokens binary, freqs binary"
+SEGMENTS = "cls bigint, n bigint, part int, tokens array<bigint>, keys array<bigint>"
+#: Greatest frequency that is told apart in the order of the keys.
+FREQ_MOST = 65_535
 
 
 def _segment_rows(bitmap, bits: int, parts: int, heavy, salts: int):
@@ -244,24 +252,27 @@ def _segment_rows(bitmap, bits: int, parts: int, heavy, salts: int):
                 h, own, part = h[order], own[order], part[order]
                 rows = []
                 for p, x, y in zip(*(lambda v, c: (v, c[:-1], c[1:]))(*_cuts(part, parts))):
-                    who, index = np.unique(own[x:y], return_inverse=True)
-                    rows.append((int(p), _pack(cls[who], np.uint64), _pack(n[who], np.int64), _pack(h[x:y], np.uint64), _pack(index, np.uint32)))
-                yield pd.DataFrame(rows, columns=["part", "classes", "sizes", "tokens", "owner"])
+                    who, size = np.unique(own[x:y], return_counts=True)  # ascending in a part, too
+                    rows.append((int(p), _pack(cls[who], np.uint64), _pack(n[who], np.uint32), _pack(size, np.uint32), _pack(h[x:y], np.uint64)))
+                yield pd.DataFrame(rows, columns=["part", "classes", "sizes", "counts", "tokens"])
         release()
 
     return run
 
 
-def _segments(group: pa.Table, parts: int, heavy: tuple[np.ndarray, np.ndarray]) -> pa.Table:
-    """One fragment: for each class its shingles that another class has, with frequencies.  The
-    heavy ones are known to be shared, so the classes of one fragment of them are enough."""
+def _joined(group: pa.Table, name: str, kind) -> np.ndarray:
+    """The packed values of a column, one row's after the other's."""
+    return np.concatenate([np.frombuffer(x, kind) for x in group[name].to_pylist()])
+
+
+def _shared(group: pa.Table, parts: int, heavy: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+    """One fragment: for each class its shingles that another class has, with frequencies, packed
+    by bucket of the class.  The heavy ones are known to be shared, so the classes of one fragment
+    of them are enough."""
     part = min(group["part"][0].as_py(), parts)
-    classes = [np.frombuffer(x, np.int64) for x in group["classes"].to_pylist()]
-    sizes = np.concatenate([np.frombuffer(x, np.int64) for x in group["sizes"].to_pylist()])
-    tokens = np.concatenate([np.frombuffer(x, np.uint64) for x in group["tokens"].to_pylist()])
-    shift = np.cumsum([0] + [len(c) for c in classes])
-    owner = np.concatenate([np.frombuffer(x, np.uint32) + s for x, s in zip(group["owner"].to_pylist(), shift)])
-    classes = np.concatenate(classes)
+    classes, sizes = _joined(group, "classes", np.uint64), _joined(group, "sizes", np.uint32)
+    tokens = _joined(group, "tokens", np.uint64)
+    owner = np.repeat(np.arange(len(classes)), _joined(group, "counts", np.uint32))
     once = np.zeros(len(classes), bool)
     once[np.unique(classes, return_index=True)[1]] = True
     tokens, owner = tokens[once[owner]], owner[once[owner]]
@@ -273,71 +284,93 @@ def _segments(group: pa.Table, parts: int, heavy: tuple[np.ndarray, np.ndarray])
         _, count = np.unique(tokens, return_counts=True)
         freq = np.repeat(count, count)
     many = freq > 1
-    tokens, owner, freq = tokens[many], owner[many], freq[many]
-    order = np.argsort(owner, kind="stable")
+    tokens, owner, freq = tokens[many], owner[many], np.minimum(freq[many], FREQ_MOST)
+    bucket = (classes % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((owner, bucket[owner]))
     tokens, owner, freq = tokens[order], owner[order], freq[order]
-    who, cut = _cuts(owner, 0)
-    offsets = pa.array(cut.astype(np.int32))
+    rows = []
+    for b, x, y in zip(*(lambda v, c: (v, c[:-1], c[1:]))(*_cuts(bucket[owner], parts))):
+        who, size = np.unique(owner[x:y], return_counts=True)
+        rows.append((int(b), _pack(classes[who], np.uint64), _pack(sizes[who], np.uint32), _pack(size, np.uint32), _pack(tokens[x:y], np.uint64), _pack(freq[x:y], np.uint16)))
+    kinds = [pa.int32()] + [pa.binary()] * 5
+    names = ["bucket", "classes", "sizes", "counts", "tokens", "freqs"]
+    return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+
+
+def _segments(group: pa.Table) -> pa.Table:
+    """The classes of one bucket: their shared shingles in ``SHARES`` segments at most, and, with the
+    first one, their keys: the rarest shingles that a linked class cannot lack all of.  The ones
+    that no other class has come first in the order: n - (number of shared ones) of them."""
+    classes, counts = _joined(group, "classes", np.uint64), _joined(group, "counts", np.uint32)
+    tokens, freq = _joined(group, "tokens", np.uint64), _joined(group, "freqs", np.uint16)
+    who, dense = np.unique(classes, return_inverse=True)
+    n = np.zeros(len(who), np.int64)
+    n[dense] = _joined(group, "sizes", np.uint32)
+    owner = np.repeat(dense, counts)
+    order = np.lexsort((tokens, freq, owner))
+    size = np.bincount(owner, minlength=len(who))
+    wanted = np.maximum(size - n + allowed(n) + 1, 0)
+    place = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
+    keys = tokens[order][place < np.repeat(wanted, size)]
+    order = np.lexsort((tokens, owner))
+    tokens, owner = tokens[order], owner[order]
+    share = (tokens // np.uint64(2**64 // SHARES + 1)).astype(np.int64)
+    cell, cut = _cuts(owner * SHARES + share, 0)
+    of = cell // SHARES
+    first = np.append(True, of[1:] != of[:-1])[: len(of)]
+    held = np.append(0, np.cumsum(np.where(first, np.minimum(wanted, size)[of], 0)))
     return pa.table(
         [
-            pa.array(classes[who]), pa.array(sizes[who]), pa.array(np.full(len(who), part, np.int32)),
-            pa.ListArray.from_arrays(offsets, pa.array(tokens.view(np.int64))),
-            pa.ListArray.from_arrays(offsets, pa.array(freq.astype(np.int32))),
+            pa.array(who[of].view(np.int64)), pa.array(n[of]), pa.array((cell % SHARES).astype(np.int32)),
+            pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(tokens.view(np.int64))),
+            pa.ListArray.from_arrays(pa.array(held.astype(np.int32)), pa.array(keys.view(np.int64))),
         ],
-        names=["cls", "n", "part", "tokens", "freqs"],
+        names=["cls", "n", "part", "tokens", "keys"],
     )
 
 
 # --- block pairs ---------------------------------------------------------------------------
 
-PARTIAL = "cell string, part int, counts binary"
 LINKS = "a bigint, b bigint"
 
 
 def _side(packed: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of a packed block segment and the slot each belongs to, without Python objects."""
+    """Shingles of a packed block and the slot each belongs to, without Python objects."""
     members = packed.values
     tokens = members.field("tokens")
     slots = np.repeat(members.field("slot").to_numpy(), tokens.value_lengths().to_numpy())
     return tokens.flatten().to_numpy(), slots
 
 
-def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial overlaps of one block pair in one fragment, as packed (index, count)."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            (token, own), (other, slot) = _side(batch.column("left")[k]), _side(batch.column("right")[k])
-            order = np.argsort(other, kind="stable")
-            other, slot = other[order], slot[order]
-            lo, hi = np.searchsorted(other, token, "left"), np.searchsorted(other, token, "right")
-            size = hi - lo
-            total = np.zeros(BLOCK * BLOCK * 4, np.int64)
-            cut = np.append(np.flatnonzero(np.diff(np.cumsum(size) // 1_000_000, prepend=-1)), len(size))
-            for x, y in zip(cut[:-1], cut[1:]):  # bounded memory for frequent shingles
-                s = size[x:y]
-                at = np.repeat(lo[x:y] - (np.cumsum(s) - s), s) + np.arange(int(s.sum()))
-                total += np.bincount(np.repeat(own[x:y], s) * (2 * BLOCK) + slot[at], minlength=len(total))
-            where = np.flatnonzero(total)
-            counts = _pack(where, np.uint32) + _pack(total[where], np.uint32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("cell").slice(k, 1), batch.column("part").slice(k, 1), pa.array([counts], pa.binary())], names=["cell", "part", "counts"]
-            )
+def _overlaps(left: pa.ListScalar, right: pa.ListScalar) -> np.ndarray:
+    """The numbers of common shingles of the slots of two blocks, as one flat matrix."""
+    (token, own), (other, slot) = _side(left), _side(right)
+    order = np.argsort(other, kind="stable")
+    other, slot = other[order], slot[order]
+    lo, hi = np.searchsorted(other, token, "left"), np.searchsorted(other, token, "right")
+    size = hi - lo
+    total = np.zeros(BLOCK * BLOCK * 4, np.int64)
+    cut = np.append(np.flatnonzero(np.diff(np.cumsum(size) // 1_000_000, prepend=-1)), len(size))
+    for x, y in zip(cut[:-1], cut[1:]):  # bounded memory for frequent shingles
+        s = size[x:y]
+        at = np.repeat(lo[x:y] - (np.cumsum(s) - s), s) + np.arange(int(s.sum()))
+        total += np.bincount(np.repeat(own[x:y], s) * (2 * BLOCK) + slot[at], minlength=len(total))
+    return total
 
 
 def _link_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums the partial overlaps of a block pair; links between different components, one for
-    each class and component at most."""
+    """Compares the two blocks of a cell; links between different components, one for each class
+    and component at most."""
     for batch in batches:
         for k in range(batch.num_rows):
-            total = np.zeros(BLOCK * BLOCK * 4, np.int64)
-            for packed in batch.column("counts")[k].values:
-                both = np.frombuffer(packed.as_buffer(), np.uint32).reshape(2, -1)
-                total[both[0]] += both[1]
+            cell = batch.column("sides")[k].values
+            left, right = np.argsort(cell.field("side").to_numpy(), kind="stable")
+            total = _overlaps(cell.field("held")[int(left)], cell.field("held")[int(right)])
             at = np.flatnonzero(total)
             i, j, common = at // (2 * BLOCK), at % (2 * BLOCK), total[at]
             sides = []
-            for name in ("left", "right"):
-                members = batch.column(name)[k].values
+            for side in (left, right):
+                members = cell.field("members")[int(side)].values
                 slot = np.zeros((3, 2 * BLOCK), np.int64)
                 slot[:, members.field("slot").to_numpy()] = [members.field(f).to_numpy() for f in ("cls", "n", "comp")]
                 sides.append(slot)
@@ -347,7 +380,14 @@ def _link_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(once["a"].to_numpy()), pa.array(once["b"].to_numpy())], names=["a", "b"])
 
 
-def _hub_links(segments: DataFrame, keys: DataFrame) -> DataFrame:
+def _of(segments: DataFrame, classes: DataFrame, count: int) -> DataFrame:
+    """The segments of ``classes``, and a few others that a Bloom filter cannot tell from them, so
+    that a join with ``classes`` shuffles little more than it needs."""
+    bitmap, bits = bloom.build(classes, count)
+    return segments.where(bloom.maybe_in(segments.sparkSession.sparkContext.broadcast(bitmap), bits)("cls"))
+
+
+def _hub_links(segments: DataFrame, keys: DataFrame, name: str) -> DataFrame:
     """Links of classes with the smallest class of each of their keys."""
     hubs = keys.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("hub"), F.count("*").alias("many")).where("many > 1")
     pairs = (
@@ -355,8 +395,10 @@ def _hub_links(segments: DataFrame, keys: DataFrame) -> DataFrame:
         .where("cls <> hub.cls and 100 * least(n, hub.n) >= 75 * greatest(n, hub.n)")
         .select(F.col("hub.cls").alias("a"), F.col("cls").alias("b")).distinct()
     )
-    left = segments.select(F.col("cls").alias("a"), F.col("n").alias("na"), "part", F.col("tokens").alias("ta"))
-    right = segments.select(F.col("cls").alias("b"), F.col("n").alias("nb"), "part", F.col("tokens").alias("tb"))
+    pairs = materialize(pairs, f"{name}-pairs")
+    count = pairs.count()
+    left = _of(segments, pairs.select("a"), count).select(F.col("cls").alias("a"), F.col("n").alias("na"), "part", F.col("tokens").alias("ta"))
+    right = _of(segments, pairs.select("b"), count).select(F.col("cls").alias("b"), F.col("n").alias("nb"), "part", F.col("tokens").alias("tb"))
     partial = pairs.join(left, "a").join(right, ["b", "part"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("common"))
     return (
         partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
@@ -374,18 +416,22 @@ def _cluster_links(segments: DataFrame, keys: DataFrame, comps: DataFrame, name:
     cluster = components(members.select(F.col("low").alias("a"), F.col("comp").alias("b")).distinct(), f"{name}-clusters")
     docs = members.select("cls", "n", "comp").distinct().join(cluster.select(F.col("node").alias("comp"), F.col("label").alias("cluster")), "comp")
     # small clusters share bins; in large ones, large components have blocks of their own
-    sizes = docs.groupBy("cluster").agg(F.count("*").alias("size"))
-    small = sizes.where(F.col("size") <= BLOCK).agg(F.sum("size")).first()[0] or 0
-    bins = max(1, -(-small // (BLOCK // 2)))
-    large = docs.groupBy("cluster", "comp").agg(F.count("*").alias("in_comp"))
+    def blocks_for(size: str, tokens: str):
+        return F.ceil(F.greatest(F.col(size) * 2 / BLOCK, F.col(tokens) / BLOCK_TOKENS))
+
+    few = (F.col("size") <= BLOCK) & (F.col("tokens") <= BLOCK_TOKENS)
+    sizes = docs.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("tokens"))
+    small = sizes.where(few).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+    bins = max(1, small.select(blocks_for("size", "tokens")).first()[0])
+    large = docs.groupBy("cluster", "comp").agg(F.count("*").alias("in_comp"), F.sum("n").alias("comp_tokens"))
     placed = docs.join(sizes, "cluster").join(large, ["cluster", "comp"]).withColumn(
-        "space", F.when(F.col("size") <= BLOCK, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(-1 - F.col("cluster"))
+        "space", F.when(few, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(-1 - F.col("cluster"))
     ).withColumn(
-        "pure", (F.col("size") > BLOCK) & (F.col("in_comp") >= BLOCK)
+        "pure", ~few & (F.col("in_comp") >= BLOCK)
     ).withColumn(
-        "block", F.when(F.col("size") <= BLOCK, F.lit("s"))
-        .when(F.col("pure"), F.concat_ws("/", "comp", F.pmod(F.xxhash64("cls"), F.ceil(F.col("in_comp") * 2 / BLOCK))))
-        .otherwise(F.concat(F.lit("m"), F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") * 2 / BLOCK))))
+        "block", F.when(few, F.lit("s"))
+        .when(F.col("pure"), F.concat_ws("/", "comp", F.pmod(F.xxhash64("cls"), blocks_for("in_comp", "comp_tokens"))))
+        .otherwise(F.concat(F.lit("m"), F.pmod(F.xxhash64("cls"), blocks_for("size", "tokens"))))
     )
     # hashing fills a block of BLOCK / 2 expected members beyond 2 * BLOCK practically never; if so it is cut again
     blocks = (
@@ -396,23 +442,14 @@ def _cluster_links(segments: DataFrame, keys: DataFrame, comps: DataFrame, name:
     )
     blocks = materialize(blocks, f"{name}-blocks")
     flat = blocks.select("space", "block", F.explode("members").alias("m")).select("space", "block", "m.cls", "m.slot")
-    packed = materialize(
-        segments.join(flat, "cls").groupBy("space", "block", "part").agg(F.collect_list(F.struct("slot", "tokens")).alias("held")),
-        f"{name}-packed",
-    )
-    a, b = blocks.alias("a"), blocks.alias("b")
+    held = _of(segments, flat.select("cls"), flat.count()).join(flat, "cls").groupBy("space", "block").agg(F.collect_list(F.struct("slot", "tokens")).alias("held"))
+    packed = materialize(blocks.select("space", "block", "members").join(held, ["space", "block"]), f"{name}-packed")
+    a, b = (blocks.select("space", "block", "only").alias(side) for side in "ab")
     cells = a.join(b, F.expr("a.space = b.space and a.block <= b.block")).where("not (a.only <=> b.only) or a.only is null").select(
-        F.concat_ws("|", "a.space", "a.block", "b.block").alias("cell"), "a.space", F.col("a.block").alias("lb"), F.col("b.block").alias("rb"),
-        F.col("a.members").alias("left"), F.col("b.members").alias("right"),
+        F.concat_ws("|", "a.space", "a.block", "b.block").alias("cell"), "a.space", F.posexplode(F.array("a.block", "b.block")).alias("side", "block"),
     )
-    lp = packed.select("space", F.col("block").alias("lb"), "part", F.col("held").alias("left"))
-    rp = packed.select("space", F.col("block").alias("rb"), "part", F.col("held").alias("right"))
-    partial = (
-        cells.select("cell", "space", "lb", "rb").join(lp, ["space", "lb"]).join(rp, ["space", "rb", "part"])
-        .select("cell", "part", "left", "right").repartition("cell", "part").mapInArrow(_partial, PARTIAL)
-    )
-    sums = partial.groupBy("cell").agg(F.collect_list("counts").alias("counts"))
-    return cells.select("cell", "left", "right").join(sums, "cell").mapInArrow(_link_blocks, LINKS)
+    sides = cells.join(packed, ["space", "block"]).groupBy("cell").agg(F.collect_list(F.struct("side", "members", "held")).alias("sides"))
+    return sides.mapInArrow(_link_blocks, LINKS)
 
 
 def link(docs: DataFrame, name: str = "jaccard") -> DataFrame:
@@ -447,18 +484,11 @@ def linked(docs: DataFrame, name: str = "jaccard") -> DataFrame:
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), "text").mapInPandas(
         _segment_rows(spark.sparkContext.broadcast(bitmap), bits, parts, held, salts), SEGMENT_ROWS
     )
-    segments = materialize(rows.groupBy("part").applyInArrow(lambda group: _segments(group, parts, held.value), SEGMENTS), f"{name}-segments")
-    per_class = segments.groupBy("cls", "n").agg(
-        F.flatten(F.collect_list(F.arrays_zip(F.col("freqs").alias("f"), F.col("tokens").alias("t")))).alias("shared")
-    )
-    # the shingles that no other class has come first in the order: n - size(shared) of them
-    wanted = F.greatest(F.size("shared") - F.col("n") + F.floor(F.col("n") / 4) + 1, F.lit(0)).cast("int")
-    keys = materialize(
-        per_class.select("cls", "n", F.explode(F.slice(F.array_sort("shared"), F.lit(1), wanted)).alias("key"))
-        .select("cls", "n", F.col("key.t").alias("token")),
-        f"{name}-keys",
-    )
-    hub = materialize(_hub_links(segments, keys), f"{name}-hubs")
+    shared = rows.groupBy("part").applyInArrow(lambda group: _shared(group, parts, held.value), SHARED_ROWS)
+    segments = materialize(shared.groupBy("bucket").applyInArrow(lambda group: _segments(group), SEGMENTS), f"{name}-segments")
+    keys = segments.select("cls", "n", F.explode("keys").alias("token"))
+    segments = segments.drop("keys")
+    hub = materialize(_hub_links(segments, keys, name), f"{name}-hubs")
     comps = components(hub, f"{name}-hub")
     cross = materialize(_cluster_links(segments, keys, comps, name), f"{name}-cross")
     found = components(hub.union(cross), f"{name}-all").select(F.col("node").alias("cls"), "label")

@@ -122,3 +122,35 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert jaccard.link(empty).count() == 0
     assert jaccard.keep_one(empty).count() == 0
+
+
+def test_rows_follow_the_classes_not_the_fragments(spark, monkeypatch):
+    """However many fragments the order has, a class has ``SHARES`` segments at most and no counts of
+    a fragment are written (before, both grew with the fragments); components as by brute force."""
+    monkeypatch.setattr(jaccard, "FRAGMENTS", 40)
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 500)
+    written = {}
+    keep = jaccard.materialize
+
+    def spy(df, name, *more):
+        written[name] = keep(df, name, *more)
+        return written[name]
+
+    monkeypatch.setattr(jaccard, "materialize", spy)
+    r = random.Random(21)
+    base = [f"w{r.randrange(400)}" for _ in range(300)]
+    rows = []
+    for k in range(60):
+        w = list(base)
+        for _ in range(r.randrange(0, 24)):
+            w[r.randrange(len(w))] = f"x{r.randrange(400)}"
+        rows.append((k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link(docs).collect()}
+    assert got == brute(rows)
+    held = [x["count"] for x in written["jaccard-segments"].groupBy("cls").count().collect()]
+    assert len(held) == 60 and max(held) <= jaccard.SHARES
+    assert "jaccard-partial" not in written and set(written["jaccard-cross"].columns) == {"a", "b"}
+    blocks = written["jaccard-blocks"].collect()
+    assert len(blocks) > 1 and all(sum(m["n"] for m in b["members"]) <= 4 * 500 for b in blocks)
