@@ -16,7 +16,7 @@ from folio.functions import enrich as E
 from folio.functions.embed import model_embedder
 from folio.functions.text import clean_text, mentioned_year, page_number, referenced_years, spoken_year, tokens
 from folio import session
-from folio.operators import answers, bm25, conversation, evaluation, fusion, ingest, metrics, vectors
+from folio.operators import answers, blocks, bm25, conversation, evaluation, fusion, ingest, metrics, vectors
 from folio.operators.passages import containment_pairs
 from folio.session import new_path
 from folio.sources import tables
@@ -603,6 +603,57 @@ def test_lsh_recall_zero_vectors_and_hot_buckets(spark):
     assert not {7, 900, 901} & {r["id"] for r in approx.collect()}
 
 
+@pytest.mark.parametrize("share", [1000, 4, 1])
+def test_queries_of_a_year_are_scored_with_its_pages_alone(monkeypatch, share):
+    """Common terms as a matrix and rare ones as lists give the sums of all terms; a query of a year meets
+    the pages that list it only (before, every page was scored for every query)."""
+    import numpy as np
+
+    monkeypatch.setattr(blocks, "COMMON_SHARE", share)
+    r = random.Random(5)
+    names = [f"t{k}" for k in range(30)]
+    qs = [(100 + k, sorted({r.choice(names) for _ in range(r.choice([1, 4, 9]))}), r.choice([None, 2001, 2002, 2003])) for k in range(40)]
+    idf = {t: r.random() + 0.1 for t in names}
+    pdf = pd.DataFrame({"_q": [q[0] for q in qs], "_terms": [q[1] for q in qs], "_idfs": [[idf[t] for t in q[1]] for q in qs], "_year": [q[2] for q in qs]})
+    block = blocks.QueryBlock.of(pdf)
+    pages = [(k, sorted({r.randrange(len(block.terms)) for _ in range(6)}), r.choice([None, [2001], [2002, 2001, 2002], [None, 2003], []])) for k in range(50)]
+    pp = pd.DataFrame({"corpus_id": [p[0] for p in pages], "_t": [p[1] for p in pages], "_w": [[0.5 + t / 100 for t in p[1]] for p in pages], "_years": [p[2] for p in pages]})
+    scored, inner = [], blocks._scores
+    monkeypatch.setattr(blocks, "_scores", lambda b, lens, *more: scored.append((len(lens), len(b.numbers))) or inner(b, lens, *more))
+    got = pd.concat(list(blocks.best_pages([pp.iloc[:20], pp.iloc[20:]], block, 3)))
+    place = {t: k for k, t in enumerate(block.terms)}
+    want = {}
+    for number, terms, year in qs:
+        hits = []
+        for k, t, years in pages:
+            common = [place[x] for x in terms if place[x] in t]
+            if common and (year is None or year in (years or [])):
+                hits.append((-round(sum(idf[block.terms[x]] * (0.5 + x / 100) for x in common), 6), k))
+        want[number] = [k for _, k in sorted(hits)[:3]]
+    for number, _, _ in qs:
+        mine = got[got["_q"] == number]
+        order = sorted((-round(s, 6), k) for s, k in zip(mine["score"], mine["corpus_id"]))[:3]
+        assert [k for _, k in order] == want[number]
+    assert sum(a * b for a, b in scored) < len(pages) * len(qs) / 1.5
+
+
+def test_rerank_splits_and_shuffles_a_page_once(spark):
+    """A page that is a candidate of many questions is one row before the join with them."""
+    pages = spark.createDataFrame([(k, f"page {k} word{k % 3}", f"f{k}") for k in range(6)], "corpus_id long, markdown_content string, exact_filename string")
+    qs = spark.createDataFrame([(k, f"word{k % 3} page") for k in range(9)], "query_id long, text string")
+    fused = spark.createDataFrame([(q, p, 1.0 / (p + 1), p + 1) for q in range(9) for p in range(6)], "query_id long, corpus_id long, rrf_score double, fused_rank int")
+    calls = []
+    inner = fusion.distinct_tokens
+    fusion.distinct_tokens = lambda c: calls.append(1) or inner(c)
+    try:
+        got = fusion.rerank(fused, qs, pages, 2)
+    finally:
+        fusion.distinct_tokens = inner
+    assert len(calls) == 2  # the pages' and the questions', each before the join
+    assert sorted(rows(got, "query_id", "rank", "corpus_id", "source")) == sorted(
+        (q, r + 1, p, f"f{p}") for q in range(9) for r, p in enumerate([p for p in range(6) if p % 3 == q % 3]))
+
+
 @pytest.mark.parametrize("tables, bits, whole", [(12, 3, True), (2, 7, False)])
 def test_lsh_moves_a_query_once_for_each_block_and_equals_brute_force(spark, monkeypatch, tables, bits, whole):
     """Wide buckets: the points are held in blocks over all tables, not copied for each of them (before,
